@@ -5,15 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orbitframe.llm import media, mixing, packing, quality_rules
+from orbitframe.llm import line_dedup, media, mixing, ngram_join, packing, quality_rules
 from orbitframe.llm.common import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept = line_dedup.kept_texts(docs, line_dedup.keep_bitmaps(docs))
+    return kept.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_dropped_").alias("n_dropped"), F.sha2("kept_text_", 256).alias("kept_sha256"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(media.text_to_media(table(spark, sf_dir, "documents")))
 
@@ -26,5 +37,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_packing, op8_media, op9_quality_rules, op10_mixing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op3_packing, op7_line_dedup, op8_media, op9_quality_rules, op10_mixing)}
+ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, pos, line, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+            FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), E'\n') AS l FROM documents))
+        ),
+        common AS (SELECT k, max(doc_id) AS keeper FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE c.k IS NOT NULL AND doc_id <> keeper) AS n_dropped,
+            sha256(coalesce(string_agg(line, E'\n' ORDER BY pos) FILTER (WHERE c.k IS NULL OR doc_id = keeper), '')) AS kept_sha256
+        FROM lines LEFT JOIN common c USING (k) GROUP BY doc_id
+    """,
+}
