@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitframe.llm import line_dedup, media, mixing, ngram_join, packing, quality_rules
+from orbitframe.llm import line_dedup, media, mixing, ngram_join, packing, quality_rules, substring_dedup
 from orbitframe.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "n_factors")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     kept = line_dedup.kept_texts(docs, line_dedup.keep_bitmaps(docs))
@@ -37,7 +42,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op3_packing, op7_line_dedup, op8_media, op9_quality_rules, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op3_packing, op4_substring_dedup, op7_line_dedup, op8_media, op9_quality_rules, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": r"""
         WITH lines AS (
