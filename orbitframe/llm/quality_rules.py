@@ -3,7 +3,7 @@
 A document's histogram of character classes and its histogram of its language's common words are compared to the language's
 references, the sums of those histograms over all documents of the language, by Jensen-Shannon distance (base 2, so 0 to 1).
 A document is kept if it passes the base rules and neither distance is above its threshold. Guards: a distance counts only from
-MIN_CHARS characters and MIN_TOKENS tokens on, and the word distance only for a language with a word list.
+MIN_CHARS characters and MIN_TOKENS words on, and the word distance only for a language with a word list.
 
 A null text counts as empty: all counts are 0, base_failed is true. A null language is a language of its own without word list.
 Rows with equal ids are judged one by one. Nothing is shuffled but one row per task and language.
@@ -25,8 +25,10 @@ COMMON_WORDS = {
     "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "ist", "im", "dem", "nicht"],
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "del", "se", "las", "por", "un", "para", "con", "no"],
 }
-#: What each class of characters excludes, so that deleting it leaves the class. Other characters form the rest.
-CHARACTER_CLASSES = ["[^a-z]+", "[^A-Z]+", "[^0-9]+", "[^.,;:!?'\"()-]+", r"[^#*$%&|<>@^~_=+/\\{}\[\]`]+", f"[^{SPACE}]+"]
+#: Classes of characters, in the order in which they are deleted and counted; what is left is the rest.
+CHARACTER_CLASSES = ["[a-z]+", f"[{SPACE}]+", "[A-Z]+", "[0-9]+", "[.,;:!?'\"()-]+", r"[#*$%&|<>@^~_=+/\\{}\[\]`]+"]
+#: Counted by themselves, in what is left after two classes.
+SYMBOLS = "[#*$%&|<>]+"
 MIN_CHARS, MIN_TOKENS = 200, 100
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.60
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -89,34 +91,49 @@ def repeated_words(words: Column, n: Column) -> Column:
     return F.when(n < 3, 0).when(n <= mask, short).otherwise(long_).cast("long")
 
 
+def character_counts(text: Column) -> Column:
+    """[symbols, a count per class..., the rest]: each class is deleted from what the one before has left, ever less text."""
+
+    def step(left: Column, k: int, before: list[Column]) -> Column:
+        if k == len(CHARACTER_CLASSES):
+            return F.array(*before, F.length(left))
+        if k == 2:
+            before = [F.length(left) - F.length(F.regexp_replace(left, SYMBOLS, "")), *before]
+        return let(F.regexp_replace(left, CHARACTER_CLASSES[k], ""), lambda rest: step(rest, k + 1, [*before, F.length(left) - F.length(rest)]))
+
+    return step(text, 0, [])
+
+
+def common_counts(words: Column, n: Column, lang: Column) -> Column:
+    """A count per common word of the language, then the other words; null without word list. Words count in lower case."""
+    lists, every = F.lit(None).cast("array<string>"), sorted({w for listed in COMMON_WORDS.values() for w in listed})
+    for name, listed in COMMON_WORDS.items():
+        lists = F.when(lang == name, F.array(*[F.lit(f" {w} ") for w in listed])).otherwise(lists)
+    found = F.filter(F.transform(words, F.lower), lambda x: x.isin(every))
+    line = F.concat(F.lit(" "), F.array_join(found, "  "), F.lit(" "))
+    counts = let(line, lambda t: F.transform(lists, lambda w: ((F.length(t) - F.length(F.replace(t, w, F.lit("")))) / F.length(w)).cast("int")))
+    return let(counts, lambda c: F.concat(c, F.array(n - F.aggregate(c, F.lit(0), lambda a, x: a + x))))
+
+
 def histograms(docs: DataFrame, key: str, column: str, lang: str) -> DataFrame:
     """One row per document: base counts, `chars` (a count per class, the rest last) and `common` (a count per common word,
-    the other tokens last)."""
+    the other words last)."""
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), text.alias("text")).withColumn("words", words_of(F.col("text"))).withColumn("n", F.size("words"))
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     dup_lines = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    classes = F.array(*[F.length(F.regexp_replace("text", c, "")) for c in CHARACTER_CLASSES])
-    chars = let(classes, lambda c: F.concat(c, F.array(F.length("text") - F.aggregate(c, F.lit(0), lambda a, x: a + x))))
-    lists = F.lit(None).cast("array<string>")
-    for name, listed in COMMON_WORDS.items():
-        lists = F.when(F.col("lang") == name, F.array(*[F.lit(f" {w} ") for w in listed])).otherwise(lists)
-    tokens = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), r"[^\p{L}]+", "  "), F.lit(" "))
-    counts = let(tokens, lambda t: F.transform(lists, lambda w: ((F.length(t) - F.length(F.replace(t, w, F.lit("")))) / F.length(w)).cast("int")))
-    n_tokens = F.size(F.array_remove(F.split(F.col("text"), r"[^\p{L}]+"), ""))
-    common = let(counts, lambda c: F.concat(c, F.array(F.greatest(F.lit(0), n_tokens - F.aggregate(c, F.lit(0), lambda a, x: a + x)))))
-    return rows.select(
+    rows = rows.select(
         "key",
         "lang",
         F.col("n").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         dup_lines.cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words"), F.col("n")).alias("n_repeat_words"),
         F.length("text").alias("n_chars"),
-        chars.alias("chars"),
-        common.alias("common"),
+        character_counts(F.col("text")).alias("counts"),
+        common_counts(F.col("words"), F.col("n"), F.col("lang")).alias("common"),
     )
+    counts = F.col("counts")
+    return rows.select("key", "lang", "n_words", (F.col("n_chars") - counts[2]).cast("long").alias("word_chars"), counts[0].cast("long").alias("n_symbols"), "n_dup_lines", "n_repeat_words", "n_chars", F.slice(counts, 2, len(CHARACTER_CLASSES) + 1).alias("chars"), "common")
 
 
 def distance(a: Column, b: Column) -> Column:
