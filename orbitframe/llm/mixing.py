@@ -176,7 +176,8 @@ def taken_pieces(docs: DataFrame, key: str = "doc_id", column: str = "text", sou
     rows = placed(sized, plan)
     slots = slot_table(docs, plan, shards, seed)
     spans = rows.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("size") - 1) / block))))
-    joined = spans.join(slots, ["source_no", "block"])
+    # The slots' size isn't seen from the few ranges that they are made of: they must not be taken for a small side.
+    joined = spans.join(slots.hint("merge"), ["source_no", "block"])
     start = F.col("block") * block
     stop = start + F.when(F.col("words") >= 0, F.col("words")).otherwise(block)
     low, high = F.greatest(start, F.col("offset")), F.least(stop, F.col("offset") + F.col("size"))
