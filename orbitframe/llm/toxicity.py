@@ -1,6 +1,6 @@
 """Toxicity by a classifier chain of linear models.
 
-The categories come in order. Each has a logistic regression over word counts and the probabilities of all earlier categories.
+The categories come in order. Each has a logistic regression over counts of words and of their beginnings, and the probabilities of all earlier categories.
 In training, those are out-of-fold: a document's earlier probabilities come from models that did not see it (nor its copies,
 as folds go by text), so later models learn how far earlier ones can be trusted.
 
@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: name -> condition on the labels' columns, in chain order.
@@ -31,9 +31,11 @@ REJECTS = "toxic"
 MAX_LABELLED = 20_000
 VOCABULARY = 1024
 FOLDS = 4
+#: Lengths of the beginnings of words that count as features beside the words.
+PREFIXES = (3, 5, 7)
 #: A word must stand in so many labelled documents.
 LEAST_DOCUMENTS = 4
-PENALTY, ROUNDS = 2.0, 150
+PENALTY, ROUNDS = 0.5, 300
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -83,11 +85,25 @@ class Chain:
         return 1 / (1 + np.exp(-odds))
 
 
+def features_of(word: str) -> list[str]:
+    """The word and its beginnings, since inflected words share them."""
+    return [word, *(f"{word[:k]}~" for k in PREFIXES if len(word) > k)]
+
+
 def count_rows(texts: list, vocabulary: dict[str, int]) -> Counts:
+    """1 + log(count) of each vocabulary feature in each text."""
     rows, found, values = [], [], []
+    known: dict[str, list[int]] = {}
     for i, text in enumerate(texts):
-        counted = Counter(map(vocabulary.get, _WORD.findall((text or "").lower())))
-        counted.pop(None, None)
+        counted: dict[int, int] = {}
+        for word, n in Counter(_WORD.findall((text or "").lower())).items():
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = [vocabulary[f] for f in features_of(word) if f in vocabulary]
+            for f in ids:
+                counted[f] = counted.get(f, 0) + n
+        if len(known) > 500_000:
+            known.clear()
         rows += [i] * len(counted)
         found += counted.keys()
         values += counted.values()
@@ -101,9 +117,9 @@ def fit_linear(x: Counts, earlier: np.ndarray, y: np.ndarray, n_words: int) -> L
     if not 0 < y.sum() < len(y):
         return out
     n, penalty = len(y), PENALTY / len(y)
-    scale = 1 / np.sqrt(np.maximum(x.back(np.ones(n) / n, n_words), 1e-3))  # rare words get as much room as frequent ones
+    scale = np.maximum(x.back(np.ones(n) / n, n_words), 1e-2) ** -0.25  # rare features get somewhat more room than frequent ones
     spread = 0.25 * (np.bincount(x.rows, (x.values * scale[x.words]) ** 2, n).max(initial=0) + (earlier**2).sum(axis=1).max(initial=0) / 25 + 1)
-    step = 1 / min(spread, 60.0)
+    step = 1 / min(spread, 40.0)
     flat = np.concatenate([out.words, out.earlier, [out.bias]])
     ahead, m = flat, n_words
     for k in range(ROUNDS):
@@ -127,6 +143,11 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(max(0.5, (p[order][at] + below) / 2))
 
 
+def beginnings(tokens: Column, k: int) -> Column:
+    """As in features_of, for an array of words."""
+    return F.transform(F.filter(tokens, lambda w: F.length(w) > k), lambda w: F.concat(F.substring(w, 1, k), F.lit("~")))
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "text", categories: dict[str, str] | None = None, rejects: str = REJECTS, most: int = MAX_LABELLED) -> Chain:
     categories = categories or CATEGORIES
     names = list(categories)
@@ -135,6 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "
     texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text"))
     picked = texts.join(known.orderBy(F.xxhash64("key"), "key").limit(most), "key")
     tokens = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
+    tokens = F.array_distinct(F.concat(tokens, *(beginnings(tokens, k) for k in PREFIXES)))
     labels_of = [F.col(f"y{i}") for i in range(len(names))]
     picked = picked.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)))
     totals = picked.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(y), F.lit(0.0)) for y in labels_of]).first()
