@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitframe.llm import line_dedup, media, mixing, ngram_join, packing, quality_rules, substring_dedup, toxicity
+from orbitframe.llm import html_text, line_dedup, media, mixing, ngram_join, packing, quality_rules, substring_dedup, toxicity
 from orbitframe.llm.common import table
 
 
@@ -24,6 +24,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "n_factors")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = html_text.extracted(pages, html_text.fit(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -47,7 +53,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op3_packing, op4_substring_dedup, op6_toxicity, op7_line_dedup, op8_media, op9_quality_rules, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op3_packing, op4_substring_dedup, op5_html_text, op6_toxicity, op7_line_dedup, op8_media, op9_quality_rules, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": r"""
         WITH lines AS (
