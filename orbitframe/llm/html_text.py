@@ -280,8 +280,8 @@ def rearranged(main: list[Block], other: list[Block], strange: list[str], rng: n
     def pick(*choices: tuple[str, ...]) -> tuple[str, ...]:
         return choices[int(rng.integers(len(choices)))]
 
-    top = ("html", "body") + pick((), ("div", ".page"), ("div", ".wrapper"), ("div", ".container"))
-    body = top + pick(("article",), ("main",), ("main", "article"), ("div", ".content"), ("div", ".main-content"), ("div", ".article-body"), ("div", ".post"), ("section", ".entry-content"), ("div", ".story"))
+    top = ("html", "body") + pick((), ("div", ".page"), ("div", ".wrapper"), ("div", ".container"), ("div", f".c{int(rng.integers(1000))}"), ("div", "div"), ("div", ".layout"))
+    body = top + pick(("article",), ("main",), ("main", "article"), ("div", ".content"), ("div", ".main-content"), ("div", ".article-body"), ("div", ".post"), ("section", ".entry-content"), ("div", ".story"), ("div", ".post-content"), ("div", ".content", "div", ".text"), ("section", ".article"))
     out: list[tuple[Block, bool]] = []
 
     def add(path: tuple[str, ...], texts: list[str], link: float = 0.0) -> None:
@@ -303,7 +303,10 @@ def rearranged(main: list[Block], other: list[Block], strange: list[str], rng: n
         add(top + side, some(4), float(rng.random() < 0.5))
     for k, b in enumerate(main):
         leaf = tuple(t for t in b.path[-1:] if t in ("p", "h1", "h2", "h3", "li", "blockquote", "pre", "td", "div"))
-        out.append((Block(b.text, body + leaf, b.linked), True))
+        if rng.random() < 0.2:
+            leaf = pick(("ul", "li"), ("ol", "li"), ("h2",), ("h3",), ("div",), ("blockquote", "p"), ("section", "p"))
+        text = short([b.text])[0] if leaf in (("h2",), ("h3",)) or rng.random() < 0.1 else b.text
+        out.append((Block(text, body + leaf, int(len(text) * 0.3 * rng.random()) if rng.random() < 0.2 else 0), True))
         if k and rng.random() < 0.06:
             add(body + pick(("div", ".ad"), ("div", ".promo", "p"), ("aside",), ("aside", "p"), ("form", "p"), ("div", ".share")), some(2))
     if rng.random() < 0.5:
