@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitframe.llm import html_text, line_dedup, media, mixing, ngram_join, packing, quality_rules, substring_dedup, toxicity
+from orbitframe.llm import html_text, line_dedup, media, mixing, ngram_join, packing, pii, quality_rules, substring_dedup, toxicity
 from orbitframe.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.joined(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.found(docs, pii.fit(docs))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op3_packing, op4_substring_dedup, op5_html_text, op6_toxicity, op7_line_dedup, op8_media, op9_quality_rules, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_packing, op4_substring_dedup, op5_html_text, op6_toxicity, op7_line_dedup, op8_media, op9_quality_rules, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": r"""
         WITH lines AS (
