@@ -122,9 +122,10 @@ def boundary_windows(rows: DataFrame, window: int, gram: int) -> DataFrame:
 
 def ranked(rows: DataFrame, firsts: bool) -> DataFrame:
     """kind and the columns of rows: LATER for rows of a key (a, b) whose document is not the key's least; if firsts, also FIRST
-    for the others, except under an `a` of a single document."""
-    spark = rows.sparkSession
-    ordered = rows.repartitionByRange(shuffle_width(spark), *NAMES).sortWithinPartitions(*NAMES)
+    for the others, except under an `a` of a single document.
+
+    A run that goes on from one task to the next is settled once all tasks have reported their border runs' first documents."""
+    ordered = rows.repartitionByRange(shuffle_width(rows.sparkSession), *NAMES).sortWithinPartitions(*NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(kind: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -145,9 +146,10 @@ def ranked(rows: DataFrame, firsts: bool) -> DataFrame:
                 alone[0] &= not first
                 alone[-1] &= not last
                 kind[np.repeat(alone, np.diff(borders))] = -1
+            if first:  # the run may go on from the task before
+                kind[: sizes[0]] = UNDECIDED
             for i in sorted({*[0] * first, *[len(starts) - 1] * last}):
-                lo, hi = starts[i], starts[i] + sizes[i]
-                kind[lo:hi] = UNDECIDED
+                lo = starts[i]
                 yield emit(np.array([SUMMARY]), [c[lo : lo + 1] for c in columns])
             out = kind >= 0
             yield emit(kind[out], [c[out] for c in columns])
@@ -165,10 +167,21 @@ def ranked(rows: DataFrame, firsts: bool) -> DataFrame:
     least: dict[tuple[int, int], int] = {}
     for a, b, doc in found.filter(F.col("kind") == SUMMARY).select("a", "b", "doc").collect():
         least[a, b] = min(doc, least.get((a, b), doc))
-    keepers = spark.createDataFrame([(a, b, doc) for (a, b), doc in least.items()], "a long, b long, least long")
-    late = F.col("doc") > F.col("least")
-    open_ = found.filter(F.col("kind") == UNDECIDED).join(F.broadcast(keepers), ["a", "b"]).withColumn("kind", F.when(late, LATER).otherwise(FIRST).cast("long"))
-    return found.filter(F.col("kind") <= FIRST).select("kind", *NAMES).unionByName(open_.select("kind", *NAMES))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind, a, b, doc = (batch.column(i).to_numpy() for i in range(4))
+            kind = kind.copy()
+            at = np.flatnonzero(kind == UNDECIDED)
+            change = np.ones(len(at), bool)
+            change[1:] = (a[at[1:]] != a[at[:-1]]) | (b[at[1:]] != b[at[:-1]])
+            keepers = np.array([least[int(a[i]), int(b[i])] for i in at[change]], np.int64)
+            kind[at] = np.where(doc[at] > keepers[np.cumsum(change) - 1], LATER, FIRST) if len(at) else kind[at]
+            keep = pa.array(kind <= FIRST)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), *batch.columns[1:]], ["kind", *NAMES]).filter(keep)
+
+    # least has at most two keys per task, so it goes along with the function.
+    return found.mapInArrow(settle, f"kind long, {SCHEMA}")
 
 
 def parsed(rows: DataFrame, window: int) -> DataFrame:
