@@ -202,7 +202,8 @@ def joined(docs: DataFrame, key: str = "doc_id", column: str = "text", n: int =
     # The text of the node's least id stands for it; repeated ids are told apart by the text's hash.
     text = F.col(column).cast("string")
     picked = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    texts = groups.join(picked, F.col("pick.key").eqNullSafe(F.col("key")) & (F.col("pick.text_hash") == F.col("text_hash")))
+    # By merge at every size: texts are moved once, and never for a candidate list that happened to be small enough to send.
+    texts = groups.hint("merge").join(picked, F.col("pick.key").eqNullSafe(F.col("key")) & (F.col("pick.text_hash") == F.col("text_hash")))
     found = stored(verified(block_pairs(texts, sizes, "component", "node", TEXT_BLOCK).select("component", "bi", "bj", "own", "node", "copies", "text"), n, threshold))
     links = found.filter("c is not null").groupBy("u").agg(F.sum("v").alias("texts"), F.sum("c").alias("others"))
     classes = components(found.filter("c is null").select("u", "v"))
