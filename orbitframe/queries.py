@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from orbitframe.registry import certified
+
+MODULES = (certified,)
+QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
+ORACLE_SQL = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}
