@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from orbitframe.registry import certified
+from orbitframe.registry import certified, selection, structure
 
-MODULES = (certified,)
+MODULES = (certified, selection, structure)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}
