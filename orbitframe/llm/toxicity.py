@@ -154,7 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "
     wanted = [F.expr(c).cast("double").alias(f"y{i}") for i, c in enumerate(categories.values())]
     known = labels.select(F.col(key).alias("key"), *wanted).filter("key is not null").dropDuplicates(["key"])
     texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text"))
-    picked = texts.join(known.orderBy(F.xxhash64("key"), "key").limit(most), "key")
+    # At most `most` short rows, so they are sent to the texts; no text is moved.
+    picked = texts.join(F.broadcast(known.orderBy(F.xxhash64("key"), "key").limit(most)), "key")
     tokens = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     tokens = F.array_distinct(F.concat(tokens, *(beginnings(tokens, k) for k in PREFIXES)))
     labels_of = [F.col(f"y{i}") for i in range(len(names))]
