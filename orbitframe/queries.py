@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from orbitframe.registry import certified, selection, structure
+from orbitframe.registry import certified, selection, series, structure
 
-MODULES = (certified, selection, structure)
+MODULES = (certified, selection, structure, series)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}
