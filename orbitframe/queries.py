@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from orbitframe.registry import certified, selection, series, structure
+from orbitframe.registry import certified, functions, interactions, selection, series, structure, surfaces
 
-MODULES = (certified, selection, structure, series)
+MODULES = (certified, selection, structure, series, functions, interactions, surfaces)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}
