@@ -312,7 +312,10 @@ def fit(docs: DataFrame, column: str = "text", most: int = SAMPLE_DOCUMENTS, pre
         if own.any():
             least, sure = isotonic(score[own], y[own])
             if (sure >= precision).any():
-                out.least[name] = float(least[np.argmax(sure >= precision)])
+                # Half way to the next lower proposal, but never under the odds of the precision itself.
+                step = float(least[np.argmax(sure >= precision)])
+                under = score[own][score[own] < step]
+                out.least[name] = max(float(np.log(precision / (1 - precision))), (step + float(under.max())) / 2 if len(under) else -np.inf)
     return out
 
 

@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1", "toxic_low_quality": "toxic = 1 AND quality = 0"}
 #: The category whose probability rejects a document.
 REJECTS = "toxic"
-MAX_LABELLED = 20_000
+MAX_LABELLED = 8_000
 VOCABULARY = 1024
 FOLDS = 4
 #: Lengths of the beginnings of words that count as features beside the words.
 PREFIXES = (3, 5, 7)
 #: A word must stand in so many labelled documents.
 LEAST_DOCUMENTS = 4
-PENALTY, ROUNDS = 0.5, 300
+PENALTY, ROUNDS = 0.5, 150
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "
         known_y = ~np.isnan(y)
         y = np.nan_to_num(y)
         odds = np.zeros(len(rows))
-        for k in range(FOLDS):
+        for k in range(FOLDS) if name == rejects or i < len(names) - 1 else ():
             train, test = known_y & (folds != k), folds == k
             odds[test] = fit_linear(x.pick(train), unseen[train], y[train], m).log_odds(x.pick(test), unseen[test])
         chain.models.append(fit_linear(x.pick(known_y), unseen[known_y], y[known_y], m))
