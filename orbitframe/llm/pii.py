@@ -306,7 +306,10 @@ def fit(docs: DataFrame, column: str = "text", most: int = SAMPLE_DOCUMENTS, pre
         if 0 < y[train].sum() < train.sum() and (~train).any():
             trees = boosted(x[train], y[train])
             score[~train] = trees.odds(trees.binned(x[~train]))
-    out = Selector(boosted(x, y))
+    # Proposals of the corpus count as negatives without anybody having looked at them. Those that models of other documents take
+    # for personal data still count in the calibration, but the final trees don't learn to reject them.
+    plain = (y == 1) | (score <= 0)
+    out = Selector(boosted(x[plain], y[plain]))
     for i, name in enumerate(KINDS):
         own = kind == i
         if own.any():
