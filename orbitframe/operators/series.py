@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from orbitframe.functions import geometry as g
 from orbitframe.plans.certified import episodes
 
-BY = Window.partitionBy("traj_id")
-IN_ORDER = BY.orderBy("frame")
-BEFORE = IN_ORDER.rowsBetween(Window.unboundedPreceding, -1)
+
+def by() -> WindowSpec:
+    return Window.partitionBy("traj_id")
+
+
+def in_order() -> WindowSpec:
+    return by().orderBy("frame")
 
 
 def merge_intervals(spans: DataFrame) -> DataFrame:
@@ -30,14 +34,14 @@ def lifetimes(series: DataFrame, flag: str) -> DataFrame:
 
 def frame_intervals(series: DataFrame, tolerance: float = 1e-4) -> DataFrame:
     """Profile of the time steps."""
-    rows = series.withColumn("dt", F.lead("t_ps").over(IN_ORDER) - F.col("t_ps")).filter("dt is not null")
-    rows = rows.withColumn("mean_", F.avg("dt").over(BY))
+    rows = series.withColumn("dt", F.lead("t_ps").over(in_order()) - F.col("t_ps")).filter("dt is not null")
+    rows = rows.withColumn("mean_", F.avg("dt").over(by()))
     return rows.groupBy("traj_id").agg(F.avg("dt").alias("mean_dt"), F.min("dt").alias("min_dt"), F.max("dt").alias("max_dt"), F.bool_and(F.abs(F.col("dt") - F.col("mean_")) <= tolerance).alias("uniform"))
 
 
 def time_weighted_occupancy(series: DataFrame, flag: str) -> DataFrame:
     """Share of time in contact; of frames where no step is positive."""
-    dt = F.lead("t_ps").over(IN_ORDER) - F.col("t_ps")
+    dt = F.lead("t_ps").over(in_order()) - F.col("t_ps")
     rows = series.withColumn("dt", F.when(dt > 0, dt))
     total = F.sum("dt")
     return rows.groupBy("traj_id").agg(F.when(total > 0, F.coalesce(F.sum(F.when(F.col(flag), F.col("dt"))), F.lit(0.0)) / total).otherwise(F.avg(F.col(flag).cast("double"))).alias("occupancy"))
@@ -67,14 +71,14 @@ def unwrap_frame(coords: DataFrame) -> DataFrame:
 
 
 def unwrap_phase(series: DataFrame, value: str, period: float = 360.0) -> DataFrame:
-    step = F.col(value) - F.lag(value).over(IN_ORDER)
+    step = F.col(value) - F.lag(value).over(in_order())
     rows = series.withColumn("jump", F.coalesce(F.rint(step / period), F.lit(0.0)))
-    return rows.withColumn("phase", F.col(value) - period * F.sum("jump").over(IN_ORDER)).drop("jump")
+    return rows.withColumn("phase", F.col(value) - period * F.sum("jump").over(in_order())).drop("jump")
 
 
 def autocorrelation(series: DataFrame, value: str, most: int = 200) -> DataFrame:
     """C(lag) for lags up to half the series, `most` at most, from exploded lags and one join on the later frame."""
-    rows = series.select("traj_id", "frame", F.col(value).alias("y")).withColumns({"m": F.avg("y").over(BY), "v": F.var_pop("y").over(BY), "n": F.count(F.lit(1)).over(BY)})
+    rows = series.select("traj_id", "frame", F.col(value).alias("y")).withColumns({"m": F.avg("y").over(by()), "v": F.var_pop("y").over(by()), "n": F.count(F.lit(1)).over(by())})
     early = rows.withColumn("lag", F.explode(F.sequence(F.lit(0), F.least(F.floor(F.col("n") / 2), F.lit(most)).cast("int")))).withColumn("later", F.col("frame") + F.col("lag"))
     late = rows.select("traj_id", F.col("frame").alias("later"), F.col("y").alias("y_later"))
     out = early.join(late, ["traj_id", "later"]).groupBy("traj_id", "lag").agg(F.avg((F.col("y") - F.col("m")) * (F.col("y_later") - F.col("m"))).alias("c"), F.first("v").alias("v"))
@@ -102,7 +106,7 @@ def block_sizes(n: int) -> list[int]:
 
 def block_averaging(series: DataFrame, value: str, longest: int) -> DataFrame:
     """Standard error of block means per block size; sizes beyond a quarter of a trajectory don't apply to it."""
-    rows = series.withColumn("n", F.count(F.lit(1)).over(BY)).withColumn("size", F.explode(F.array(*map(F.lit, block_sizes(longest)))))
+    rows = series.withColumn("n", F.count(F.lit(1)).over(by())).withColumn("size", F.explode(F.array(*map(F.lit, block_sizes(longest)))))
     rows = rows.filter(F.col("size") <= F.floor(F.col("n") / 4)).withColumn("b", F.floor(F.col("frame") / F.col("size")))
     rows = rows.filter((F.col("b") + 1) * F.col("size") <= F.col("n"))
     means = rows.groupBy("traj_id", "size", "b").agg(F.avg(value).alias("m"))
@@ -111,7 +115,7 @@ def block_averaging(series: DataFrame, value: str, longest: int) -> DataFrame:
 
 def drift_convergence(series: DataFrame, value: str) -> DataFrame:
     """Slope over the last half of the frames, and whether the drift is small against the spread."""
-    rows = series.withColumn("n", F.count(F.lit(1)).over(BY)).filter(F.col("frame") >= F.floor(F.col("n") / 2))
+    rows = series.withColumn("n", F.count(F.lit(1)).over(by())).filter(F.col("frame") >= F.floor(F.col("n") / 2))
     out = rows.groupBy("traj_id").agg(F.regr_slope(value, "frame").alias("slope"), F.stddev_pop(value).alias("sd"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
     drift = F.abs(F.col("slope")) * F.col("m")
     return out.select("traj_id", "slope", "sd", F.when(F.col("n") < 10, "INSUFFICIENT").when((drift < F.col("sd")) | (F.abs("slope") < 1e-3), "STATIONARY").otherwise("DRIFTING").alias("status"))

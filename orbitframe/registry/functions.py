@@ -21,8 +21,12 @@ def _four(p, d):
     return rows.select("traj_id", "frame", *[F.col(str(i)).alias(f"p{i}") for i in range(4)])
 
 
-P = [g.vec(f"p{i}.") for i in range(4)]
-BOX = g.const(20.0, 20.0, 20.0)
+def _p(i):
+    return g.vec(f"p{i}.")
+
+
+def _box():
+    return g.const(20.0, 20.0, 20.0)
 
 
 def _cell():
@@ -41,7 +45,7 @@ def _half():
     """Boxes around atoms 0..1 and 2..3."""
     sides = []
     for a, b in ((0, 1), (2, 3)):
-        low, high = (tuple(f(x, y) for x, y in zip(P[a], P[b], strict=True)) for f in (F.least, F.greatest))
+        low, high = (tuple(f(x, y) for x, y in zip(_p(a), _p(b), strict=True)) for f in (F.least, F.greatest))
         sides += [g.scale(g.add(low, high), 0.5), g.scale(g.sub(high, low), 0.5)]
     return sides
 
@@ -68,16 +72,16 @@ def _identity(p, d):
 
 
 QUERIES = {
-    "dist": _frames(lambda: g.dist(P[0], P[1]).alias("d")),
-    "mic_ortho": _frames(lambda: g.mic_dist(P[0], P[3], BOX).alias("d")),
-    "mic_triclinic": _frames(lambda: g.mic_triclinic(g.sub(P[0], P[3]), _cell()).alias("d")),
+    "dist": _frames(lambda: g.dist(_p(0), _p(1)).alias("d")),
+    "mic_ortho": _frames(lambda: g.mic_dist(_p(0), _p(3), _box()).alias("d")),
+    "mic_triclinic": _frames(lambda: g.mic_triclinic(g.sub(_p(0), _p(3)), _cell()).alias("d")),
     "cell_from_dims": _cells,
     "wrap": _wrapped,
-    "angle": _frames(lambda: g.angle(P[0], P[1], P[2]).alias("a")),
-    "angle_series_stats": lambda p, d: rounded(_four(p, d).withColumn("a", g.angle(P[0], P[1], P[2])).groupBy("traj_id").agg(F.avg("a").alias("mean"), F.stddev_pop("a").alias("sd"), F.min("a").alias("min"), F.max("a").alias("max"))),
-    "dihedral": _frames(lambda: g.dihedral(*P).alias("a")),
-    "normal_angle": _frames(lambda: g.normal_angle(g.plane_normal(P[0], P[1], P[2]), g.plane_normal(P[1], P[2], P[3])).alias("a")),
-    "bounds_aabb_ortho": lambda p, d: rounded(_four(p, d).select("traj_id", "frame", *_two(g.box_bounds(*_half(), BOX), ("lower", "upper")))),
+    "angle": _frames(lambda: g.angle(_p(0), _p(1), _p(2)).alias("a")),
+    "angle_series_stats": lambda p, d: rounded(_four(p, d).withColumn("a", g.angle(_p(0), _p(1), _p(2))).groupBy("traj_id").agg(F.avg("a").alias("mean"), F.stddev_pop("a").alias("sd"), F.min("a").alias("min"), F.max("a").alias("max"))),
+    "dihedral": _frames(lambda: g.dihedral(*map(_p, range(4))).alias("a")),
+    "normal_angle": _frames(lambda: g.normal_angle(g.plane_normal(_p(0), _p(1), _p(2)), g.plane_normal(_p(1), _p(2), _p(3))).alias("a")),
+    "bounds_aabb_ortho": lambda p, d: rounded(_four(p, d).select("traj_id", "frame", *_two(g.box_bounds(*_half(), _box()), ("lower", "upper")))),
     "bounds_aabb_open": lambda p, d: rounded(_four(p, d).select("traj_id", "frame", *_two(g.box_bounds(*_half()), ("lower", "upper")))),
     "bounds_aabb_triclinic": lambda p, d: rounded(_four(p, d).select("traj_id", "frame", *_two(g.box_bounds_triclinic(*_half(), _cell()), ("lower", "upper")))),
     "center_in_box": lambda p, d: rounded(v.te(p, d).select("traj_id", "frame", "atom_id", *[(F.col(n) - F.avg(n).over(_by_frame()) + 10).alias(n) for n in "xyz"])),

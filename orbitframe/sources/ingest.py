@@ -85,13 +85,17 @@ def ingest_pocket_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _bare(part: int) -> Column:
+    return F.regexp_replace(F.get(F.split("value", ":", 2), F.lit(part - 1)), r"^\s+|\s+$", "")
+
+
 def ingest_pocket_info(spark: SparkSession, path: str) -> DataFrame:
     """Blocks 'Pocket N :' of 'key : value' lines as (file, pocket, key, value)."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     header = F.regexp_extract("value", r"^\s*Pocket\s+(\d+)\s*:", 1)
     w = Window.partitionBy("file").orderBy("line")
     rows = files.withColumn("pocket", F.last(F.when(header != "", header.cast("int")), ignorenulls=True).over(w)).filter((header == "") & F.col("pocket").isNotNull() & F.contains("value", F.lit(":")))
-    return rows.select("file", "pocket", F.trim(F.element_at(F.split("value", ":", 2), 1)).alias("key"), F.trim(F.element_at(F.split("value", ":", 2), 2)).try_cast("double").alias("value"))
+    return rows.select("file", "pocket", _bare(1).alias("key"), _bare(2).try_cast("double").alias("value"))
 
 
 SEGMENTS = "array<struct<chain:string,unp_start:int,unp_end:int,pdb_start:int>>"
