@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters that separate words, as a Java and Python character class.
@@ -47,6 +47,11 @@ def n_words(text):
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, f"[{SPACE}]+"))).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, by way of a one-element array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, a bijection on 64 bits."""
     x = x.astype(np.uint64, copy=True)

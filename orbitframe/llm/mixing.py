@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitframe.llm.common import SPACE, mix, n_words, stored
+from orbitframe.llm.common import SPACE, let, mix, n_words, stored
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
@@ -213,7 +213,7 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", column: str = "text",
     places = F.array_sort(F.array_distinct(F.transform("takes_", lambda t: F.struct(t["source_no"].alias("source_no"), t["offset"].alias("offset")))))
     out = out.filter(F.array_position(places, place) == F.col("copy_"))
     words = F.split(F.regexp_replace(F.col(column), f"^[{SPACE}]+|[{SPACE}]+$", ""), f"[{SPACE}]+")
-    cut = F.array_join(F.flatten(F.transform("take_.spans", lambda s: F.slice(words, (s["first"] + 1).cast("int"), s["words"].cast("int")))), " ")
+    cut = let(words, lambda w: F.array_join(F.flatten(F.transform("take_.spans", lambda s: F.slice(w, (s["first"] + 1).cast("int"), s["words"].cast("int")))), " "))
     out = out.withColumn(column, F.when(F.col("take_.taken") == F.col("size_"), F.col(column)).otherwise(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(F.col(column)).cast("long"))

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitframe.llm.common import SPACE, stored
+from orbitframe.llm.common import SPACE, let, stored
 
 #: Frequent function words.
 COMMON_WORDS = {
@@ -36,11 +36,6 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 PACK_BITS = 22
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once, by way of a one-element array."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def words_of(text: Column) -> Column:
     trimmed = F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+"))
