@@ -41,8 +41,8 @@ QUERIES = {
     "classify_nucleotide": lambda spark, d: s.classify_nucleotide(v.te_full(spark, d).withColumn("name", F.when(F.col("name") == "O", "O2'").otherwise(F.concat("name", F.lit("1'")))), ["traj_id", "frame", "residue"]),
     "validate_coords": lambda spark, d: s.validate_coords(v.te(spark, d), v.N_ATOMS),
     "annotation_filter": lambda spark, d: v.te_full(spark, d).filter((F.col("chain") == "A") & F.array_contains(F.array(F.lit(2), F.lit(4)), F.col("residue"))).select(*ID),
-    "catalog_search": lambda spark, d: s.catalog_search(v.table(spark, d, "part"), "Brass", ["p_name", "p_brand", "p_type"]).select("p_partkey"),
-    "catalog_rank": lambda spark, d: s.catalog_rank(v.table(spark, d, "part"), F.col("p_brand"), {"Brand#11": 1, "Brand#22": 2}, [F.col("p_size"), F.col("p_retailprice").desc(), F.col("p_partkey")]).select("p_partkey", "weight", F.col("rank").cast("long").alias("rank")),
+    "catalog_search": lambda spark, d: s.catalog_search(v.table(spark, d, "part"), "Ring", ["p_name", "p_brand", "p_type"]).select("p_partkey"),
+    "catalog_rank": lambda spark, d: s.catalog_rank(v.table(spark, d, "part"), F.col("p_brand"), {"Brand#2": 1, "Brand#17": 2}, [F.col("p_size"), F.col("p_retailprice").desc(), F.col("p_partkey")]).select("p_partkey", "weight", F.col("rank").cast("long").alias("rank")),
     "catalog_counts": lambda spark, d: v.table(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_totalprice") > 200000).alias("n_large")),
     "capability_matrix": lambda spark, d: v.table(spark, d, "part").select(F.explode(F.split("p_type", " ")).alias("capability"), "p_brand").groupBy("capability").agg(F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("brands")),
     "catalog_scorecard": lambda spark, d: v.table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") < 10, 3).when(F.col("p_size") < 30, 2).otherwise(1).alias("tier"), F.when(F.col("p_retailprice") > 1500, 2).otherwise(1).alias("cost")).withColumn("score", F.col("tier") * 2 + F.col("cost")),
@@ -69,8 +69,8 @@ ORACLE_SQL = {
     "classify_nucleotide": sql("TF", "SELECT traj_id, frame, residue, CASE WHEN bool_or(name = 'O') THEN 'ribose' ELSE 'indeterminate' END AS sugar FROM TF GROUP BY 1, 2, 3"),
     "validate_coords": sql("TE", "SELECT traj_id, frame, count(*) AS n, count(*) FILTER (NOT (isfinite(x) AND isfinite(y) AND isfinite(z))) AS n_bad, min(lx) > 0 AND min(ly) > 0 AND min(lz) > 0 AS box_ok, count(*) = 21 AS atoms_ok FROM TE GROUP BY 1, 2"),
     "annotation_filter": sql("TF", "SELECT traj_id, frame, atom_id FROM TF WHERE chain = 'A' AND residue IN (2, 4)"),
-    "catalog_search": "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'brass') OR contains(lower(p_brand), 'brass') OR contains(lower(p_type), 'brass')",
-    "catalog_rank": "SELECT p_partkey, w::INTEGER AS weight, row_number() OVER (ORDER BY w, p_size, p_retailprice DESC, p_partkey) AS rank FROM (SELECT *, CASE p_brand WHEN 'Brand#11' THEN 1 WHEN 'Brand#22' THEN 2 ELSE 99 END AS w FROM part)",
+    "catalog_search": "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_brand), 'ring') OR contains(lower(p_type), 'ring')",
+    "catalog_rank": "SELECT p_partkey, w::INTEGER AS weight, row_number() OVER (ORDER BY w, p_size, p_retailprice DESC, p_partkey) AS rank FROM (SELECT *, CASE p_brand WHEN 'Brand#2' THEN 1 WHEN 'Brand#17' THEN 2 ELSE 99 END AS w FROM part)",
     "catalog_counts": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, count(*) FILTER (o_totalprice > 200000) AS n_large FROM orders GROUP BY 1, 2",
     "capability_matrix": "SELECT capability, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands FROM (SELECT unnest(string_split(p_type, ' ')) AS capability, p_brand FROM part) GROUP BY 1",
     "catalog_scorecard": "SELECT p_partkey, tier, cost, (tier * 2 + cost)::INTEGER AS score FROM (SELECT p_partkey, (CASE WHEN p_size < 10 THEN 3 WHEN p_size < 30 THEN 2 ELSE 1 END)::INTEGER AS tier, (CASE WHEN p_retailprice > 1500 THEN 2 ELSE 1 END)::INTEGER AS cost FROM part)",
