@@ -30,7 +30,7 @@ CHARACTER_CLASSES = ["[a-z]+", f"[{SPACE}]+", "[A-Z]+", "[0-9]+", "[.,;:!?'\"()-
 #: Counted by themselves, in what is left after two classes.
 SYMBOLS = "[#*$%&|<>]+"
 MIN_CHARS, MIN_TOKENS = 200, 100
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.60
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.28
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Positions below this are packed with 42 bits of a hash into one long; longer texts sort pairs instead.
 PACK_BITS = 22
