@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from orbitframe.functions import geometry as g
 
 BLOCK = 10
+#: Queries of one screen; they are sent to all tasks.
+MOST_QUERIES = 10_000
 OPS = ("<", "<=", ">", ">=")
 LENGTH_UNITS = {"angstrom": 1.0, "nm": 10.0}
 
@@ -212,7 +214,9 @@ def refine_dyadic(coords: DataFrame, tau: float, op: str = "<", size: int = 16)
 
 
 def batch_screen(coords: DataFrame, queries: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Counts of blocks by verdict for a table of (query_id, tau), over one pass of bounds; the query table is small by nature."""
+    """Counts of blocks by verdict for a table of (query_id, tau), over one pass of bounds; at most MOST_QUERIES of them."""
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries at once")
     bounds = block_verdicts(coords, 0.0, "<", size).select("traj_id", "lower", "upper")
     rows = bounds.crossJoin(F.broadcast(queries)).withColumn("v", F.when(F.col("upper") < F.col("tau"), True).when(F.col("lower") >= F.col("tau"), False))
     return rows.groupBy("query_id").agg(F.count_if("v").alias("n_true"), F.count_if(~F.col("v")).alias("n_false"), F.count_if(F.col("v").isNull()).alias("n_unknown"))
