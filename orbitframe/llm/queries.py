@@ -59,7 +59,51 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_packing, op4_substring_dedup, op5_html_text, op6_toxicity, op7_line_dedup, op8_media, op9_quality_rules, op10_mixing)}
+def _quality_sql() -> str:
+    """The base counts, the histograms, the references and the distances of op9 in SQL."""
+    classes = ["a-z", r"\x20\x09-\x0D", "A-Z", "0-9", ".,;:!?'\"()-", r"#*$%&|<>@^~_=+/\\{}\[\]`"]
+    quoted = [c.replace("'", "''") for c in classes]
+    chars = ", ".join(f"length(regexp_replace(t, '[^{c}]', '', 'g'))" for c in quoted)
+    rest = f"length(regexp_replace(t, '[{''.join(q.replace('()-', '()\\-') for q in quoted)}]', '', 'g'))"
+    lists = " ".join(f"WHEN '{lang}' THEN [{', '.join(repr(w) for w in listed)}]" for lang, listed in quality_rules.COMMON_WORDS.items())
+    n, m = len(classes) + 1, max(map(len, quality_rules.COMMON_WORDS.values())) + 1
+    sums = ", ".join([f"sum(chars[{i + 1}]) AS c{i}" for i in range(n)] + [f"sum(common[{i + 1}]) AS w{i}" for i in range(m)])
+
+    def distance(a: str, b: str) -> str:
+        p, q = f"list_transform({a}, lambda x: x / list_sum({a}))", f"list_transform({b}, lambda x: x / list_sum({b}))"
+        term = "CASE WHEN z[1] > 0 THEN z[1] * log2(2 * z[1] / (z[1] + z[2])) ELSE 0 END + CASE WHEN z[2] > 0 THEN z[2] * log2(2 * z[2] / (z[1] + z[2])) ELSE 0 END"
+        return f"CASE WHEN list_sum({a}) > 0 AND list_sum({b}) > 0 THEN sqrt(greatest(0, list_sum(list_transform(list_zip({p}, {q}), lambda z: {term})) / 2)) END"
+
+    return rf"""
+        WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        g AS (SELECT doc_id, i, ws[i:i+2] AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+        r AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM g) WHERE c > 1), (VALUES (0), (1), (2)) v(o) GROUP BY 1),
+        h AS (SELECT doc_id, lang, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+            list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, length(t) AS n_chars, [{chars}, {rest}] AS chars,
+            list_transform(CASE lang {lists} END, lambda w: len(list_filter(ws, lambda x: lower(x) = w))) AS found FROM d),
+        f AS (SELECT * EXCLUDE (lines, found), len(lines) - len(list_distinct(lines)) AS n_dup_lines, list_append(found, n_words - list_sum(found)::BIGINT) AS common FROM h),
+        s AS (SELECT lang, {sums} FROM f GROUP BY lang),
+        j AS (SELECT f.*, coalesce(r.n, 0) AS n_repeat_words, [{", ".join(f"c{i}" for i in range(n))}] AS rc, CASE WHEN w0 IS NOT NULL THEN [{", ".join(f"w{i}" for i in range(m))}] END AS rw
+            FROM f LEFT JOIN r USING (doc_id) LEFT JOIN s ON s.lang IS NOT DISTINCT FROM f.lang),
+        k AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN n_chars >= {quality_rules.MIN_CHARS} THEN round({distance("chars", "rc")}, 6) END AS char_distance,
+            CASE WHEN list_sum(common) >= {quality_rules.MIN_TOKENS} THEN round({distance("common", "rw")}, 6) END AS word_distance FROM j)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND NOT coalesce(char_distance > {quality_rules.MAX_CHAR_DISTANCE}, false) AND NOT coalesce(word_distance > {quality_rules.MAX_WORD_DISTANCE}, false) AS kept, char_distance, word_distance FROM k
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_quality_rules": _quality_sql(),
+    "op4_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        w AS (SELECT doc_id, i, array_to_string(ws[i:i+49], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d)),
+        f AS (SELECT k, min(doc_id) AS first FROM w GROUP BY k),
+        gone AS (SELECT DISTINCT doc_id, i + o AS pos FROM (SELECT w.doc_id, i FROM w JOIN f USING (k) WHERE first < w.doc_id), (SELECT unnest(range(50)) AS o)),
+        t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM d),
+        x AS (SELECT t.*, g.pos IS NOT NULL AS g, lag(g.pos) OVER (PARTITION BY t.doc_id ORDER BY t.pos) AS before FROM t LEFT JOIN gone g ON g.doc_id = t.doc_id AND g.pos = t.pos)
+        SELECT d.doc_id, len(any_value(ws)) AS n_words, count(*) FILTER (g) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY x.pos) FILTER (NOT g), '')) AS kept_sha256, count(*) FILTER (g AND before IS NULL) AS n_factors
+        FROM d LEFT JOIN x USING (doc_id) GROUP BY d.doc_id
+    """,
     "op7_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, pos, line, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k

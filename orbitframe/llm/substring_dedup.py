@@ -202,7 +202,9 @@ def parsed(rows: DataFrame, window: int) -> DataFrame:
                 np.add.at(cover, first, 1)
                 np.add.at(cover, first + (place & ((1 << SPAN_BITS) - 1)) + window - 1, -1)
                 gone = np.cumsum(cover)[:-1] > 0
-                total, removed, opened = (np.concatenate([[0], np.cumsum(x)]) for x in (np.ones(len(gone), np.int64), gone, gone & ~np.concatenate([[False], gone[:-1]])[: len(gone)]))
+                before = np.concatenate([[False], gone])[: len(gone)]
+                before[at[at < len(gone)]] = False  # a row starts anew
+                total, removed, opened = (np.concatenate([[0], np.cumsum(x)]) for x in (np.ones(len(gone), np.int64), gone, gone & ~before))
                 for c, x in zip(counts, (total, removed, opened), strict=True):
                     c.append(x[at[1:]] - x[at[:-1]])
                 stay = np.flatnonzero(~gone)
