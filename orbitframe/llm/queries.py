@@ -93,6 +93,17 @@ def _quality_sql() -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+4], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1) + 1))) AS i FROM d)),
+        n AS (SELECT doc_id, count(*) AS n, sha256(string_agg(k, '|' ORDER BY k)) AS own FROM s GROUP BY 1),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        e AS (SELECT a, b, x.own AS own_a, y.own AS own_b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)),
+        r AS (SELECT doc_id AS node, doc_id AS reach FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach),
+        t AS (SELECT node, min(reach) AS class_id FROM r GROUP BY 1),
+        l AS (SELECT a, count(*) AS n_links, count(DISTINCT own_b) FILTER (own_b <> own_a) AS n_text_links FROM e GROUP BY 1)
+        SELECT node AS doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_text_links, 0) AS n_text_links FROM t LEFT JOIN l ON a = node
+    """,
     "op9_quality_rules": _quality_sql(),
     "op4_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
