@@ -279,3 +279,10 @@ def measure_batch(requests: DataFrame, atoms: DataFrame, keys: list[str]) -> Dat
     p = {e: g.vec(f"p{e}.") for e in "abcd"}
     value = F.when(F.col("kind") == "distance", g.dist(p["a"], p["b"])).when(F.col("kind") == "angle", g.angle(p["a"], p["b"], p["c"])).otherwise(g.dihedral(p["a"], p["b"], p["c"], p["d"]))
     return rows.select("request_id", *keys, "kind", value.alias("value"))
+
+
+def entity_summary(rows: DataFrame, keys: list[str], entity: str, chain: str) -> DataFrame:
+    """Entities and chains per structure: one entity of several chains is a homomer, several entities are a heteromer."""
+    per = rows.groupBy(*keys, entity).agg(F.count_distinct(chain).alias("n"))
+    kind = F.when(F.count(F.lit(1)) > 1, "heteromer").when(F.max("n") > 1, "homomer").otherwise("monomer")
+    return per.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_entities"), F.sum("n").alias("n_chains"), kind.alias("kind"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orbitframe.operators import sequences as q
+from orbitframe.operators import structure as st
 from orbitframe.operators import surfaces as sf
 from orbitframe.registry.structure import rounded
 from orbitframe.sources import export as x
@@ -24,10 +25,14 @@ QUERIES = {
     "rsa": lambda p, d: rounded(sf.rsa(sf.sasa_atoms(v.te_full(p, d)), v.te_atoms(p))),
     "vdw_volume": lambda p, d: rounded(sf.vdw_volume(v.te_full(p, d))),
     "sequence_alignment_pairs": lambda p, d: rounded(q.sequence_alignment_pairs(_pairs(p, d))),
+    "leakage_join": lambda p, d: rounded(q.leakage_join(v.sq(p, d), v.sq(p, d, "benchmark", "item_id").toDF("train_id", "train"), 0.15)),
+    "entity_summary": lambda p, d: st.entity_summary(v.table(p, d, "lineitem"), ["l_orderkey"], "l_suppkey", "l_linenumber"),
     "export_fasta": lambda p, d: x.export_fasta(v.te_full(p, d), ["traj_id"]),
     "export_pdb": lambda p, d: x.pdb_lines(v.te_full(p, d).withColumn("serial", F.col("atom_id") + 1)).select("value"),
 }
 ORACLE_SQL = {
+    "leakage_join": sql("SQ SB", "SELECT seq_id, train_id, round(identity, 6) AS identity FROM (SELECT a.seq_id, b.seq_id AS train_id, CASE WHEN least(length(a.seq), length(b.seq)) > 0 THEN len(list_filter(list_zip(string_split(a.seq, '')[1:least(length(a.seq), length(b.seq))], string_split(b.seq, '')[1:least(length(a.seq), length(b.seq))]), lambda x: x[1] = x[2])) / greatest(length(a.seq), length(b.seq)) ELSE 0 END AS identity FROM SQ a JOIN SB b ON least(length(a.seq), length(b.seq)) >= 0.15 * greatest(length(a.seq), length(b.seq))) WHERE identity >= 0.15"),
+    "entity_summary": "SELECT l_orderkey, count(*) AS n_entities, sum(n)::BIGINT AS n_chains, CASE WHEN count(*) > 1 THEN 'heteromer' WHEN max(n) > 1 THEN 'homomer' ELSE 'monomer' END AS kind FROM (SELECT l_orderkey, l_suppkey, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1",
     "vdw_volume": sql("TF", """, A AS (SELECT traj_id, frame, x, y, z, (CASE element WHEN 'C' THEN 1.7 WHEN 'N' THEN 1.55 ELSE 1.52 END)::DOUBLE AS r FROM TF),
         X AS (SELECT *, unnest(range(floor(x - r)::BIGINT, floor(x + r)::BIGINT + 1)) AS ix FROM A), Y AS (SELECT *, unnest(range(floor(y - r)::BIGINT, floor(y + r)::BIGINT + 1)) AS iy FROM X), Z AS (SELECT *, unnest(range(floor(z - r)::BIGINT, floor(z + r)::BIGINT + 1)) AS iz FROM Y)
         SELECT traj_id, frame, count(DISTINCT (ix, iy, iz))::DOUBLE AS volume FROM Z WHERE sqrt((ix + 0.5 - x)**2 + (iy + 0.5 - y)**2 + (iz + 0.5 - z)**2) <= r GROUP BY 1, 2"""),
