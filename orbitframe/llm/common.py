@@ -37,6 +37,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hashed_sample(rows: DataFrame, by: Column, most: int) -> DataFrame:
+    """At most `most` rows of distinct values of `by`, those of the least hashes. A share of the hash range is cut out first, so
+    that tasks pass on about `most` rows between them at any input size; copies fall to one hash and count once."""
+    n = rows.count()
+    h = F.xxhash64(by)
+    if n > most:
+        rows = rows.filter(h <= F.lit(int((1 << 64) * most / n) - (1 << 63)))
+    return rows.withColumn("hash_", h).dropDuplicates(["hash_"]).orderBy("hash_").limit(most).drop("hash_")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

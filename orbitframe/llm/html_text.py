@@ -4,7 +4,7 @@ A page becomes the sequence of its leaf blocks: runs of text between block-level
 path (names, classes and ids of the enclosing elements), a vector of its hashed words, and a few measures such as link density.
 A bidirectional LSTM in numpy reads the whole sequence and labels every block as main text or not.
 
-The labeller is trained on the driver, from at most SAMPLE_PAGES pages of the least id hashes: as they are, and rearranged under
+The labeller is trained on the driver, from at most SAMPLE_PAGES pages of the least text hashes: as they are, and rearranged under
 random page templates, so that no single template is learned by heart. Labels come from the elements that a template gives a
 meaning. Extraction maps over all pages, whole, in batches of pages of like length; nothing is shuffled.
 
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbitframe.llm.common import hashed_sample
+
 SAMPLE_PAGES = 200
 #: Templates under which each sampled page is seen again.
 REARRANGED = 3
@@ -320,10 +322,10 @@ def rearranged(main: list[Block], other: list[Block], strange: list[str], rng: n
     return [b for b, _ in out], np.array([y for _, y in out], float)
 
 
-def fit(pages: DataFrame, key: str = "page_id", column: str = "html", most: int = SAMPLE_PAGES, seed: int = SEED) -> Labeller:
+def fit(pages: DataFrame, column: str = "html", most: int = SAMPLE_PAGES, seed: int = SEED) -> Labeller:
     rng = np.random.default_rng(seed)
-    rows = pages.select(F.col(key).alias("key"), F.col(column).cast("string").alias("html")).filter("html <> ''")
-    sample = [page_blocks(r["html"]) for r in rows.orderBy(F.xxhash64("key"), "key", "html").limit(most).collect()]
+    rows = pages.select(F.col(column).cast("string").alias("html")).filter("html <> ''")
+    sample = [page_blocks(r["html"]) for r in hashed_sample(rows, F.col("html"), most).collect()]
     strange = [b.text for blocks in sample for b in blocks[:: max(1, len(blocks) // 8)]]
     seen = []
     for blocks in sample:

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbitframe.llm.common import hashed_sample
+
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCUMENTS = 4000
 ROUNDS, DEPTH, SHRINK, BINS, LEAST_LEAF = 40, 3, 0.3, 24, 8
@@ -281,8 +283,8 @@ def examples(texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def fit(docs: DataFrame, column: str = "text", most: int = SAMPLE_DOCUMENTS, precision: float = PRECISION, seed: int = 1) -> Selector:
     rows = docs.select(F.col(column).cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    # Long texts come as the surroundings of what the looser formats can match; all of a sampled document is looked at.
-    near = rows.orderBy(F.xxhash64("text"), F.length("text")).limit(most)
+    # Texts come as the surroundings of what the looser formats can match; all of a sampled document is looked at.
+    near = hashed_sample(rows, F.col("text"), most)
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbitframe.llm.common import hashed_sample
+
 #: name -> condition on the labels' columns, in chain order.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1", "toxic_low_quality": "toxic = 1 AND quality = 0"}
 #: The category whose probability rejects a document.
@@ -155,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "
     known = labels.select(F.col(key).alias("key"), *wanted).filter("key is not null").dropDuplicates(["key"])
     texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text"))
     # At most `most` short rows, so they are sent to the texts; no text is moved.
-    picked = texts.join(F.broadcast(known.orderBy(F.xxhash64("key"), "key").limit(most)), "key")
+    picked = texts.join(F.broadcast(hashed_sample(known, F.col("key"), most)), "key")
     tokens = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     tokens = F.array_distinct(F.concat(tokens, *(beginnings(tokens, k) for k in PREFIXES)))
     labels_of = [F.col(f"y{i}") for i in range(len(names))]
