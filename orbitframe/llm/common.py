@@ -38,13 +38,20 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def hashed_sample(rows: DataFrame, by: Column, most: int) -> DataFrame:
-    """At most `most` rows of distinct values of `by`, those of the least hashes. A share of the hash range is cut out first, so
-    that tasks pass on about `most` rows between them at any input size; copies fall to one hash and count once."""
-    n = rows.count()
-    h = F.xxhash64(by)
-    if n > most:
-        rows = rows.filter(h <= F.lit(int((1 << 64) * most / n) - (1 << 63)))
-    return rows.withColumn("hash_", h).dropDuplicates(["hash_"]).orderBy("hash_").limit(most).drop("hash_")
+    """The rows of distinct values of `by`, those of the `most` least hashes; all of them if there are no more. Copies fall to one
+    hash and count once. A share of the hash range is cut out first, set by the number of distinct hashes and doubled until it
+    holds `most` of them, so that tasks pass on a few times `most` rows between them at any input size and any number of copies."""
+    rows = rows.withColumn("hash_", F.xxhash64(by))
+    hashes = rows.select("hash_")
+    n = hashes.agg(F.approx_count_distinct("hash_")).first()[0]
+    share = (1.25 * most + 50) / max(n, 1)
+    while share < 1:
+        cut = F.col("hash_") <= F.lit(int((1 << 64) * share) - (1 << 63))
+        if hashes.filter(cut).distinct().count() >= most:
+            rows = rows.filter(cut)
+            break
+        share *= 2
+    return rows.dropDuplicates(["hash_"]).orderBy("hash_").limit(most).drop("hash_")
 
 
 def shuffle_width(spark: SparkSession) -> int:

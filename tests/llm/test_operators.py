@@ -69,6 +69,25 @@ def test_word_hashes_tell_words_apart_and_keep_rows_apart():
     assert len(seen) == 4
 
 
+def test_hashed_sample_is_of_distinct_values_at_any_number_of_copies(spark):
+    few = spark.range(200_000).select((F.col("id") % 300).alias("v"))
+    assert sorted(r.v for r in common.hashed_sample(few, F.col("v"), 300).collect()) == list(range(300))
+    skewed = spark.range(200_000).select(F.when(F.col("id") < 3000, F.col("id")).otherwise(-1).alias("v"))
+    least = skewed.distinct().orderBy(F.xxhash64("v")).limit(100).collect()
+    assert [r.v for r in common.hashed_sample(skewed, F.col("v"), 100).collect()] == [r.v for r in least]
+    assert common.hashed_sample(few.filter("v < 0"), F.col("v"), 100).count() == 0
+
+
+def test_html_text_learns_where_copies_dominate(spark):
+    main = "<p>The main text of this page goes on for long enough to be told apart from all its menus and notices.</p>"
+    pages = spark.range(50_000).select("id", F.concat(F.lit("<html><body><nav><ul><li>Home</li></ul></nav><article>"), F.lit(main), F.lit("<p>Part "), F.col("id") % 10, F.lit(" of it.</p></article><footer>Imprint</footer></body></html>")).alias("html"))
+    sample = common.hashed_sample(pages, F.col("html"), html_text.SAMPLE_PAGES).collect()
+    assert len(sample) == 10
+    labeller = html_text.fit(pages)
+    texts = {r.text for r in html_text.extracted(pages.limit(10), labeller, ("id",), "html").select("text").collect()}
+    assert all("The main text" in t and "Imprint" not in t for t in texts)
+
+
 def shingles(text):
     w = words(text)
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
