@@ -9,7 +9,8 @@ random page templates, so that no single template is learned by heart. Labels co
 meaning. Extraction maps over all pages, whole, in batches of pages of like length; nothing is shuffled.
 
 A null or empty page has the empty text. Rows with equal ids are read one by one; extra columns are ignored. Markup errors are
-read as browsers do: unknown or unclosed elements end with their parent, stray end tags are dropped.
+read as browsers do: unknown or unclosed elements end with their parent, stray end tags are dropped. Text in a closed svg, select,
+iframe, object, template or noscript is skipped; if the element is not closed, its text is read and labelled like any other.
 """
 
 from __future__ import annotations
@@ -36,10 +37,13 @@ HIDDEN, EPOCHS, BATCH, RATE = 16, 8, 32, 0.01
 SEED = 5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|([^<]+|<)", re.S)
+_EMPTY = re.compile(r"(?:^|[\s\"'])[^\s\"'=/]*/$")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template title textarea iframe object svg select".split())
+#: Silent elements whose content is no markup: without an end tag they reach to the end of the page, as in browsers.
+RAW = frozenset("script style title textarea".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Elements and words of class names that say what a part of a page is, for training labels.
@@ -54,6 +58,33 @@ class Block:
     linked: int
 
 
+def raw_end(page: str, name: str, at: int) -> int:
+    end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
+def silent_ends(page: str) -> dict[int, int]:
+    """Where the closed silent elements end, by where their start tags end. An end tag closes the last open one of its name."""
+    out: dict[int, int] = {}
+    opened: dict[str, list[int]] = {name: [] for name in SILENT - RAW}
+    at = 0
+    while m := _TOKEN.match(page, at):
+        at = m.end()
+        name = (m[2] or "").lower()
+        if name not in SILENT:
+            continue
+        if m[1]:
+            if opened.get(name):
+                out[opened[name].pop()] = at
+        elif (name not in RAW or opened["svg"]) and _EMPTY.search(m[3]):
+            continue
+        elif name in RAW:
+            at = raw_end(page, name, at)
+        else:
+            opened[name].append(at)
+    return out
+
+
 def page_blocks(page: str) -> list[Block]:
     """The page's blocks of text in order, with white space collapsed and character references decoded."""
     out: list[Block] = []
@@ -61,6 +92,7 @@ def page_blocks(page: str) -> list[Block]:
     pieces: list[str] = []
     linked = links = 0
     path: tuple[str, ...] = ()
+    ends: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal linked
@@ -88,9 +120,17 @@ def page_blocks(page: str) -> list[Block]:
             continue
         name = name.lower()
         if name in SILENT and not closing:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
+            if (name not in RAW or any(e == "svg" for e, _ in stack)) and _EMPTY.search(attributes):
+                continue
+            if name in RAW:
+                at = raw_end(page, name, at)
+                continue
+            if ends is None:
+                ends = silent_ends(page)
+            if at in ends:
+                at = ends[at]
+                continue
+            # Without an end tag it is an element like others: nothing is skipped, and it ends with its parent.
         if name in INLINE:
             if name == "a":
                 links = 0 if closing else 1

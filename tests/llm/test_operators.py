@@ -246,6 +246,27 @@ def test_html_text_reads_pages_and_learns(spark):
     assert html_text.extracted(nothing, html_text.fit(nothing)).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(html_text.SILENT - html_text.RAW))
+def test_html_text_skips_closed_silent_elements_only(name):
+    article = "<article><p>The article.</p></article>"
+
+    def read(head, tail=""):
+        return [(b.text, b.path[-2:]) for b in html_text.page_blocks(f"<html><body><header>{head}</header>{article}{tail}</body></html>")]
+
+    expected = [("The article.", ("article", "p"))]
+    closed = f"<{name} a='1'>x<{name}>y</{name}>z</{name}>"
+    for head in (f'<{name} a="1"/>', f"<{name}/>", f"<{name} b />", f"<{name}>", closed, f"<{name.upper()}>x</{name} >", f"<!-- <{name}> -->", f"<script>'<{name}>'</script>"):
+        assert read(head) == expected, head
+        assert read(head, closed) == expected, head
+    assert ("The article.", ("article", "p")) in read("") and [t for t, _ in read(f"<{name}>x")] == ["x", "The article."]
+    assert [b.text for b in html_text.page_blocks(f"<body><{name}>{article}<{name}>no</{name}><p>Last.</p>")] == ["The article.", "Last."]
+
+
+def test_html_text_raw_elements_reach_to_their_end_tag_or_the_page_end():
+    assert [b.text for b in html_text.page_blocks("<p>a</p><script src='x'/>no</script><p>b</p><style>no <p>no</p>")] == ["a", "b"]
+    assert [b.text for b in html_text.page_blocks("<header><svg><title/><path d='m'/></header><p>b</p>")] == ["b"]
+
+
 def test_lstm_gradient():
     rng = np.random.default_rng(0)
     x, mask, y = rng.normal(size=(5, 3, html_text.FEATURES)), np.ones((5, 3)), rng.integers(0, 2, (5, 3)).astype(float)
