@@ -5,20 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes df to the cluster's shared folder, spark.checkpoint.dir, or where it is unset to a temporary one, and reads it back."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("orbitframe.scratch.dir", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="spark-orbitframe-", dir="/tmp")
         spark.conf.set("orbitframe.scratch.dir", folder)
-    path = f"{folder.rstrip('/')}/orbitframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{folder.rstrip('/')}/orbitframe-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Writes df to the cluster's shared folder, spark.checkpoint.dir, or where it is unset to a temporary one, and reads it back;
+    with a path, after what is there already."""
+    path = path or shared_path(df.sparkSession)
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,18 +71,24 @@ def rings(edges: DataFrame, keys: list[str], longest: int = 7) -> DataFrame:
     return found.distinct()
 
 
-def ancestors(edges: DataFrame, depth: int = 20) -> DataFrame:
-    """(node, ancestor, distance) over (parent, child) edges: one join per generation, each pair kept at its least distance."""
+def ancestors(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node, ancestor, distance) over (parent, child) edges: one join per generation, until no pair is new or to a depth. A pair is
+    kept at its least distance and goes on once, so that cycles end and joins are bounded by the number of distinct pairs."""
     step = stored(edges.select("parent", "child").distinct())
-    frontier = step.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
-    found = frontier
-    for k in range(2, depth + 1):
-        up = step.select(F.col("child").alias("ancestor"), F.col("parent").alias("further"))
-        frontier = stored(frontier.join(up, "ancestor").select("node", F.col("further").alias("ancestor"), F.lit(k).alias("distance")).distinct())
+    up = step.select(F.col("child").alias("ancestor"), F.col("parent").alias("further"))
+    path = shared_path(edges.sparkSession)
+    found = frontier = stored(step.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance")), path)
+    k = 1
+    while depth is None or k < depth:
+        k += 1
+        reached = frontier.join(up, "ancestor").select("node", F.col("further").alias("ancestor")).distinct().alias("r")
+        known = found.select("node", "ancestor").alias("f")
+        new = reached.join(known, F.col("r.node").eqNullSafe(F.col("f.node")) & F.col("r.ancestor").eqNullSafe(F.col("f.ancestor")), "left_anti")
+        found = stored(new.select("node", "ancestor", F.lit(k).alias("distance")), path)
+        frontier = found.filter(F.col("distance") == k)
         if frontier.isEmpty():
             break
-        found = found.unionByName(frontier)
-    return found.groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
+    return found
 
 
 def roots(edges: DataFrame) -> DataFrame:
@@ -86,7 +96,21 @@ def roots(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("parent").alias("node")).distinct().join(edges.select(F.col("child").alias("node")), "node", "left_anti")
 
 
-def cycle_edges(edges: DataFrame, depth: int = 20) -> DataFrame:
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """The (parent, child) edges left when those that start at nobody's child or end at nobody's parent are taken away, again and
+    again; every cycle stays whole."""
+    core = stored(edges.select("parent", "child").distinct())
+    n = core.count()
+    while True:
+        inner = core.join(core.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+        core = stored(inner.join(inner.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("parent", "child"))
+        left = core.count()
+        if left == n:
+            return core
+        n = left
+
+
+def cycle_edges(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """Edges that close a cycle: the child is an ancestor of the parent, or the same."""
-    up = ancestors(edges, depth).select(F.col("node").alias("parent"), F.col("ancestor").alias("child"))
+    up = ancestors(cyclic_core(edges), depth).select(F.col("node").alias("parent"), F.col("ancestor").alias("child"))
     return edges.join(up, ["parent", "child"], "left_semi").unionByName(edges.filter("parent = child")).distinct()
