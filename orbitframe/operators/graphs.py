@@ -71,6 +71,23 @@ def rings(edges: DataFrame, keys: list[str], longest: int = 7) -> DataFrame:
     return found.distinct()
 
 
+#: Kinds of aromatic rings by size and numbers of atoms of C, N, O and S.
+AROMATIC = {(6, 6, 0, 0, 0): "BENZENE", (6, 5, 1, 0, 0): "PYRIDINE", (6, 4, 2, 0, 0): "PYRIMIDINE", (5, 4, 1, 0, 0): "PYRROLE", (5, 3, 2, 0, 0): "IMIDAZOLE", (5, 4, 0, 1, 0): "FURAN", (5, 4, 0, 0, 1): "THIOPHENE"}
+
+
+def ring_types(found: DataFrame, atoms: DataFrame, keys: list[str]) -> DataFrame:
+    """rings with kind, aromatic and heterocyclic by element counts; atoms has a row (atom_id, element) per atom."""
+    members = found.select(*keys, "size", "atoms", F.explode(F.split("atoms", ",").cast("array<bigint>")).alias("atom_id"))
+    element = F.upper(F.trim(F.coalesce("element", F.lit("C"))))
+    counts = {f"n_{e}": F.count_if(element == e.upper()) for e in "cnos"}
+    rows = members.join(F.broadcast(atoms.select("atom_id", "element")), "atom_id", "left").groupBy(*keys, "size", "atoms").agg(*[c.alias(n) for n, c in counts.items()])
+    kind = F.lit("GENERAL_CYCLE")
+    for values, name in AROMATIC.items():
+        kind = F.when(F.array(F.col("size").cast("long"), *counts) == F.array(*[F.lit(v).cast("long") for v in values]), name).otherwise(kind)
+    rows = rows.withColumns({"kind": kind, "heterocyclic": F.col("n_n") + F.col("n_o") + F.col("n_s") > 0})
+    return rows.select(*keys, "size", "atoms", "kind", (F.col("kind") != "GENERAL_CYCLE").alias("aromatic"), "heterocyclic")
+
+
 def ancestors(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, ancestor, distance) over (parent, child) edges: one join per generation, until no pair is new or to a depth. A pair is
     kept at its least distance and goes on once, so that cycles end and joins are bounded by the number of distinct pairs."""

@@ -98,7 +98,7 @@ QUERIES = {
     "trajectory_pca": lambda p, d: _r4(su.trajectory_pca(v.te(p, d)), "first", "second", "share"),
     "connected_components": lambda p, d: _components(p, d).withColumn("component", F.col("component").cast("int")),
     "contact_graph": lambda p, d: rounded(gr.contact_graph(_edges(p, d), _components(p, d), FR)),
-    "rings": lambda p, d: gr.rings(st.atom_pairs(v.te(p, d)).filter("d <= 4").select(*FR, "i", "j"), FR, 5),
+    "rings": lambda p, d: gr.ring_types(gr.rings(st.atom_pairs(v.te(p, d)).filter("d <= 4").select(*FR, "i", "j"), FR), v.te_atoms(p), FR),
     "lineage_children": lambda p, d: v.lg(p, d).groupBy("parent").agg(F.count(F.lit(1)).alias("n_children")),
     "lineage_sources": lambda p, d: gr.roots(v.lg(p, d)),
     "lineage_ancestors": lambda p, d: gr.ancestors(v.lg(p, d).filter("parent NOT LIKE 'P%'")),

@@ -1,4 +1,6 @@
-"""Lineage against brute force."""
+"""Lineage and rings against brute force."""
+
+from itertools import permutations
 
 import pytest
 
@@ -49,3 +51,21 @@ def test_lineage_join_report_whole_has_all_artifacts(spark, lineage):
 def test_lineage_cycle_check_whole_finds_the_reversed_edge(spark, lineage):
     parent, child = min(lineage)
     assert {tuple(r) for r in QUERIES["lineage_cycle_check_whole"](spark, SF).select("parent", "child").collect()} == {(parent, child), (child, parent)}
+
+
+def test_registered_rings_go_to_seven_atoms_and_have_types(spark, monkeypatch):
+    atoms = [(k, "CCCCCNCOCCNCCCCCC"[k]) for k in range(17)]
+    edges = [(k, (k + 1) % 6) for k in range(6)] + [(6 + k, 6 + (k + 1) % 4) for k in range(4)] + [(10 + k, 10 + (k + 1) % 7) for k in range(7)]
+    pairs = spark.createDataFrame([(0, 0, min(e), max(e), 1.0) for e in edges], "traj_id int, frame long, i int, j int, d double")
+    monkeypatch.setattr("orbitframe.registry.interactions.st.atom_pairs", lambda te: pairs)
+    monkeypatch.setattr("orbitframe.registry.interactions.v.te_atoms", lambda p: spark.createDataFrame(atoms, "atom_id int, element string"))
+    found = {r.atoms: (r["size"], r.kind, r.aromatic, r.heterocyclic) for r in QUERIES["rings"](spark, SF).collect()}
+    assert found == {"0,1,2,3,4,5": (6, "PYRIDINE", True, True), "6,7,8,9": (4, "GENERAL_CYCLE", False, True), "10,11,12,13,14,15,16": (7, "GENERAL_CYCLE", False, True)}
+
+
+def test_rings_are_all_simple_cycles(spark):
+    n, edges = 8, {(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (4, 5), (5, 6), (0, 6), (1, 4), (6, 7)}
+    joined = lambda a, b: (a, b) in edges or (b, a) in edges
+    expected = {(k, ",".join(map(str, sorted(c)))) for k in range(3, 8) for c in permutations(range(n), k) if all(joined(c[i - 1], c[i]) for i in range(k))}
+    df = spark.createDataFrame([(0, *e) for e in edges], "g int, i int, j int")
+    assert {(r["size"], r.atoms) for r in graphs.rings(df, ["g"]).collect()} == expected
