@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession) -> str:
+    """A new folder in the cluster's shared one, spark.checkpoint.dir. Only a local session may do without that setting."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("orbitframe.scratch.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-orbitframe-", dir="/tmp")
         spark.conf.set("orbitframe.scratch.dir", folder)
     return f"{folder.rstrip('/')}/orbitframe-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes df to the cluster's shared folder, spark.checkpoint.dir, or where it is unset to a temporary one, and reads it back;
-    with a path, after what is there already."""
+    """Writes df as Parquet to a folder that all executors share and reads it back, which cuts the lineage; with a path, after what
+    is there already."""
     path = path or shared_path(df.sparkSession)
     df.write.mode("append").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
