@@ -41,10 +41,15 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     top = top[0] if top else 1
     channels = 3 if kind in b"36" else 1
     n = width * height * channels
+    if n > 8 * len(data) or top > 65_535:
+        raise ValueError("header larger than its data")
     if kind in b"123":
         body = re.sub(rb"#[^\n]*", b"", data[at:])
         values = re.findall(rb"[01]" if kind == b"1" else rb"[0-9]+", body)[:n]
-        out = np.array([int(v) for v in values], np.uint16 if top > 255 else np.uint8)
+        numbers = [int(v) for v in values]
+        if max(numbers, default=0) > top:
+            raise ValueError("sample above the maximum")
+        out = np.array(numbers, np.uint16 if top > 255 else np.uint8)
     elif kind == b"4":
         rows = np.frombuffer(data, np.uint8, height * ((width + 7) // 8), at + 1).reshape(height, -1)
         out = np.unpackbits(rows, axis=1)[:, :width]
@@ -60,7 +65,7 @@ def decode_netpbm(data: bytes) -> np.ndarray:
 def decode_bmp(data: bytes) -> np.ndarray:
     """Uncompressed 8, 24 and 32 bit BMP as (height, width, 3) uint8."""
     start, head, width, height, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
-    if packed not in (0, 3) or bits not in (8, 24, 32):
+    if packed not in (0, 3) or bits not in (8, 24, 32) or width <= 0:
         raise ValueError("unsupported BMP")
     step = (width * bits // 8 + 3) // 4 * 4
     rows = np.frombuffer(data, np.uint8, step * abs(height), start).reshape(abs(height), step)[:, : width * bits // 8]
@@ -151,7 +156,7 @@ def media_tiles(df: DataFrame, key: str, column: str, tile: int = 32) -> DataFra
                     small = gray(samples)
                     made = np.clip(np.rint(area_resize(small, tile, tile)), 0, 255).astype(np.uint8)
                     row = [True, *samples.shape, npy(made), difference_hash(small)]
-                except (ValueError, IndexError, struct.error):
+                except (ValueError, IndexError, OverflowError, struct.error):
                     pass
                 for k, v in zip(out, row, strict=True):
                     out[k].append(v)
