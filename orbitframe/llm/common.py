@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from orbitframe.operators.graphs import stored as stored
 
 #: The characters that separate words, as a Java and Python character class.
 SPACE = r"\x20\x09-\x0D"
@@ -21,22 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("orbitframe.scratch.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-orbitframe-", dir="/tmp")
-        spark.conf.set("orbitframe.scratch.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back, which cuts the lineage."""
-    path = f"{shared_dir(df.sparkSession)}/orbitframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def hashed_sample(rows: DataFrame, by: Column, most: int) -> DataFrame:
     """The rows of distinct values of `by`, those of the `most` least hashes; all of them if there are no more. Copies fall to one
     hash and count once. A share of the hash range is cut out first, set by the number of distinct hashes and doubled until it
@@ -64,6 +49,17 @@ def n_words(text):
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, f"[{SPACE}]+"))).cast("long")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until the table holds no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, by way of a one-element array."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -138,6 +134,28 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return hashes, starts, ends, np.searchsorted(starts, offsets)
 
 
+def counts_of(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The number of words of each row, as in words()."""
+    inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+    fresh = np.ones(len(raw), bool)
+    fresh[1:] = ~inside[:-1]
+    fresh[offsets[offsets < len(raw)]] = True
+    return np.diff(np.searchsorted(np.flatnonzero(inside & fresh), offsets))
+
+
+def word_counts(rows: DataFrame, column: str, name: str = "n_words") -> DataFrame:
+    """rows with the number of words [^\\x20\\x09-\\x0D]+ in place of a text column; 0 for null."""
+    rest = [f for f in rows.schema if f.name != column]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [counts_of(raw, offsets) for _, _, raw, offsets in chunks(b.column(len(rest)))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(np.concatenate([np.zeros(0, np.int64), *n]), pa.int64())], [*(f.name for f in rest), name])
+
+    texts = rows.select(*[F.col(f"`{f.name}`") for f in rest], F.col(column).cast("string"))
+    return texts.mapInArrow(run, StructType([*rest, StructField(name, LongType())]))
+
+
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n words; the caller keeps to runs inside one row. Shorter than the input by n - 1."""
     count = len(hashes) - n + 1

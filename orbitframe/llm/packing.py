@@ -1,8 +1,8 @@
 """Packing by optimal length buckets.
 
-A global histogram of lengths (one map-side combined count) is all that the driver sees. Dynamic programming over it chooses
-the bucket boundaries with the least padding. Inside each bucket, batches hold as many documents as fit the token budget when
-every document is padded to the bucket's boundary.
+The lengths are counted once and stored. Their global histogram (one map-side combined count) is all that the driver sees: a row
+per distinct length. Dynamic programming over it chooses the bucket boundaries with the least padding. Inside each bucket, batches
+hold as many documents as fit the token budget when every document is padded to the bucket's boundary.
 
 A null or empty text has 0 tokens and goes to the first bucket. A document longer than the budget is a batch by itself. Rows
 with equal ids are packed one by one. Extra columns of the input are not returned.
@@ -14,37 +14,49 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitframe.llm.common import n_words
+from orbitframe.llm.common import stored, word_counts
 
 BUCKETS = 16
 TOKEN_BUDGET = 65_536
-#: Lengths are rounded up to this multiple, as kernels want aligned rows.
-QUANTUM = 8
-#: From here on they are rounded up to 1/64 of their power of two: the histogram stays under 10,000 rows at any input size.
-FINE_TOP = 32_768
 #: Documents of a bucket that one task packs.
 CELL_ROWS = 50_000
 
 
-def rounded(length: Column) -> Column:
-    """The length up to which a document is padded at least."""
-    fine = F.ceil(length / QUANTUM) * QUANTUM
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)))) - 6)
-    return F.when(length <= FINE_TOP, fine).otherwise(F.ceil(length / step) * step).cast("long")
-
-
 def length_histogram(lengths: DataFrame) -> list[tuple[int, int]]:
-    """(rounded length, documents), ascending; bounded by the rounding, whatever the input's size."""
-    rows = lengths.groupBy(rounded(F.col("n_tokens")).alias("length")).agg(F.count(F.lit(1)).alias("n")).collect()
-    return sorted((r["length"], r["n"]) for r in rows)
+    """(length, documents), ascending: as many rows as there are distinct lengths, of which the longest document sets the bound."""
+    t = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    return sorted(zip(t["n_tokens"].to_pylist(), t["n"].to_pylist(), strict=True))
 
 
-def optimal_boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
-    """The upper ends of at most `buckets` ranges of lengths that minimise the total padding.
+def best_splits(best: np.ndarray, before: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each j the least best[i-1] + (documents of i..j) * length[j] over i <= j, and that i.
 
-    best[k][j] = min over i of best[k-1][i] + (documents of i..j) * length[j]. The split points rise with j, so each layer is
-    filled by divide and conquer in M log M steps.
+    The best i rises with j: the middle j of a range is settled first and halves the choices of the others. All ranges of one
+    depth are settled together.
     """
+    m = len(length)
+    layer, split = best.copy(), np.zeros(m, np.int64)
+    head = np.concatenate([[0.0], best[:-1]])
+    lo, hi, first, last = (np.array([v]) for v in (0, m - 1, 0, m - 1))
+    while len(lo):
+        mid = (lo + hi) // 2
+        sizes = np.minimum(last, mid) - first + 1
+        starts = np.cumsum(sizes) - sizes
+        own = np.repeat(np.arange(len(mid)), sizes)
+        i = np.arange(len(own)) - starts[own] + first[own]
+        costs = head[i] + (before[mid + 1][own] - before[i]) * length[mid][own]
+        least = np.minimum.reduceat(costs, starts)
+        hit = np.flatnonzero(costs == least[own])
+        at = i[hit[np.unique(own[hit], return_index=True)[1]]]
+        layer[mid], split[mid] = least, at
+        lo, hi, first, last = (np.concatenate(x) for x in ((lo, mid + 1), (mid - 1, hi), (first, at), (at, last)))
+        keep = lo <= hi
+        lo, hi, first, last = lo[keep], hi[keep], first[keep], last[keep]
+    return layer, split
+
+
+def optimal_boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
+    """The upper ends of at most `buckets` ranges of lengths that minimise the total padding, in buckets * M log M steps."""
     if not histogram:
         return []
     length = np.array([x for x, _ in histogram], np.float64)
@@ -53,20 +65,8 @@ def optimal_boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[i
     best = before[1:] * length
     splits = []
     for _ in range(1, min(buckets, m)):
-        layer, split = best.copy(), np.zeros(m, np.int64)
-        todo = [(0, m - 1, 0, m - 1)]
-        while todo:
-            lo, hi, first, last = todo.pop()
-            if lo > hi:
-                continue
-            mid = (lo + hi) // 2
-            ends = np.arange(first, min(last, mid) + 1)
-            costs = np.where(ends > 0, best[ends - 1], 0.0) + (before[mid + 1] - before[ends]) * length[mid]
-            k = int(costs.argmin())
-            layer[mid], split[mid] = costs[k], ends[k]
-            todo += [(lo, mid - 1, first, int(ends[k])), (mid + 1, hi, int(ends[k]), last)]
+        best, split = best_splits(best, before, length)
         splits.append(split)
-        best = layer
     out, j = [], m - 1
     for split in reversed(splits):
         out.append(int(length[j]))
@@ -93,14 +93,18 @@ def packed(docs: DataFrame, key: str = "doc_id", column: str = "text", buckets:
     tokens: the length of a document; its words unless given. A bucket is cut into cells by a hash of key and length so that no
     task holds a whole bucket; each cell fills its own batches, of which only the last may be short.
     """
-    lengths = docs.select(F.col(key).alias("key"), (n_words(F.col(column)) if tokens is None else F.coalesce(tokens, F.lit(0))).cast("long").alias("n_tokens"))
+    if tokens is None:
+        lengths = word_counts(docs.select(F.col(key).alias("key"), F.col(column).alias("text")), "text", "n_tokens")
+    else:
+        lengths = docs.select(F.col(key).alias("key"), F.coalesce(tokens, F.lit(0)).cast("long").alias("n_tokens"))
+    lengths = stored(lengths)
     histogram = length_histogram(lengths)
-    boundaries = optimal_boundaries(histogram, buckets) or [QUANTUM]
+    boundaries = optimal_boundaries(histogram, buckets) or [0]
     counts = [0] * len(boundaries)
     for length, n in histogram:
         counts[int(np.searchsorted(boundaries, length))] += n
     cells = F.element_at(F.array(*[F.lit(-(-n // CELL_ROWS) or 1) for n in counts]), F.col("bucket") + 1)
-    index, upto = bucket_of(rounded(F.col("n_tokens")), boundaries)
+    index, upto = bucket_of(F.col("n_tokens"), boundaries)
     cell = F.pmod(F.xxhash64("key", "n_tokens"), cells).cast("int")
     order = Window.partitionBy("bucket", "cell").orderBy("key", "n_tokens")
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_length"), F.lit(1)))).cast("long")
