@@ -43,12 +43,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def n_words(text):
-    """Column: the number of words [^\\x20\\x09-\\x0D]+ in a text; 0 for null."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^[{SPACE}]+|[{SPACE}]+$", "")
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, f"[{SPACE}]+"))).cast("long")
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores added until the table holds no such column."""
     taken, out = {c.lower() for c in df.columns}, []

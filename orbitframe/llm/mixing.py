@@ -9,7 +9,7 @@ Targets: sources by code point with null last weigh 3, 1, 2, repeating, and shar
 `most` times its source's words and the excess is shared again by weight.
 
 Null and empty texts have size 0 and take 0 words. Rows with equal ids count one by one. An empty table gives an empty result.
-The driver sees one row per source and per source and cell of documents, never a document.
+The driver sees one row per source, and plans one per source and shard of SHARD_SLOTS blocks, never a document.
 """
 
 from __future__ import annotations
@@ -21,14 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitframe.llm.common import SPACE, let, mix, n_words, stored
+from orbitframe.llm.common import SPACE, let, mix, stored, unused, word_counts
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
 BLOCK_WORDS = 64
-SHARDS = 64
-#: A source's documents are dealt to so many cells by hash; each cell is summed by itself, then the cells' totals are summed.
-CELLS = 1024
+#: Output shards, and more of them where each would hold more slots than this.
+SHARDS, SHARD_SLOTS = 64, 1 << 18
+#: A source's documents are dealt by hash to cells of about so many; each cell is summed by itself, then the cells' totals are.
+CELL_ROWS = 10_000
 SEED = 20_240_229
 
 
@@ -89,10 +90,10 @@ def shard_counts(slots: list[int], shards: int, seed: int) -> list[list[int]]:
 
 def source_plan(sized: DataFrame, block: int, share: float, most: float, weights: tuple[float, ...], seed: int) -> list[dict]:
     """One row per source: its size, target, blocks and slots. The number of sources bounds it."""
-    found = sized.groupBy("source").agg(F.sum("size").alias("size")).collect()
-    found = sorted(((r["source"], int(r["size"])) for r in found), key=lambda x: (x[0] is None, [ord(c) for c in x[0] or ""]))
+    found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    found = sorted(((r["source"], int(r["size"]), r["n"]) for r in found), key=lambda x: (x[0] is None, [ord(c) for c in x[0] or ""]))
     out = []
-    for i, ((source, size), target) in enumerate(zip(found, targets([s for _, s in found], weights, share, most), strict=True)):
+    for i, ((source, size, n), target) in enumerate(zip(found, targets([s for _, s, _ in found], weights, share, most), strict=True)):
         blocks, whole = -(-size // block), int(target + 1e-6)
         epochs, rest = divmod(whole, size) if size else (0, 0)
         slots, last_cut = epochs * blocks, 0
@@ -107,7 +108,7 @@ def source_plan(sized: DataFrame, block: int, share: float, most: float, weights
                 over = rest - full * block
             slots += used
             last_cut = over
-        out.append({"source": source, "source_no": i, "source_size": size, "target": float(target), "blocks": blocks, "slots": slots, "last_words": last_cut, "key": seed * 1009 + i})
+        out.append({"source": source, "source_no": i, "source_size": size, "target": float(target), "blocks": blocks, "slots": slots, "last_words": last_cut, "key": seed * 1009 + i, "cells": -(-n // CELL_ROWS)})
     return out
 
 
@@ -146,42 +147,43 @@ def small(facts: DataFrame, plan: list[dict]) -> DataFrame:
 
 
 def placed(sized: DataFrame, plan: list[dict]) -> DataFrame:
-    """sized with source_no and offset, the words of the source before the row. Rows are ordered by cell, key and size.
+    """sized with source_no and offset, the words of the source before the row. Rows are ordered by cell, key, size and text.
 
     A running sum inside each of the source's cells, plus the sum of the cells before: no task sees a whole source.
     """
     spark = sized.sparkSession
-    numbers = spark.createDataFrame([(p["source"], p["source_no"]) for p in plan], "source string, source_no int")
-    rows = sized.join(small(numbers.withColumnRenamed("source", "s_"), plan), F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("key", "size"), F.lit(CELLS)).cast("int"))
+    numbers = spark.createDataFrame([(p["source"], p["source_no"], p["cells"]) for p in plan], "s_ string, source_no int, cells int")
+    rows = sized.join(small(numbers, plan), F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("key", "size", "text_hash"), "cells").cast("int")).drop("cells")
     totals = rows.groupBy("source_no", "cell").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source_no").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("source_no", "cell", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source_no", "cell").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_no", "cell").orderBy("key", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(totals, ["source_no", "cell"]).withColumn("offset", F.col("base") + F.col("inner")).drop("base", "inner", "cell")
 
 
-def sized_rows(docs: DataFrame, key: str, column: str, source: str, size: Column | None = None) -> DataFrame:
-    words = n_words(F.col(column)) if size is None else F.coalesce(size, F.lit(0))
-    return docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), words.cast("long").alias("size"))
+def sized_rows(docs: DataFrame, key: str, column: str, source: str) -> DataFrame:
+    """key, source, text_hash, size."""
+    text = F.col(column).cast("string")
+    return word_counts(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.xxhash64(text).alias("text_hash"), text.alias("text")), "text", "size")
 
 
 def taken_pieces(docs: DataFrame, key: str = "doc_id", column: str = "text", source: str = "source", block: int = BLOCK_WORDS, shards: int = SHARDS, share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> tuple[DataFrame, DataFrame, list[dict]]:
-    """(documents: key, source_no, size, offset; pieces: source_no, key, size, offset, shard, epoch, first, words; the plan).
+    """(documents: key, source, source_no, text_hash, size, offset; pieces: the same, shard, epoch, first, words; the plan).
 
     A piece is a run of `words` words of one document, from its word number `first`, that one slot of an output shard takes.
     """
     sized = stored(sized_rows(docs, key, column, source))
     plan = source_plan(sized, block, share, most, weights, seed)
     rows = placed(sized, plan)
-    slots = slot_table(docs, plan, shards, seed)
+    slots = slot_table(docs, plan, max(shards, -(-sum(p["slots"] for p in plan) // SHARD_SLOTS)), seed)
     spans = rows.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("size") - 1) / block))))
     # The slots' size isn't seen from the few ranges that they are made of: they must not be taken for a small side.
     joined = spans.join(slots.hint("merge"), ["source_no", "block"])
     start = F.col("block") * block
     stop = start + F.when(F.col("words") >= 0, F.col("words")).otherwise(block)
     low, high = F.greatest(start, F.col("offset")), F.least(stop, F.col("offset") + F.col("size"))
-    pieces = joined.filter(high > low).select("source_no", "key", "size", "offset", "shard", "epoch", (low - F.col("offset")).alias("first"), (high - low).alias("words"))
+    pieces = joined.filter(high > low).select("source_no", "source", "key", "text_hash", "size", "offset", "shard", "epoch", (low - F.col("offset")).alias("first"), (high - low).alias("words"))
     return rows, pieces, plan
 
 
@@ -199,22 +201,26 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", column: str = "text",
     """The mix itself, with the columns of docs: a row per document and epoch that takes words of it.
 
     A text that is taken whole keeps as it is; otherwise it is the taken words, joined by one space. n_chars, where docs has
-    it, is counted anew. Rows of which nothing is taken, and empty ones, go. Rows of one id and size are told apart by rank.
+    it, is counted anew. Rows of which nothing is taken, and empty ones, go. Rows of one id, source and text are told apart by rank.
     """
     _, pieces, _ = taken_pieces(docs, key, column, source, **options)
-    taken = pieces.groupBy("key", "size", "source_no", "offset", "epoch").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("spans"), F.sum("words").alias("taken"))
-    taken = taken.groupBy("key", "size").agg(F.collect_list(F.struct("source_no", "offset", "spans", "taken")).alias("takes_"))
-    taken = taken.select(F.col("key").alias("key_t"), F.col("size").alias("size_t"), "takes_")
-    keyed = docs.withColumns({"key_": F.col(key), "size_": n_words(F.col(column))})
-    copies = Window.partitionBy("key_", "size_").orderBy(column)
-    keyed = keyed.withColumn("copy_", F.row_number().over(copies))
-    out = keyed.join(taken, F.col("key_").eqNullSafe(F.col("key_t")) & (F.col("size_") == F.col("size_t"))).withColumn("take_", F.explode("takes_"))
-    place = F.struct("take_.source_no", "take_.offset")
-    places = F.array_sort(F.array_distinct(F.transform("takes_", lambda t: F.struct(t["source_no"].alias("source_no"), t["offset"].alias("offset")))))
-    out = out.filter(F.array_position(places, place) == F.col("copy_"))
-    words = F.split(F.regexp_replace(F.col(column), f"^[{SPACE}]+|[{SPACE}]+$", ""), f"[{SPACE}]+")
-    cut = let(words, lambda w: F.array_join(F.flatten(F.transform("take_.spans", lambda s: F.slice(w, (s["first"] + 1).cast("int"), s["words"].cast("int")))), " "))
-    out = out.withColumn(column, F.when(F.col("take_.taken") == F.col("size_"), F.col(column)).otherwise(cut))
+    place, copy, take, takes = unused(docs, "place", "copy", "take", "takes")
+    same = ["key", "source", "text_hash"]
+    taken = pieces.groupBy(*same, "size", "offset", "epoch").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("spans"), F.sum("words").alias("taken"))
+    taken = taken.withColumn("copy", F.dense_rank().over(Window.partitionBy(*same).orderBy("offset")))
+    taken = taken.groupBy(F.xxhash64(*same).alias(place)).agg(F.collect_list(F.struct(*same, "size", "copy", "spans", "taken")).alias(takes))
+    own = [F.col(key), F.col(source).cast("string"), F.xxhash64(F.col(column).cast("string"))]
+    # The texts move once: by the hash of what tells rows apart, which both the rank and the join go by.
+    keyed = docs.withColumn(place, F.xxhash64(*own)).repartition(place)
+    keyed = keyed.withColumn(copy, F.row_number().over(Window.partitionBy(place, *own).orderBy(F.lit(0))))
+    out = keyed.join(taken.hint("merge"), place).withColumn(take, F.explode(takes))
+    t = F.col(take)
+    mine = t["copy"] == F.col(copy)
+    for name, c in zip(same, own, strict=True):
+        mine &= t[name].eqNullSafe(c)
+    parts = F.split(F.regexp_replace(F.col(column), f"^[{SPACE}]+|[{SPACE}]+$", ""), f"[{SPACE}]+")
+    cut = let(parts, lambda w: F.array_join(F.flatten(F.transform(t["spans"], lambda s: F.slice(w, (s["first"] + 1).cast("int"), s["words"].cast("int")))), " "))
+    out = out.filter(mine).withColumn(column, F.when(t["taken"] == t["size"], F.col(column)).otherwise(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(F.col(column)).cast("long"))
     return out.select(*docs.columns)
