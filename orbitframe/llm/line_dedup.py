@@ -6,7 +6,8 @@ least MIN_DOCS documents lose all their lines except in one document, the one of
 Rows of (hash, document, position) are range-partitioned and sorted by hash, then descending id, so that the document that keeps
 a line streams by first. Ranges also split inside a hash: a key that a third of all documents hold is spread over many tasks.
 Each task decides its inner runs; of its first and last run it reports the rows and one summary, and once the summaries of
-neighbouring tasks are added up those rows are decided too. The result is a compressed bitmap of kept lines per document.
+neighbouring tasks are added up those rows are decided too. The result is a bitmap of kept lines per document, compressed to the
+lengths of its runs: "5,1,3" keeps five lines, drops one and keeps three; a bitmap that starts with a dropped line starts with 0.
 
 Null and empty texts are one empty line. Rows with one id count as one document. A null id counts as the smallest. Lines are
 told apart by 96 bits of hash. Two rows per task reach the driver, whatever the input.
@@ -14,9 +15,7 @@ told apart by 96 bits of hash. Two rows per task reach the driver, whatever the
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitframe.llm.blocks import whole_runs
-from orbitframe.llm.common import shuffle_width, stored
+from orbitframe.llm.common import let, shuffle_width, stored, unused
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Fixed values for A-Z to a-z, which lower() would extend to other letters.
@@ -115,7 +114,8 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", column: str = "text", le
     """(doc, text_hash, pos) of all lines that go."""
     spark = docs.sparkSession
     order = [F.col("hash"), F.col("check"), F.col("doc").desc(), F.col("text_hash"), F.col("pos")]
-    rows = line_rows(docs, key, column, least).withColumn("pos", F.col("pos").cast("long"))
+    # Stored, since a range partitioning reads its input twice.
+    rows = stored(line_rows(docs, key, column, least).withColumn("pos", F.col("pos").cast("long")))
     rows = rows.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order)
     found = stored(decided(rows, min_docs))
     summaries = found.filter(F.col("kind") == SUMMARY).select("task", "hash", "check", "doc", "text_hash", "pos").collect()
@@ -125,13 +125,24 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", column: str = "text", le
     return found.filter(F.col("kind") == DROPPED).select(*place).unionByName(lines.select(*place))
 
 
-def packed_bits(flags: np.ndarray) -> bytes:
-    """Bit i, most significant first, says that line i stays; compressed by zlib."""
-    return zlib.compress(np.packbits(flags).tobytes(), 6)
+def bitmap_runs(lost: Column, n: Column) -> Column:
+    """The run lengths of the bitmap of n lines without those at the positions `lost`, by column functions only."""
+    def cuts(p: Column) -> Column:
+        starts = F.filter(p, lambda x, i: ~(x - 1).eqNullSafe(F.get(p, i - 1)))
+        ends = F.filter(p, lambda x, i: ~(x + 1).eqNullSafe(F.get(p, i + 1)))
+        return F.concat(F.flatten(F.zip_with(starts, ends, lambda s, e: F.array(s, e + 1))), F.array(n))
 
+    runs = let(let(F.array_sort(lost), cuts), lambda c: F.transform(c, lambda x, i: x - F.coalesce(F.get(c, i - 1), F.lit(0))))
+    return F.array_join(F.filter(runs, lambda x, i: (i == 0) | (x > 0)), ",")
 
-def unpacked_bits(data: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(zlib.decompress(data), np.uint8))[:n].astype(bool)
+
+def kept_lines(lines: list[str], bitmap: str) -> list[str]:
+    out, at = [], 0
+    for i, n in enumerate(map(int, bitmap.split(","))):
+        if i % 2 == 0:
+            out += lines[at : at + n]
+        at += n
+    return out
 
 
 def keep_bitmaps(docs: DataFrame, key: str = "doc_id", column: str = "text", least: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -139,40 +150,34 @@ def keep_bitmaps(docs: DataFrame, key: str = "doc_id", column: str = "text", lea
     places = ["doc", "text_hash"]
     lost = dropped_lines(docs, key, column, least, min_docs).groupBy(*places).agg(F.collect_set("pos").alias("lost"))
     rows = identified(docs, key, column).select(*places, F.size("lines").cast("long").alias("n_lines")).distinct().join(lost, places, "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bits, dropped = [], []
-            for n, lost in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                flags = np.ones(n, bool)
-                flags[lost or []] = False
-                bits.append(packed_bits(flags))
-                dropped.append(n - int(flags.sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(dropped, pa.int64()), pa.array(bits, pa.binary())], ["doc", "text_hash", "n_lines", "n_dropped", "bitmap"])
-
-    return rows.select(*places, "n_lines", "lost").mapInArrow(run, "doc long, text_hash long, n_lines long, n_dropped long, bitmap binary")
+    lost = F.coalesce("lost", F.array().cast("array<long>"))
+    return rows.select(*places, "n_lines", F.size(lost).cast("long").alias("n_dropped"), bitmap_runs(lost, F.col("n_lines")).alias("bitmap"))
 
 
 def kept_texts(docs: DataFrame, bitmaps: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """docs with n_lines_, n_dropped_ and kept_text_, the text of the lines that the bitmaps keep."""
+    """docs with n_lines_, n_dropped_, bitmap_ and kept_text_, the text of the lines that the bitmaps keep. Where docs has columns
+    of these names, the new ones get further underscores."""
+    names = unused(docs, "n_lines_", "n_dropped_", "bitmap_", "kept_text_", "doc_", "hash_", "text_", "doc_b", "hash_b")
+    n_lines, n_dropped, bits, kept_text, doc_, hash_, text_, doc_b, hash_b = names
     doc = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))
-    named = bitmaps.select(F.col("doc").alias("doc_b"), F.col("text_hash").alias("hash_b"), F.col("n_lines").alias("n_lines_"), F.col("n_dropped").alias("n_dropped_"), F.col("bitmap").alias("bitmap_"))
-    joined = docs.withColumns({"doc_": doc, "hash_": F.xxhash64(text), "text_": text}).join(named, (F.col("doc_") == F.col("doc_b")) & (F.col("hash_") == F.col("hash_b")))
+    named = bitmaps.select(F.col("doc").alias(doc_b), F.col("text_hash").alias(hash_b), F.col("n_lines").alias(n_lines), F.col("n_dropped").alias(n_dropped), F.col("bitmap").alias(bits))
+    joined = docs.withColumns({doc_: doc, hash_: F.xxhash64(text), text_: text}).join(named, (F.col(doc_) == F.col(doc_b)) & (F.col(hash_) == F.col(hash_b)))
 
     @F.pandas_udf("string")
-    def keep(texts: pd.Series, n: pd.Series, bitmap: pd.Series) -> pd.Series:
-        return pd.Series(["\n".join(compress(t.split("\n"), unpacked_bits(b, k))) for t, k, b in zip(texts, n, bitmap, strict=True)], dtype=object)
+    def keep(texts: pd.Series, bitmap: pd.Series) -> pd.Series:
+        return pd.Series(["\n".join(kept_lines(t.split("\n"), b)) for t, b in zip(texts, bitmap, strict=True)], dtype=object)
 
-    kept = F.when(F.col("n_dropped_") == 0, F.col("text_")).otherwise(keep("text_", "n_lines_", "bitmap_"))
-    return joined.select(*docs.columns, "n_lines_", "n_dropped_", kept.alias("kept_text_"))
+    kept = F.when(F.col(n_dropped) == 0, F.col(text_)).otherwise(keep(text_, bits))
+    return joined.select(*docs.columns, n_lines, n_dropped, bits, kept.alias(kept_text))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", column: str = "text", **options) -> DataFrame:
     """docs with their kept lines as text, and n_chars, where docs has it, counted anew. Documents left without text go."""
     out = kept_texts(docs, keep_bitmaps(docs, key, column, **options), key, column)
-    text = F.when(F.col("n_dropped_") == 0, F.col(column)).otherwise(F.col("kept_text_"))
-    out = out.withColumn(column, text)
+    n_lines, n_dropped, _, kept_text = (F.col(c) for c in out.columns[-4:])
+    whole = n_dropped == 0
+    changed = {column: F.when(whole, F.col(column)).otherwise(kept_text)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped_") == 0, F.col("n_chars")).otherwise(F.length("kept_text_").cast("long")))
-    return out.filter((F.col("n_dropped_") < F.col("n_lines_"))).select(*docs.columns)
+        changed["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(kept_text).cast("long"))
+    return out.filter(n_dropped < n_lines).withColumns(changed).select(*docs.columns)

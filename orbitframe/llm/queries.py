@@ -41,9 +41,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.kept_texts(docs, line_dedup.keep_bitmaps(docs))
-    return kept.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_dropped_").alias("n_dropped"), F.sha2("kept_text_", 256).alias("kept_sha256"))
+    return kept.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_dropped_").alias("n_dropped"), F.sha2("kept_text_", 256).alias("kept_sha256"), F.col("bitmap_").alias("bitmap"))
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,8 +121,10 @@ ORACLE_SQL: dict[str, str] = {
             FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), E'\n') AS l FROM documents))
         ),
         common AS (SELECT k, max(doc_id) AS keeper FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3)
-        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE c.k IS NOT NULL AND doc_id <> keeper) AS n_dropped,
-            sha256(coalesce(string_agg(line, E'\n' ORDER BY pos) FILTER (WHERE c.k IS NULL OR doc_id = keeper), '')) AS kept_sha256
-        FROM lines LEFT JOIN common c USING (k) GROUP BY doc_id
+        judged AS (SELECT doc_id, pos, line, c.k IS NOT NULL AND doc_id <> keeper AS gone FROM lines LEFT JOIN common c USING (k)),
+        runs AS (SELECT doc_id, gone, min(pos) AS at, count(*) AS n FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, gone ORDER BY pos) AS run FROM judged) GROUP BY doc_id, gone, run),
+        bits AS (SELECT doc_id, (CASE WHEN bool_or(gone AND at = 1) THEN '0,' ELSE '' END) || string_agg(n, ',' ORDER BY at) AS bitmap FROM runs GROUP BY 1)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, E'\n' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256, any_value(bitmap) AS bitmap
+        FROM judged JOIN bits USING (doc_id) GROUP BY doc_id
     """,
 }
