@@ -26,7 +26,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "n_factors")
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "n_spans")
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +112,7 @@ ORACLE_SQL: dict[str, str] = {
         gone AS (SELECT DISTINCT doc_id, i + o AS pos FROM (SELECT w.doc_id, i FROM w JOIN f USING (k) WHERE first < w.doc_id), (SELECT unnest(range(50)) AS o)),
         t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM d),
         x AS (SELECT t.*, g.pos IS NOT NULL AS g, lag(g.pos) OVER (PARTITION BY t.doc_id ORDER BY t.pos) AS before FROM t LEFT JOIN gone g ON g.doc_id = t.doc_id AND g.pos = t.pos)
-        SELECT d.doc_id, len(any_value(ws)) AS n_words, count(*) FILTER (g) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY x.pos) FILTER (NOT g), '')) AS kept_sha256, count(*) FILTER (g AND before IS NULL) AS n_factors
+        SELECT d.doc_id, len(any_value(ws)) AS n_words, count(*) FILTER (g) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY x.pos) FILTER (NOT g), '')) AS kept_sha256, count(*) FILTER (g AND before IS NULL) AS n_spans
         FROM d LEFT JOIN x USING (doc_id) GROUP BY d.doc_id
     """,
     "op7_line_dedup": r"""

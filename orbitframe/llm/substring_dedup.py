@@ -7,10 +7,13 @@ Every document is both text to parse and reference. It is cut into blocks at pla
 run of windows with the same least word 8-gram, its anchor. Equal passages are so cut alike, whatever stands around them.
 
 1. The index of reference blocks: rows of (anchor, block, document, place), range-partitioned and sorted, stream through tasks.
-   A block that a smaller document holds too is a factor as it stands. Anchors of one document only can't begin a factor.
+   A block that a smaller document holds too is found there, at the first place of the least such document. Anchors of one document
+   only can't begin a factor.
 2. Factor boundaries: at its ends a passage meets other text, and its last blocks differ from document to document. For blocks
    whose anchor other documents have, in the first document that holds the block, every window is looked up by itself.
-3. Each document is parsed: overlapping and adjoining hits grow into the longest factors, and their words go.
+3. The greedy parse: from left to right, a factor goes on for as long as the next block or window is found right behind it in the
+   same reference document; otherwise a new factor begins. Factors of WINDOW words or more (all are, as they hold a window) are the
+   duplicate spans: their words go. A factor is kept as start, length, and the reference's document and start, in words.
 
 Ranges split inside a key, so a passage that a third of all documents hold is spread over many tasks; of runs that cross tasks,
 each task reports one summary row, and only these reach the driver. Windows are compared by 128 bits of hash.
@@ -32,11 +35,15 @@ from orbitframe.llm.blocks import whole_runs
 from orbitframe.llm.common import _power_tables, chunks, mix, ngrams, shuffle_width, stored, words
 
 WINDOW, GRAM = 50, 8
-#: A place is the number of its first window, then in the low bits the number of windows.
+#: A place is the number of its first window, then in the low bits the number of windows; a longer block is cut in pieces.
 SPAN_BITS = 24
+LONGEST = LONGEST_BLOCK = (1 << SPAN_BITS) - 1
 LATER, FIRST, UNDECIDED, SUMMARY = 0, 1, 2, 3
 NAMES = ["a", "b", "doc", "text_hash", "place"]
 SCHEMA = ", ".join(f"{n} long" for n in NAMES)
+#: Where a row's block or window is first found: document and number of the first window.
+SOURCE = ["source_doc", "source_at"]
+FACTORS = "array<struct<start:bigint,length:bigint,source_doc:bigint,source_start:bigint>>"
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -91,6 +98,8 @@ def reference_blocks(rows: DataFrame, window: int, gram: int) -> DataFrame:
                 new = np.ones(len(first), bool)
                 new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
                 k = np.flatnonzero(new)
+                into = np.arange(len(first)) - np.repeat(k, np.diff(np.append(k, len(first))))
+                k = np.flatnonzero(into % LONGEST_BLOCK == 0)
                 n = np.diff(np.append(k, len(first)))
                 start, own = first[k], row[k]
                 yield _rows([anchor[k], spans_hash(hashes, start, start + n + window - 1), doc[lo + own], text_hash[lo + own], ((start - at[own]) << SPAN_BITS) | n])
@@ -121,26 +130,28 @@ def boundary_windows(rows: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def ranked(rows: DataFrame, firsts: bool) -> DataFrame:
-    """kind and the columns of rows: LATER for rows of a key (a, b) whose document is not the key's least; if firsts, also FIRST
-    for the others, except under an `a` of a single document.
+    """kind, the columns of rows and SOURCE: LATER for rows of a key (a, b) whose document is not the key's least, with the least
+    document's first place as source; if firsts, also FIRST for the others, except under an `a` of a single document.
 
-    A run that goes on from one task to the next is settled once all tasks have reported their border runs' first documents."""
-    ordered = rows.repartitionByRange(shuffle_width(rows.sparkSession), *NAMES).sortWithinPartitions(*NAMES)
+    A run that goes on from one task to the next is settled once all tasks have reported their border runs' first rows."""
+    # Stored, since a range partitioning reads its input twice.
+    ordered = stored(rows).repartitionByRange(shuffle_width(rows.sparkSession), *NAMES).sortWithinPartitions(*NAMES)
+    names = ["kind", *NAMES, *SOURCE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(kind: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (kind.astype(np.int64), *columns)], ["kind", *NAMES])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (kind.astype(np.int64), *columns)], names)
 
         def judge(t: pa.Table, borders: np.ndarray, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
             columns = [t.column(c).to_numpy() for c in NAMES]
-            b, doc = columns[1], columns[2]
+            b, doc, place = columns[1], columns[2], columns[4]
             new = np.ones(len(b), bool)
             new[1:] = b[1:] != b[:-1]
             new[borders[:-1]] = True
             starts = np.flatnonzero(new)
             sizes = np.diff(np.append(starts, len(b)))
-            least = np.repeat(doc[starts], sizes)
-            kind = np.where(doc != least, LATER, FIRST if firsts else -1)
+            columns += [np.repeat(doc[starts], sizes), np.repeat(place[starts] >> SPAN_BITS, sizes)]
+            kind = np.where(doc != columns[5], LATER, FIRST if firsts else -1)
             if firsts:
                 alone = np.minimum.reduceat(doc, borders[:-1]) == np.maximum.reduceat(doc, borders[:-1])
                 alone[0] &= not first
@@ -163,44 +174,65 @@ def ranked(rows: DataFrame, firsts: bool) -> DataFrame:
         if held:
             yield from judge(*held, first, True)
 
-    found = stored(ordered.mapInArrow(run, f"kind long, {SCHEMA}"))
-    least: dict[tuple[int, int], int] = {}
-    for a, b, doc in found.filter(F.col("kind") == SUMMARY).select("a", "b", "doc").collect():
-        least[a, b] = min(doc, least.get((a, b), doc))
+    schema = f"kind long, {SCHEMA}, " + ", ".join(f"{n} long" for n in SOURCE)
+    found = stored(ordered.mapInArrow(run, schema))
+    least: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for a, b, *row in found.filter(F.col("kind") == SUMMARY).select("a", "b", "doc", "text_hash", "place").collect():
+        least[a, b] = min(tuple(row), least.get((a, b), tuple(row)))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind, a, b, doc = (batch.column(i).to_numpy() for i in range(4))
-            kind = kind.copy()
+            kind, source = kind.copy(), [batch.column(i).to_numpy().copy() for i in (6, 7)]
             at = np.flatnonzero(kind == UNDECIDED)
-            change = np.ones(len(at), bool)
-            change[1:] = (a[at[1:]] != a[at[:-1]]) | (b[at[1:]] != b[at[:-1]])
-            keepers = np.array([least[int(a[i]), int(b[i])] for i in at[change]], np.int64)
-            kind[at] = np.where(doc[at] > keepers[np.cumsum(change) - 1], LATER, FIRST) if len(at) else kind[at]
-            keep = pa.array(kind <= FIRST)
-            yield pa.RecordBatch.from_arrays([pa.array(kind), *batch.columns[1:]], ["kind", *NAMES]).filter(keep)
+            if len(at):
+                change = np.ones(len(at), bool)
+                change[1:] = (a[at[1:]] != a[at[:-1]]) | (b[at[1:]] != b[at[:-1]])
+                own = np.cumsum(change) - 1
+                for c, k in zip(source, (0, 2), strict=True):
+                    c[at] = np.array([least[int(a[i]), int(b[i])][k] for i in at[change]], np.int64)[own] >> (SPAN_BITS if k else 0)
+                kind[at] = np.where(doc[at] > source[0][at], LATER, FIRST)
+            arrays = [pa.array(kind), *batch.columns[1:6], *map(pa.array, source)]
+            yield pa.RecordBatch.from_arrays(arrays, names).filter(pa.array(kind <= FIRST))
 
     # least has at most two keys per task, so it goes along with the function.
-    return found.mapInArrow(settle, f"kind long, {SCHEMA}")
+    return found.mapInArrow(settle, schema)
+
+
+def greedy_factors(row: np.ndarray, first: np.ndarray, n: np.ndarray, doc: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, first window, windows, source document, source window) of the factors of sorted hits: a hit is n windows of a row that are
+    found in a document from a window on, and goes on the factor before it if both its place and its source do."""
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + n[:-1]) | (source[1:] != source[:-1] + n[:-1])
+    at = np.flatnonzero(fresh)
+    total = np.add.reduceat(n, at) if len(at) else n
+    return row[at], first[at], total, doc[at], source[at]
 
 
 def parsed(rows: DataFrame, window: int) -> DataFrame:
-    """From (doc, text_hash, text, places) with places of known windows: doc, text_hash, n_words, n_removed, n_factors, kept."""
+    """From (doc, text_hash, text, hits) with hits of known windows (place, source_doc, source_at): doc, text_hash, n_words, n_removed,
+    n_spans, kept, factors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: list[list[np.ndarray]] = [[], [], []]
             kept: list[str] = []
-            places = batch.column(3)
+            parts: list[pa.Array] = []
+            hits = batch.column(3)
             for lo, hi, raw, offsets in chunks(batch.column(2)):
                 _, starts, ends, at = words(raw, offsets)
-                part = places.slice(lo, hi - lo)
-                place = part.flatten().to_numpy()
-                own = np.repeat(np.arange(hi - lo), part.fill_null([]).value_lengths().to_numpy() if part.null_count else part.value_lengths().to_numpy())
-                first = (place >> SPAN_BITS) + at[own]
+                part = hits.slice(lo, hi - lo)
+                place, doc, source = (c.to_numpy() for c in part.flatten().flatten())
+                own = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy())
+                order = np.lexsort((place, own))
+                own, place, doc, source = own[order], place[order], doc[order], source[order]
+                row, begin, n, source_doc, source_at = greedy_factors(own, place >> SPAN_BITS, place & LONGEST, doc, source)
+                length = n + window - 1
+                cuts = pa.array(np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32))
+                parts.append(pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays([pa.array(c) for c in (begin, length, source_doc, source_at)], ["start", "length", "source_doc", "source_start"])))
                 cover = np.zeros(len(starts) + 1, np.int64)
-                np.add.at(cover, first, 1)
-                np.add.at(cover, first + (place & ((1 << SPAN_BITS) - 1)) + window - 1, -1)
+                np.add.at(cover, begin + at[row], 1)
+                np.add.at(cover, begin + at[row] + length, -1)
                 gone = np.cumsum(cover)[:-1] > 0
                 before = np.concatenate([[False], gone])[: len(gone)]
                 before[at[at < len(gone)]] = False  # a row starts anew
@@ -220,22 +252,26 @@ def parsed(rows: DataFrame, window: int) -> DataFrame:
                 stops = np.concatenate([[0], np.cumsum(mask)])[offsets]
                 data = out[mask].tobytes()
                 kept += [data[a:b].decode() for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
-            arrays = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in counts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays, pa.array(kept, pa.string())], ["doc", "text_hash", "n_words", "n_removed", "n_factors", "kept"])
+            if parts:
+                arrays = [*(pa.array(np.concatenate(c)) for c in counts), pa.array(kept, pa.string()), pa.concat_arrays(parts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc", "text_hash", "n_words", "n_removed", "n_spans", "kept", "factors"])
 
-    return rows.mapInArrow(run, "doc long, text_hash long, n_words long, n_removed long, n_factors long, kept string")
+    return rows.mapInArrow(run, f"doc long, text_hash long, n_words long, n_removed long, n_spans long, kept string, factors {FACTORS}")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", column: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """key, n_words, n_removed, n_factors, kept (the kept words, joined by one space); one row per input row."""
+    """key, n_words, n_removed, n_spans (runs of removed words), kept (the kept words, joined by one space), factors; one row per input
+    row. A factor's source document is its id, the least long for null."""
     rows = identified(docs, key, column)
     pick = ["doc", "text_hash"]
+    hit = F.struct("place", *SOURCE)
     blocks = ranked(reference_blocks(rows, window, gram), True)
     firsts = blocks.filter(F.col("kind") == FIRST).groupBy(*pick).agg(F.collect_list("place").alias("places"))
     windows = ranked(boundary_windows(rows.join(firsts, pick).select(*pick, "text", "places"), window, gram), False)
-    hits = blocks.filter(F.col("kind") == LATER).select(*pick, "place").unionByName(windows.filter(F.col("kind") == LATER).select(*pick, "place"))
-    hits = hits.distinct().groupBy(*pick).agg(F.collect_list("place").alias("places"))
-    places = F.coalesce("places", F.array().cast("array<long>"))
-    out = parsed(rows.join(hits, pick, "left").select(*pick, "text", places.alias("places")), window)
+    hits = blocks.filter(F.col("kind") == LATER).select(*pick, hit.alias("hit")).unionByName(windows.filter(F.col("kind") == LATER).select(*pick, hit.alias("hit")))
+    # Rows of one id and text are one document: their hits are equal, and count once.
+    hits = hits.groupBy(*pick).agg(F.collect_set("hit").alias("hits"))
+    none = F.array().cast("array<struct<place:bigint,source_doc:bigint,source_at:bigint>>")
+    out = parsed(rows.join(hits, pick, "left").select(*pick, "text", F.coalesce("hits", none).alias("hits")), window)
     kind = docs.schema[key].dataType
-    return out.select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).cast(kind).alias(key), "n_words", "n_removed", "n_factors", "kept")
+    return out.select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).cast(kind).alias(key), "n_words", "n_removed", "n_spans", "kept", "factors")
