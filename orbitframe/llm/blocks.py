@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitframe.llm.common import stored
@@ -62,15 +62,22 @@ def block_pairs(rows: DataFrame, counted: DataFrame, key: str, node: str, most:
     return out.withColumns({"bi": F.least("own", "other_"), "bj": F.greatest("own", "other_")}).drop("other_", "n_", "size")
 
 
-def forest(matches: Iterator[tuple[int, np.ndarray]], n: int) -> list[tuple[int, int]]:
-    """A spanning forest, as index pairs, of the graph in which i is matched with each index of an array."""
+def forest(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest, as index pairs, of the graph over 0..n-1 in which linked(i, js) flags the later js that i is linked with.
+
+    Only those that are not connected yet are asked for, and what i brings together becomes a chain, so that no index gets many edges.
+    """
     label = np.arange(n)
     out = []
-    for i, found in matches:
-        fresh = found[label[found] != label[i]]
-        if len(fresh):
-            old, at = np.unique(label[fresh], return_index=True)
-            out += [(i, int(j)) for j in fresh[at]]
+    for i in range(n - 1):
+        js = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if not len(js):
+            continue
+        found = js[linked(i, js)]
+        if len(found):
+            old, at = np.unique(label[found], return_index=True)
+            chain = [i, *found[at].tolist()]
+            out += zip(chain[:-1], chain[1:], strict=True)
             label[np.isin(label, old)] = label[i]
     return out
 
@@ -79,18 +86,23 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node of each connected component, for all nodes that have an edge (u, v).
 
     Alternates large-star and small-star steps, each two aggregations and joins on the edges, until nothing changes; the
-    number of rounds grows with the logarithm of the component size. Edges never leave the executors.
+    number of rounds grows with the logarithm of the component size. Edges never leave the executors. A large component's least
+    node gathers its edges: the aggregation is combined before the shuffle, and the join goes by the complement of the node, so
+    that it is a shuffle join by itself, which adaptive execution splits where a node has too many edges for a task.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     e = stored(e)
     before = None
+
+    def with_least(rows: DataFrame, least: Column) -> DataFrame:
+        found = rows.groupBy("u").agg(F.min("v").alias("m")).select(F.bitwise_not("u").alias("w"), least.alias("m"))
+        return rows.join(found, F.bitwise_not("u") == F.col("w"))
+
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        big = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = big.groupBy("u").agg(F.min("v").alias("m"))
-        near = big.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(near.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        big = with_least(both, F.least("u", "m")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        near = with_least(big, F.col("m")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        e = stored(near.distinct())
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break
