@@ -5,9 +5,10 @@ high-recall generators propose overlapping spans per kind, written in looser way
 without a plus, addresses with spaces). Boosted trees score each by its format and its context, probabilities are calibrated on
 held-out documents, and per kind a threshold with the wanted precision selects what is added.
 
-The trees are trained on the driver from at most SAMPLE_DOCUMENTS documents with digits or an @, those of the least text hashes:
-base spans, also rewritten in looser ways, are the positives; broken ones and all other proposals are the negatives. Extraction
-maps over all documents and whole texts; nothing is shuffled.
+The trees are trained on the driver from the surroundings of proposals, at most SAMPLE_PIECES of PIECE_CHARS characters at most,
+in at most SAMPLE_DOCUMENTS documents with digits or an @, those of the least text hashes. Base spans rewritten in looser ways are
+the positives; broken ones and all other proposals are the negatives. Extraction maps over all documents and whole texts, in time
+linear in a text's length; nothing is shuffled.
 
 A null or empty text has no spans. Offsets are code points, ends exclusive. Rows with equal ids are read one by one.
 """
@@ -29,33 +30,40 @@ from pyspark.sql import functions as F
 from orbitframe.llm.common import hashed_sample
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCUMENTS = 4000
-ROUNDS, DEPTH, SHRINK, BINS, LEAST_LEAF = 40, 3, 0.3, 24, 8
+SAMPLE_DOCUMENTS, SAMPLE_PIECES, PIECE_CHARS = 4000, 20_000, 2000
+ROUNDS, DEPTH, SHRINK, BINS, LEAST_LEAF = 100, 4, 0.3, 24, 8
 #: Calibrated precision that an added span must reach, and proposals that a calibration step needs at least.
 PRECISION, LEAST_STEP = 0.97, 20
 FOLDS = 3
 #: Code points of context on either side.
 CONTEXT = 32
 
-# Fixed formats of the base rules.
+# Fixed formats of the base rules. Each is read in one pass: no start inside a run of digits or letters is tried again.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-#: Generators: looser formats per kind.
+#: Generators: looser formats per kind. Spans of digits start and end with a run of digits, so that a long run is looked at once.
+_AT_SIGN = re.compile(r" ?@ ?| ?[(\[{] ?at ?[)\]}] ?| at ", re.I)
+_LABEL = re.compile(r"[A-Za-z0-9-]+")
+_NEXT_LABEL = re.compile(r"(?: ?\. ?| ?[(\[{] ?dot ?[)\]}] ?| dot )[A-Za-z0-9-]+", re.I)
+MOST_LABELS = 8
 LOOSE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+(?: ?@ ?| ?[(\[{] ?at ?[)\]}] ?| at )[A-Za-z0-9-]+(?:(?: ?\. ?| ?[(\[{] ?dot ?[)\]}] ?| dot )[A-Za-z0-9-]+)+", re.I),
-    "ip": re.compile(r"[0-9]{1,3}(?: ?(?:\.|[(\[{]\.[)\]}]) ?[0-9]{1,3}){3}(?![0-9])"),
-    "card": re.compile(r"[0-9](?:[ ./_-]{0,2}[0-9]){12,19}"),
-    "phone": re.compile(r"(?:\+ ?|00 ?)?\(?[0-9]{1,4}\)?(?:[ ./()-]{0,2}[0-9]){5,12}"),
+    "ip": re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?(?:\.|[(\[{]\.[)\]}]) ?[0-9]{1,3}){3}(?![0-9])"),
+    "card": re.compile(r"(?<![0-9])[0-9](?:[ ./_-]{0,2}[0-9]){12,19}(?![0-9])"),
+    "phone": re.compile(r"(?:\+ ?)?\(?(?<![0-9])[0-9]{1,4}\)?(?:[ ./()-]{0,2}[0-9]){5,12}(?![0-9])"),
 }
 _CUES = [re.compile(p, re.I) for p in (r"mail|write|contact", r"\bip\b|host|server|addr", r"card|visa|credit|pay", r"call|tel|phone|mobile|fax|\+", r"version|v\.|date|no\.|price|\$|id\b|key|token|pass")]
 _AT = re.compile(r"[(\[{ ]at[)\]} ]", re.I)
 
 
+#: Frequent endings of host names.
+ENDINGS = frozenset("com org net edu gov mil int info biz io co uk de fr es it nl eu us ca au ch at be se jp in br".split())
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -84,7 +92,14 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     if "@" in text:
         out["email"] = emails(text)
     if _DIGIT.search(text):
-        out["ip"] = [m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+        for m in _DOTTED.finditer(text):
+            # Four by four, the groups of a chain are the leftmost matches.
+            at, parts = m.start(), m[0].split(".")
+            for k in range(0, len(parts) - 3, 4):
+                end = at + sum(map(len, parts[k : k + 4])) + 3
+                if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in parts[k : k + 4]):
+                    out["ip"].append((at, end))
+                at = end + 1
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 16 <= len(digits) <= 19 and luhn(digits):
@@ -94,19 +109,34 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
+def loose_emails(text: str) -> list[tuple[int, int]]:
+    """From each sign for @, back over the name and on over 2 to MOST_LABELS labels of the host, each of which may be the last."""
+    out = []
+    for sign in _AT_SIGN.finditer(text):
+        start = sign.start()
+        while start > 0 and text[start - 1] in _LOCAL:
+            start -= 1
+        m = _LABEL.match(text, sign.end()) if start < sign.start() else None
+        for _ in range(MOST_LABELS - 1):
+            m = m and _NEXT_LABEL.match(text, m.end())
+            if m:
+                out.append((start, m.end()))
+    return out
+
+
 def proposals(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all looser matches, with every suffix that starts at an inner group of digits: spans may overlap."""
     out = []
-    digits = bool(_DIGIT.search(text))
-    for kind, pattern in LOOSE.items():
-        if kind == "email" and not ("@" in text or _AT.search(text)) or kind != "email" and not digits:
-            continue
-        for m in pattern.finditer(text):
-            out.append((kind, *m.span()))
-            if kind in ("card", "phone"):
-                for g in re.finditer(r"(?<=[ /])[+(]?[0-9]", m[0]):
-                    if sum(c.isdigit() for c in m[0][g.start() :]) >= (13 if kind == "card" else 7):
-                        out.append((kind, m.start() + g.start(), m.end()))
+    if "@" in text or _AT.search(text):
+        out += [("email", *s) for s in loose_emails(text)]
+    if _DIGIT.search(text):
+        for kind, pattern in LOOSE.items():
+            for m in pattern.finditer(text):
+                out.append((kind, *m.span()))
+                if kind in ("card", "phone"):
+                    for g in re.finditer(r"(?<=[ /])[+(]?[0-9]", m[0]):
+                        if sum(c.isdigit() for c in m[0][g.start() :]) >= (13 if kind == "card" else 7):
+                            out.append((kind, m.start() + g.start(), m.end()))
     return out
 
 
@@ -144,6 +174,10 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(after[:1] in "-/=:@" and after != ""),
         sum(c.isdigit() for c in before),
         sum(c.isdigit() for c in after),
+        float(tail[:1].isupper()),
+        float(tail.lower() in ENDINGS),
+        float(bool(_NEXT_LABEL.match(text, end))),
+        len(re.findall(r"\.|dot", span)),
         *(float(bool(p.search(before))) for p in _CUES),
     ]
 
@@ -229,33 +263,39 @@ class Selector:
         out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
         if not self.trees or not self.least:
             return out
-        taken = [s for spans in base.values() for s in spans]
-        free = [p for p in dict.fromkeys(proposals(text)) if p[0] in self.least and not any(p[1] < e and s < p[2] for s, e in taken)]
+        used = bytearray(len(text))
+
+        def take(start: int, end: int) -> None:
+            used[start:end] = b"\1" * (end - start)
+
+        for spans in base.values():
+            for span in spans:
+                take(*span)
+        free = [p for p in dict.fromkeys(proposals(text)) if p[0] in self.least and 1 not in used[p[1] : p[2]]]
         if free:
             odds = self.trees.odds(self.trees.binned(np.array([features(text, *p) for p in free])))
             for o, (kind, start, end) in sorted(zip(odds.tolist(), free, strict=True), key=lambda x: (-x[0], x[1][1] - x[1][2], x[1][1])):
-                if o >= self.least[kind] and not any(start < e and s < end for s, e in taken):
-                    taken.append((start, end))
+                if o >= self.least[kind] and 1 not in used[start:end]:
+                    take(start, end)
                     out[kind].append((start, end))
         return out
 
 
-def rewritten(kind: str, span: str, rng: np.random.Generator) -> tuple[str, bool]:
-    """The span in a looser way, still personal data, or broken, no longer so."""
-    r = int(rng.integers(3))
+def rewrites(kind: str, span: str, rng: np.random.Generator) -> list[tuple[str, bool]]:
+    """The span in looser ways, still personal data (True), and broken, no longer so."""
     if kind == "email":
         name, _, host = span.partition("@")
-        return (f"{name} (at) {host}", True) if r == 0 else (f"{name} at {host.replace('.', ' dot ')}", True) if r == 1 else (f"{name} @ {host}", True)
+        spelled = host.replace(".", " dot ")
+        return [(f"{name} (at) {host}", True), (f"{name} at {spelled}", True), (f"{name} @ {host}", True), (f"{name}[at]{host.replace('.', '[dot]')}", True), (f"{name} at {host.partition('.')[0]}", False)]
     if kind == "ip":
-        return (span.replace(".", " . "), True) if r == 0 else (span.replace(".", "[.]"), True) if r == 1 else (f"{int(rng.integers(256, 999))}{span[span.index('.'):]}", False)
+        return [(span.replace(".", " . "), True), (span.replace(".", "[.]"), True), (f"{int(rng.integers(256, 999))}{span[span.index('.') :]}", False), (f"{span.replace('.', ' . ')} . {int(rng.integers(256))}", False)]
     digits = re.sub("[^0-9]", "", span)
+    broken = f"{digits[:-1]}{(int(digits[-1]) + int(rng.integers(1, 10))) % 10}"
+    fours = [digits[i : i + 4] for i in range(0, len(digits), 4)]
     if kind == "card":
-        if r == 0:
-            return ".".join(digits[i : i + 4] for i in range(0, len(digits), 4)), True
-        if r == 1:
-            return "/".join(digits[i : i + 4] for i in range(0, len(digits), 4)), True
-        return f"{digits[:-1]}{(int(digits[-1]) + int(rng.integers(1, 10))) % 10}", False
-    return (span.lstrip("+"), True) if r == 0 else (f"00{span.lstrip('+')}", True) if r == 1 else (digits + str(int(rng.integers(10**9))), False)
+        return [(".".join(fours), True), ("/".join(fours), True), ("  ".join(fours), True), (broken, False), (" ".join(broken[i : i + 4] for i in range(0, len(broken), 4)), False), (".".join(broken[i : i + 4] for i in range(0, len(broken), 4)), False)]
+    tail = f"{digits[-10:-7]}-{digits[-7:-4]}-{digits[-4:]}"
+    return [(span.lstrip("+"), True), (f"00{span.lstrip('+')}", True), (f"({digits[-10:-7]}) {digits[-7:-4]}-{digits[-4:]}", True), (tail, True), (digits + str(int(rng.integers(10**9))), False), (digits[-10:] + "e" + digits[:3], False)]
 
 
 def examples(texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -267,15 +307,16 @@ def examples(texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray, np.nd
         base = base_spans(text)
         true = {(k, *s) for k in KINDS for s in base[k]}
         for kind, start, end in dict.fromkeys(proposals(text)):
-            if (kind, start, end) in true or not any(start < e and s < end for _, s, e in true):
-                rows.append((features(text, kind, start, end), (kind, start, end) in true, KINDS.index(kind), fold))
+            # Base spans need no tree: their kinds are learned from their rewritten forms.
+            if not any(start < e and s < end for _, s, e in true):
+                rows.append((features(text, kind, start, end), False, KINDS.index(kind), fold))
         for kind, start, end in sorted(true):
-            new, good = rewritten(kind, text[start:end], rng)
-            lo, hi = max(0, start - 80), min(len(text), end + 80)
-            changed, at = text[lo:start] + new + text[end:hi], start - lo
-            for k, s, e in dict.fromkeys(proposals(changed)):
-                if s < at + len(new) and at < e:
-                    rows.append((features(changed, k, s, e), good and (k, s, e) == (kind, at, at + len(new)), KINDS.index(k), fold))
+            for new, good in rewrites(kind, text[start:end], rng):
+                lo, hi = max(0, start - 80), min(len(text), end + 80)
+                changed, at = text[lo:start] + new + text[end:hi], start - lo
+                for k, s, e in dict.fromkeys(proposals(changed)):
+                    if s < at + len(new) and at < e:
+                        rows.append((features(changed, k, s, e), good and (k, s, e) == (kind, at, at + len(new)), KINDS.index(k), fold))
     if not rows:
         return np.zeros((0, 1)), np.zeros(0), np.zeros(0, int), np.zeros(0, int)
     return np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
@@ -298,7 +339,12 @@ def fit(docs: DataFrame, column: str = "text", most: int = SAMPLE_DOCUMENTS, pre
                         out.append(text[lo:end])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["text"])
 
-    texts = sorted(r["text"] for r in near.mapInArrow(surroundings, "text string").collect())
+    pieces = near.mapInArrow(surroundings, "text string").filter(F.length("text") <= PIECE_CHARS)
+    texts = sorted(r["text"] for r in pieces.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_PIECES).collect())
+    return trained(texts, precision, seed)
+
+
+def trained(texts: list[str], precision: float = PRECISION, seed: int = 1) -> Selector:
     x, y, kind, fold = examples(texts, seed)
     if not 0 < y.sum() < len(y):
         return Selector()
