@@ -4,8 +4,8 @@ A page becomes the sequence of its leaf blocks: runs of text between block-level
 path (names, classes and ids of the enclosing elements), a vector of its hashed words, and a few measures such as link density.
 A bidirectional LSTM in numpy reads the whole sequence and labels every block as main text or not.
 
-The labeller is trained on the driver, from at most SAMPLE_PAGES pages of the least text hashes: as they are, and rearranged under
-random page templates, so that no single template is learned by heart. Labels come from the elements that a template gives a
+The labeller is trained on the driver, from at most SAMPLE_PAGES pages of at most SAMPLE_CHARS characters, those of the least text
+hashes: as they are, and rearranged under random page templates, so that no single template is learned by heart. Labels come from the elements that a template gives a
 meaning. Extraction maps over all pages, whole, in batches of pages of like length; nothing is shuffled.
 
 A null or empty page has the empty text. Rows with equal ids are read one by one; extra columns are ignored. Markup errors are
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from orbitframe.llm.common import hashed_sample
 
-SAMPLE_PAGES = 200
+SAMPLE_PAGES, SAMPLE_CHARS = 200, 1_000_000
 #: Templates under which each sampled page is seen again.
 REARRANGED = 3
 PATH_SIZE, WORD_SIZE, MEASURES = 96, 32, 6
@@ -36,7 +36,12 @@ FEATURES = PATH_SIZE + WORD_SIZE + MEASURES
 HIDDEN, EPOCHS, BATCH, RATE = 16, 8, 32, 0.01
 SEED = 5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|([^<]+|<)", re.S)
+#: A quote opens a value behind "=" only; elsewhere it is part of a name. A tag or comment without end reaches to the page's end.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|\Z)|([^<]+|<)",
+    re.S,
+)
 _EMPTY = re.compile(r"(?:^|[\s\"'])[^\s\"'=/]*/$")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Fixed values of HTML.
@@ -106,8 +111,6 @@ def page_blocks(page: str) -> list[Block]:
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at)
-        if m is None:  # a tag without end
-            break
         at = m.end()
         closing, name, attributes, text = m.group(1, 2, 3, 4)
         if text is not None:
@@ -364,7 +367,7 @@ def rearranged(main: list[Block], other: list[Block], strange: list[str], rng: n
 
 def fit(pages: DataFrame, column: str = "html", most: int = SAMPLE_PAGES, seed: int = SEED) -> Labeller:
     rng = np.random.default_rng(seed)
-    rows = pages.select(F.col(column).cast("string").alias("html")).filter("html <> ''")
+    rows = pages.select(F.col(column).cast("string").alias("html")).filter(F.length("html").between(1, SAMPLE_CHARS))
     sample = [page_blocks(r["html"]) for r in hashed_sample(rows, F.col("html"), most).collect()]
     strange = [b.text for blocks in sample for b in blocks[:: max(1, len(blocks) // 8)]]
     seen = []
@@ -373,7 +376,7 @@ def fit(pages: DataFrame, column: str = "html", most: int = SAMPLE_PAGES, seed:
         if labels.any():
             seen.append((block_features(blocks), labels))
         main = [b for b, y in zip(blocks, labels, strict=True) if y] or [b for b in blocks if len(b.text) > 80]
-        other = [b for b, y in zip(blocks, labels, strict=True) if not y]
+        other = [b for b in blocks if not any(b is x for x in main)]
         if main and strange:
             for _ in range(REARRANGED):
                 made, y = rearranged(main, other, strange, rng)
