@@ -1,8 +1,8 @@
 """Toxicity by a classifier chain of linear models.
 
-The categories come in order. Each has a logistic regression over counts of words and of their beginnings, and the probabilities of all earlier categories.
-In training, those are out-of-fold: a document's earlier probabilities come from models that did not see it (nor its copies,
-as folds go by text), so later models learn how far earlier ones can be trusted.
+The categories come in order. Each has a logistic regression over counts of words and of their beginnings, and over the
+probabilities of all earlier categories. In training, those are out-of-fold: a document's earlier probabilities come from models
+that did not see it (nor its copies, as folds go by text), so later models learn how far earlier ones can be trusted.
 
 The chain is fitted on the driver from at most MAX_LABELLED labelled documents, those of the least id hashes, reduced inside
 Spark to counts of at most VOCABULARY words: both bounds hold at any input size. Scoring maps over all documents, whole texts.
@@ -43,14 +43,14 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass
 class Linear:
-    """A logistic regression: weights of words, then of earlier categories' log-odds, and a bias."""
+    """A logistic regression: weights of words, then of earlier categories' probabilities, and a bias."""
 
     words: np.ndarray
     earlier: np.ndarray
     bias: float
 
-    def log_odds(self, x: "Counts", earlier: np.ndarray) -> np.ndarray:
-        return np.clip(x.times(self.words) + earlier @ self.earlier + self.bias, -30, 30)
+    def probability(self, x: "Counts", earlier: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(x.times(self.words) + earlier @ self.earlier + self.bias, -30, 30)))
 
 
 @dataclass
@@ -81,10 +81,10 @@ class Chain:
     threshold: float = 1.0
 
     def probabilities(self, x: Counts) -> np.ndarray:
-        odds = np.zeros((x.n, 0))
+        out = np.zeros((x.n, 0))
         for model in self.models:
-            odds = np.column_stack([odds, model.log_odds(x, odds)])
-        return 1 / (1 + np.exp(-odds))
+            out = np.column_stack([out, model.probability(x, out)])
+        return out
 
 
 def features_of(word: str) -> list[str]:
@@ -120,18 +120,18 @@ def fit_linear(x: Counts, earlier: np.ndarray, y: np.ndarray, n_words: int) -> L
         return out
     n, penalty = len(y), PENALTY / len(y)
     scale = np.maximum(x.back(np.ones(n) / n, n_words), 1e-2) ** -0.25  # rare features get somewhat more room than frequent ones
-    spread = 0.25 * (np.bincount(x.rows, (x.values * scale[x.words]) ** 2, n).max(initial=0) + (earlier**2).sum(axis=1).max(initial=0) / 25 + 1)
+    spread = 0.25 * (np.bincount(x.rows, (x.values * scale[x.words]) ** 2, n).max(initial=0) + (earlier**2).sum(axis=1).max(initial=0) + 1)
     step = 1 / min(spread, 40.0)
     flat = np.concatenate([out.words, out.earlier, [out.bias]])
     ahead, m = flat, n_words
     for k in range(ROUNDS):
-        odds = x.times(ahead[:m] * scale) + earlier @ ahead[m:-1] / 5 + ahead[-1]
+        odds = x.times(ahead[:m] * scale) + earlier @ ahead[m:-1] + ahead[-1]
         g = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - y) / n
-        slope = np.concatenate([x.back(g, m) * scale, earlier.T @ g / 5, [g.sum()]])
+        slope = np.concatenate([x.back(g, m) * scale, earlier.T @ g, [g.sum()]])
         slope[:-1] += penalty * ahead[:-1]
         new = ahead - step * slope
         ahead, flat = new + k / (k + 3) * (new - flat), new
-    return Linear(flat[:m] * scale, flat[m:-1] / 5, float(flat[-1]))
+    return Linear(flat[:m] * scale, flat[m:-1], float(flat[-1]))
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -196,14 +196,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "
         y = rows[f"y{i}"].to_numpy(np.float64)
         known_y = ~np.isnan(y)
         y = np.nan_to_num(y)
-        odds = np.zeros(len(rows))
+        p = np.zeros(len(rows))
         for k in range(FOLDS) if name == rejects or i < len(names) - 1 else ():
             train, test = known_y & (folds != k), folds == k
-            odds[test] = fit_linear(x.pick(train), unseen[train], y[train], m).log_odds(x.pick(test), unseen[test])
+            p[test] = fit_linear(x.pick(train), unseen[train], y[train], m).probability(x.pick(test), unseen[test])
         chain.models.append(fit_linear(x.pick(known_y), unseen[known_y], y[known_y], m))
         if name == rejects and known_y.any():
-            chain.threshold = best_threshold(1 / (1 + np.exp(-odds[known_y])), y[known_y])
-        unseen = np.column_stack([unseen, odds])
+            chain.threshold = best_threshold(p[known_y], y[known_y])
+        unseen = np.column_stack([unseen, p])
     return chain
 
 
