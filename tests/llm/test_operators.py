@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -131,10 +132,32 @@ def test_ngram_join_keeps_one_of_each_class_and_takes_empty_tables(docs, empty):
     assert ngram_join.joined(empty).count() == 0
 
 
-def test_prefixes_shorten_until_the_recall_is_met():
-    assert ngram_join.prefix_depth(0.8, 16, 6, 0.999) == 4
-    assert ngram_join.prefix_depth(0.8, 16, 6, 0.5) == 6
-    assert ngram_join.prefix_depth(0.1, 2, 6, 0.9999) == 1
+def test_prefixes_shorten_until_the_recall_is_met(spark):
+    assert ngram_join.base_depth(0.8, 16, 6, 0.999) == 4
+    assert ngram_join.base_depth(0.8, 16, 6, 0.5) == 6
+    assert ngram_join.base_depth(0.1, 2, 6, 0.9999) == 1
+    rows = [(a, b) for a in range(17) for b in range(a + 1)]
+    most = ngram_join.matched_depth({5: F.col("a"), 6: F.col("b")}, 0.8, 16, 4, 0.999)
+    for r in spark.createDataFrame(rows, "a int, b int").withColumn("most", most).collect():
+        missed = {x: (1 - 0.8**4) ** (16 - r.a) * (1 - 0.8**5) ** (r.a - (r.b if x == 6 else 0)) * (1 - 0.8**6) ** (r.b if x == 6 else 0) for x in (5, 6)}
+        assert r.most == next((x for x in (6, 5) if missed[x] <= 0.001), 4)
+
+
+def test_ngram_join_recall_at_the_threshold(spark):
+    # 49 words with the middle one changed share 40 of 50 shingles: a similarity of 0.8, the least that counts. A few are changed twice.
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(700):
+        text = [f"w{x}" for x in rng.integers(0, 5000, 49)]
+        rows.append((2 * k, " ".join(text)))
+        text[24] = "changed"
+        if k % 7 == 0:
+            text[8] = "again"
+        rows.append((2 * k + 1, " ".join(text)))
+    found = {r.doc_id: r for r in ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = {k for k in range(700) if k % 7}
+    assert sum(found[2 * k + 1].class_id == 2 * k for k in linked) >= 0.995 * len(linked)
+    assert all(found[2 * k + 1].n_links == 0 for k in range(0, 700, 7))
 
 
 def test_components_of_long_chains(spark):
@@ -167,11 +190,52 @@ def test_pii_base_spans_are_the_patterns():
         assert pii.base_spans(text) == pii_reference(text), text
 
 
-def test_pii_trees_add_looser_spans_and_keep_base_ones(spark, empty):
+def test_pii_reads_long_runs_in_linear_time():
+    rows = {"9": 1_000_000, "a": 500_000, "1.": 500_000, "+1": 400_000, "a@": 400_000, " at b. at": 100_000, "1-": 400_000}
+    for piece, n in rows.items():
+        text = piece * n + ("@" if piece == "a" else "")
+        began = time.perf_counter()
+        pii.base_spans(text)
+        pii.proposals(text)
+        assert time.perf_counter() - began < 4, piece
+
+
+def sentences(rng, n):
+    words_ = ["".join(rng.choice(list("bcdfgkaeiou"), int(rng.integers(2, 9)))) for _ in range(300)]
+
+    def prose(k):
+        return " ".join(rng.choice(words_, k)).capitalize() + rng.choice([". ", ", ", "; "])
+
+    for k in range(n):
+        name = "".join(rng.choice(list("bcdfgk"), 6))
+        card = "".join(map(str, rng.integers(0, 10, 15)))
+        card += next(c for c in "0123456789" if pii.luhn(card + c))
+        data = [f"{name}.{k % 90 + 10}@mail{k % 7}.example.com", ".".join(map(str, rng.integers(1, 255, 4))), card, f"+1 ({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)}"][k % 4]
+        decoy = [f"version {k % 9}.{k % 7}.{k % 5}", f"order {rng.integers(10**15, 10**16)}", f"meet at {name}. Then", f"token {rng.integers(10**9):x}f{rng.integers(10**9)}a"][int(rng.integers(4))]
+        yield k % 4, data, prose(8), prose(6) + decoy + " " + prose(5)
+
+
+def test_pii_trees_find_rewritten_spans_of_unseen_documents(spark):
+    rng = np.random.default_rng(7)
+    seen = [f"{head}{data} {tail}" for _, data, head, tail in sentences(rng, 1600)]
+    selector = pii.fit(spark.createDataFrame(list(enumerate(seen)), "doc_id long, text string"))
+    wanted = hits = added = 0
+    for kind, data, head, tail in sentences(rng, 800):
+        for new, good in pii.rewrites(pii.KINDS[kind], data, rng):
+            text = f"{head}{new} {tail}"
+            base = pii.base_spans(text)
+            more = selector.added(text, base)
+            added += sum(map(len, more.values()))
+            if good and not any(base.values()):
+                wanted += 1
+                hits += (len(head), len(head) + len(new)) in more[pii.KINDS[kind]]
+    assert hits >= 0.9 * wanted and hits >= pii.PRECISION * added, (hits, wanted, added)
+
+
+def test_pii_finds_and_redacts_whole_texts(spark, empty):
     rng = np.random.default_rng(5)
-    names = ["".join(rng.choice(list("bcdfgk"), 6)) for _ in range(60)]
-    rows = [f"please write to {n}.{k % 90 + 10}@mail{k % 7}.example.com or call +1 (555) 555-{1000 + k} about order {k} version 2.{k}.1" for k in range(600) for n in [names[k % 60]]]
-    rows += ["contact kkgg.77 (at) mail3.example.com now", "", None, "plain words only", "w " * 30_000]
+    rows = [f"{head}{data} {tail}" for _, data, head, tail in sentences(rng, 1200)]
+    rows += ["Contact kkgg.77 (at) mail3.example.com now", "", None, "plain words only", "w " * 30_000, "call +1 (843) 555-7672 170.106.4.9 now"]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     selector = pii.fit(docs)
     found = {r.doc_id: r for r in pii.found(docs, selector).collect()}
@@ -180,11 +244,13 @@ def test_pii_trees_add_looser_spans_and_keep_base_ones(spark, empty):
         base = pii_reference(text or "")
         assert [found[i].n_email, found[i].n_ip, found[i].n_card, found[i].n_phone] == [len(base[k]) for k in pii.KINDS]
         assert found[i].base_sha256 == hashlib.sha256(pii.written(base).encode()).hexdigest()
-        assert {f"{k}:{s}:{e}" for k in base for s, e in base[k]} <= set(found[i].spans.split(","))
-    assert found[600].spans == "email:8:38"
-    assert sum(r.n_added for r in found.values()) <= 5
+        base_spans = {f"{k}:{s}:{e}" for k in base for s, e in base[k]}
+        assert base_spans <= set(found[i].spans.split(",")) and found[i].spans == pii.written({k: base[k] + selector.added(text or "", base)[k] for k in pii.KINDS})
+    assert found[1200].spans == "email:8:38"
+    # The base rule takes phone and address for one match of too many digits; the trees see the phone.
+    assert found[1205].n_phone == 0 and "phone:5:22" in found[1205].spans
     hidden = {r.doc_id: r.text for r in pii.redacted(docs, selector).collect()}
-    assert "@" not in hidden[0] and "[email]" in hidden[0] and hidden[602] is None
+    assert "@" not in hidden[0] and "[email]" in hidden[0] and hidden[1202] is None
     assert pii.found(empty, pii.fit(empty)).count() == 0
 
 
@@ -228,11 +294,36 @@ def test_substring_dedup_is_exact(docs, empty):
             if first[tuple(w[i : i + 50])] < key:
                 gone[i : i + 50] = True
         expected[key if key != -(1 << 63) else None, len(w), int(gone.sum()), " ".join(x for x, g in zip(w, gone, strict=True) if not g)] += 1
-    found = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.deduplicated(docs).collect())
+    parses = substring_dedup.deduplicated(docs).collect()
+    found = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in parses)
     assert found == expected and any(k[2] for k in found)
+    texts = defaultdict(list)
+    for key, text in rows:
+        texts[key].append(words(text))
+    own = {(r.doc_id, r.n_words, r.kept): r.factors for r in parses}
+    for key, text in rows:
+        w, gone = words(text), set()
+        key = key if key != -(1 << 63) else None
+        for f in next(v for k, v in own.items() if k[0] == key and k[1] == len(w)):
+            span = w[f.start : f.start + f.length]
+            assert f.length >= 50 and (key is not None and f.source_doc < key)
+            assert any(t[f.source_start : f.source_start + f.length] == span for t in texts[f.source_doc])
+            gone |= set(range(f.start, f.start + f.length))
+        assert (key, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)) in found
     assert substring_dedup.deduplicated(empty).count() == 0
 
 
+def test_factors_are_greedy(monkeypatch, spark):
+    a, b = [f"a{k}" for k in range(90)], [f"b{k}" for k in range(80)]
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(["x", *a[:70], *b, "y", *a[20:]])), (4, "p q " * 200), (5, "p q " * 150)]
+    for longest in (substring_dedup.LONGEST, 7):
+        monkeypatch.setattr(substring_dedup, "LONGEST_BLOCK", longest)
+        found = {r.doc_id: r for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert [tuple(f) for f in found[3].factors] == [(1, 70, 1, 0), (71, 80, 2, 0), (152, 70, 1, 20)]
+        assert found[3].kept == "x y" and found[3].n_spans == 2
+        assert found[4].n_removed == 0 and found[5].kept == ""
+
+
 def test_html_text_reads_pages_and_learns(spark):
     article = "<article><h1>Head &amp; line</h1>" + "".join(f"<p>Paragraph {k} of   the text,\n with words and <b>more</b> words.</p>" for k in range(4)) + "</article>"
     pages = [(k, f"u{k}", f'<html><head><title>t{k}</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="/">Home {k}</a></li><li><a href="/b">Page</a></li></ul></nav><div class="ad">Buy {k} now.</div>{article}<footer>&copy; site {k}</footer></body></html>') for k in range(120)]
@@ -241,7 +332,7 @@ def test_html_text_reads_pages_and_learns(spark):
     found = {r.page_id: r.text for r in html_text.extracted(df, html_text.fit(df)).collect()}
     expected = "\n".join(["Head & line"] + [f"Paragraph {k} of the text, with words and more words." for k in range(4)])
     assert all(found[k] == expected for k in range(120)) and found[None] == expected and found[503] == expected
-    assert found[500] == "" and found[501] == ""
+    assert found[500] == "" and found[501] == "" and found[502] in ("", "unclosed")
     nothing = df.limit(0)
     assert html_text.extracted(nothing, html_text.fit(nothing)).count() == 0
 
@@ -262,6 +353,34 @@ def test_html_text_skips_closed_silent_elements_only(name):
     assert [b.text for b in html_text.page_blocks(f"<body><{name}>{article}<{name}>no</{name}><p>Last.</p>")] == ["The article.", "Last."]
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ('<p class="a"">Body</p>', ["Body"]),
+        ("<p class='a''>Body</p>", ["Body"]),
+        ('<p title="a > b">Body</p>', ["Body"]),
+        ("<p title = 'a > b' x>Body</p>", ["Body"]),
+        ("<p it's>Body</p><p>5' 3\" tall</p>", ["Body", "5' 3\" tall"]),
+        ("<p>Body</p><p unclosed <div", ["Body"]),
+        ("<p unclosed <div>Body", ["Body"]),
+        ("<p>a < b and c <d</p>", ["a < b and c"]),
+        ("<p>x</ p>y</></p>z", ["xy", "z"]),
+        ('<p>Body</p><a href="x', ["Body"]),
+        ("<p>Body</p><!-- never closed <p>x", ["Body"]),
+        ("<p>&amp;lt; &#65;&nbsp;b</p>", ["&lt; A b"]),
+    ],
+)
+def test_html_text_reads_broken_tags_as_browsers_do(page, texts):
+    assert [b.text for b in html_text.page_blocks(page)] == texts
+
+
+def test_html_text_reads_long_broken_tags_in_linear_time():
+    for page in ("<a " * 200_000, '<a b="' * 200_001, "<a b='c' " * 100_000, "<" * 500_000, "</" * 200_000, "<!--" * 100_000, "<p a=" * 200_000):
+        began = time.perf_counter()
+        html_text.page_blocks(page)
+        assert time.perf_counter() - began < 4, page[:9]
+
+
 def test_html_text_raw_elements_reach_to_their_end_tag_or_the_page_end():
     assert [b.text for b in html_text.page_blocks("<p>a</p><script src='x'/>no</script><p>b</p><style>no <p>no</p>")] == ["a", "b"]
     assert [b.text for b in html_text.page_blocks("<header><svg><title/><path d='m'/></header><p>b</p>")] == ["b"]
@@ -311,6 +430,8 @@ def test_toxicity_is_accurate_on_unseen_documents(spark, empty):
     assert right >= 0.97
     kept = toxicity.clean(docs, chain)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, r in found.items() if not r.toxic}
+    unknown = toxicity.fit(docs, known.limit(0))
+    assert not any(r.toxic for r in toxicity.scored(docs, unknown).collect()) and toxicity.clean(docs, unknown).count() == docs.count()
     none = toxicity.fit(empty, known)
     assert toxicity.scored(empty, none).count() == 0 and not any(r.toxic for r in toxicity.scored(docs, none).collect())
 
@@ -348,8 +469,17 @@ def test_line_dedup_takes_nulls_repeats_and_empty_tables(docs, empty):
     assert out.columns == docs.columns
     assert line_dedup.kept_texts(docs, line_dedup.keep_bitmaps(docs)).count() == docs.count()
     assert line_dedup.deduplicated(empty).count() == 0
-    bits = np.array([1, 0, 1, 1, 0, 0, 0, 1, 1], bool)
-    assert (line_dedup.unpacked_bits(line_dedup.packed_bits(bits), 9) == bits).all()
+    spark = docs.sparkSession
+    clash = spark.createDataFrame([(1, "a\nb", "mine", "mine", 3)], "doc_id long, text string, text_ string, doc_ string, n_lines_ int")
+    assert [tuple(r) for r in line_dedup.deduplicated(clash).collect()] == [(1, "a\nb", "mine", "mine", 3)]
+
+
+def test_keep_bitmaps_are_runs(spark):
+    cases = {"3": (3, []), "0,2,1": (3, [1, 0]), "2,1": (3, [2]), "1,1,1,1": (4, [1, 3]), "0,3": (3, [0, 2, 1]), "0,1,1,2": (4, [0, 2, 3])}
+    rows = spark.createDataFrame([(k, *v) for k, v in cases.items()], "want string, n long, lost array<long>")
+    for r in rows.withColumn("got", line_dedup.bitmap_runs(F.col("lost"), F.col("n"))).collect():
+        assert r.got == r.want
+        assert line_dedup.kept_lines(list("abcd")[: r.n], r.got) == [c for i, c in enumerate("abcd"[: r.n]) if i not in r.lost]
 
 
 def test_media_round_trip(docs, empty):
@@ -376,10 +506,10 @@ def test_media_formats_resizing_and_hashes(spark):
     fine = np.kron(image, np.ones((3, 4)))
     expected = fine.reshape(3, 11, 4, 13).mean((1, 3))
     assert np.allclose(media.area_resize(image, 3, 4), expected)
-    rows = spark.createDataFrame([(1, media.encode_bmp(rgb)), (2, None), (3, b"junk"), (4, b"P6 2 2 255\nx"), (5, b"")], "k long, media binary")
+    rows = spark.createDataFrame([(1, media.encode_bmp(rgb)), (2, None), (3, b"junk"), (4, b"P6 2 2 255\nx"), (5, b""), (6, b"P6 99999999999999999999999 9 255"), (7, b"P2 1 1 255 300"), (8, b"P5 9 9 99999999 x"), (9, b"BM" + b"\xff" * 60)], "k long, media binary")
     out = {r.k: r for r in media.media_tiles(rows, "k", "media").collect()}
     assert out[1].ok and (out[1].height, out[1].width) == (7, 5) and out[1].tile[:6] == b"\x93NUMPY"
-    assert not any(out[k].ok for k in (2, 3, 4, 5))
+    assert not any(out[k].ok for k in range(2, 10))
 
 
 def test_quality_counts_are_exact(docs, empty):
@@ -440,6 +570,42 @@ def test_mixing_takes_the_targets(docs, empty):
     assert mixing.mixed(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_mixing_takes_what_a_plain_version_takes(docs):
+    """The stream of each source, its blocks and its slots, word by word."""
+    block = 16
+    sized = mixing.sized_rows(docs, "doc_id", "text", "source")
+    plan = mixing.source_plan(sized, block, mixing.SHARE, mixing.MOST, mixing.WEIGHTS, mixing.SEED)
+    placed = mixing.placed(sized, plan).collect()
+    expected = Counter()
+    for p in plan:
+        stream = {}
+        for i, r in enumerate(placed):
+            if r.source_no == p["source_no"]:
+                stream |= {r.offset + k: i for k in range(r["size"])}
+        assert sorted(stream) == list(range(p["source_size"]))
+        took = Counter()
+        for k in range(p["slots"]):
+            b = int(mixing.permuted(np.array([k % p["blocks"]]), p["blocks"], p["key"])[0])
+            n = p["last_words"] if k == p["slots"] - 1 and p["last_words"] else block
+            took.update(stream[w] for w in range(b * block, min(b * block + n, p["source_size"])))
+        for i, r in enumerate(placed):
+            if r.source_no == p["source_no"]:
+                expected[r.key, r["size"], p["source_size"], p["target"], took[i]] += 1
+    assert Counter(tuple(r) for r in mixing.mixed(docs, block=block, shards=5).select("doc_id", "size", "source_size", "target", "taken").collect()) == expected
+
+
+def test_mixed_documents_of_one_id_come_from_their_own_source(spark):
+    rows = [(1, " ".join(f"{s}{k}" for k in range(64)), s, "mine", "mine") for s in "ab"] + [(2, " ".join(f"{s}{k}" for k in range(64)), s, "x", "y") for s in "ab"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, place string, copy string")
+    out = mixing.mixed_documents(df, block=16)
+    assert out.columns == df.columns
+    taken = Counter()
+    for r in out.collect():
+        assert all(w[0] == r.source for w in words(r.text)) and (r.place, r["copy"]) == (("mine", "mine") if r.doc_id == 1 else ("x", "y"))
+        taken[r.source] += len(words(r.text))
+    assert [taken["a"], taken["b"]] == [int(t) for t in mixing.targets([128.0, 128.0])]
+
+
 def test_mixed_documents_hold_the_words_taken(docs):
     taken = sum(r.taken for r in mixing.mixed(docs, block=16).collect())
     out = mixing.mixed_documents(docs, block=16)
