@@ -120,7 +120,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT doc_id, pos, line, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
             FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), E'\n') AS l FROM documents))
         ),
-        common AS (SELECT k, max(doc_id) AS keeper FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3)
+        common AS (SELECT k, max(doc_id) AS keeper FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
         judged AS (SELECT doc_id, pos, line, c.k IS NOT NULL AND doc_id <> keeper AS gone FROM lines LEFT JOIN common c USING (k)),
         runs AS (SELECT doc_id, gone, min(pos) AS at, count(*) AS n FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, gone ORDER BY pos) AS run FROM judged) GROUP BY doc_id, gone, run),
         bits AS (SELECT doc_id, (CASE WHEN bool_or(gone AND at = 1) THEN '0,' ELSE '' END) || string_agg(n, ',' ORDER BY at) AS bitmap FROM runs GROUP BY 1)
