@@ -122,8 +122,8 @@ ORACLE_SQL: dict[str, str] = {
         ),
         common AS (SELECT k, max(doc_id) AS keeper FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
         judged AS (SELECT doc_id, pos, line, c.k IS NOT NULL AND doc_id <> keeper AS gone FROM lines LEFT JOIN common c USING (k)),
-        runs AS (SELECT doc_id, gone, min(pos) AS at, count(*) AS n FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, gone ORDER BY pos) AS run FROM judged) GROUP BY doc_id, gone, run),
-        bits AS (SELECT doc_id, (CASE WHEN bool_or(gone AND at = 1) THEN '0,' ELSE '' END) || string_agg(n, ',' ORDER BY at) AS bitmap FROM runs GROUP BY 1)
+        runs AS (SELECT doc_id, gone, min(pos) AS head, count(*) AS n FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, gone ORDER BY pos) AS run FROM judged) GROUP BY doc_id, gone, run),
+        bits AS (SELECT doc_id, (CASE WHEN bool_or(gone AND head = 1) THEN '0,' ELSE '' END) || string_agg(n, ',' ORDER BY head) AS bitmap FROM runs GROUP BY 1)
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, E'\n' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256, any_value(bitmap) AS bitmap
         FROM judged JOIN bits USING (doc_id) GROUP BY doc_id
     """,
