@@ -1,20 +1,23 @@
 """Threshold queries over distances, certified by block bounds.
 
-Blocks of frames are summarised by bounding volumes in one aggregation. Bounds on the distance decide most blocks; exact
-distances are computed only for frames of undecided blocks, found by a semi-join on the block. A null verdict means UNKNOWN, so
-SQL's three-valued logic is the query's logic.
+Blocks of frames are summarised by the bounding volumes of both groups in one aggregation, without a join. Bounds on the distance
+decide most blocks; exact distances are computed only for frames of undecided blocks, found by a semi-join on the block. A null
+verdict means UNKNOWN, so SQL's three-valued logic is the query's logic.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitframe.functions import geometry as g
+from orbitframe.operators.graphs import stored
 
 BLOCK = 10
-#: Queries of one screen; they are sent to all tasks.
-MOST_QUERIES = 10_000
 OPS = ("<", "<=", ">", ">=")
 LENGTH_UNITS = {"angstrom": 1.0, "nm": 10.0}
 
@@ -66,24 +69,43 @@ def block_pairs(bounds: DataFrame, first: int = 0, second: int = 1) -> DataFrame
     return sides[0].join(sides[1], keys)
 
 
-def _box(side: str) -> tuple[g.Vec, g.Vec]:
-    low, high = (tuple(F.col(f"{side}.{e}_{n}") for n in "xyz") for e in ("min", "max"))
-    return g.scale(g.add(low, high), 0.5), g.scale(g.sub(high, low), 0.5)
+def block_bounds(coords: DataFrame, size: int = BLOCK, model: str = "aabb", periodic: bool = True, first: int = 0, second: int = 1, frames: bool = False) -> DataFrame:
+    """traj_id, block_id, frame_start, frame_end of the first group, lower, upper: one aggregation holds the bounds of both groups.
+    A block without one of the groups has null bounds. With frames, also the block's frames, of any group."""
+    names = [f"p{i}" for i in range(7)] if model == "kdop" else list("xyz")
+    rows = in_blocks(coords, size)
+    if model == "kdop":
+        rows = rows.withColumns(dict(zip(names, g.projections(g.vec()), strict=True)))
+    mine = {"a": F.col("group_id") == first, "b": F.col("group_id") == second}
+    ends = [f(F.when(c, F.col(n))).alias(f"{e}_{side}{n}") for side, c in mine.items() for n in names for f, e in ((F.min, "min"), (F.max, "max"))]
+    cell = [f(F.when(mine["a"], F.col(n))).alias(f"{n}{tail}") for n in ("lx", "ly", "lz") for f, tail in ((F.min, ""), (F.max, "_max"))] if periodic and model == "aabb" else []
+    start = F.when(mine["a"], F.col("frame"))
+    every = [F.collect_set("frame").alias("frames")] if frames else []
+    out = rows.groupBy("traj_id", "block_id").agg(F.min(start).alias("frame_start"), (F.max(start) + 1).alias("frame_end"), *ends, *cell, *every)
 
+    def side(n: str, e: str) -> list[Column]:
+        return [F.col(f"{e}_{n}{m}") for m in names]
 
-def block_verdicts(coords: DataFrame, tau: float, op: str = "<", size: int = BLOCK, model: str = "aabb", periodic: bool = True, first: int = 0, second: int = 1) -> DataFrame:
-    """traj_id, block_id, frame_start, frame_end, lower, upper, verdict. A cell that varies leaves its blocks undecided."""
     if model == "kdop":
-        pairs = block_pairs(block_kdop14(coords, size), first, second)
-        low, high = g.kdop_bounds(F.col("a.lows"), F.col("a.highs"), F.col("b.lows"), F.col("b.highs"))
+        low, high = g.kdop_bounds(*[F.array(*side(n, e)) for n in "ab" for e in ("min", "max")])
         varies = F.lit(False)
     else:
-        pairs = block_pairs(block_aabb(coords, size), first, second)
-        cell = tuple(F.col(f"a.l{n}") for n in "xyz") if periodic else None
-        low, high = g.box_bounds(*_box("a"), *_box("b"), cell)
-        varies = g.any_of([F.col(f"a.l{n}_max") - F.col(f"a.l{n}") > 1e-4 for n in "xyz"]) if periodic else F.lit(False)
-    out = pairs.select("traj_id", "block_id", "a.frame_start", "a.frame_end", F.when(varies, 0.0).otherwise(low).alias("lower"), F.when(~varies, high).alias("upper"))
-    return out.withColumn("verdict", decide(F.col("lower"), F.col("upper"), op, tau))
+        boxes = [(g.scale(g.add(side(n, "min"), side(n, "max")), 0.5), g.scale(g.sub(side(n, "max"), side(n, "min")), 0.5)) for n in "ab"]
+        low, high = g.box_bounds(*boxes[0], *boxes[1], tuple(F.col(f"l{n}") for n in "xyz") if periodic else None)
+        varies = g.any_of([F.col(f"l{n}_max") - F.col(f"l{n}") > 1e-4 for n in "xyz"]) if periodic else F.lit(False)
+    both = F.col(f"min_a{names[0]}").isNotNull() & F.col(f"min_b{names[0]}").isNotNull()
+    lower, upper = F.when(both & varies, 0.0).when(both, low), F.when(both & ~varies, high)
+    return out.select("traj_id", "block_id", "frame_start", "frame_end", lower.alias("lower"), upper.alias("upper"), *(["frames"] if frames else []))
+
+
+def with_verdict(bounds: DataFrame, tau: float, op: str = "<") -> DataFrame:
+    return bounds.withColumn("verdict", decide(F.col("lower"), F.col("upper"), op, tau))
+
+
+def block_verdicts(coords: DataFrame, tau: float, op: str = "<", size: int = BLOCK, model: str = "aabb", periodic: bool = True, first: int = 0, second: int = 1) -> DataFrame:
+    """traj_id, block_id, frame_start, frame_end, lower, upper, verdict of the blocks that hold both groups. A cell that varies leaves
+    its blocks undecided."""
+    return with_verdict(block_bounds(coords, size, model, periodic, first, second).filter("lower is not null"), tau, op)
 
 
 def pair_min_distance(coords: DataFrame, first: int = 0, second: int = 1, periodic: bool = True) -> DataFrame:
@@ -106,12 +128,14 @@ def exact_frames(coords: DataFrame, verdicts: DataFrame, tau: float, op: str = "
 
 
 def frame_truth(coords: DataFrame, tau: float, op: str = "<", size: int = BLOCK, model: str = "aabb", periodic: bool = True) -> DataFrame:
-    """The truth of every frame, from its block's verdict or else by distance."""
-    verdicts = block_verdicts(coords, tau, op, size, model, periodic)
-    frames = in_blocks(coords, size).select("traj_id", "frame", "block_id").distinct()
-    exact = exact_frames(coords, verdicts, tau, op, size).select("traj_id", "frame", "truth")
-    out = frames.join(verdicts.select("traj_id", "block_id", "verdict"), ["traj_id", "block_id"], "left").join(exact, ["traj_id", "frame"], "left")
-    return out.select("traj_id", "frame", "block_id", F.coalesce("verdict", "truth").alias("truth"), F.col("verdict").isNotNull().alias("certified"))
+    """The truth of every frame, from its block's verdict or else by distance. The few rows of blocks are stored; the coordinates are
+    read twice, for the bounds and for the frames of undecided blocks."""
+    blocks = stored(with_verdict(block_bounds(coords, size, model, periodic, frames=True), tau, op))
+    exact = exact_frames(coords, blocks, tau, op, size).select("traj_id", "frame", "truth")
+    open_ = blocks.filter("verdict is null").select("traj_id", "block_id", F.explode("frames").alias("frame")).join(exact, ["traj_id", "frame"], "left")
+    sure = blocks.filter("verdict is not null").select("traj_id", "block_id", F.explode("frames").alias("frame"), F.col("verdict").alias("truth"))
+    columns = ["traj_id", "frame", "block_id", "truth"]
+    return sure.select(*columns, F.lit(True).alias("certified")).unionByName(open_.select(*columns, F.lit(False).alias("certified")))
 
 
 def episodes(series: DataFrame, flag: str = "truth") -> DataFrame:
@@ -139,13 +163,14 @@ def duration_verdicts(series: DataFrame, duration: float, dt: float, flag: str =
     if not 0 < dt < float("inf"):
         return trajectories.withColumns({"longest": F.lit(0).cast("long"), "possible": F.lit(0).cast("long"), "verdict": F.lit(None).cast("boolean"), "resolution": F.lit("UNRESOLVABLE_SAMPLING")})
     need = needed_frames(duration, dt)
-
-    def longest(rows: DataFrame, name: str) -> DataFrame:
-        return episodes(rows, "f").groupBy("traj_id").agg(F.max(F.col("k_e") - F.col("k_s")).alias(name))
-
-    sure = longest(series.select("traj_id", "frame", F.coalesce(flag, F.lit(False)).alias("f")), "longest")
-    open_ = longest(series.select("traj_id", "frame", F.coalesce(flag, F.lit(True)).alias("f")), "possible")
-    out = trajectories.join(sure, "traj_id", "left").join(open_, "traj_id", "left").fillna(0, ["longest", "possible"])
+    # Both kinds of runs in one sort: a run is as long as the way back to the last frame that breaks it, or to a gap.
+    w = Window.partitionBy("traj_id").orderBy("frame")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = series.select("traj_id", "frame", F.col(flag).alias("f"), F.row_number().over(w).cast("long").alias("pos"), (F.col("frame") - F.lag("frame").over(w) != 1).alias("gap"))
+    kinds = {"longest": F.coalesce("f", F.lit(False)), "possible": F.coalesce("f", F.lit(True))}
+    breaks = {name: F.max(F.when(~good, F.col("pos")).when(F.col("gap"), F.col("pos") - 1)).over(so_far) for name, good in kinds.items()}
+    rows = rows.withColumns({name: F.col("pos") - F.coalesce(at, F.lit(0)) for name, at in breaks.items()})
+    out = rows.groupBy("traj_id").agg(*[F.max(name).alias(name) for name in kinds])
     if continuous and duration < dt:
         return out.withColumns({"verdict": F.lit(None).cast("boolean"), "resolution": F.lit("UNSUPPORTED_SEMANTICS")})
     verdict = F.when(F.col("longest") >= need, True).when(F.col("possible") < need, False)
@@ -164,7 +189,7 @@ def query_verdict(series: DataFrame, quantifier: str = "EXISTS", duration: float
 
 def evidence_table(coords: DataFrame, tau: float, op: str = "<", size: int = BLOCK, dt: float = 10.0) -> DataFrame:
     """One row per block: bounds, times in ns, status CERTIFIED_TRUE, CERTIFIED_FALSE, EXACT_TRUE, EXACT_FALSE or REFINED."""
-    verdicts = block_verdicts(coords, tau, op, size)
+    verdicts = stored(block_verdicts(coords, tau, op, size))
     exact = exact_frames(coords, verdicts, tau, op, size).withColumn("block_id", F.floor(F.col("frame") / size))
     exact = exact.groupBy("traj_id", "block_id").agg(F.bool_and("truth").alias("every"), F.bool_or("truth").alias("some"))
     status = F.when(F.col("verdict"), "CERTIFIED_TRUE").when(~F.col("verdict"), "CERTIFIED_FALSE").when(F.col("every"), "EXACT_TRUE").when(~F.col("some"), "EXACT_FALSE").otherwise("REFINED")
@@ -214,12 +239,30 @@ def refine_dyadic(coords: DataFrame, tau: float, op: str = "<", size: int = 16)
 
 
 def batch_screen(coords: DataFrame, queries: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Counts of blocks by verdict for a table of (query_id, tau), over one pass of bounds; at most MOST_QUERIES of them."""
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries at once")
-    bounds = block_verdicts(coords, 0.0, "<", size).select("traj_id", "lower", "upper")
-    rows = bounds.crossJoin(F.broadcast(queries)).withColumn("v", F.when(F.col("upper") < F.col("tau"), True).when(F.col("lower") >= F.col("tau"), False))
-    return rows.groupBy("query_id").agg(F.count_if("v").alias("n_true"), F.count_if(~F.col("v")).alias("n_false"), F.count_if(F.col("v").isNull()).alias("n_unknown"))
+    """Counts of blocks by verdict for a table of (query_id, tau), over one pass of bounds.
+
+    The distinct thresholds go sorted to the tasks. There a block is no pair with each of them: its bounds are placed among them by
+    binary search, places are counted, and running sums over the places give the counts of every threshold.
+    """
+    taus = np.sort(queries.select("tau").distinct().toArrow()["tau"].to_numpy())
+    bounds = block_bounds(coords, size).filter("lower is not null").select("lower", "upper")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, len(taus) + 1), np.int64)
+        for b in batches:
+            low, high = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            for n, at in zip(counts, (np.searchsorted(taus, low, "right"), np.searchsorted(taus, high[~np.isnan(high)], "right")), strict=True):
+                n += np.bincount(at, minlength=len(taus) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(taus) + 1)), *map(pa.array, counts)], ["place", "n_low", "n_high"])
+
+    counted = bounds.mapInArrow(place, "place long, n_low long, n_high long").groupBy("place").agg(F.sum("n_low").alias("n_low"), F.sum("n_high").alias("n_high"))
+    # A threshold at place p is above the bounds placed up to p and not above the others. One row per distinct threshold.
+    t = counted.toPandas().set_index("place").reindex(range(len(taus) + 1), fill_value=0)
+    below, true = t["n_low"].cumsum().to_numpy(), t["n_high"].cumsum().to_numpy()
+    total = int(t["n_low"].sum())
+    rows = [(float(tau), int(true[i]), total - int(below[i]), int(below[i] - true[i])) for i, tau in enumerate(taus)]
+    found = coords.sparkSession.createDataFrame(rows, "tau double, n_true long, n_false long, n_unknown long")
+    return queries.join(found, "tau").select("query_id", "n_true", "n_false", "n_unknown")
 
 
 def plan_compare(counts: DataFrame, scan_cost: float = 1.0, index_cost: float = 1.2, bound_cost: float = 0.02) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbitframe.functions.geometry import r6
+from orbitframe.operators.graphs import stored
 from orbitframe.plans import certified as c
 from orbitframe.sources import views as v
 from orbitframe.sources.views import sql
@@ -21,6 +22,29 @@ def _truth(spark: SparkSession, sf: str) -> DataFrame:
     return c.frame_truth(v.tl(spark, sf), TAU)
 
 
+def _flipped(spark: SparkSession, sf: str) -> DataFrame:
+    """A series of truths that is wrong in some frames."""
+    return _truth(spark, sf).withColumn("truth", F.when(F.col("frame") % 97 == 5, ~F.col("truth")).otherwise(F.col("truth")))
+
+
+def _quantified(spark: SparkSession, sf: str) -> DataFrame:
+    series = stored(_truth(spark, sf))
+    parts = [c.query_verdict(series, kind, 50.0).withColumn("quantifier", F.lit(kind)) for kind in ("EXISTS", "FORALL", "DURATION")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _broken(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence with a fault of each kind."""
+    rows, k = c.evidence_table(v.tl(spark, sf), TAU), F.col("block_id") % 50
+    return rows.withColumns({
+        "verdict": F.when(k == 7, ~F.coalesce("verdict", F.lit(False))).otherwise(F.col("verdict")),
+        "frame_start": F.col("frame_start") + (k == 13).cast("int"),
+        "frame_end": F.col("frame_end") + (k == 21).cast("int"),
+        "lower": F.when(k == 33, F.lit(-1.0)).otherwise(F.col("lower")),
+        "upper": F.when(k == 41, F.col("lower") / 2).otherwise(F.col("upper")),
+    })
+
+
 BOUNDS = [f"{e}_{n}" for n in "xyz" for e in ("min", "max")]
 QUERIES = {
     "block_aabb": lambda s, d: _rounded(c.block_aabb(v.tl(s, d)).select("traj_id", "group_id", "block_id", "frame_start", "frame_end", *BOUNDS), *BOUNDS),
@@ -33,14 +57,14 @@ QUERIES = {
     "prune_semi_join": lambda s, d: _rounded(c.prune_semi_join(v.tl(s, d), c.block_verdicts(v.tl(s, d), TAU)).select("traj_id", "frame", "block_id", "atom_id", "x"), "x"),
     "exact_frames": lambda s, d: _rounded(c.exact_frames(v.tl(s, d), c.block_verdicts(v.tl(s, d), TAU), TAU), "d_min"),
     "frame_truth": _truth,
-    "oracle_diff": lambda s, d: _truth(s, d).join(c.pair_min_distance(v.tl(s, d)), ["traj_id", "frame"]).filter(F.col("truth") != (F.col("d_min") < TAU)).select("traj_id", "frame", "truth"),
+    "oracle_diff": lambda s, d: _flipped(s, d).join(c.pair_min_distance(v.tl(s, d)), ["traj_id", "frame"]).filter(F.col("truth") != (F.col("d_min") < TAU)).select("traj_id", "frame", "truth"),
     "witness_intervals": lambda s, d: c.episodes(_truth(s, d)),
-    "query_verdict": lambda s, d: c.query_verdict(_truth(s, d), "EXISTS").withColumn("quantifier", F.lit("EXISTS")).unionByName(c.query_verdict(_truth(s, d), "FORALL").withColumn("quantifier", F.lit("FORALL"))).unionByName(c.query_verdict(_truth(s, d), "DURATION", 50.0).withColumn("quantifier", F.lit("DURATION"))),
+    "query_verdict": _quantified,
     "quantifier_exists": lambda s, d: c.block_verdicts(v.tl(s, d), TAU).groupBy("traj_id").agg(c.exists_(F.col("verdict")).alias("verdict")),
     "quantifier_forall": lambda s, d: c.block_verdicts(v.tl(s, d), TAU).groupBy("traj_id").agg(c.forall_(F.col("verdict")).alias("verdict")),
     "evidence_table": lambda s, d: _rounded(c.evidence_table(v.tl(s, d), TAU), "lower", "upper", "t_start_ns", "t_end_ns"),
     "evidence_counts": lambda s, d: _rounded(c.evidence_counts(c.evidence_table(v.tl(s, d), TAU)), "pruned_percent", "io_pruned"),
-    "verify_evidence": lambda s, d: c.verify_evidence(c.evidence_table(v.tl(s, d), TAU), TAU),
+    "verify_evidence": lambda s, d: c.verify_evidence(_broken(s, d), TAU),
     "refine_dyadic": lambda s, d: c.refine_dyadic(v.tl(s, d), TAU).groupBy("traj_id", "size").agg(F.count(F.lit(1)).alias("n"), F.count_if("verdict").alias("n_true"), F.count_if(~F.col("verdict")).alias("n_false")),
     "batch_screen": lambda s, d: c.batch_screen(v.tl(s, d), s.range(150).select(F.col("id").alias("query_id"), (1.0 + F.col("id") * 0.2).alias("tau"))),
     "plan_compare": lambda s, d: _rounded(c.plan_compare(c.evidence_counts(c.evidence_table(v.tl(s, d), TAU))), "direct", "indexed"),
@@ -51,9 +75,9 @@ QUERIES = {
 
 
 def _ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """A chain per order: each line's digest covers the one before it, by a running fold over the ordered lines."""
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
-    lines = v.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("ledger_id"), F.row_number().over(w).alias("seq"), F.col("l_partkey").cast("string").alias("body"))
+    """A chain per order, each line's digest covering the one before it; in some orders a body is changed, in others a line is gone."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+    lines = v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("ledger_id"), F.row_number().over(w).alias("seq"), F.col("l_partkey").cast("string").alias("body"))
     rows = lines.groupBy("ledger_id").agg(F.array_sort(F.collect_list(F.struct("seq", "body"))).alias("rows"))
 
     def link(acc, row):
@@ -62,7 +86,9 @@ def _ledger(spark: SparkSession, sf: str) -> DataFrame:
         return F.concat(acc, F.array(F.struct(row["seq"].alias("seq"), row["body"].alias("body"), prev.alias("prev"), digest.alias("digest"))))
 
     empty = F.array().cast("array<struct<seq:int,body:string,prev:string,digest:string>>")
-    return rows.select("ledger_id", F.inline(F.aggregate("rows", empty, link)))
+    chained = rows.select("ledger_id", F.inline(F.aggregate("rows", empty, link)))
+    changed = chained.withColumn("body", F.when((F.col("ledger_id") % 10 == 3) & (F.col("seq") == 1), "0").otherwise(F.col("body")))
+    return changed.filter(~((F.col("ledger_id") % 10 == 7) & (F.col("seq") == 2)))
 
 
 def _axis(n: str) -> tuple[str, str]:
@@ -119,7 +145,7 @@ ORACLE_SQL = {
     "prune_semi_join": sql("TL", f"{_BV} SELECT t.traj_id, frame, frame // 10 AS block_id, atom_id, round(x, 6) AS x FROM TL t JOIN V v ON v.traj_id = t.traj_id AND v.block_id = frame // 10 WHERE verdict IS NULL"),
     "exact_frames": sql("TL", f"{_BV}, {_MIN} SELECT d.traj_id, frame, {_r('d_min')}, d_min < 4 AS truth FROM D d JOIN V v ON v.traj_id = d.traj_id AND v.block_id = frame // 10 WHERE verdict IS NULL"),
     "frame_truth": sql("TL", f"{_BV}, {_MIN}, {_FT} SELECT * FROM FT"),
-    "oracle_diff": sql("TL", "SELECT traj_id, frame, true AS truth FROM TL WHERE false"),
+    "oracle_diff": sql("TL", f", {_MIN} SELECT traj_id, frame, d_min >= 4 AS truth FROM D WHERE frame % 97 = 5"),
     "witness_intervals": sql("TL", f"{_BV}, {_MIN}, {_FT}, {_EP} SELECT * FROM EP"),
     "query_verdict": sql("TL", f"""{_BV}, {_MIN}, {_FT}, {_EP} SELECT traj_id, bool_or(truth) AS verdict, 'COMPLETE' AS resolution, 'EXISTS' AS quantifier FROM FT GROUP BY 1
         UNION ALL SELECT traj_id, bool_and(truth), 'COMPLETE', 'FORALL' FROM FT GROUP BY 1
@@ -128,12 +154,16 @@ ORACLE_SQL = {
     "quantifier_forall": sql("TL", f"{_BV} SELECT traj_id, CASE WHEN NOT bool_and(verdict) THEN false WHEN count(*) FILTER (verdict IS NULL) = 0 THEN true END AS verdict FROM V GROUP BY 1"),
     "evidence_table": sql("TL", f"{_BV}, {_MIN}, {_ET} SELECT traj_id, block_id, frame_start, frame_end, {_r('lower', 'upper', 't_start_ns', 't_end_ns')}, verdict, status FROM ET"),
     "evidence_counts": sql("TL", f"{_BV}, {_MIN}, {_ET}, {_EC} SELECT * REPLACE (round(pruned_percent, 6) AS pruned_percent, round(io_pruned, 6) AS io_pruned) FROM EC"),
-    "verify_evidence": sql("TL", "SELECT traj_id, frame AS block_id, '' AS violation FROM TL WHERE false"),
+    "verify_evidence": sql("TL", f"""{_BV}, {_MIN}, {_ET}, X AS (SELECT traj_id, block_id, frame_start + (block_id % 50 = 13)::INTEGER AS s, frame_end + (block_id % 50 = 21)::INTEGER AS e, CASE WHEN block_id % 50 = 33 THEN -1 ELSE lower END AS l,
+        CASE WHEN block_id % 50 = 41 THEN lower / 2 ELSE upper END AS u, CASE WHEN block_id % 50 = 7 THEN NOT coalesce(verdict, false) ELSE verdict END AS v FROM ET),
+        Y AS (SELECT *, lag(e) OVER (PARTITION BY traj_id ORDER BY s) AS b, CASE WHEN u < 4 THEN true WHEN l >= 4 THEN false END AS i FROM X)
+        SELECT traj_id, block_id, 'verdict not implied' AS violation FROM Y WHERE v IS DISTINCT FROM i UNION ALL SELECT traj_id, block_id, 'bounds out of order' FROM Y WHERE l > u UNION ALL SELECT traj_id, block_id, 'negative bound' FROM Y WHERE l < 0
+        UNION ALL SELECT traj_id, block_id, 'gap' FROM Y WHERE s > b UNION ALL SELECT traj_id, block_id, 'overlap' FROM Y WHERE s < b UNION ALL SELECT traj_id, block_id, 'first block missing' FROM Y WHERE b IS NULL AND s <> 0"""),
     "refine_dyadic": sql("TL", ", " + ", ".join(f"{_bounds(n, f'B{n}', 'TL' if n == 16 else f'T{n}')}, {_verdicts(f'V{n}', f'B{n}')}" + (f", T{n // 2} AS (SELECT t.* FROM {'TL' if n == 16 else f'T{n}'} t JOIN V{n} v ON v.traj_id = t.traj_id AND v.block_id = frame // {n} WHERE verdict IS NULL)" if n > 1 else "") for n in (16, 8, 4, 2, 1))
         + " " + " UNION ALL ".join(f"SELECT traj_id, {n} AS size, count(*) AS n, count(*) FILTER (verdict) AS n_true, count(*) FILTER (NOT verdict) AS n_false FROM V{n} GROUP BY 1" for n in (16, 8, 4, 2, 1))),
     "batch_screen": sql("TL", f"{_BV} SELECT query_id, count(*) FILTER (upper < tau) AS n_true, count(*) FILTER (upper >= tau AND lower >= tau) AS n_false, count(*) FILTER (upper >= tau AND lower < tau) AS n_unknown FROM V, (SELECT q AS query_id, 1.0::DOUBLE + q * 0.2::DOUBLE AS tau FROM (SELECT unnest(range(150)) AS q)) GROUP BY 1"),
     "plan_compare": sql("TL", f"{_BV}, {_MIN}, {_ET}, {_EC} SELECT traj_id, 1.0::DOUBLE AS direct, round(one, 6) AS indexed, CASE WHEN one < 1 THEN ceil(1.2 / (1.0::DOUBLE - one))::BIGINT END AS break_even FROM (SELECT traj_id, 0.02::DOUBLE + (1 - pruned_percent / 100) AS one FROM EC)"),
-    "ledger_verify": "SELECT l_suppkey AS ledger_id, count(*) AS n, true AS digests_ok, true AS chain_ok FROM lineitem GROUP BY 1",
+    "ledger_verify": "SELECT l_orderkey AS ledger_id, n - (l_orderkey % 10 = 7 AND n >= 2)::INTEGER AS n, l_orderkey % 10 <> 3 OR first = '0' AS digests_ok, NOT (l_orderkey % 10 = 7 AND n >= 3) AS chain_ok FROM (SELECT l_orderkey, count(*) AS n, arg_min(l_partkey::VARCHAR, (l_linenumber, l_partkey)) AS first FROM lineitem GROUP BY 1)",
     "distance_series_stats": sql("TL", f", {_MIN} SELECT traj_id, round(avg(d_min), 6) AS mean, round(min(d_min), 6) AS min, round(max(d_min), 6) AS max, count(*) AS n FROM D GROUP BY 1"),
     "certified_query": sql("TL", f"{_BV}, {_MIN}, {_FT}, {_EP} SELECT traj_id, coalesce(max(k_e - k_s) >= 5, false) AS verdict, 'COMPLETE' AS resolution FROM (SELECT DISTINCT traj_id FROM FT) LEFT JOIN EP USING (traj_id) GROUP BY 1"),
 }

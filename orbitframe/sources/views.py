@@ -2,20 +2,71 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import wraps
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from orbitframe.operators.graphs import stored
 
 N_ATOMS, SCALE, BOX = 21, 40.0, 20.0
+_made: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def materialised(view: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The view, stored once per session and folder of tables: numbering frames is a global sort, and no part of an operator."""
+
+    @wraps(view)
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, view.__name__, sf_dir)
+        if key not in _made:
+            _made[key] = stored(view(spark, sf_dir))
+        return _made[key]
+
+    return read
+
+
+def numbered(rows: DataFrame, key: str, order: list[str], name: str = "frame") -> DataFrame:
+    """rows with their number from 0 within the key (an integer), in the order. A key's rows are spread over ranges of the order and
+    counted range by range, so that no task holds a key."""
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = rows.columns.index(key)
+    schema = StructType([*rows.schema, StructField("part", LongType()), StructField("inner", LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, n = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(place).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            sizes = np.diff(np.append(starts, len(keys)))
+            inner = np.arange(len(keys)) - np.repeat(starts, sizes)
+            if keys[0] == last:
+                inner[: sizes[0]] += n
+            last, n = keys[-1], int(inner[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(keys), part)), pa.array(inner)], schema.names)
+
+    found = stored(rows.repartitionByRange(width, key, *order).sortWithinPartitions(key, *order).mapInArrow(count, schema))
+    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = found.groupBy(key, "part").agg(F.count(F.lit(1)).alias("n")).select(key, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return found.join(sizes, [key, "part"]).withColumn(name, F.col("inner") + F.col("before")).drop("part", "inner", "before")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@materialised
 def te(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multi-atom trajectories: one row per label, frame and atom, exploded from an array column."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    frames = table(spark, sf_dir, "embeddings").select("label", (F.row_number().over(w) - 1).cast("long").alias("frame"), F.transform("embedding", lambda v: v.cast("double") * SCALE).alias("e"))
+    vectors = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.transform("embedding", lambda v: v.cast("double") * SCALE).alias("e"))
+    frames = numbered(vectors, "label", ["vec_id"])
     rows = frames.select(F.col("label").alias("traj_id"), "frame", (F.col("frame") * 10.0).alias("t_ps"), F.explode(F.sequence(F.lit(0), F.lit(N_ATOMS - 1))).alias("atom_id"), "e")
     at = [F.get("e", F.col("atom_id") * 3 + k) for k in range(3)]
     return rows.select("traj_id", "frame", "t_ps", "atom_id", *(c.alias(n) for c, n in zip(at, "xyz", strict=True)), *(F.lit(BOX).alias(f"l{n}") for n in "xyz"))
@@ -44,11 +95,12 @@ def te_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return te(spark, sf_dir).join(F.broadcast(te_atoms(spark)), "atom_id")
 
 
+@materialised
 def tl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long two-group trajectories: atoms 0 and 1 in group 0, atom 2 in group 1."""
     order = ["l_extendedprice", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_shipdate"]
-    traj = F.col("l_suppkey") % 16
-    rows = table(spark, sf_dir, "lineitem").select(traj.alias("traj_id"), (F.row_number().over(Window.partitionBy(traj).orderBy(*order)) - 1).cast("long").alias("frame"), F.col("l_extendedprice") / 2000, F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 10).toDF("traj_id", "frame", "a", "b", "c", "d")
+    rows = numbered(table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 16).alias("traj_id"), *order), "traj_id", order)
+    rows = rows.select("traj_id", "frame", F.col("l_extendedprice") / 2000, F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 10).toDF("traj_id", "frame", "a", "b", "c", "d")
     atoms = F.array(*[F.struct(F.lit(g).alias("group_id"), F.lit(i).alias("atom_id"), x.alias("x"), y.alias("y"), z.alias("z")) for g, i, x, y, z in ((0, 0, F.col("a"), F.col("b"), F.col("c")), (0, 1, F.col("a") + 1, F.col("b"), F.col("c")), (1, 2, F.lit(26.0), F.col("d"), F.lit(0.5)))])
     return rows.select("traj_id", "frame", F.inline(atoms)).withColumns({f"l{n}": F.lit(80.0) for n in "xyz"})
 
@@ -109,6 +161,6 @@ def sql(views: str, body: str) -> str:
     names = views.split()
     if "TF" in names:
         names = [n for n in ("TE", "ATOMS") if n not in names] + names
-    head = ", ".join(SQL[n] for n in names)
+    head = ", ".join(SQL[n].replace(" AS (", " AS MATERIALIZED (", 1) for n in names)
     body = body.strip()
     return f"WITH {head}{body}" if body.startswith(",") else f"WITH {head} {body}"
