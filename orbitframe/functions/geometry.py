@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -160,6 +161,111 @@ def kdop_bounds(min_a: Column, max_a: Column, min_b: Column, max_b: Column) -> t
     return F.greatest(norm(tuple(gaps[:3])), *gaps[3:]), norm(tuple(spans))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value written and computed once, by way of a one-element array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _numbers(*columns: Column) -> Column:
+    return F.array(*columns)
+
+
+def _entries(c: Column, n: int) -> list[Column]:
+    return [F.get(c, F.lit(i)) for i in range(n)]
+
+
+def _rows(c: Column) -> tuple[Vec, Vec, Vec]:
+    e = _entries(c, 9)
+    return tuple(e[:3]), tuple(e[3:6]), tuple(e[6:])
+
+
+def kdop_bounds_periodic(min_a: Column, max_a: Column, min_b: Column, max_b: Column, h: tuple[Vec, Vec, Vec]) -> tuple[Column, Column]:
+    """Least of both bounds over the images of the second volume: the one next to the first volume's centre, and its 26 neighbours."""
+
+    def centre(low: Column, high: Column) -> Vec:
+        return tuple((F.get(low, F.lit(i)) + F.get(high, F.lit(i))) / 2 for i in range(3))
+
+    def over_images(x: Column, near: Column) -> Column:
+        images = F.array(*[F.array(*map(F.lit, map(float, v))) for v in SHIFTS])
+
+        def shift(v: Column) -> Column:
+            place = tuple(F.get(near, F.lit(i)) + F.get(v, F.lit(i)) for i in range(3))
+            return let(_numbers(*to_cartesian(place, _rows(x["h"]))), lambda r: F.array(*projections(tuple(_entries(r, 3)))))
+
+        def bounds(by: Column) -> Column:
+            low, high = (F.zip_with(x[n], by, lambda p, s: p - s) for n in ("lb", "hb"))
+            return let(F.struct(low.alias("l"), high.alias("h")), lambda m: F.array(*kdop_bounds(x["la"], x["ha"], m["l"], m["h"])))
+
+        found = F.transform(F.transform(images, shift), bounds)
+        return let(found, lambda f: F.array(*[F.array_min(F.transform(f, lambda p, i=i: F.get(p, F.lit(i)))) for i in range(2)]))
+
+    def body(x: Column) -> Column:
+        s = to_fractional(sub(centre(x["lb"], x["hb"]), centre(x["la"], x["ha"])), _rows(x["h"]))
+        return let(_numbers(*map(F.rint, s)), lambda near: over_images(x, near))
+
+    given = F.struct(min_a.alias("la"), max_a.alias("ha"), min_b.alias("lb"), max_b.alias("hb"), _numbers(*h[0], *h[1], *h[2]).alias("h"))
+    low, high = _entries(let(given, body), 2)
+    return low, F.greatest(low, high)
+
+
+def kdop_contains(low: Column, high: Column, point: list[Column], tolerance: float = 1e-9) -> Column:
+    """Whether a point, by its seven projections, lies in all half spaces."""
+    return any_of([(p >= F.get(low, F.lit(i)) - tolerance) & (p <= F.get(high, F.lit(i)) + tolerance) for i, p in enumerate(point)], lambda a, b: a & b)
+
+
+def aabb_volume(low: Column, high: Column) -> Column:
+    """Volume of the box around a volume given by arrays of projections, of which the first three are the axes."""
+    sides = [F.greatest(F.lit(0.0), F.get(high, F.lit(i)) - F.get(low, F.lit(i))) for i in range(3)]
+    return sides[0] * sides[1] * sides[2]
+
+
+def singular_values(cell: Column) -> Column:
+    """[greatest, least] singular value of a matrix given as nine numbers: the greatest from the trigonometric root of its Gram matrix's
+    cubic, the least from the determinant and the second, which loses no digits where it is small."""
+
+    def of_gram(c: Column, q: list[Column]) -> Column:
+        xx, yy, zz, xy, xz, yz = q
+        m = (xx + yy + zz) / 3
+        spread = F.sqrt(((xx - m) ** 2 + (yy - m) ** 2 + (zz - m) ** 2 + 2 * (xy**2 + xz**2 + yz**2)) / 6)
+        return let(_numbers(m, spread), lambda t: of_shape(c, q, *_entries(t, 2)))
+
+    def of_shape(c: Column, q: list[Column], m: Column, spread: Column) -> Column:
+        k = F.when(spread > 1e-12, spread).otherwise(1.0)
+        x, y, z, xy, xz, yz = [(v - m) / k for v in q[:3]] + [v / k for v in q[3:]]
+        phi = F.acos(clamp((x * (y * z - yz * yz) - xy * (xy * z - yz * xz) + xz * (xy * yz - y * xz)) / 2)) / 3
+        return let(phi, lambda p: of_roots(c, m, m + 2 * spread * F.cos(p), m + 2 * spread * F.cos(p + 2 * math.pi / 3)))
+
+    def of_roots(c: Column, m: Column, one: Column, three: Column) -> Column:
+        pair = _numbers(F.sqrt(one), F.sqrt(F.greatest(F.lit(0.0), 3 * m - one - three)))
+        return let(pair, lambda t: F.array(F.get(t, F.lit(0)), F.abs(determinant(_rows(c))) / (F.get(t, F.lit(0)) * F.get(t, F.lit(1)))))
+
+    def body(c: Column) -> Column:
+        h = _rows(c)
+        return let(_numbers(*[dot(h[i], h[j]) for i, j in ((0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2))]), lambda q: of_gram(c, _entries(q, 6)))
+
+    return let(cell, body)
+
+
+def cell_checks(h: tuple[Vec, Vec, Vec]) -> dict[str, Column]:
+    """volume, condition, rectangular, reduced, and the status: DEGENERATE by determinant, SINGULAR by condition, NOT_REDUCED for a
+    skewed cell whose 27 images need not hold the nearest one, else OK."""
+    checks = "volume condition rectangular reduced status".split()
+
+    def body(c: Column) -> Column:
+        m = _rows(c)
+        volume = determinant(m)
+        off = [m[i][j] for i in range(3) for j in range(3) if i != j]
+        rectangular = any_of([F.abs(x) <= 1e-6 for x in off], lambda a, b: a & b)
+        reduced = (F.abs(m[1][0]) <= m[0][0] / 2 + 1e-6) & (F.abs(m[2][0]) <= m[0][0] / 2 + 1e-6) & (F.abs(m[2][1]) <= m[1][1] / 2 + 1e-6)
+        bad = ~F.coalesce(volume > 1e-12, F.lit(False)) | F.isnan(volume)
+        condition = F.when(~bad, let(singular_values(c), lambda t: F.get(t, F.lit(0)) / F.get(t, F.lit(1))))
+        status = lambda k: F.when(bad, "DEGENERATE").when(k.isNull() | (k > 1e12), "SINGULAR").when(~rectangular & ~reduced, "NOT_REDUCED").otherwise("OK")
+        return let(F.struct(condition.alias("k")), lambda k: F.struct(*[v.alias(n) for n, v in zip(checks, (volume, k["k"], rectangular, reduced, status(k["k"])), strict=True)]))
+
+    found = let(_numbers(*h[0], *h[1], *h[2]), body)
+    return {n: found[n] for n in checks}
+
+
 def r6(c: Column) -> Column:
     """Six decimals, without negative zero."""
     return F.round(c, 6) + F.lit(0.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,34 +60,99 @@ def csv_safe(c: Column) -> Column:
     return F.when(c.rlike("^[=+\\-@\\t\\r]"), F.concat(F.lit("'"), c)).otherwise(c)
 
 
-def classify_method(text: Column) -> Column:
-    t = F.lower(text)
-    rules = [("electron", "ELECTRON_MICROSCOPY"), ("x-ray", "XRAY"), ("nmr", "NMR"), ("predict", "PREDICTED")]
-    return F.coalesce(*[F.when(F.contains(t, F.lit(k)), v) for k, v in rules], F.lit("UNKNOWN"))
+#: Methods in the order in which their words are looked for.
+METHODS = {
+    "NEUTRON_DIFFRACTION": ["NEUTRON"],
+    "ELECTRON_CRYSTALLOGRAPHY": ["ELECTRON CRYSTALLOGRAPHY"],
+    "ELECTRON_MICROSCOPY": ["ELECTRON MICROSCOPY", "CRYO-EM", "CRYO EM"],
+    "SOLUTION_NMR": ["SOLUTION NMR"],
+    "SOLID_STATE_NMR": ["SOLID-STATE NMR", "SOLID STATE NMR", "SSNMR"],
+    "SOLUTION_NMR ": ["NMR"],
+    "X_RAY_DIFFRACTION": ["X-RAY", "DIFFRACTION", "SYNCHROTRON"],
+    "COMPUTED_PREDICTION": ["ALPHAFOLD", "ESMFOLD", "PREDICTION", "COMPUTED", "IN SILICO", "DEEP LEARNING"],
+}
+KINDS_OF_MODELS = {"predicted": "COMPUTED_PREDICTION", "designed": "DE_NOVO_DESIGN", "synthetic": "SYNTHETIC_BENCHMARK", "trajectory": "SYNTHETIC_BENCHMARK"}
+WITH_RESOLUTION = ["X_RAY_DIFFRACTION", "ELECTRON_MICROSCOPY", "NEUTRON_DIFFRACTION", "ELECTRON_CRYSTALLOGRAPHY"]
+WITH_RFACTOR = ["X_RAY_DIFFRACTION", "NEUTRON_DIFFRACTION"]
+
+
+def _mentions(text: Column, words: list[str]) -> Column:
+    return text.rlike("|".join(re.escape(w) for w in words))
+
+
+def classify_method(text: Column, kind: Column | None = None) -> Column:
+    """The method that made a structure, by the kind of model if it says so, else by the words of its description."""
+    t = F.upper(text)
+    kinds = [F.when(kind == k, v) for k, v in KINDS_OF_MODELS.items()] if kind is not None else []
+    return F.coalesce(*kinds, *[F.when(_mentions(t, words), name.strip()) for name, words in METHODS.items()], F.lit("UNKNOWN"))
+
+
+def first_number(text: Column) -> Column:
+    n = F.regexp_extract(text, r"([0-9]+\.?[0-9]*)", 1)
+    return F.when(n != "", n.cast("double"))
+
+
+def parse_resolution(text: Column, method: Column) -> Column:
+    """Angstrom to two places, over 0 and under 30; null for methods without a diffraction limit and for confidence scores."""
+    value = first_number(text)
+    fits = method.isin(WITH_RESOLUTION) & ~F.upper(text).rlike("PLDDT|SCORE") & (value > 0) & (value < 30)
+    return F.when(fits, F.round(value, 2))
+
+
+def parse_rfactor(text: Column, method: Column) -> Column:
+    """A fraction to four places, percent taken as such; null where it does not apply."""
+    value = first_number(text)
+    share = F.when(value > 1, value / 100).otherwise(value)
+    return F.when(method.isin(WITH_RFACTOR) & share.between(0, 1), F.round(share, 4))
+
+
+def rfactor_note(work: Column, free: Column, year: Column) -> Column:
+    """ATYPICAL if the free R-factor is under the working one, else VALID; without a free one, whether it came too early for it."""
+    return F.when(free < work, "ATYPICAL").when(free.isNotNull() & work.isNotNull(), "VALID").when(free.isNull() & (year < 1992), "PREDATES_R_FREE").when(free.isNull(), "NOT_RECORDED").otherwise("VALID")
 
 
 def parse_number(text: Column, low: float, high: float) -> Column:
     """The first number in a text, null outside the range."""
-    n = F.regexp_extract(text, r"([0-9]+(?:\.[0-9]+)?)", 1)
-    value = F.when(n != "", n.cast("double"))
+    value = first_number(text)
     return F.when(value.between(low, high), value)
 
 
-def normalize_accession(text: Column) -> Column:
-    """A four-character structure code, a protein accession or null."""
-    t = F.upper(F.trim(text))
-    return F.when(t.rlike("^[0-9][A-Z0-9]{3}$"), F.lower(t)).when(t.rlike("^([OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9]([A-Z][A-Z0-9]{2}[0-9]){1,2})$"), t)
+def normalize_accession(text: Column, kind: Column) -> Column:
+    """A structure code, a protein accession (also of a predicted model's id) or a model archive id, by kind; null if it is none.
+
+    Structure codes have four characters or are extended ones, of which only the code counts."""
+    t = F.trim(text)
+    up = F.upper(t)
+    code = F.when(up.rlike("^PDB_0000.{4}$"), F.substring(up, 9, 4)).otherwise(F.regexp_replace(up, "^PDB_", ""))
+    structure = F.when(up.rlike("^([0-9A-Z]{4}|PDB_[0-9A-Z]{4,28})$"), code)
+    protein = F.when(up.rlike("^AF-[A-Z0-9]{6,10}(-[0-9]+)?-F[0-9]+$"), F.regexp_extract(up, "^AF-(.*)-F[0-9]+$", 1)).when(up.rlike("^[A-Z0-9]{6,10}(-[0-9]+)?$"), up)
+    return F.when(kind == "structure", structure).when(kind == "protein", protein).when((kind == "archive") & t.rlike("^ma-[a-z0-9-]{1,32}$"), t)
 
 
 def classify_mutation(code: Column, wild: Column, tag: Column) -> Column:
     return F.when(tag, "EXPRESSION_TAG").when(code == wild, "WILD_TYPE").otherwise("NATURAL_VARIANT")
 
 
+#: States by the number of copies, and words that tell of software.
+OLIGOMERS = {2: "dimer", 4: "tetramer", 6: "hexamer"}
+SOFTWARE_WORDS = ["PISA", "PQS", "SOFTWARE", "PREDICTED", "ALGORITHM"]
+
+
 def oligomer_label(n: Column) -> Column:
-    names = ["monomer", "dimer", "trimer", "tetramer", "pentamer", "hexamer"]
-    return F.coalesce(*[F.when(n == i + 1, w) for i, w in enumerate(names)], F.concat(n.cast("string"), F.lit("-mer")))
+    """The state by the number of copies, monomer where none is named."""
+    return F.coalesce(*[F.when(n == k, w) for k, w in OLIGOMERS.items()], F.lit("monomer"))
+
+
+def assembly_origin(details: Column) -> Column:
+    return F.when(_mentions(F.upper(F.coalesce(details, F.lit(""))), SOFTWARE_WORDS), "software").otherwise("author")
+
+
+def stoichiometry(n: Column) -> Column:
+    return F.when(n > 1, F.concat(F.lit("A"), n.cast("string"))).otherwise("A")
 
 
-def trajectory_authenticity(engine: Column, temperature: Column, pressure: Column) -> Column:
-    real = engine.isNotNull() & temperature.between(1, 2000)
-    return F.when(F.lower(engine).isin("synthetic", "generator"), "SYNTHETIC").when(real & pressure.isNotNull(), "REAL_SIMULATION").when(real, "UNVERIFIED").otherwise("UNKNOWN")
+def trajectory_authenticity(synthetic: Column, engine: Column, temperature: Column, pressure: Column) -> Column:
+    """A real simulation names its engine and has a finite temperature or pressure on record."""
+    known = [c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in (temperature, pressure)]
+    real = (F.coalesce(engine, F.lit("")) != "") & (known[0] | known[1])
+    return F.when(F.coalesce(synthetic, F.lit(False)), "SYNTHETIC_COORDINATE_TRAJECTORY").when(real, "REAL_MD_SIMULATION").otherwise("UNKNOWN")

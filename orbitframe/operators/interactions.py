@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitframe.functions import geometry as g
-from orbitframe.operators.selection import radius_join
-from orbitframe.operators.structure import COVALENT, FRAME, VDW, lookup
+from orbitframe.operators.selection import AMINO_ACIDS, radius_join
+from orbitframe.operators.structure import COVALENT, FRAME, VDW, lookup, widest
 
 COLUMNS = ["atom_id", "residue", "resname", "name", "element", "chain", *"xyz"]
 #: Charged residues and ring residues.
 CATIONS, ANIONS = ["ARG", "LYS", "HIS"], ["ASP", "GLU"]
 RING_RESIDUES = ["PHE", "TYR", "TRP", "HIS"]
-METALS = ["ZN", "MG", "CA", "FE", "MN", "CU"]
+METALS = "FE FE2 FE3 ZN MG CA MN CU CU1 CU2 NI CO CD PB HG PT SR BA MO V W".split()
+COORDINATING = ["N", "O", "S", "CL", "F"]
+CATION_ATOMS = "NZ NH1 NH2 NE ND1 NE2".split()
+ANION_ATOMS = "OD1 OD2 OE1 OE2 OXT O1P O2P O3P O1A O2A O1D O2D".split()
+BONDING = ["N", "O", "S"]
 POLAR = ["N", "O", "F", "S"]
 
 
@@ -23,12 +27,40 @@ def near_pairs(atoms: DataFrame, radius: float) -> DataFrame:
     return radius_join(rows, rows, radius, FRAME).filter((F.col("atom_id") < F.col("atom_id_b")) & (F.col("residue") != F.col("residue_b")))
 
 
-def classify_contacts(atoms: DataFrame, radius: float = 4.5) -> DataFrame:
-    """The first rule that fits: metal, salt bridge, hydrogen bond, hydrophobic, else proximity."""
+def contact_kind(angle: Column | None = None) -> Column:
+    """The first rule that fits a pair with columns of both atoms: metal, salt bridge, hydrogen bond, hydrophobic, else proximity.
+
+    angle: degrees at the hydrogen between both atoms, null where no hydrogen is known. A known one makes the bond explicit from 120
+    degrees on, and none below; without one the bond is putative."""
     e, f, d = F.col("element"), F.col("element_b"), F.col("d")
-    charged = (F.col("resname").isin(CATIONS) & F.col("resname_b").isin(ANIONS)) | (F.col("resname").isin(ANIONS) & F.col("resname_b").isin(CATIONS))
-    kind = F.when((d <= 2.8) & (e.isin(METALS) | f.isin(METALS)), "metal").when((d <= 4.0) & charged, "salt_bridge").when((d <= 3.5) & e.isin(POLAR) & f.isin(POLAR), "hbond").when((d <= 4.5) & (e == "C") & (f == "C"), "hydrophobic").otherwise("proximity")
-    return near_pairs(atoms, radius).withColumn("kind", kind)
+
+    def of(names: list[str], *columns: str) -> list[Column]:
+        return [g.any_of([F.col(f"{c}{side}").isin(names) for c in columns]) for side in ("", "_b")]
+
+    metal = of(METALS, "element", "resname")
+    cation = [r & n for r, n in zip(of(CATIONS, "resname"), of(CATION_ATOMS, "name"), strict=True)]
+    anion = of(ANION_ATOMS, "name")
+    coordinated = F.when(metal[0], f.isin(COORDINATING)).otherwise(e.isin(COORDINATING))
+    carbon = [(c == "C") & F.col(f"name{side}").startswith("C") & ~((F.col(f"name{side}") == "C") & F.col(f"resname{side}").isin([*AMINO_ACIDS])) for c, side in ((e, ""), (f, "_b"))]
+    bond = F.when(angle.isNull(), "hbond_putative").when(angle >= 120, "hbond_explicit") if angle is not None else F.lit("hbond_putative")
+    return F.coalesce(
+        F.when((metal[0] | metal[1]) & (d <= 2.8), F.when(coordinated, "metal").otherwise("proximity")),
+        F.when((d <= 4.0) & ((cation[0] & anion[1]) | (cation[1] & anion[0])), "salt_bridge"),
+        F.when((d <= 3.5) & e.isin(BONDING) & f.isin(BONDING), bond),
+        F.when((d <= 4.5) & carbon[0] & carbon[1], "hydrophobic"),
+        F.lit("proximity"),
+    )
+
+
+def classify_contacts(atoms: DataFrame, radius: float = 4.5, hydrogens: DataFrame | None = None) -> DataFrame:
+    """Near pairs with their kind. hydrogens: (frame keys, atom_id of the atom that bears it, hx, hy, hz), one per atom at most."""
+    near = near_pairs(atoms, radius)
+    if hydrogens is None:
+        return near.withColumn("kind", contact_kind())
+    coords = [atoms.select(*FRAME, F.col("atom_id").alias(f"atom_id{side}"), *[F.col(n).alias(f"{n}{mark}") for n in "xyz"]) for side, mark in (("", "_1"), ("_b", "_2"))]
+    near = near.drop("x", "y", "z", "x_b", "y_b", "z_b").join(coords[0], [*FRAME, "atom_id"]).join(coords[1], [*FRAME, "atom_id_b"]).join(hydrogens, [*FRAME, "atom_id"], "left")
+    angle = F.when(F.col("hx").isNotNull(), g.angle(g.vec(suffix="_1"), g.vec("h"), g.vec(suffix="_2")))
+    return near.withColumn("kind", contact_kind(angle)).drop("hx", "hy", "hz")
 
 
 def interaction_fingerprint(atoms: DataFrame, ligand: Column) -> DataFrame:
@@ -83,7 +115,7 @@ def pi_stacking(found: DataFrame, reach: float = 5.5, parallel: float = 4.5) ->
 
 def steric_clashes(atoms: DataFrame, overlap: float = 0.4) -> DataFrame:
     """Pairs of atoms of different residues that overlap; the peptide bond is no clash."""
-    near = near_pairs(atoms, 2 * max(VDW.values()) - overlap)
+    near = near_pairs(atoms, 2 * widest(atoms, VDW, 1.7) - overlap)
     depth = lookup(F.col("element"), VDW, 1.7) + lookup(F.col("element_b"), VDW, 1.7) - F.col("d")
     bond = (F.col("residue_b") - F.col("residue") == 1) & (F.col("name") == "C") & (F.col("name_b") == "N")
     return near.withColumn("overlap", depth).filter((F.col("overlap") > overlap) & ~bond)
@@ -126,7 +158,7 @@ def bond_union(sources: list[DataFrame]) -> DataFrame:
 def valence_audit(bonds: DataFrame, elements: DataFrame, most: dict[str, int]) -> DataFrame:
     """Bonds per atom against the most that its element has."""
     ends = bonds.select(*FRAME, F.explode(F.array("i", "j")).alias("atom_id")).groupBy(*FRAME, "atom_id").agg(F.count(F.lit(1)).alias("valence"))
-    return ends.join(F.broadcast(elements), "atom_id").withColumn("ok", F.col("valence") <= lookup(F.col("element"), most, 8))
+    return ends.join(elements, "atom_id").withColumn("ok", F.col("valence") <= lookup(F.col("element"), most, 8))
 
 
 def hbond_series(atoms: DataFrame, donor: int, hydrogen: int, acceptor: int, cutoff: float = 3.5, least: float = 120.0) -> DataFrame:

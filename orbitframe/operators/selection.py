@@ -14,11 +14,15 @@ AMINO_ACIDS = {
     "ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I",
     "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V",
 }
-NUCLEOTIDES = {"A": "RNA", "C": "RNA", "G": "RNA", "U": "RNA", "DA": "DNA", "DC": "DNA", "DG": "DNA", "DT": "DNA"}
-SOLVENT = ["HOH", "WAT", "TIP3", "SOL"]
-IONS = ["NA", "CL", "K", "MG", "CA", "ZN", "FE", "MN", "CU"]
-BUFFERS = ["GOL", "EDO", "PEG", "SO4", "PO4", "ACT", "TRS"]
-COFACTORS = ["HEM", "NAD", "FAD", "ATP", "ADP", "GTP", "FMN"]
+MODIFIED_AMINO_ACIDS = "MSE SEC PYL UNK ASX GLX XLE PCA HYP MLY FME SEP TPO PTR CSO CME OCS KCX LLP TYS".split()
+DNA = "DA DC DG DT DI DAMP DCMP DGMP DTMP THY".split()
+RNA = "RA RC RG RU U URA PSU H2U 4SU DHU OMU".split()
+NUCLEOTIDES = [*DNA, *RNA, *"A C G I ADE CYT GUA".split(), *"5MC OMC 5MU PSU H2U 1MA 2MG 7MG M2G OMG A2M YYG 4SU DHU CH 1MG 2MA 6MA 6MI RIA MIA UR3 4PC QUO MNU".split()]
+SOLVENT = "HOH WAT H2O DOD TIP TIP3 SOL H3O OH".split()
+IONS = "ZN MG CA NA CL FE FE2 MN K CU CU1 NI CO CD PB HG PT SR BA BR IOD LI CS".split()
+BUFFERS = "PO4 SO4 CIT ACT EDO PEG DMS GOL FMT TRS MES HEPES BME DTT MPD PGE PG4 EPE".split()
+GLYCANS = "NAG MAN BMA FUC GAL GLC SIA NDG FUL A2G".split()
+COFACTORS = "HEM HEA HEB HEC NAD NAP NADP FAD FMN ATP ADP AMP ANP GTP GDP SAM SAH COA ACO PLP TPP THF BTN F420 PQQ MGD".split()
 BACKBONE = ["N", "CA", "C", "O"]
 ACID_CLASS = {"hydrophobic": list("AVLIMFWPG"), "polar": list("STNQYC"), "positive": list("KRH"), "negative": list("DE")}
 
@@ -42,7 +46,7 @@ def sel_resid(span: str) -> Column:
 
 
 def sel_class(kind: str) -> Column:
-    protein, nucleic = F.col("resname").isin([*AMINO_ACIDS]), F.col("resname").isin([*NUCLEOTIDES])
+    protein, nucleic = F.col("resname").isin([*AMINO_ACIDS]), F.col("resname").isin(NUCLEOTIDES)
     return {"protein": protein, "nucleic": nucleic, "backbone": protein & F.col("name").isin(BACKBONE), "ligand": ~protein & ~nucleic & ~F.col("resname").isin(SOLVENT)}[kind]
 
 
@@ -97,10 +101,13 @@ def altloc_canonical(atoms: DataFrame, keys: list[str], altloc: str = "altloc",
     return atoms.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(rank, altloc, order))).filter("r = 1").drop("r")
 
 
-def classify_residue(resname: Column) -> Column:
-    name = F.upper(resname)
-    rules = [(SOLVENT, "solvent"), (BUFFERS, "buffer"), (IONS, "ion"), (COFACTORS, "cofactor"), ([*NUCLEOTIDES], "nucleic"), ([*AMINO_ACIDS], "protein")]
-    return F.coalesce(*[F.when(name.isin(names), kind) for names, kind in rules], F.lit("ligand"))
+def classify_residue(resname: Column, polymer: Column | None = None) -> Column:
+    """The first list that has the residue. I is a nucleotide in a polymer and else an ion; what no list has is a ligand, or in a
+    polymer a nucleotide by its name or custom."""
+    name, polymer = F.trim(F.upper(F.coalesce(resname, F.lit("")))), F.lit(False) if polymer is None else polymer
+    rules = [(SOLVENT, "solvent"), (BUFFERS, "buffer"), (GLYCANS, "ligand"), (["I"], None), (IONS, "ion"), (COFACTORS, "cofactor"), (NUCLEOTIDES, "nucleic"), ([*AMINO_ACIDS, *MODIFIED_AMINO_ACIDS], "protein")]
+    found = [F.when(name.isin(names), F.lit(kind) if kind else F.when(polymer, "nucleic").otherwise("ion")) for names, kind in rules]
+    return F.coalesce(*found, F.when(polymer, F.when(name.rlike("^D.?$"), "nucleic").otherwise("custom")), F.lit("ligand"))
 
 
 def one_letter(resname: Column) -> Column:

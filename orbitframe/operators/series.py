@@ -160,16 +160,21 @@ def backbone_dihedrals(coords: DataFrame) -> DataFrame:
 
 
 def secondary_structure(phi: Column, psi: Column) -> Column:
-    inside = lambda c, a, b: (c >= a) & (c <= b)
-    return F.when(phi.isNull() | psi.isNull(), "coil").when(inside(phi, -100, -30) & inside(psi, -80, -5), "helix").when(inside(phi, -180, -90) & (inside(psi, 90, 180) | inside(psi, -180, -150)), "strand").when(inside(phi, 30, 90) & inside(psi, -30, 60), "turn").otherwise("coil")
+    """The regions of helix, strand and left-handed turn."""
+    helix = phi.between(-140, -30) & psi.between(-80, -10)
+    strand = phi.between(-180, -80) & (psi.between(80, 180) | psi.between(-180, -160))
+    turn = phi.between(30, 90) & psi.between(10, 80)
+    return F.when(phi.isNull() | psi.isNull(), "unassigned").when(helix, "helix").when(strand, "strand").when(turn, "turn").otherwise("coil")
 
 
 def ramachandran(phi: Column, psi: Column, resname: Column, after: Column) -> tuple[Column, Column]:
-    """(class of residue, region)."""
+    """(class of residue, region). The regions of both kinds."""
     kind = F.when(resname == "GLY", "GLYCINE").when(resname == "PRO", "PROLINE").when(after == "PRO", "PRE_PROLINE").otherwise("GENERAL")
-    core = (phi.between(-160, -40) & (psi.between(-80, -20) | psi.between(90, 180))) | ((resname == "GLY") & phi.between(40, 160))
-    wide = (phi <= 0) | ((resname == "GLY") & (phi > 0)) | (phi.between(30, 90) & psi.between(-10, 90))
-    return kind, F.when(core, "FAVORED").when(wide, "ALLOWED").otherwise("OUTLIER")
+    glycine = ((phi <= 0) & psi.between(-80, 60)) | ((phi >= 0) & psi.between(-60, 80))
+    core = (phi.between(-120, -30) & psi.between(-70, -10)) | (phi.between(-180, -50) & (psi.between(80, 180) | psi.between(-180, -160)))
+    wide = (phi.between(30, 90) & psi.between(20, 80)) | (phi.between(-180, 0) & psi.between(-100, 180))
+    region = F.when(core, "FAVORED").when(wide, "ALLOWED").otherwise("OUTLIER")
+    return kind, F.when(kind == "GLYCINE", F.when(glycine, "FAVORED").otherwise("ALLOWED")).otherwise(region)
 
 
 def neighbours(coords: DataFrame, name: str, after: str) -> DataFrame:

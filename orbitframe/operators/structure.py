@@ -13,14 +13,35 @@ FRAME = ["traj_id", "frame"]
 #: Standard atomic masses, and a carbon for what is not listed.
 MASSES = {"H": 1.008, "C": 12.011, "N": 14.007, "O": 15.999, "S": 32.06, "P": 30.974}
 #: Van der Waals and covalent radii in angstrom.
-VDW = {"H": 1.2, "C": 1.7, "N": 1.55, "O": 1.52, "S": 1.8, "P": 1.8}
-COVALENT = {"H": 0.31, "C": 0.76, "N": 0.71, "O": 0.66, "S": 1.05, "P": 1.07}
+VDW = {
+    "H": 1.2, "D": 1.2, "HE": 1.4, "C": 1.7, "N": 1.55, "O": 1.52, "F": 1.47, "NE": 1.54, "P": 1.8, "S": 1.8, "CL": 1.75, "AR": 1.88,
+    "AS": 1.85, "SE": 1.9, "BR": 1.85, "KR": 2.02, "TE": 2.06, "I": 1.98, "XE": 2.16, "LI": 1.82, "BE": 1.53, "B": 1.92, "NA": 2.27, "MG": 1.73,
+    "AL": 1.84, "SI": 2.1, "K": 2.75, "CA": 2.31, "RB": 3.03, "SR": 2.49, "CS": 3.43, "BA": 2.68, "SC": 2.11, "TI": 2.15, "V": 2.05, "CR": 2.05,
+    "MN": 2.05, "FE": 1.8, "CO": 1.8, "NI": 1.63, "CU": 1.4, "ZN": 1.39, "GA": 1.87, "GE": 2.11, "Y": 2.32, "ZR": 2.23, "NB": 2.18, "MO": 2.17,
+    "TC": 2.16, "RU": 2.13, "RH": 2.1, "PD": 1.63, "AG": 1.72, "CD": 1.58, "IN": 1.93, "SN": 2.17, "SB": 2.06, "PT": 1.75, "AU": 1.66, "HG": 1.55,
+    "TL": 1.96, "PB": 2.02, "BI": 2.07, "U": 1.86,
+}
+COVALENT = {
+    "H": 0.31, "HE": 0.28, "LI": 1.28, "BE": 0.96, "B": 0.84, "C": 0.76, "N": 0.71, "O": 0.66, "F": 0.57, "NE": 0.58, "NA": 1.66, "MG": 1.41,
+    "AL": 1.21, "SI": 1.11, "P": 1.07, "S": 1.05, "CL": 1.02, "AR": 1.06, "K": 2.03, "CA": 1.76, "SC": 1.7, "TI": 1.6, "V": 1.53, "CR": 1.39,
+    "MN": 1.39, "FE": 1.32, "CO": 1.26, "NI": 1.24, "CU": 1.32, "ZN": 1.22, "GA": 1.22, "GE": 1.2, "AS": 1.19, "SE": 1.2, "BR": 1.2, "KR": 1.16,
+    "RB": 2.2, "SR": 1.95, "Y": 1.9, "ZR": 1.75, "NB": 1.64, "MO": 1.54, "TC": 1.47, "RU": 1.46, "RH": 1.42, "PD": 1.39, "AG": 1.45, "CD": 1.44,
+    "IN": 1.42, "SN": 1.39, "SB": 1.39, "TE": 1.38, "I": 1.39, "XE": 1.4, "CS": 2.44, "BA": 2.15, "LA": 2.07, "CE": 2.04, "PR": 2.03, "ND": 2.01,
+    "PM": 1.99, "SM": 1.98, "EU": 1.98, "GD": 1.96, "TB": 1.94, "DY": 1.92, "HO": 1.92, "ER": 1.89, "TM": 1.9, "YB": 1.87, "LU": 1.87, "HF": 1.75,
+    "TA": 1.7, "W": 1.62, "RE": 1.51, "OS": 1.44, "IR": 1.41, "PT": 1.36, "AU": 1.36, "HG": 1.32, "TL": 1.45, "PB": 1.46, "BI": 1.48, "PO": 1.4,
+    "AT": 1.5, "RN": 1.5, "U": 1.96,
+}
 
 
 def lookup(key: Column, values: dict, default: float) -> Column:
     return F.coalesce(*[F.when(key == k, F.lit(v)) for k, v in values.items()], F.lit(default))
 
 
+def widest(atoms: DataFrame, values: dict, default: float) -> float:
+    """The greatest value among the elements that occur, so that no search reaches further than it must."""
+    return atoms.agg(F.max(lookup(F.col("element"), values, default))).first()[0] or default
+
+
 def mass(element: str = "element") -> Column:
     return lookup(F.col(element), MASSES, 12.011)
 

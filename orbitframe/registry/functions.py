@@ -57,17 +57,60 @@ def _wrapped(p, d):
     return rounded(v.te(p, d).select("traj_id", "frame", "atom_id", *[c.alias(f"s{n}") for c, n in zip(s, "xyz", strict=True)], *[c.alias(f"w{n}") for c, n in zip(w, "xyz", strict=True)]))
 
 
+def _abc():
+    return tuple(map(F.col, ("a", "b", "c"))), tuple(map(F.col, ("al", "be", "ga")))
+
+
+def _dims(p, d):
+    """Cells of all kinds: rectangular, skewed, not reduced, impossible."""
+    size = F.col("p_size")
+    angle = lambda k: F.when(size % 4 == 0, 90.0).otherwise((60 + (size * k) % 70).cast("double"))
+    return v.table(p, d, "part").select("p_partkey", *[(10 + (size * k) % 17).cast("double").alias(n) for k, n in ((1, "a"), (2, "b"), (3, "c"))], *[angle(k).alias(n) for k, n in ((5, "al"), (7, "be"), (11, "ga"))])
+
+
 def _cells(p, d):
-    rows = v.table(p, d, "part").select("p_partkey", *[(10 + (F.col("p_size") * k) % 17).cast("double").alias(n) for k, n in ((1, "a"), (2, "b"), (3, "c"))], *[(60 + (F.col("p_size") * k) % 70).cast("double").alias(n) for k, n in ((5, "al"), (7, "be"), (11, "ga"))])
-    det = g.determinant(g.cell_matrix(*[tuple(map(F.col, n)) for n in (("a", "b", "c"), ("al", "be", "ga"))]))
-    return rounded(rows.select("p_partkey", det.alias("volume"), F.when(det <= 1e-9, "DEGENERATE").otherwise("OK").alias("status")))
+    det = g.determinant(g.cell_matrix(*_abc()))
+    return rounded(_dims(p, d).select("p_partkey", det.alias("volume"), F.when(det <= 1e-9, "DEGENERATE").otherwise("OK").alias("status")))
+
+
+def _fractional(p, d):
+    s = g.to_fractional(g.vec(), _cell())
+    return rounded(v.te(p, d).select("traj_id", "frame", "atom_id", *[c.alias(f"s{n}") for c, n in zip(s, "xyz", strict=True)]))
+
+
+def _cartesian(p, d):
+    r = g.to_cartesian(g.scale(g.vec(), 0.1), _cell())
+    return rounded(v.te(p, d).select("traj_id", "frame", "atom_id", *[c.alias(f"r{n}") for c, n in zip(r, "xyz", strict=True)]))
+
+
+def _kdops():
+    """Projections of atoms 0 and 1, and of 2 and 3: least, greatest, least, greatest."""
+    sides = [[g.projections(_p(i)) for i in pair] for pair in ((0, 1), (2, 3))]
+    return [F.array(*[f(x, y) for x, y in zip(*side, strict=True)]) for side in sides for f in (F.least, F.greatest)]
+
+
+METHOD_TEXTS = ["X-ray diffraction", "Cryo-EM", "solution nmr", "Solid-state NMR", "neutron", "electron crystallography", "AlphaFold model", "unclear"]
+
+
+def _refined(p, d):
+    """Parts as structures of eight kinds of methods, with a number of their price."""
+    texts = F.array(*map(F.lit, METHOD_TEXTS))
+    method = t.classify_method(F.get(texts, (F.col("p_partkey") % 8).cast("int")), F.when(F.col("p_size") == 50, "designed"))
+    return v.table(p, d, "part").select("p_partkey", "p_size", method.alias("method"), F.format_string("%.4f", F.col("p_retailprice") / 50).alias("number"))
+
+
+def _codes():
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    structure = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("pdb_0000"), F.lpad(k, 4, "0"))).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("a"), F.lpad(k, 3, "0"))).otherwise(F.concat(k, F.lit("-"), n))
+    protein = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("af-p"), F.lpad(k, 6, "0"), F.lit("-2-f1"))).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("q"), F.lpad(k, 5, "0"))).otherwise(n)
+    return {"structure": structure, "protein": protein, "archive": F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("ma-x-"), k)).otherwise(F.concat(F.lit("MA-"), k))}
 
 
 def _identity(p, d):
-    """Each document against one benchmark item, dealt round."""
-    items = v.sq(p, d, "benchmark", "item_id").select((F.row_number().over(Window.orderBy("seq_id")) - 1).alias("k"), F.col("seq").alias("seq_b"))
-    n = v.table(p, d, "benchmark").agg(F.count(F.lit(1)).alias("n"))
-    rows = v.sq(p, d).crossJoin(F.broadcast(n)).withColumn("k", F.col("seq_id") % F.col("n"))
+    """Each document against one benchmark item, by the rest of its id."""
+    items = v.numbered(v.sq(p, d, "benchmark", "item_id").withColumn("one", F.lit(0)), "one", ["seq_id"], "k").select("k", F.col("seq").alias("seq_b"))
+    n = v.table(p, d, "benchmark").count()
+    rows = v.sq(p, d).withColumn("k", F.col("seq_id") % max(n, 1))
     return rounded(rows.join(items, "k").select("seq_id", t.sequence_identity(F.col("seq"), F.col("seq_b")).alias("identity")))
 
 
@@ -90,18 +133,25 @@ QUERIES = {
     "reverse_complement": lambda p, d: v.table(p, d, "documents").select("doc_id", F.sha2(t.reverse_complement(F.regexp_replace("text", "[^A-Za-z ]", "")), 256).alias("digest")),
     "validate_sequence": lambda p, d: v.sq(p, d).select("seq_id", *[c.alias(n) for c, n in zip(t.validate_sequence(F.col("seq")), ("status", "n_bad"), strict=True)]),
     "modular_periodicity": lambda p, d: rounded(v.sq(p, d).select("seq_id", t.periodicity(F.col("seq")).alias("share")).withColumn("periodic", F.col("share") > 0.35)),
-    "polynomial_residue_hash": lambda p, d: v.sq(p, d, "benchmark", "item_id").select("seq_id", t.polynomial_hash(F.col("seq")).alias("hash")),
+    "polynomial_residue_hash": lambda p, d: v.sq(p, d).select("seq_id", t.polynomial_hash(F.col("seq")).alias("hash")),
     "design_space_size": lambda p, d: rounded(v.sq(p, d).select("seq_id", (F.length("seq") * F.log10(F.lit(20.0))).alias("log10_size"))),
     "sequence_identity": _identity,
     "export_csv": lambda p, d: v.table(p, d, "events").select("event_id", t.csv_safe(F.col("props")).alias("props"), t.csv_safe(F.concat(F.when(F.col("event_id") % 3 == 0, "=").otherwise(""), "event_type")).alias("kind")),
     "canonical_digest": lambda p, d: v.table(p, d, "customer").select("c_custkey", t.canonical_digest("c_custkey", "c_name", "c_nationkey").alias("digest")),
     "index_commitment": lambda p, d: v.table(p, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.sha2(F.concat_ws("|", "l_linenumber", "l_partkey"), 256).alias("h")))).alias("hs")).select("l_orderkey", F.sha2(F.array_join(F.transform("hs", lambda x: x["h"]), ""), 256).alias("commitment")),
     "coordinate_digest": lambda p, d: v.te(p, d).groupBy("traj_id", "frame").agg(F.array_sort(F.collect_list(F.struct("atom_id", F.concat_ws(",", *[F.round(F.col(n) * 1000).cast("long") for n in "xyz"]).alias("s")))).alias("xs")).select("traj_id", "frame", F.sha2(F.array_join(F.transform("xs", lambda x: x["s"]), ";"), 256).alias("digest")),
-    "parse_resolution": lambda p, d: rounded(v.table(p, d, "part").select("p_partkey", t.parse_number(F.concat(F.lit("resolution "), F.col("p_retailprice") / 50, F.lit(" A")), 0.0, 30.0).alias("resolution"), t.classify_method(F.concat(F.when(F.col("p_size") % 2 == 0, "X-RAY ").otherwise("Solution NMR "), "p_type")).alias("method"))),
-    "normalize_identifiers": lambda p, d: v.table(p, d, "supplier").select("s_suppkey", t.normalize_accession(F.concat(F.lit(" "), F.col("s_suppkey") % 10, F.lit("ab"), F.col("s_nationkey") % 10, F.lit(" "))).alias("code")),
+    "parse_resolution": lambda p, d: rounded(_refined(p, d).select("p_partkey", "method", t.parse_resolution(F.concat(F.lit("about "), "number", F.lit(" A")), F.col("method")).alias("resolution"))),
+    "parse_rfactor": lambda p, d: rounded(_refined(p, d).select("p_partkey", t.parse_rfactor(F.concat("number", F.lit("%")), F.col("method")).alias("r_work"), t.parse_rfactor(F.when(F.col("p_size") % 3 > 0, (30 - F.col("p_size") / 4).cast("string")), F.col("method")).alias("r_free"), (1985 + F.col("p_size")).alias("year")).withColumn("note", t.rfactor_note(*map(F.col, ("r_work", "r_free", "year"))))),
+    "normalize_identifiers": lambda p, d: v.table(p, d, "supplier").select("s_suppkey", *[t.normalize_accession(F.concat(F.lit(" "), c, F.lit(" ")), F.lit(k)).alias(k) for k, c in _codes().items()]),
     "classify_mutation": lambda p, d: v.te_full(p, d).groupBy("traj_id", t.classify_mutation(F.col("element"), F.lit("C"), F.col("is_hetero")).alias("kind")).agg(F.count(F.lit(1)).alias("n")),
-    "assembly_label": lambda p, d: v.table(p, d, "orders").join(v.table(p, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n")).select("o_orderkey", t.oligomer_label(F.col("n")).alias("label")),
-    "trajectory_authenticity": lambda p, d: v.table(p, d, "customer").select("c_custkey", t.trajectory_authenticity(F.when(F.col("c_nationkey") % 3 == 0, "synthetic").when(F.col("c_nationkey") % 3 == 1, F.col("c_mktsegment")), F.col("c_acctbal"), F.when(F.col("c_custkey") % 2 == 0, 1.0)).alias("kind")),
+    "assembly_label": lambda p, d: v.table(p, d, "orders").join(v.table(p, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n")).select("o_orderkey", t.oligomer_label(F.col("n")).alias("label"), t.assembly_origin(F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("by pisa "), "o_orderpriority")).when(F.col("o_orderkey") % 3 == 1, F.lit("author"))).alias("origin"), t.stoichiometry(F.col("n")).alias("stoichiometry")),
+    "trajectory_authenticity": lambda p, d: v.table(p, d, "customer").select("c_custkey", t.trajectory_authenticity(F.col("c_nationkey") % 5 == 0, F.when(F.col("c_nationkey") % 3 == 0, "").when(F.col("c_nationkey") % 3 == 1, F.col("c_mktsegment")), F.when(F.col("c_custkey") % 4 == 0, F.col("c_acctbal")).when(F.col("c_custkey") % 4 == 1, F.lit(float("nan"))), F.when(F.col("c_custkey") % 4 == 2, 1.0)).alias("kind")),
+    "cell_checks": lambda p, d: rounded(_dims(p, d).select("p_partkey", *[c.alias(n) for n, c in g.cell_checks(g.cell_matrix(*_abc())).items()])),
+    "to_fractional": _fractional,
+    "to_cartesian": _cartesian,
+    "plane_normal": lambda p, d: rounded(_four(p, d).select("traj_id", "frame", *[c.alias(f"n{n}") for c, n in zip(g.plane_normal(_p(0), _p(1), _p(2)), "xyz", strict=True)])),
+    "bounds_kdop_periodic": lambda p, d: rounded(_four(p, d).select("traj_id", "frame", *_two(g.kdop_bounds_periodic(*_kdops(), _cell()), ("lower", "upper")))),
+    "kdop_contains": lambda p, d: _four(p, d).select("traj_id", "frame", g.kdop_contains(*_kdops()[:2], g.projections(g.scale(g.add(_p(0), _p(1)), 0.5))).alias("middle"), g.kdop_contains(*_kdops()[:2], g.projections(_p(2))).alias("other"), r6(g.aabb_volume(*_kdops()[:2])).alias("volume")),
     "export_result_json": lambda p, d: v.table(p, d, "customer").select(F.from_json(F.to_json(F.struct("c_custkey", "c_name", "c_acctbal")), "c_custkey long, c_name string, c_acctbal double").alias("r")).select("r.*"),
 }
 
@@ -146,6 +196,7 @@ def _dih4():
 
 
 LETTERS = "regexp_replace(seq, '[ACDEFGHIKLMNPQRSTVWY]', '', 'g')"
+METHOD = "CASE WHEN p_size = 50 THEN 'DE_NOVO_DESIGN' ELSE CASE p_partkey % 8 WHEN 0 THEN 'X_RAY_DIFFRACTION' WHEN 1 THEN 'ELECTRON_MICROSCOPY' WHEN 2 THEN 'SOLUTION_NMR' WHEN 3 THEN 'SOLID_STATE_NMR' WHEN 4 THEN 'NEUTRON_DIFFRACTION' WHEN 5 THEN 'ELECTRON_CRYSTALLOGRAPHY' WHEN 6 THEN 'COMPUTED_PREDICTION' ELSE 'UNKNOWN' END END"
 ORACLE_SQL = {
     "dist": sql("TE", f"{FOUR} SELECT traj_id, frame, round({_d(0, 1)}, 6) AS d FROM R"),
     "mic_ortho": sql("TE", f"{FOUR} SELECT traj_id, frame, round({_d(0, 3, True)}, 6) AS d FROM R"),
@@ -161,15 +212,19 @@ ORACLE_SQL = {
     "validate_sequence": sql("SQ", f"SELECT seq_id, CASE WHEN length(seq) < 5 THEN 'TOO_SHORT' WHEN length(seq) > 2000 THEN 'TOO_LONG' WHEN length({LETTERS}) > 0 THEN 'BAD_LETTERS' ELSE 'VALID' END AS status, length({LETTERS})::INTEGER AS n_bad FROM SQ"),
     "modular_periodicity": sql("SQ", "SELECT seq_id, round(share, 6) AS share, share > 0.35 AS periodic FROM (SELECT seq_id, CASE WHEN length(seq) > 7 THEN len(list_filter(list_zip(string_split(seq, '')[1:length(seq)-7], string_split(seq, '')[8:]), lambda x: x[1] = x[2])) / (length(seq) - 7) ELSE 0.0 END AS share FROM SQ)"),
     "sequence_identity": sql("SQ SB", ", B AS (SELECT row_number() OVER (ORDER BY seq_id) - 1 AS k, seq AS b FROM SB) SELECT seq_id, round(CASE WHEN least(length(seq), length(b)) > 0 THEN len(list_filter(list_zip(string_split(seq, '')[1:least(length(seq), length(b))], string_split(b, '')[1:least(length(seq), length(b))]), lambda x: x[1] = x[2])) / greatest(length(seq), length(b)) ELSE 0 END, 6) AS identity FROM SQ JOIN B ON k = seq_id % (SELECT count(*) FROM SB)"),
-    "polynomial_residue_hash": sql("SB", "SELECT seq_id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(seq, ''), lambda x: ascii(x)::BIGINT)), lambda h, x: (h * 31 + x) % 2147483647) AS hash FROM SB"),
+    "polynomial_residue_hash": sql("SQ", "SELECT seq_id, list_reduce(list_prepend(0::BIGINT, list_transform(list_filter(string_split(seq, ''), lambda x: x <> ''), lambda x: ascii(x)::BIGINT)), lambda h, x: (h * 31 + x) % 2147483647) AS hash FROM SQ"),
     "design_space_size": sql("SQ", "SELECT seq_id, round(length(seq) * log10(20.0), 6) AS log10_size FROM SQ"),
     "export_csv": "SELECT event_id, CASE WHEN regexp_matches(props, '^[=+\\-@\\t\\r]') THEN '''' || props ELSE props END AS props, CASE WHEN event_id % 3 = 0 THEN '''=' || event_type ELSE event_type END AS kind FROM events",
     "canonical_digest": "SELECT c_custkey, sha256('{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\",\"c_nationkey\":' || c_nationkey || '}') AS digest FROM customer",
     "index_commitment": "SELECT l_orderkey, sha256(string_agg(sha256(l_linenumber || '|' || l_partkey), '' ORDER BY l_linenumber, l_partkey)) AS commitment FROM lineitem GROUP BY 1",
-    "parse_resolution": "SELECT p_partkey, CASE WHEN p_retailprice / 50 BETWEEN 0 AND 30 THEN round(p_retailprice / 50, 6) END AS resolution, CASE WHEN p_size % 2 = 0 THEN 'XRAY' ELSE 'NMR' END AS method FROM part",
-    "normalize_identifiers": "SELECT s_suppkey, (s_suppkey % 10) || 'ab' || (s_nationkey % 10) AS code FROM supplier",
+    "parse_resolution": f"SELECT p_partkey, {METHOD} AS method, CASE WHEN {METHOD} IN ('X_RAY_DIFFRACTION', 'ELECTRON_MICROSCOPY', 'NEUTRON_DIFFRACTION', 'ELECTRON_CRYSTALLOGRAPHY') AND p_retailprice / 50 > 0 AND p_retailprice / 50 < 30 THEN round(round(p_retailprice / 50, 4), 2) END AS resolution FROM part",
+    "parse_rfactor": f"""SELECT *, CASE WHEN r_free < r_work THEN 'ATYPICAL' WHEN r_free IS NOT NULL AND r_work IS NOT NULL THEN 'VALID' WHEN r_free IS NULL AND year < 1992 THEN 'PREDATES_R_FREE' WHEN r_free IS NULL THEN 'NOT_RECORDED' ELSE 'VALID' END AS note FROM (
+        SELECT p_partkey, CASE WHEN m AND w BETWEEN 0 AND 1 THEN round(w, 4) END AS r_work, CASE WHEN m AND p_size % 3 > 0 AND f BETWEEN 0 AND 1 THEN round(f, 4) END AS r_free, 1985 + p_size AS year
+        FROM (SELECT p_partkey, p_size, {METHOD} IN ('X_RAY_DIFFRACTION', 'NEUTRON_DIFFRACTION') AS m, CASE WHEN q > 1 THEN q / 100 ELSE q END AS w, CASE WHEN z > 1 THEN z / 100 ELSE z END AS f FROM (SELECT p_partkey, p_size, round(p_retailprice / 50, 4) AS q, 30 - p_size / 4 AS z FROM part)))""",
+    "normalize_identifiers": """SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN lpad(s_suppkey::VARCHAR, 4, '0') WHEN 1 THEN 'A' || lpad(s_suppkey::VARCHAR, 3, '0') END AS structure,
+        CASE s_suppkey % 3 WHEN 0 THEN 'P' || lpad(s_suppkey::VARCHAR, 6, '0') || '-2' WHEN 1 THEN 'Q' || lpad(s_suppkey::VARCHAR, 5, '0') END AS protein, CASE WHEN s_suppkey % 2 = 0 THEN 'ma-x-' || s_suppkey END AS archive FROM supplier""",
     "classify_mutation": sql("TF", "SELECT traj_id, CASE WHEN is_hetero THEN 'EXPRESSION_TAG' WHEN element = 'C' THEN 'WILD_TYPE' ELSE 'NATURAL_VARIANT' END AS kind, count(*) AS n FROM TF GROUP BY 1, 2"),
-    "assembly_label": "SELECT l_orderkey AS o_orderkey, CASE count(*) WHEN 1 THEN 'monomer' WHEN 2 THEN 'dimer' WHEN 3 THEN 'trimer' WHEN 4 THEN 'tetramer' WHEN 5 THEN 'pentamer' WHEN 6 THEN 'hexamer' ELSE count(*) || '-mer' END AS label FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1",
-    "trajectory_authenticity": "SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN 'SYNTHETIC' WHEN c_nationkey % 3 = 1 AND c_acctbal BETWEEN 1 AND 2000 THEN CASE WHEN c_custkey % 2 = 0 THEN 'REAL_SIMULATION' ELSE 'UNVERIFIED' END ELSE 'UNKNOWN' END AS kind FROM customer",
+    "assembly_label": "SELECT l_orderkey AS o_orderkey, CASE count(*) WHEN 2 THEN 'dimer' WHEN 4 THEN 'tetramer' WHEN 6 THEN 'hexamer' ELSE 'monomer' END AS label, CASE WHEN l_orderkey % 3 = 0 THEN 'software' ELSE 'author' END AS origin, CASE WHEN count(*) > 1 THEN 'A' || count(*) ELSE 'A' END AS stoichiometry FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1",
+    "trajectory_authenticity": "SELECT c_custkey, CASE WHEN c_nationkey % 5 = 0 THEN 'SYNTHETIC_COORDINATE_TRAJECTORY' WHEN c_nationkey % 3 = 1 AND c_custkey % 4 IN (0, 2) THEN 'REAL_MD_SIMULATION' ELSE 'UNKNOWN' END AS kind FROM customer",
     "export_result_json": "SELECT c_custkey, c_name, c_acctbal FROM customer",
 }

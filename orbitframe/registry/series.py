@@ -12,6 +12,9 @@ from orbitframe.sources import views as v
 from orbitframe.sources.views import sql
 
 
+KINDS = ("helix", "strand", "turn", "coil")
+
+
 def _eps(p, d, flag):
     return c.episodes(v.ev(p, d), flag)
 
@@ -60,7 +63,7 @@ QUERIES = {
     "event_within": lambda p, d: s.event_gap(_eps(p, d, "flag_a"), _eps(p, d, "flag_b"), False).select("traj_id", "gap", (F.coalesce(F.col("gap") * 10 <= 20, F.lit(False))).alias("verdict")),
     "backbone_dihedrals": lambda p, d: rounded(_phi(p, d).select("traj_id", "frame", "chain", "residue", "phi", "psi", "omega")),
     "secondary_structure": lambda p, d: _phi(p, d).select("traj_id", "frame", "chain", "residue", s.secondary_structure(F.col("phi"), F.col("psi")).alias("ss")),
-    "ss_fractions": lambda p, d: rounded(_phi(p, d).withColumn("ss", s.secondary_structure(F.col("phi"), F.col("psi"))).groupBy("traj_id", "frame").agg(*[F.avg((F.col("ss") == k).cast("double")).alias(k) for k in ("helix", "strand", "turn", "coil")])),
+    "ss_fractions": lambda p, d: rounded(_phi(p, d).withColumn("ss", s.secondary_structure(F.col("phi"), F.col("psi"))).groupBy("traj_id", "frame").agg(*[F.avg((F.col("ss") == k).cast("double")).alias(k) for k in KINDS])),
     "ramachandran": _ramachandran,
     "chain_breaks": lambda p, d: rounded(s.neighbours(v.te_full(p, d).filter("residue <> 3"), "C", "N").filter("d > 2.5 OR next <> residue + 1")),
     "peptide_bonds": lambda p, d: rounded(s.neighbours(v.te_full(p, d), "C", "N").filter("d <= 2.5")),
@@ -106,7 +109,7 @@ def _dih(a, b, c, d):
 
 
 DI = ", R0 AS (SELECT traj_id, frame, chain, residue, any_value(resname) AS resname, " + ", ".join(f"max({n}) FILTER (name = '{a}') AS {p}{n}" for a, p in (("N", "n"), ("CA", "a"), ("C", "c")) for n in "xyz") + " FROM TF GROUP BY 1, 2, 3, 4), R1 AS (SELECT *, lead(resname) OVER w AS n_name, " + ", ".join(f"lag(c{n}) OVER w AS p{n}, lead(n{n}) OVER w AS m{n}, lead(a{n}) OVER w AS d{n}" for n in "xyz") + f" FROM R0 WINDOW w AS (PARTITION BY traj_id, frame, chain ORDER BY residue)), DI AS (SELECT traj_id, frame, chain, residue, resname, n_name, {_dih('p', 'n', 'a', 'c')} AS phi, {_dih('n', 'a', 'c', 'm')} AS psi, {_dih('a', 'c', 'm', 'd')} AS omega FROM R1)"
-SS = "CASE WHEN phi IS NULL OR psi IS NULL THEN 'coil' WHEN phi BETWEEN -100 AND -30 AND psi BETWEEN -80 AND -5 THEN 'helix' WHEN phi BETWEEN -180 AND -90 AND (psi BETWEEN 90 AND 180 OR psi BETWEEN -180 AND -150) THEN 'strand' WHEN phi BETWEEN 30 AND 90 AND psi BETWEEN -30 AND 60 THEN 'turn' ELSE 'coil' END"
+SS = "CASE WHEN phi IS NULL OR psi IS NULL THEN 'unassigned' WHEN phi BETWEEN -140 AND -30 AND psi BETWEEN -80 AND -10 THEN 'helix' WHEN phi BETWEEN -180 AND -80 AND (psi BETWEEN 80 AND 180 OR psi BETWEEN -180 AND -160) THEN 'strand' WHEN phi BETWEEN 30 AND 90 AND psi BETWEEN 10 AND 80 THEN 'turn' ELSE 'coil' END"
 
 
 def _next(a, b, where="true"):
@@ -139,8 +142,8 @@ ORACLE_SQL = {
     "event_within": sql("EV", f", {EA}, {EB}{GAP}, N AS (SELECT a.traj_id, min(greatest(0, b.k_s - a.k_e, a.k_s - b.k_e)) AS gap FROM EA a JOIN EB b ON a.traj_id = b.traj_id GROUP BY 1) SELECT traj_id, gap, coalesce(gap * 10 <= 20, false) AS verdict FROM T LEFT JOIN N USING (traj_id)"),
     "backbone_dihedrals": sql("TF", f"{DI} SELECT traj_id, frame, chain, residue, round(phi, 6) + 0.0 AS phi, round(psi, 6) + 0.0 AS psi, round(omega, 6) + 0.0 AS omega FROM DI"),
     "secondary_structure": sql("TF", f"{DI} SELECT traj_id, frame, chain, residue, {SS} AS ss FROM DI"),
-    "ss_fractions": sql("TF", f"{DI}, S AS (SELECT traj_id, frame, {SS} AS ss FROM DI) SELECT traj_id, frame, " + ", ".join(f"round(avg((ss = '{k}')::INTEGER), 6) AS {k}" for k in ("helix", "strand", "turn", "coil")) + " FROM S GROUP BY 1, 2"),
-    "ramachandran": sql("TF", f"{DI} SELECT traj_id, frame, chain, residue, CASE WHEN resname = 'GLY' THEN 'GLYCINE' WHEN resname = 'PRO' THEN 'PROLINE' WHEN n_name = 'PRO' THEN 'PRE_PROLINE' ELSE 'GENERAL' END AS kind, CASE WHEN (phi BETWEEN -160 AND -40 AND (psi BETWEEN -80 AND -20 OR psi BETWEEN 90 AND 180)) OR (resname = 'GLY' AND phi BETWEEN 40 AND 160) THEN 'FAVORED' WHEN phi <= 0 OR (resname = 'GLY' AND phi > 0) OR (phi BETWEEN 30 AND 90 AND psi BETWEEN -10 AND 90) THEN 'ALLOWED' ELSE 'OUTLIER' END AS region FROM DI WHERE phi IS NOT NULL AND psi IS NOT NULL"),
+    "ss_fractions": sql("TF", f"{DI}, S AS (SELECT traj_id, frame, {SS} AS ss FROM DI) SELECT traj_id, frame, " + ", ".join(f"round(avg((ss = '{k}')::INTEGER), 6) AS {k}" for k in KINDS) + " FROM S GROUP BY 1, 2"),
+    "ramachandran": sql("TF", f"{DI} SELECT traj_id, frame, chain, residue, CASE WHEN resname = 'GLY' THEN 'GLYCINE' WHEN resname = 'PRO' THEN 'PROLINE' WHEN n_name = 'PRO' THEN 'PRE_PROLINE' ELSE 'GENERAL' END AS kind, CASE WHEN resname = 'GLY' THEN CASE WHEN (phi <= 0 AND psi BETWEEN -80 AND 60) OR (phi >= 0 AND psi BETWEEN -60 AND 80) THEN 'FAVORED' ELSE 'ALLOWED' END WHEN (phi BETWEEN -120 AND -30 AND psi BETWEEN -70 AND -10) OR (phi BETWEEN -180 AND -50 AND (psi BETWEEN 80 AND 180 OR psi BETWEEN -180 AND -160)) THEN 'FAVORED' WHEN (phi BETWEEN 30 AND 90 AND psi BETWEEN 20 AND 80) OR (phi BETWEEN -180 AND 0 AND psi BETWEEN -100 AND 180) THEN 'ALLOWED' ELSE 'OUTLIER' END AS region FROM DI WHERE phi IS NOT NULL AND psi IS NOT NULL"),
     "chain_breaks": sql("TF", _next("C", "N", "residue <> 3") + " SELECT traj_id, frame, chain, residue, next, round(d, 6) AS d FROM B WHERE next IS NOT NULL AND (d > 2.5 OR next <> residue + 1)"),
     "peptide_bonds": sql("TF", _next("C", "N") + " SELECT traj_id, frame, chain, residue, next, round(d, 6) AS d FROM B WHERE d <= 2.5"),
     "phosphodiester_bonds": sql("TF", _next("O", "N") + " SELECT traj_id, frame, chain, residue, next, round(d, 6) AS d, d BETWEEN 1.3 AND 1.9 AS valid FROM B WHERE next IS NOT NULL"),
