@@ -34,7 +34,9 @@ COVALENT = {
 
 
 def lookup(key: Column, values: dict, default: float) -> Column:
-    return F.coalesce(*[F.when(key == k, F.lit(v)) for k, v in values.items()], F.lit(default))
+    """The value of a key in a constant map: generated code stays short for tables of any length."""
+    table = F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, float(v))])
+    return F.coalesce(F.try_element_at(table, key), F.lit(float(default)))
 
 
 def widest(atoms: DataFrame, values: dict, default: float) -> float:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orbitframe.functions import geometry as g
 from orbitframe.functions import text as t
 from orbitframe.functions.geometry import r6
-from orbitframe.registry.structure import rounded
+from orbitframe.registry.structure import _turn, rounded
 from orbitframe.sources import views as v
 from orbitframe.sources.views import sql
 
@@ -189,20 +191,78 @@ def _bb(k, box):
     return f"sqrt({' + '.join((low, high)[k])})"
 
 
-def _dih4():
-    from orbitframe.registry.series import _dih
+LETTERS = "regexp_replace(seq, '[ACDEFGHIKLMNPQRSTVWY]', '', 'g')"
+def _cell_numbers():
+    """Edge vectors of _cell() as numbers."""
+    (a, b, c), (al, be, ga) = (20.0, 18.0, 22.0), map(math.radians, ANGLES)
+    cx, cy = c * math.cos(be), c * (math.cos(al) - math.cos(be) * math.cos(ga)) / math.sin(ga)
+    return (a, 0.0, 0.0), (b * math.cos(ga), b * math.sin(ga), 0.0), (cx, cy, math.sqrt(c * c - cx * cx - cy * cy))
 
-    return _dih("p0", "p1", "p2", "p3")
+
+H = [[f"({v!r}::DOUBLE)" for v in row] for row in _cell_numbers()]
+
+
+def _frac(x, y, z):
+    """The fractional coordinates, from the last one up, as H is triangular."""
+    sz = f"(({z}) / {H[2][2]})"
+    sy = f"((({y}) - {sz} * {H[2][1]}) / {H[1][1]})"
+    return f"((({x}) - {sy} * {H[1][0]} - {sz} * {H[2][0]}) / {H[0][0]})", sy, sz
+
+
+def _cart(s):
+    return [" + ".join(f"({s[i]}) * {H[i][k]}" for i in range(3)) for k in range(3)]
+
+
+def _least(terms):
+    return f"least({', '.join(terms)})"
+
+
+def _images():
+    """Box bounds of atoms 0..1 and 2..3 for each of 27 images of the second box."""
+    for v in g.SHIFTS:
+        shift = [sum(v[i] * _cell_numbers()[i][k] for i in range(3)) for k in range(3)]
+        low, high = [], []
+        for n, t in zip("xyz", shift, strict=True):
+            d = f"abs((p0{n} + p1{n}) / 2 - (p2{n} + p3{n}) / 2 - ({t!r}::DOUBLE))"
+            both = f"(abs(p0{n} - p1{n}) / 2 + abs(p2{n} - p3{n}) / 2)"
+            low.append(f"greatest(0, {d} - {both})**2")
+            high.append(f"({d} + {both})**2")
+        yield f"sqrt({' + '.join(low)})", f"sqrt({' + '.join(high)})"
+
+
+def _normal(a, b, c):
+    u, w = [f"(p{b}{n} - p{a}{n})" for n in "xyz"], [f"(p{c}{n} - p{a}{n})" for n in "xyz"]
+    n = [f"({u[1]}*{w[2]} - {u[2]}*{w[1]})", f"({u[2]}*{w[0]} - {u[0]}*{w[2]})", f"({u[0]}*{w[1]} - {u[1]}*{w[0]})"]
+    size = f"sqrt({' + '.join(f'{x}**2' for x in n)})"
+    return [f"({x} / CASE WHEN {size} > 1e-12 THEN {size} ELSE 1 END)" for x in n]
+
+
+_NEAR = _frac(*[f"p0{n} - p3{n}" for n in "xyz"])
+_DIRS = ["{p}x", "{p}y", "{p}z", "({p}x + {p}y + {p}z) / sqrt(3)", "({p}x + {p}y - {p}z) / sqrt(3)", "({p}x - {p}y + {p}z) / sqrt(3)", "(-{p}x + {p}y + {p}z) / sqrt(3)"]
+
+
+def _inside(point):
+    return " AND ".join(f"{d.format(p=point)} BETWEEN least({d.format(p='p0')}, {d.format(p='p1')}) - 1e-9 AND greatest({d.format(p='p0')}, {d.format(p='p1')}) + 1e-9" for d in _DIRS)
 
 
-LETTERS = "regexp_replace(seq, '[ACDEFGHIKLMNPQRSTVWY]', '', 'g')"
 METHOD = "CASE WHEN p_size = 50 THEN 'DE_NOVO_DESIGN' ELSE CASE p_partkey % 8 WHEN 0 THEN 'X_RAY_DIFFRACTION' WHEN 1 THEN 'ELECTRON_MICROSCOPY' WHEN 2 THEN 'SOLUTION_NMR' WHEN 3 THEN 'SOLID_STATE_NMR' WHEN 4 THEN 'NEUTRON_DIFFRACTION' WHEN 5 THEN 'ELECTRON_CRYSTALLOGRAPHY' WHEN 6 THEN 'COMPUTED_PREDICTION' ELSE 'UNKNOWN' END END"
 ORACLE_SQL = {
     "dist": sql("TE", f"{FOUR} SELECT traj_id, frame, round({_d(0, 1)}, 6) AS d FROM R"),
     "mic_ortho": sql("TE", f"{FOUR} SELECT traj_id, frame, round({_d(0, 3, True)}, 6) AS d FROM R"),
+    "mic_triclinic": sql("TE", f"{FOUR}, S AS (SELECT traj_id, frame, " + ", ".join(f"{c} - round_even({c}, 0) AS s{n}" for c, n in zip(_NEAR, "xyz", strict=True)) + " FROM R) SELECT traj_id, frame, round(" + _least(["sqrt(" + " + ".join(f"({c})**2" for c in _cart([f"s{n} + {i}" for n, i in zip("xyz", v, strict=True)])) + ")" for v in g.SHIFTS]) + ", 6) AS d FROM S"),
+    "cell_from_dims": """SELECT p_partkey, round(det, 6) + 0.0 AS volume, CASE WHEN det <= 1e-9 THEN 'DEGENERATE' ELSE 'OK' END AS status FROM (SELECT p_partkey, a * b * sin(ga) * sqrt(greatest(0, c * c - (c * cos(be))**2 - (c * (cos(al) - cos(be) * cos(ga)) / sin(ga))**2)) AS det
+        FROM (SELECT p_partkey, (10 + p_size % 17)::DOUBLE AS a, (10 + (p_size * 2) % 17)::DOUBLE AS b, (10 + (p_size * 3) % 17)::DOUBLE AS c, radians(CASE WHEN p_size % 4 = 0 THEN 90 ELSE 60 + (p_size * 5) % 70 END) AS al, radians(CASE WHEN p_size % 4 = 0 THEN 90 ELSE 60 + (p_size * 7) % 70 END) AS be, radians(CASE WHEN p_size % 4 = 0 THEN 90 ELSE 60 + (p_size * 11) % 70 END) AS ga FROM part))""",
+    "wrap": sql("TE", ", S AS (SELECT *, " + ", ".join(f"{c} AS s{n}" for c, n in zip(_frac("x", "y", "z"), "xyz", strict=True)) + " FROM TE) SELECT traj_id, frame, atom_id, " + ", ".join(f"round(s{n}, 6) + 0.0 AS s{n}, round({c}, 6) + 0.0 AS w{n}" for n, c in zip("xyz", _cart([f"s{n} - floor(s{n})" for n in "xyz"]), strict=True)) + " FROM S"),
+    "to_fractional": sql("TE", "SELECT traj_id, frame, atom_id, " + ", ".join(f"round({c}, 6) + 0.0 AS s{n}" for c, n in zip(_frac("x", "y", "z"), "xyz", strict=True)) + " FROM TE"),
+    "to_cartesian": sql("TE", "SELECT traj_id, frame, atom_id, " + ", ".join(f"round({c}, 6) + 0.0 AS r{n}" for c, n in zip(_cart(["x * 0.1::DOUBLE", "y * 0.1::DOUBLE", "z * 0.1::DOUBLE"]), "xyz", strict=True)) + " FROM TE"),
+    "plane_normal": sql("TE", f"{FOUR} SELECT traj_id, frame, " + ", ".join(f"round({c}, 6) + 0.0 AS n{n}" for c, n in zip(_normal(0, 1, 2), "xyz", strict=True)) + " FROM R"),
+    "normal_angle": sql("TE", f"{FOUR} SELECT traj_id, frame, round(degrees(acos(least(1, abs({' + '.join(f'{a}*{b}' for a, b in zip(_normal(0, 1, 2), _normal(1, 2, 3), strict=True))})))), 6) AS a FROM R"),
+    "bounds_aabb_triclinic": sql("TE", f"{FOUR} SELECT traj_id, frame, round({_least([a for a, _ in _images()])}, 6) AS lower, round({_least([b for _, b in _images()])}, 6) AS upper FROM R"),
+    "kdop_contains": sql("TE", f"{FOUR}, M AS (SELECT *, (p0x + p1x) / 2 AS mx, (p0y + p1y) / 2 AS my, (p0z + p1z) / 2 AS mz FROM R) SELECT traj_id, frame, {_inside('m')} AS middle, {_inside('p2')} AS other, round(abs(p0x - p1x) * abs(p0y - p1y) * abs(p0z - p1z), 6) AS volume FROM M"),
+    "coordinate_digest": sql("TE", "SELECT traj_id, frame, sha256(string_agg(" + " || ',' || ".join(f"(round({n} * 1000, 0)::BIGINT)::VARCHAR" for n in "xyz") + ", ';' ORDER BY atom_id)) AS digest FROM TE GROUP BY 1, 2"),
     "angle": sql("TE", f"{FOUR} SELECT traj_id, frame, round({_ang(0, 1, 2)}, 6) AS a FROM R"),
     "angle_series_stats": sql("TE", f"{FOUR} SELECT traj_id, round(avg(a), 6) AS mean, round(stddev_pop(a), 6) AS sd, round(min(a), 6) AS min, round(max(a), 6) AS max FROM (SELECT traj_id, {_ang(0, 1, 2)} AS a FROM R) GROUP BY 1"),
-    "dihedral": sql("TE", f"{FOUR} SELECT traj_id, frame, round({_dih4()}, 6) + 0.0 AS a FROM R"),
+    "dihedral": sql("TE", f"{FOUR} SELECT traj_id, frame, round({_turn('p0', 'p1', 'p2', 'p3')}, 6) + 0.0 AS a FROM R"),
     "bounds_aabb_ortho": sql("TE", f"{FOUR} SELECT traj_id, frame, round({_bb(0, True)}, 6) AS lower, round({_bb(1, True)}, 6) AS upper FROM R"),
     "bounds_aabb_open": sql("TE", f"{FOUR} SELECT traj_id, frame, round({_bb(0, False)}, 6) AS lower, round({_bb(1, False)}, 6) AS upper FROM R"),
     "center_in_box": sql("TE", "SELECT traj_id, frame, atom_id, " + ", ".join(f"round({n} - avg({n}) OVER (PARTITION BY traj_id, frame) + 10, 6) + 0.0 AS {n}" for n in "xyz") + " FROM TE"),

@@ -10,7 +10,7 @@ from orbitframe.operators import series as se
 from orbitframe.operators import structure as st
 from orbitframe.operators import superposition as su
 from orbitframe.registry.series import _next
-from orbitframe.registry.structure import CUT, P, rounded
+from orbitframe.registry.structure import CUT, P, _dot, _minus, rounded
 from orbitframe.sources import views as v
 from orbitframe.sources.views import sql
 
@@ -27,6 +27,14 @@ def _salted(p, d):
     return v.te_full(p, d).withColumn("resname", F.when(F.col("residue") == 2, "LYS").when(F.col("residue") == 4, "GLU").otherwise(F.col("resname")))
 
 
+def _contacts(p, d):
+    """Contacts of atoms with names of side chains in two residues, zinc as the last atom, and hydrogens half way from atom N to atom CA."""
+    name = F.when((F.col("residue") == 2) & (F.col("name") == "N"), "NZ").when((F.col("residue") == 4) & (F.col("name") == "O"), "OE1").otherwise(F.col("name"))
+    atoms = _salted(p, d).withColumns({"name": name, "element": F.when(F.col("atom_id") == 20, "ZN").otherwise(F.col("element"))})
+    pairs = atoms.filter("name IN ('N', 'NZ', 'CA')").groupBy(*FR, "residue").agg(F.min("atom_id").alias("atom_id"), *[F.avg(n).alias(f"h{n}") for n in "xyz"])
+    return i.classify_contacts(atoms, 4.5, pairs.filter("residue % 2 = 0").drop("residue"))
+
+
 def _sulfur(p, d):
     return v.te_full(p, d).withColumns({"resname": F.lit("CYS"), "name": F.when(F.col("name") == "O", "SG").otherwise(F.col("name"))})
 
@@ -67,7 +75,7 @@ def _with_reversed(edges):
 
 
 QUERIES = {
-    "classify_contacts": lambda p, d: rounded(i.classify_contacts(_salted(p, d)).select(*FR, "atom_id", "atom_id_b", "d", "kind")),
+    "classify_contacts": lambda p, d: rounded(_contacts(p, d).select(*FR, "atom_id", "atom_id_b", "d", "kind")),
     "interaction_fingerprint": lambda p, d: i.interaction_fingerprint(_salted(p, d), F.expr(LIG)),
     "salt_bridges": lambda p, d: rounded(i.salt_bridges(_salted(p, d)).select(*FR, "atom_id", "atom_id_b", "d")),
     "disulfide_pairs": lambda p, d: rounded(i.disulfide_pairs(_sulfur(p, d), 1.0, 4.0).select(*FR, "atom_id", "atom_id_b", "d")),
@@ -139,11 +147,44 @@ def _hb(cutoff, least):
     return f"HB AS (SELECT *, d < {cutoff} AND angle >= {least} AS bonded FROM (SELECT h.traj_id, h.frame, sqrt({' + '.join(f'({s} - {t})**2' for s, t in zip(u, w, strict=True))}) AS d, degrees(acos(greatest(-1, least(1, {dot(u, w)} / (sqrt({dot(u, u)}) * sqrt({dot(w, w)})))))) AS angle FROM TE a JOIN TE h ON a.traj_id = h.traj_id AND a.frame = h.frame AND a.atom_id = 0 AND h.atom_id = 3 JOIN TE c ON c.traj_id = h.traj_id AND c.frame = h.frame AND c.atom_id = 7))"
 
 
+_u, _w = [f"(a.{n} - h{n})" for n in "xyz"], [f"(b.{n} - h{n})" for n in "xyz"]
+_arms = f"degrees(acos(greatest(-1, least(1, {_dot(_u, _w)} / (sqrt({_dot(_u, _u)}) * sqrt({_dot(_w, _w)})))))) AS angle"
+
+
+def _ring_sql():
+    """Centres and normals of residues, from their first three atoms by id."""
+    at = ", ".join(f"max({n}) FILTER (k = {i}) AS q{i}{n}" for i in (1, 2, 3) for n in "xyz")
+    u, w = _minus("q1", "q2"), _minus("q1", "q3")
+    n = [f"({u[1]}*{w[2]} - {u[2]}*{w[1]})", f"({u[2]}*{w[0]} - {u[0]}*{w[2]})", f"({u[0]}*{w[1]} - {u[1]}*{w[0]})"]
+    return f"RQ AS (SELECT traj_id, frame, residue, avg(x) AS x, avg(y) AS y, avg(z) AS z, {at} FROM (SELECT *, row_number() OVER (PARTITION BY traj_id, frame, residue ORDER BY atom_id) AS k FROM TF) GROUP BY 1, 2, 3 HAVING count(*) >= 3), RN AS (SELECT *, {', '.join(f'{c} AS m{a}' for c, a in zip(n, 'xyz', strict=True))} FROM RQ)"
+
+
+_CROSS = [(a, b) for a in "xyz" for b in "xyz"]
+#: Fitted deviation of frames from the first: the singular values of the covariance, by the roots of its Gram matrix's cubic.
+FIT = f""", M AS (SELECT p.traj_id, p.frame, p.x AS px, p.y AS py, p.z AS pz, q.x AS qx, q.y AS qy, q.z AS qz FROM TE p JOIN TE q ON p.traj_id = q.traj_id AND p.atom_id = q.atom_id AND q.frame = 0 AND p.frame > 0),
+    F1 AS (SELECT traj_id, frame, count(*) AS n, {' + '.join(f'sum({s}{a}*{s}{a}) - sum({s}{a})**2 / count(*)' for s in 'pq' for a in 'xyz')} AS energy, {', '.join(f'sum(p{a}*q{b}) - sum(p{a})*sum(q{b}) / count(*) AS c{a}{b}' for a, b in _CROSS)} FROM M GROUP BY 1, 2),
+    F2 AS (SELECT *, {', '.join(f'{" + ".join(f"c{k}{a}*c{k}{b}" for k in "xyz")} AS g{a}{b}' for a, b in ('xx', 'yy', 'zz', 'xy', 'xz', 'yz'))}, cxx*(cyy*czz - cyz*czy) - cxy*(cyx*czz - cyz*czx) + cxz*(cyx*czy - cyy*czx) AS det FROM F1),
+    F3 AS (SELECT *, (gxx + gyy + gzz) / 3 AS m FROM F2), F4 AS (SELECT *, sqrt(((gxx-m)**2 + (gyy-m)**2 + (gzz-m)**2 + 2*(gxy**2 + gxz**2 + gyz**2)) / 6) AS k FROM F3),
+    F5 AS (SELECT *, acos(greatest(-1, least(1, ((gxx-m)*((gyy-m)*(gzz-m) - gyz*gyz) - gxy*(gxy*(gzz-m) - gyz*gxz) + gxz*(gxy*gyz - (gyy-m)*gxz)) / (2*k**3)))) / 3 AS phi FROM F4),
+    F6 AS (SELECT *, sqrt(m + 2*k*cos(phi)) AS s1, sqrt(greatest(0, m + 2*k*cos(phi + 4*pi()/3))) AS s2 FROM F5)"""
 EDGES = f"{P}, E AS (SELECT traj_id, frame, i, j FROM P WHERE d <= 8)"
 CC = "U AS (SELECT traj_id, frame, i, j FROM E UNION ALL SELECT traj_id, frame, j, i FROM E), R AS (SELECT traj_id, frame, atom_id AS node, atom_id AS reach FROM TE UNION SELECT r.traj_id, r.frame, r.node, u.j FROM R r JOIN U u ON r.traj_id = u.traj_id AND r.frame = u.frame AND r.reach = u.i), CCO AS (SELECT traj_id, frame, node, min(reach) AS component FROM R GROUP BY 1, 2, 3)"
 ORACLE_SQL = {
-    "classify_contacts": sql("TF", f", {TS}, {_near('TS', 4.5)} SELECT traj_id, frame, atom_id, atom_id_b, round(d, 6) AS d, CASE WHEN d <= 4 AND ((resname {CAT} AND resname_b {ANI}) OR (resname {ANI} AND resname_b {CAT})) THEN 'salt_bridge' WHEN d <= 3.5 AND element {POLAR} AND element_b {POLAR} THEN 'hbond' WHEN element = 'C' AND element_b = 'C' THEN 'hydrophobic' ELSE 'proximity' END AS kind FROM NP"),
+    "classify_contacts": sql("TF", f""", {TS}, TC AS (SELECT * REPLACE (CASE WHEN residue = 2 AND name = 'N' THEN 'NZ' WHEN residue = 4 AND name = 'O' THEN 'OE1' ELSE name END AS name, CASE WHEN atom_id = 20 THEN 'ZN' ELSE element END AS element) FROM TS),
+        HY AS (SELECT traj_id, frame, min(atom_id) AS atom_id, avg(x) AS hx, avg(y) AS hy, avg(z) AS hz FROM TC WHERE name IN ('N', 'NZ', 'CA') AND residue % 2 = 0 GROUP BY traj_id, frame, residue), {_near('TC', 4.5)},
+        NH AS (SELECT n.*, hx IS NOT NULL AS known, {_arms} FROM NP n JOIN TC a USING (traj_id, frame, atom_id) JOIN TC b ON b.traj_id = n.traj_id AND b.frame = n.frame AND b.atom_id = n.atom_id_b LEFT JOIN HY h ON h.traj_id = n.traj_id AND h.frame = n.frame AND h.atom_id = n.atom_id)
+        SELECT traj_id, frame, atom_id, atom_id_b, round(d, 6) AS d, CASE WHEN d <= 2.8 AND (element = 'ZN' OR element_b = 'ZN') THEN CASE WHEN element IN ('N', 'O') OR element_b IN ('N', 'O') THEN 'metal' ELSE 'proximity' END
+        WHEN d <= 4 AND ((name = 'NZ' AND name_b = 'OE1') OR (name = 'OE1' AND name_b = 'NZ')) THEN 'salt_bridge' WHEN d <= 3.5 AND element IN ('N', 'O') AND element_b IN ('N', 'O') AND NOT known THEN 'hbond_putative' WHEN d <= 3.5 AND element IN ('N', 'O') AND element_b IN ('N', 'O') AND angle >= 120 THEN 'hbond_explicit'
+        WHEN name = 'CA' AND name_b = 'CA' THEN 'hydrophobic' ELSE 'proximity' END AS kind FROM NH"""),
     "interaction_fingerprint": sql("TF", f", {TS}, {_near('TS', 4.5, LR)} SELECT traj_id, frame, residue, bool_or(d <= 3.5 AND element {POLAR} AND element_b {POLAR}) AS hbond, bool_or(element = 'C' AND element_b = 'C') AS hydrophobic, bool_or(d <= 4 AND (resname {CAT} OR resname {ANI})) AS salt_bridge, count(*) AS n_pairs FROM NP GROUP BY 1, 2, 3"),
+    "pi_stacking": sql("TF", f", {_ring_sql()}, PS AS (SELECT a.traj_id, a.frame, a.residue, b.residue AS residue_b, sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2) AS d, degrees(acos(least(1, abs(a.mx*b.mx + a.my*b.my + a.mz*b.mz) / (sqrt(a.mx**2 + a.my**2 + a.mz**2) * sqrt(b.mx**2 + b.my**2 + b.mz**2))))) AS angle FROM RN a JOIN RN b ON a.traj_id = b.traj_id AND a.frame = b.frame AND a.residue < b.residue), PK2 AS (SELECT *, CASE WHEN d <= 4.5 AND angle <= 30 THEN 'parallel' WHEN angle BETWEEN 60 AND 90 THEN 't_shape' END AS kind FROM PS WHERE d <= 5.5) SELECT traj_id, frame, residue, residue_b, round(d, 6) AS d, round(angle, 6) AS angle, kind FROM PK2 WHERE kind IS NOT NULL"),
+    "rmsd_fit": sql("TE", f"{FIT} SELECT traj_id, frame, round(sqrt(greatest(0, (energy - 2 * (s1 + s2 + det / (s1 * s2))) / n)), 4) + 0.0 AS rmsd FROM F6"),
+    "rings": sql("TE", f""", {P}, E AS (SELECT traj_id, frame, i, j FROM P WHERE d <= 4), U AS (SELECT traj_id, frame, i, j FROM E UNION ALL SELECT traj_id, frame, j, i FROM E),
+        W AS (SELECT traj_id, frame, [i, j] AS p FROM U WHERE i < j UNION ALL SELECT w.traj_id, w.frame, list_append(w.p, u.j) FROM W w JOIN U u ON u.traj_id = w.traj_id AND u.frame = w.frame AND u.i = w.p[-1] WHERE len(w.p) < 7 AND u.j > w.p[1] AND NOT list_contains(w.p, u.j)),
+        C AS (SELECT DISTINCT w.traj_id, w.frame, len(p)::INTEGER AS size, list_sort(p) AS p FROM W w JOIN U u ON u.traj_id = w.traj_id AND u.frame = w.frame AND u.i = w.p[-1] AND u.j = w.p[1] WHERE len(p) > 2 AND p[2] < p[-1]),
+        K AS (SELECT *, len(list_filter(p, lambda a: a % 4 IN (1, 2))) AS c, len(list_filter(p, lambda a: a % 4 = 0)) AS n, len(list_filter(p, lambda a: a % 4 = 3)) AS o FROM C),
+        T AS (SELECT *, CASE WHEN size = 6 AND c = 6 THEN 'BENZENE' WHEN size = 6 AND c = 5 AND n = 1 THEN 'PYRIDINE' WHEN size = 6 AND c = 4 AND n = 2 THEN 'PYRIMIDINE' WHEN size = 5 AND c = 4 AND n = 1 THEN 'PYRROLE' WHEN size = 5 AND c = 3 AND n = 2 THEN 'IMIDAZOLE' WHEN size = 5 AND c = 4 AND o = 1 THEN 'FURAN' ELSE 'GENERAL_CYCLE' END AS kind FROM K)
+        SELECT traj_id, frame, size, array_to_string(p, ',') AS atoms, kind, kind <> 'GENERAL_CYCLE' AS aromatic, n + o > 0 AS heterocyclic FROM T""").replace("WITH ", "WITH RECURSIVE ", 1),
     "salt_bridges": sql("TF", f", {TS}, {_near('TS', 4)} SELECT traj_id, frame, atom_id, atom_id_b, round(d, 6) AS d FROM NP WHERE (resname {CAT} AND element = 'N' AND resname_b {ANI} AND element_b = 'O') OR (resname_b {CAT} AND element_b = 'N' AND resname {ANI} AND element = 'O')"),
     "disulfide_pairs": sql("TF", f", {_near('TF', 4)} SELECT traj_id, frame, atom_id, atom_id_b, round(d, 6) AS d FROM NP WHERE name = 'O' AND name_b = 'O' AND d >= 1"),
     "binding_site": sql("TF", f", {_near('TF', 6, LR)}, {BS} SELECT traj_id, frame, residue, round(min_d, 6) AS min_d, n_atoms, inter_chain, row_number() OVER (PARTITION BY traj_id, frame ORDER BY min_d, residue) AS rank FROM BS"),

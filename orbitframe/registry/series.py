@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from orbitframe.functions.geometry import r6
 from orbitframe.operators import series as s
 from orbitframe.plans import certified as c
-from orbitframe.registry.structure import rounded
+from orbitframe.registry.structure import _turn, rounded
 from orbitframe.sources import views as v
 from orbitframe.sources.views import sql
 
@@ -93,23 +93,11 @@ def _before(a, b):
         SELECT traj_id, CASE WHEN a_e <= b_s THEN true WHEN o THEN NULL ELSE false END AS verdict FROM X"""
 
 
-def _dih(a, b, c, d):
-    def minus(p, q):
-        return [f"({q}{n} - {p}{n})" for n in "xyz"]
-
-    def cross(p, q):
-        return [f"({p[1]}*{q[2]} - {p[2]}*{q[1]})", f"({p[2]}*{q[0]} - {p[0]}*{q[2]})", f"({p[0]}*{q[1]} - {p[1]}*{q[0]})"]
-
-    def dot(p, q):
-        return "(" + " + ".join(f"{i}*{j}" for i, j in zip(p, q, strict=True)) + ")"
-
-    u, w, x = minus(a, b), minus(b, c), minus(c, d)
-    n1, n2 = cross(u, w), cross(w, x)
-    return f"degrees(atan2({dot(cross(n1, n2), w)} / sqrt({dot(w, w)}), {dot(n1, n2)}))"
+DI = ", R0 AS (SELECT traj_id, frame, chain, residue, any_value(resname) AS resname, " + ", ".join(f"max({n}) FILTER (name = '{a}') AS {p}{n}" for a, p in (("N", "n"), ("CA", "a"), ("C", "c")) for n in "xyz") + " FROM TF GROUP BY 1, 2, 3, 4), R1 AS (SELECT *, lead(resname) OVER w AS n_name, " + ", ".join(f"lag(c{n}) OVER w AS p{n}, lead(n{n}) OVER w AS m{n}, lead(a{n}) OVER w AS d{n}" for n in "xyz") + f" FROM R0 WINDOW w AS (PARTITION BY traj_id, frame, chain ORDER BY residue)), DI AS (SELECT traj_id, frame, chain, residue, resname, n_name, {_turn('p', 'n', 'a', 'c')} AS phi, {_turn('n', 'a', 'c', 'm')} AS psi, {_turn('a', 'c', 'm', 'd')} AS omega FROM R1)"
+SS = "CASE WHEN phi IS NULL OR psi IS NULL THEN 'unassigned' WHEN phi BETWEEN -140 AND -30 AND psi BETWEEN -80 AND -10 THEN 'helix' WHEN phi BETWEEN -180 AND -80 AND (psi BETWEEN 80 AND 180 OR psi BETWEEN -180 AND -160) THEN 'strand' WHEN phi BETWEEN 30 AND 90 AND psi BETWEEN 10 AND 80 THEN 'turn' ELSE 'coil' END"
 
 
-DI = ", R0 AS (SELECT traj_id, frame, chain, residue, any_value(resname) AS resname, " + ", ".join(f"max({n}) FILTER (name = '{a}') AS {p}{n}" for a, p in (("N", "n"), ("CA", "a"), ("C", "c")) for n in "xyz") + " FROM TF GROUP BY 1, 2, 3, 4), R1 AS (SELECT *, lead(resname) OVER w AS n_name, " + ", ".join(f"lag(c{n}) OVER w AS p{n}, lead(n{n}) OVER w AS m{n}, lead(a{n}) OVER w AS d{n}" for n in "xyz") + f" FROM R0 WINDOW w AS (PARTITION BY traj_id, frame, chain ORDER BY residue)), DI AS (SELECT traj_id, frame, chain, residue, resname, n_name, {_dih('p', 'n', 'a', 'c')} AS phi, {_dih('n', 'a', 'c', 'm')} AS psi, {_dih('a', 'c', 'm', 'd')} AS omega FROM R1)"
-SS = "CASE WHEN phi IS NULL OR psi IS NULL THEN 'unassigned' WHEN phi BETWEEN -140 AND -30 AND psi BETWEEN -80 AND -10 THEN 'helix' WHEN phi BETWEEN -180 AND -80 AND (psi BETWEEN 80 AND 180 OR psi BETWEEN -180 AND -160) THEN 'strand' WHEN phi BETWEEN 30 AND 90 AND psi BETWEEN 10 AND 80 THEN 'turn' ELSE 'coil' END"
+REGION = "CASE WHEN resname = 'GLY' THEN CASE WHEN (phi <= 0 AND psi BETWEEN -80 AND 60) OR (phi >= 0 AND psi BETWEEN -60 AND 80) THEN 'FAVORED' ELSE 'ALLOWED' END WHEN (phi BETWEEN -120 AND -30 AND psi BETWEEN -70 AND -10) OR (phi BETWEEN -180 AND -50 AND (psi BETWEEN 80 AND 180 OR psi BETWEEN -180 AND -160)) THEN 'FAVORED' WHEN (phi BETWEEN 30 AND 90 AND psi BETWEEN 20 AND 80) OR (phi BETWEEN -180 AND 0 AND psi BETWEEN -100 AND 180) THEN 'ALLOWED' ELSE 'OUTLIER' END"
 
 
 def _next(a, b, where="true"):
@@ -143,7 +131,7 @@ ORACLE_SQL = {
     "backbone_dihedrals": sql("TF", f"{DI} SELECT traj_id, frame, chain, residue, round(phi, 6) + 0.0 AS phi, round(psi, 6) + 0.0 AS psi, round(omega, 6) + 0.0 AS omega FROM DI"),
     "secondary_structure": sql("TF", f"{DI} SELECT traj_id, frame, chain, residue, {SS} AS ss FROM DI"),
     "ss_fractions": sql("TF", f"{DI}, S AS (SELECT traj_id, frame, {SS} AS ss FROM DI) SELECT traj_id, frame, " + ", ".join(f"round(avg((ss = '{k}')::INTEGER), 6) AS {k}" for k in KINDS) + " FROM S GROUP BY 1, 2"),
-    "ramachandran": sql("TF", f"{DI} SELECT traj_id, frame, chain, residue, CASE WHEN resname = 'GLY' THEN 'GLYCINE' WHEN resname = 'PRO' THEN 'PROLINE' WHEN n_name = 'PRO' THEN 'PRE_PROLINE' ELSE 'GENERAL' END AS kind, CASE WHEN resname = 'GLY' THEN CASE WHEN (phi <= 0 AND psi BETWEEN -80 AND 60) OR (phi >= 0 AND psi BETWEEN -60 AND 80) THEN 'FAVORED' ELSE 'ALLOWED' END WHEN (phi BETWEEN -120 AND -30 AND psi BETWEEN -70 AND -10) OR (phi BETWEEN -180 AND -50 AND (psi BETWEEN 80 AND 180 OR psi BETWEEN -180 AND -160)) THEN 'FAVORED' WHEN (phi BETWEEN 30 AND 90 AND psi BETWEEN 20 AND 80) OR (phi BETWEEN -180 AND 0 AND psi BETWEEN -100 AND 180) THEN 'ALLOWED' ELSE 'OUTLIER' END AS region FROM DI WHERE phi IS NOT NULL AND psi IS NOT NULL"),
+    "ramachandran": sql("TF", f"{DI} SELECT traj_id, frame, chain, residue, CASE WHEN resname = 'GLY' THEN 'GLYCINE' WHEN resname = 'PRO' THEN 'PROLINE' WHEN n_name = 'PRO' THEN 'PRE_PROLINE' ELSE 'GENERAL' END AS kind, {REGION} AS region FROM DI WHERE phi IS NOT NULL AND psi IS NOT NULL"),
     "chain_breaks": sql("TF", _next("C", "N", "residue <> 3") + " SELECT traj_id, frame, chain, residue, next, round(d, 6) AS d FROM B WHERE next IS NOT NULL AND (d > 2.5 OR next <> residue + 1)"),
     "peptide_bonds": sql("TF", _next("C", "N") + " SELECT traj_id, frame, chain, residue, next, round(d, 6) AS d FROM B WHERE d <= 2.5"),
     "phosphodiester_bonds": sql("TF", _next("O", "N") + " SELECT traj_id, frame, chain, residue, next, round(d, 6) AS d, d BETWEEN 1.3 AND 1.9 AS valid FROM B WHERE next IS NOT NULL"),

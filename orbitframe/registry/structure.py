@@ -123,8 +123,33 @@ def _report(limit, a="value_a", b="value_b", extra=""):
         FROM (SELECT traj_id, {a} AS a, {b} AS b, {limit} AS lim FROM SR) GROUP BY 1)"""
 
 
-def _dist(n):
-    return f"sqrt((p{n[0]}.x-p{n[1]}.x)**2+(p{n[0]}.y-p{n[1]}.y)**2+(p{n[0]}.z-p{n[1]}.z)**2)"
+def _minus(p, q):
+    return [f"({q}{n} - {p}{n})" for n in "xyz"]
+
+
+def _dot(p, q):
+    return "(" + " + ".join(f"{i}*{j}" for i, j in zip(p, q, strict=True)) + ")"
+
+
+def _between(a, b):
+    d = _minus(f"p{a}", f"p{b}")
+    return f"sqrt({_dot(d, d)})"
+
+
+def _bend(a, b, c):
+    u, w = _minus(f"p{b}", f"p{a}"), _minus(f"p{b}", f"p{c}")
+    return f"degrees(acos(greatest(-1, least(1, {_dot(u, w)} / (sqrt({_dot(u, u)}) * sqrt({_dot(w, w)}))))))"
+
+
+def _turn(a, b, c, d):
+    """The dihedral about b-c from prefixes of columns."""
+
+    def cross(p, q):
+        return [f"({p[1]}*{q[2]} - {p[2]}*{q[1]})", f"({p[2]}*{q[0]} - {p[0]}*{q[2]})", f"({p[0]}*{q[1]} - {p[1]}*{q[0]})"]
+
+    u, w, x = _minus(a, b), _minus(b, c), _minus(c, d)
+    n1, n2 = cross(u, w), cross(w, x)
+    return f"degrees(atan2({_dot(cross(n1, n2), w)} / sqrt({_dot(w, w)}), {_dot(n1, n2)}))"
 
 
 ORACLE_SQL = {
@@ -174,5 +199,6 @@ ORACLE_SQL = {
         B AS (SELECT *, row_number() OVER (PARTITION BY structure_id, pocket_id ORDER BY d, match_id) AS r FROM N WHERE d <= 4)
         SELECT p.structure_id, p.pocket_id, match_id, round(d, 6) AS d, round(jaccard, 6) AS jaccard, round(volume_delta, 6) + 0.0 AS volume_delta, coalesce(jaccard >= 0.3 OR d <= 2.5, false) AS consensus FROM PK p LEFT JOIN B b ON b.structure_id = p.structure_id AND b.pocket_id = p.pocket_id AND r = 1 WHERE method = 'm1'"""),
     "rank_pockets": sql("PK", "SELECT structure_id, pocket_id, row_number() OVER (PARTITION BY structure_id ORDER BY volume DESC, pocket_id) AS rank FROM PK"),
+    "measure_batch": sql("TE", ", " + ", ".join(f"Q{i} AS (SELECT traj_id, frame, x AS p{i}x, y AS p{i}y, z AS p{i}z FROM TE WHERE atom_id = {i})" for i in (0, 1, 2, 3, 5)) + f", W AS (SELECT * FROM Q0 JOIN Q1 USING (traj_id, frame) JOIN Q2 USING (traj_id, frame) JOIN Q3 USING (traj_id, frame) JOIN Q5 USING (traj_id, frame)) SELECT traj_id, frame, 1 AS request_id, 'distance' AS kind, round({_between(0, 5)}, 6) AS value FROM W UNION ALL SELECT traj_id, frame, 2, 'angle', round({_bend(0, 1, 2)}, 6) FROM W UNION ALL SELECT traj_id, frame, 3, 'dihedral', round({_turn('p0', 'p1', 'p2', 'p3')}, 6) + 0.0 FROM W UNION ALL SELECT traj_id, frame, 4, 'distance', NULL FROM W"),
     "top_displacements": sql("TE", f", {M} SELECT traj_id, frame, (atom_id // 4 + 1)::INTEGER AS residue, round(avg(d), 6) AS d FROM M GROUP BY 1, 2, 3 ORDER BY avg(d) DESC, 1, 2, 3 LIMIT 50"),
 }
