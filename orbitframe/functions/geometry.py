@@ -197,7 +197,8 @@ def kdop_bounds_periodic(min_a: Column, max_a: Column, min_b: Column, max_b: Col
             return let(F.struct(low.alias("l"), high.alias("h")), lambda m: F.array(*kdop_bounds(x["la"], x["ha"], m["l"], m["h"])))
 
         found = F.transform(F.transform(images, shift), bounds)
-        return let(found, lambda f: F.array(*[F.array_min(F.transform(f, lambda p, i=i: F.get(p, F.lit(i)))) for i in range(2)]))
+        # Functions of one parameter: a second one would be taken for the index.
+        return let(found, lambda f: F.array(F.array_min(F.transform(f, lambda p: F.get(p, F.lit(0)))), F.array_min(F.transform(f, lambda p: F.get(p, F.lit(1))))))
 
     def body(x: Column) -> Column:
         s = to_fractional(sub(centre(x["lb"], x["hb"]), centre(x["la"], x["ha"])), _rows(x["h"]))

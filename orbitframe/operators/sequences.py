@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitframe.functions.text import sequence_identity
@@ -28,41 +28,154 @@ def leakage_join(queries: DataFrame, training: DataFrame, threshold: float = 0.3
     return joined.filter(ratio >= threshold).select("seq_id", "train_id", sequence_identity(F.col("seq"), F.col("train")).alias("identity")).filter(F.col("identity") >= threshold)
 
 
-def align(a: str, b: str, match: int = 4, mismatch: int = -1) -> tuple[int, float]:
-    """(score, identity in percent of the alignment) of the best global alignment with affine gaps, a row at a time."""
-    n, m = len(a), len(b)
-    low = -(10**9)
-    code = np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    best = np.zeros((n + 1, m + 1), np.int64)
-    down, right = np.full((n + 1, m + 1), low, np.int64), np.full((n + 1, m + 1), low, np.int64)
-    best[0, 1:] = right[0, 1:] = -GAP_OPEN - GAP_EXTEND * np.arange(m)
-    best[1:, 0] = down[1:, 0] = -GAP_OPEN - GAP_EXTEND * np.arange(n)
-    for i in range(1, n + 1):
-        down[i, 1:] = np.maximum(best[i - 1, 1:] - GAP_OPEN, down[i - 1, 1:] - GAP_EXTEND)
-        base = np.maximum(best[i - 1, :-1] + np.where(code == ord(a[i - 1]), match, mismatch), down[i, 1:])
-        # A gap to the right opened at j costs the same per step, so the best one is a running maximum.
-        opened = np.concatenate([[best[i, 0]], base]) + GAP_EXTEND * np.arange(m + 1)
-        right[i, 1:] = np.maximum.accumulate(opened)[:-1] - GAP_OPEN - GAP_EXTEND * (np.arange(1, m + 1) - 1)
-        best[i, 1:] = np.maximum(base, right[i, 1:])
-    i, j, same, length = n, m, 0, 0
+#: Substitution scores, the lower triangle in the order of the letters.
+LETTERS = "ARNDCQEGHILKMFPSTWYV"
+BLOSUM62 = """
+4
+-1 5
+-2 0 6
+-2 -2 1 6
+0 -3 -3 -3 9
+-1 1 0 0 -3 5
+-1 0 0 2 -4 2 5
+0 -2 0 -1 -3 -2 -2 6
+-2 0 1 -1 -3 0 0 -2 8
+-1 -3 -3 -3 -1 -3 -3 -4 -3 4
+-1 -2 -3 -4 -1 -2 -3 -4 -3 2 4
+-1 2 0 -1 -3 1 1 -2 -1 -3 -2 5
+-1 -1 -2 -3 -1 0 -2 -3 -2 1 2 -1 5
+-2 -3 -3 -3 -2 -3 -3 -3 -1 0 0 -3 0 6
+-1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4 7
+1 -1 1 0 -1 0 0 0 -1 -2 -2 0 -1 -2 -1 4
+0 -1 0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1 1 5
+-3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1 1 -4 -3 -2 11
+-2 -2 -2 -3 -2 -1 -2 -3 2 -1 -1 -2 -1 3 -3 -2 -2 2 7
+0 -3 -3 -3 -1 -2 -2 -3 -3 3 1 -2 1 -1 -2 -2 0 -3 -1 4
+"""
+
+
+def _table() -> np.ndarray:
+    """Scores by code points under 128; letters that the matrix lacks score 1 with themselves, else -1."""
+    table = np.full((128, 128), -1, np.int32)
+    np.fill_diagonal(table, 1)
+    for x, line in zip(LETTERS, BLOSUM62.split("\n")[1:], strict=False):
+        for y, v in zip(LETTERS, line.split(), strict=False):
+            table[ord(x), ord(y)] = table[ord(y), ord(x)] = int(v)
+    return table
+
+
+SCORES = _table()
+
+
+def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Substitution scores of letters by code point, of any script."""
+    plain = (a < 128) & (b < 128)
+    return np.where(plain, SCORES[np.where(plain, a, 0), np.where(plain, b, 0)], np.where(a == b, 1, -1))
+
+
+def align(a: str, b: str) -> tuple[int, float, float]:
+    """(score, identity and similarity in percent of the alignment) of the global alignment in which a gap costs GAP_OPEN for its first
+    letter and GAP_EXTEND for each further one.
+
+    A cell takes the best of three, the diagonal first on ties, then the gap in b, and a gap is extended where the cell before was
+    itself reached by one. Cells of an antidiagonal are filled together; what stays is two of them, and one byte per cell."""
+    x, y = (np.array([ord(c) for c in s.upper()], np.int64) for s in (a, b))
+    n, m = len(x), len(y)
+    trace = np.zeros((n + 1, m + 1), np.uint8)
+    trace[1:, 0], trace[0, 1:] = 1, 2
+    edge = lambda k: -GAP_OPEN - (k - 1) * GAP_EXTEND if k else 0
+    before, last = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)  # by row, of antidiagonals k - 2 and k - 1
+    for k in range(1, n + m + 1):
+        now = np.zeros(n + 1, np.int64)
+        i = np.arange(max(1, k - m), min(n, k - 1) + 1)
+        j = k - i
+        if len(i):
+            diagonal = before[i - 1] + scores(x[i - 1], y[j - 1])
+            up = last[i - 1] - np.where(trace[i - 1, j] == 1, GAP_EXTEND, GAP_OPEN)
+            left = last[i] - np.where(trace[i, j - 1] == 2, GAP_EXTEND, GAP_OPEN)
+            best = np.maximum(diagonal, up)
+            trace[i, j] = np.where(left > best, 2, np.where(up > diagonal, 1, 0))
+            now[i] = np.maximum(best, left)
+        if k <= n:
+            now[k] = edge(k)
+        if k <= m:
+            now[0] = edge(k)
+        before, last = last, now
+    i, j, length, pairs = n, m, 0, []
     while i or j:
         length += 1
-        if i and j and best[i, j] == best[i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
-            same += a[i - 1] == b[j - 1]
-            i, j = i - 1, j - 1
-        elif i and (best[i, j] == down[i, j] or not j):
-            i -= 1
-        else:
-            j -= 1
-    return int(best[n, m]), 100.0 * same / max(length, 1)
+        step = trace[i, j]
+        if step == 0:
+            pairs.append((i - 1, j - 1))
+        i, j = i - (step != 2), j - (step != 1)
+    p, q = (np.array(c, np.int64) for c in (zip(*pairs, strict=True) if pairs else ((), ())))
+    same, alike = int((x[p] == y[q]).sum()), int((scores(x[p], y[q]) > 0).sum())
+    return int(last[n]), 100.0 * same / max(length, 1), 100.0 * alike / max(length, 1)
 
 
 def sequence_alignment_pairs(pairs: DataFrame) -> DataFrame:
-    """score and identity for a table of pairs (left_id, right_id, left, right)."""
+    """score, identity and similarity for a table of pairs (left_id, right_id, left, right)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [align(x or "", y or "") for x, y in zip(b.left, b.right, strict=True)]
-            yield pd.DataFrame({"left_id": b.left_id, "right_id": b.right_id, "score": [s for s, _ in found], "identity": [i for _, i in found]})
+            yield pd.DataFrame({"left_id": b.left_id, "right_id": b.right_id, **{n: [f[k] for f in found] for k, n in enumerate(("score", "identity", "similarity"))}})
+
+    return pairs.mapInPandas(run, "left_id long, right_id long, score long, identity double, similarity double")
+
+
+def word_hashes(seq: str, k: int, share: int) -> np.ndarray:
+    """Distinct hashes of the words of k letters whose hash is a multiple of `share`: which words count depends on them alone."""
+    raw = np.frombuffer(seq.encode(), np.uint8).astype(np.uint64)
+    if len(raw) < k:
+        return np.zeros(0, np.int64)
+    h = np.zeros(len(raw) - k + 1, np.uint64)
+    for i in range(k):
+        h = h * np.uint64(0x9E3779B97F4A7C15 | 1) + raw[i : len(raw) - k + 1 + i]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return np.unique(h[h % np.uint64(share) == 0]).view(np.int64)
+
+
+def related_pairs(left: DataFrame, right: DataFrame, k: int = 16, share: int = 4, ratio: float = 0.5) -> DataFrame:
+    """Pairs (left_id, right_id, left, right) of sequences (seq_id, seq) that share a word of k letters and whose lengths differ by no
+    more than the ratio: candidates for an alignment, by an equi-join of word hashes."""
+    sides = []
+    for side, rows in (("left", left), ("right", right)):
+
+        def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                found = [word_hashes(s or "", k, share) for s in b.seq]
+                sizes = [len(f) for f in found]
+                yield pd.DataFrame({"id": np.repeat(b.id.to_numpy(), sizes), "n": np.repeat(b.seq.map(lambda s: len(s or "")).to_numpy(), sizes), "word": np.concatenate([np.zeros(0, np.int64), *found])})
+
+        table = rows.select(F.col("seq_id").cast("long").alias("id"), "seq").mapInPandas(words, "id long, n long, word long")
+        sides.append(table.toDF(f"{side}_id", f"n_{side}", "word"))
+    pairs = sides[0].join(sides[1], "word").filter(F.least("n_left", "n_right") >= ratio * F.greatest("n_left", "n_right")).select("left_id", "right_id").distinct()
+    for side, rows in (("left", left), ("right", right)):
+        pairs = pairs.join(rows.select(F.col("seq_id").cast("long").alias(f"{side}_id"), F.col("seq").alias(side)), f"{side}_id")
+    return pairs
+
+
+def canonical_alignment(canonical: DataFrame, residues: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Canonical sequences (key, seq) against structures' residues (key, number, code, seen), in order of their numbers.
 
-    return pairs.mapInPandas(run, "left_id long, right_id long, score long, identity double")
+    Returns (key, position, number) of aligned residues, positions from 1; per key the offset of numbers, whether a first M is cleaved,
+    aligned and identical shares; and the runs of residues without coordinates (key, first, last, length, reason). A sequence whose M
+    is followed by the structure's first residue starts at its second letter. A run at either end is terminal."""
+    w = Window.partitionBy("key").orderBy("number")
+    rows = residues.withColumn("k", F.row_number().over(w)).join(canonical, "key")
+    first = F.first(F.upper("code")).over(w)
+    upper = F.upper("seq")
+    cleaved = (F.length("seq") > 1) & (F.substring(upper, 1, 1) == "M") & (first == F.substring(upper, 2, 1))
+    rows = rows.withColumns({"cleaved": cleaved, "position": F.col("k") + cleaved.cast("int"), "start": F.first("number").over(w)})
+    aligned = F.col("position") <= F.length("seq")
+    same = aligned & (F.upper("code") == F.substr(upper, F.col("position"), F.lit(1)))
+    n = F.count_if(aligned)
+    facts = rows.groupBy("key").agg((F.min("start") - F.min("position")).alias("numbering_offset"), F.bool_or("cleaved").alias("initiator_cleaved"), n.alias("n_aligned"), F.when(n > 0, F.count_if(same) / n).otherwise(0.0).alias("identity"))
+    whole = Window.partitionBy("key")
+    gone = rows.withColumn("n", F.max("k").over(whole)).filter(~F.col("seen")).withColumn("run", F.col("k") - F.row_number().over(w))
+    gone = gone.groupBy("key", "run").agg(F.min("number").alias("first"), F.max("number").alias("last"), F.count(F.lit(1)).alias("length"), ((F.min("k") == 1) | (F.max("k") == F.max("n"))).alias("terminal"))
+    reason = F.when(F.col("terminal"), "TERMINAL_FLEXIBILITY").otherwise("UNRESOLVED_DENSITY")
+    return rows.filter(aligned).select("key", "position", "number"), facts, gone.select("key", "first", "last", "length", reason.alias("reason"))

@@ -14,9 +14,17 @@ from orbitframe.sources.views import sql
 
 
 def _pairs(p, d):
-    """Each benchmark item with the one after it."""
-    items = v.sq(p, d, "benchmark", "item_id")
-    return items.select(F.col("seq_id").alias("left_id"), F.col("seq").alias("left"), (F.col("seq_id") + 1).alias("right_id")).join(items.select(F.col("seq_id").alias("right_id"), F.col("seq").alias("right")), "right_id")
+    """Documents and benchmark items that share a word of letters."""
+    return q.related_pairs(v.sq(p, d), v.sq(p, d, "benchmark", "item_id"), ratio=0.05)
+
+
+def _canonical(p, d):
+    """Letters of benchmark items, some after an M, against their letters from the second or first on, numbered from 100, with holes."""
+    items = v.sq(p, d, "benchmark", "item_id").select(F.col("seq_id").alias("key"), "seq").filter(F.length("seq") > 1)
+    canonical = items.select("key", F.when(F.col("key") % 2 == 0, F.concat(F.lit("M"), "seq")).otherwise(F.col("seq")).alias("seq"))
+    residues = items.select("key", F.posexplode(F.split("seq", "")).alias("k", "code")).filter("code <> ''")
+    seen = ~((F.col("k") % 10 < 2) & (F.col("k") % 30 < 10))
+    return q.canonical_alignment(canonical, residues.select("key", (F.col("k") + 100).alias("number"), F.when(F.col("k") % 7 == 3, "X").otherwise(F.col("code")).alias("code"), seen.alias("seen")))
 
 
 QUERIES = {
@@ -25,6 +33,9 @@ QUERIES = {
     "rsa": lambda p, d: rounded(sf.rsa(sf.sasa_atoms(v.te_full(p, d)), v.te_atoms(p))),
     "vdw_volume": lambda p, d: rounded(sf.vdw_volume(v.te_full(p, d))),
     "sequence_alignment_pairs": lambda p, d: rounded(q.sequence_alignment_pairs(_pairs(p, d))),
+    "canonical_alignment": lambda p, d: rounded(_canonical(p, d)[1]),
+    "canonical_positions": lambda p, d: _canonical(p, d)[0],
+    "canonical_missing": lambda p, d: _canonical(p, d)[2],
     "leakage_join": lambda p, d: rounded(q.leakage_join(v.sq(p, d), v.sq(p, d, "benchmark", "item_id").toDF("train_id", "train"), 0.15)),
     "entity_summary": lambda p, d: st.entity_summary(v.table(p, d, "lineitem"), ["l_orderkey"], "l_suppkey", "l_linenumber"),
     "export_fasta": lambda p, d: x.export_fasta(v.te_full(p, d), ["traj_id"]),
@@ -45,7 +56,13 @@ def _shell(p, d):
 
 
 QUERIES["cavities"] = lambda p, d: rounded(sf.cavities(_shell(p, d)))
+_CANON = """, I AS (SELECT seq_id AS key, seq FROM SB WHERE length(seq) > 1), CL AS (SELECT key, seq, key % 2 = 0 OR (substr(seq, 1, 1) = 'M' AND substr(seq, 1, 1) = substr(seq, 2, 1)) AS cleaved, CASE WHEN key % 2 = 0 THEN 'M' || seq ELSE seq END AS full_ FROM I),
+    RS AS (SELECT key, cleaved, full_, k + 100 AS number, CASE WHEN k % 7 = 3 THEN 'X' ELSE seq[k + 1] END AS code, NOT (k % 10 < 2 AND k % 30 < 10) AS seen, k, length(seq) AS n FROM (SELECT *, unnest(range(length(seq))) AS k FROM CL)),
+    PO AS (SELECT *, k + 1 + cleaved::INTEGER AS position FROM RS), AL AS (SELECT * FROM PO WHERE position <= length(full_))"""
 ORACLE_SQL = {
+    "canonical_alignment": sql("SB", _CANON + " SELECT key, 100 - (1 + any_value(cleaved)::INTEGER) AS numbering_offset, any_value(cleaved) AS initiator_cleaved, count(*) AS n_aligned, round(avg((code = full_[position])::INTEGER), 6) AS identity FROM AL GROUP BY 1"),
+    "canonical_positions": sql("SB", _CANON + " SELECT key, position, number FROM AL"),
+    "canonical_missing": sql("SB", _CANON + ", G AS (SELECT key, k, n, k - row_number() OVER (PARTITION BY key ORDER BY k) AS run FROM RS WHERE NOT seen) SELECT key, min(k) + 100 AS first, max(k) + 100 AS last, count(*) AS length, CASE WHEN min(k) = 0 OR max(k) = any_value(n) - 1 THEN 'TERMINAL_FLEXIBILITY' ELSE 'UNRESOLVED_DENSITY' END AS reason FROM G GROUP BY key, run"),
     "leakage_join": sql("SQ SB", "SELECT seq_id, train_id, round(identity, 6) AS identity FROM (SELECT a.seq_id, b.seq_id AS train_id, CASE WHEN least(length(a.seq), length(b.seq)) > 0 THEN len(list_filter(list_zip(string_split(a.seq, '')[1:least(length(a.seq), length(b.seq))], string_split(b.seq, '')[1:least(length(a.seq), length(b.seq))]), lambda x: x[1] = x[2])) / greatest(length(a.seq), length(b.seq)) ELSE 0 END AS identity FROM SQ a JOIN SB b ON least(length(a.seq), length(b.seq)) >= 0.15 * greatest(length(a.seq), length(b.seq))) WHERE identity >= 0.15"),
     "entity_summary": "SELECT l_orderkey, count(*) AS n_entities, sum(n)::BIGINT AS n_chains, CASE WHEN count(*) > 1 THEN 'heteromer' WHEN max(n) > 1 THEN 'homomer' ELSE 'monomer' END AS kind FROM (SELECT l_orderkey, l_suppkey, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1",
     "vdw_volume": sql("TF", """, A AS (SELECT traj_id, frame, x, y, z, (CASE element WHEN 'C' THEN 1.7 WHEN 'N' THEN 1.55 ELSE 1.52 END)::DOUBLE AS r FROM TF),

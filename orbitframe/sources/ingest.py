@@ -117,9 +117,16 @@ def ingest_interaction_xml(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "hydrogen_bond").schema(schema).load(path)
 
 
-def verify_provenance(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """Size and digest of files against a manifest (name, size_bytes, sha256)."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size_found"), F.sha2("content", 256).alias("sha256_found"))
+def folder_value(key: str) -> Column:
+    """The value of key=value in a row's file path, for files in a folder per value."""
+    return F.regexp_extract("file", f"{key}=([^/]*)", 1)
+
+
+def verify_provenance(spark: SparkSession, path: str, manifest: DataFrame, name: Column | None = None) -> DataFrame:
+    """Size and digest of files against a manifest (name, size_bytes, sha256). A file's name is the end of its path unless given as an
+    expression of the column `path`."""
+    name = F.element_at(F.split("path", "/"), -1) if name is None else name
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(name.alias("name"), F.col("length").alias("size_found"), F.sha2("content", 256).alias("sha256_found"))
     rows = manifest.join(files, "name", "full_outer")
     return rows.select("name", F.when(F.col("sha256").isNull(), "UNLISTED").when(F.col("sha256_found").isNull(), "MISSING").when((F.col("size_bytes") == F.col("size_found")) & (F.col("sha256") == F.col("sha256_found")), "OK").otherwise("CHANGED").alias("status"))
 

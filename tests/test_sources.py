@@ -87,7 +87,7 @@ def test_csv_and_fasta(spark, tmp_path):
     assert export.export_fasta(atoms, ["traj_id"]).first().sequence == "AX" * 30 + "\n" + "AX" * 5
 
 
-def test_leakage_and_alignment(spark):
+def test_leakage(spark):
     queries = spark.createDataFrame([(1, "ACDEFGHIKL"), (2, "AAAA"), (3, ""), (4, "ACDEFGHIKLMNPQRSTVWYACDEFGHIKL")], "seq_id long, seq string")
     training = spark.createDataFrame([(10, "ACDEFGHIKV"), (11, "TTTTT"), (12, "ACDEFGHIKL")], "train_id long, train string")
 
@@ -97,8 +97,3 @@ def test_leakage_and_alignment(spark):
     for t in (0.15, 0.3, 0.9):
         expected = {(q.seq_id, s.train_id) for q in queries.collect() for s in training.collect() if identity(q.seq, s.train) >= t}
         assert {(r.seq_id, r.train_id) for r in sequences.leakage_join(queries, training, t).collect()} == expected
-    assert sequences.align("HEAGAWGHEE", "HEAGAWGHEE") == (40, 100.0)
-    assert sequences.align("AAAA", "AATAA")[0] == 4 * 4 - 10
-    assert sequences.align("", "AC") == (-11, 0.0)
-    pairs = queries.filter("seq_id = 1").select(F.lit(1).cast("long").alias("left_id"), F.lit(2).cast("long").alias("right_id"), F.col("seq").alias("left"), F.lit("ACDEFGHIKV").alias("right"))
-    assert sequences.sequence_alignment_pairs(pairs).first().identity == 90.0

@@ -1,9 +1,12 @@
 """Streams end with what the batch form gives."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from orbitframe.operators.series import episodes
-from orbitframe.plans.certified import block_aabb
+from orbitframe.plans.certified import block_aabb, block_verdicts
 from orbitframe.streaming import blocks
 
 
@@ -23,17 +26,37 @@ def test_block_bounds(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, block_aabb(df).select(*found.columns).collect()))
 
 
-def test_episodes(spark, tmp_path):
-    flags = {1: "TTFTTTFFT", 2: "FFTF", 3: "TTT"}
-    rows = [(k, i, c == "T") for k, s in flags.items() for i, c in enumerate(s)]
-    df = spark.createDataFrame(rows, "traj_id long, frame long, flag boolean")
-    for lo, hi in ((0, 4), (4, 10)):
-        df.filter((F.col("frame") >= lo) & (F.col("frame") < hi)).coalesce(1).write.mode("append").parquet(str(tmp_path / "ep"))
+def test_block_verdicts(spark, tmp_path):
+    rows = [(1, f, g, g, float(f % 7 + g), float(f * 0.2), 0.5, 20.0, 20.0, 20.0) for f in range(60) for g in (0, 1)]
+    df = spark.createDataFrame(rows, "traj_id int, frame long, group_id int, atom_id int, x double, y double, z double, lx double, ly double, lz double")
+    for k in range(6):  # files don't end with blocks
+        df.filter((F.col("frame") >= k * 11) & (F.col("frame") < k * 11 + 11)).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = blocks.run_available(blocks.stream_block_verdicts(stream, 4.0), "update")
+    names = ["frame_start", "frame_end", "lower", "upper", "verdict"]
+    last = found.groupBy("traj_id", "block_id").agg(F.max_by(F.struct(*names), "batch").alias("r")).select("traj_id", "block_id", "r.*")
+    assert found.select("batch").distinct().count() > 1
+    assert sorted(map(tuple, last.collect()), key=str) == sorted(map(tuple, block_verdicts(df, 4.0).collect()), key=str)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_episodes_wait_for_late_rows(spark, tmp_path, kind):
+    """Rows come out of order within the watermark's delay; those behind it are dropped; keys of any type."""
+    flags = {"1": "TTFTTTFFTTTTT", "2": "FFTFTTTTTTTTF", "3": "TTTTTTTTTTTTT"}
+    rows = [(k, i, c == "T", i * 60) for k, s in flags.items() for i, c in enumerate(s)]
+    df = spark.createDataFrame([(k, i, f, t + 1_700_000_000) for k, i, f, t in rows], "traj_id string, frame long, flag boolean, t long")
+    df = df.select(F.col("traj_id").cast(kind).alias("traj_id"), "frame", "flag", F.timestamp_seconds("t").alias("ts"))
+    late = F.col("frame").isin(3, 4)
+    behind = spark.createDataFrame([("1", 0, False, 1_600_000_000)], "traj_id string, frame long, flag boolean, t long").select(F.col("traj_id").cast(kind).alias("traj_id"), "frame", "flag", F.timestamp_seconds("t").alias("ts"))
+    end = df.select("traj_id").distinct()
+    far = [end.select("traj_id", F.lit(100 + k).cast("long").alias("frame"), F.lit(False).alias("flag"), F.timestamp_seconds(F.lit(1_800_000_000 + k * 10_000_000)).alias("ts")) for k in range(2)]
+    parts = [df.filter("frame < 6").filter(~late), df.filter(late), df.filter("frame >= 6"), behind, far[0], far[1]]
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "ep"))
+        time.sleep(0.05)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ep"))
-    found = {tuple(r) for r in run(blocks.stream_episodes(stream), "episodes", "append", tmp_path).collect()}
-    ends = df.groupBy("traj_id").agg(F.max("frame").alias("last"))
-    closed = episodes(df, "flag").join(ends, "traj_id").filter("k_e <= last").select("traj_id", "k_s", "k_e")
-    assert found == {tuple(r) for r in closed.collect()}
+    found = {tuple(r) for r in blocks.run_available(blocks.stream_episodes(stream), "append").select("traj_id", "k_s", "k_e").collect()}
+    assert found == {tuple(r) for r in episodes(df, "flag").collect()}
 
 
 def test_occupancy(spark, tmp_path):
