@@ -52,11 +52,12 @@ def block_pairs(rows: DataFrame, counted: DataFrame, key: str, node: str, most:
     """rows with bi, bj: a key of more than `most` rows is cut into blocks by hash, and each row goes to all pairs of blocks
     with its own. Any two rows of a key so meet in a group of at most about 2 * most rows. `own` is the row's block.
 
-    counted has (key, size) of the large keys at least.
+    counted has (key, size) of the large keys at least. It is joined by the key's complement: a shuffle join by itself, which adaptive
+    execution splits where a key has too many rows for a task.
     """
-    large = counted.filter(F.col("size") > most)
+    large = counted.filter(F.col("size") > most).select(F.bitwise_not(key).alias("w_"), "size")
     n = F.coalesce(F.ceil(F.col("size") / most), F.lit(1)).cast("int")
-    out = rows.join(large, key, "left").withColumn("n_", n)
+    out = rows.join(large, F.bitwise_not(key) == F.col("w_"), "left").drop("w_").withColumn("n_", n)
     out = out.withColumn("own", F.pmod(F.xxhash64(F.lit(7), node), F.col("n_")).cast("int"))
     out = out.withColumn("other_", F.explode(F.sequence(F.lit(0), F.col("n_") - 1)))
     return out.withColumns({"bi": F.least("own", "other_"), "bj": F.greatest("own", "other_")}).drop("other_", "n_", "size")
