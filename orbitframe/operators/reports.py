@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitframe.functions import geometry as g
@@ -14,7 +14,7 @@ from orbitframe.operators import interactions as i
 from orbitframe.operators import series as se
 from orbitframe.operators import structure as st
 from orbitframe.operators import superposition as su
-from orbitframe.operators.graphs import stored
+from orbitframe.operators.graphs import shared_path, stored
 from orbitframe.operators.selection import radius_join
 from orbitframe.operators.structure import FRAME
 from orbitframe.plans import certified as c
@@ -104,16 +104,27 @@ def structure_compare(coords: DataFrame, first: int = 0) -> DataFrame:
 
 
 def unwrap_bonded(coords: DataFrame, bonds: DataFrame, root: int, keys: list[str]) -> DataFrame:
-    """Moves each atom next to its parent in a walk over the bonds (i, j) from the root: one join per level, whole boxes added up."""
-    both = bonds.select("i", "j").unionByName(bonds.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
-    placed = stored(coords.filter(F.col("atom_id") == root).select(*keys, "atom_id", *"xyz"))
-    frontier = placed
+    """Moves each atom next to its parent in a walk over the bonds (i, j) from the root, by whole boxes.
+
+    The walk is the same in every frame, so it is found once, over the atoms; the frames then take as many joins as the logarithm of
+    its depth."""
+    both = stored(bonds.select("i", "j").unionByName(bonds.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct())
+    steps = shared_path(coords.sparkSession)
+    start = both.select(F.lit(root).cast(both.schema["i"].dataType).alias("atom_id")).limit(1).select("atom_id", F.lit(None).cast(both.schema["i"].dataType).alias("parent"), F.lit(0).alias("level"))
+    walk, level = stored(start, steps), 0
     while True:
-        step = frontier.select(*keys, F.col("atom_id").alias("i"), *[F.col(n).alias(f"p{n}") for n in "xyz"]).join(both, "i").withColumnRenamed("j", "atom_id")
-        first = Window.partitionBy(*keys, "atom_id").orderBy("i")
-        step = step.join(placed.select(*keys, "atom_id"), [*keys, "atom_id"], "left_anti").withColumn("r", F.row_number().over(first)).filter("r = 1")
-        moved = step.join(coords.select(*keys, "atom_id", *"xyz", "lx", "ly", "lz"), [*keys, "atom_id"])
-        frontier = stored(moved.select(*keys, "atom_id", *[(F.col(n) - F.col(f"l{n}") * F.rint((F.col(n) - F.col(f"p{n}")) / F.col(f"l{n}"))).alias(n) for n in "xyz"]))
-        if frontier.isEmpty():
-            return placed
-        placed = stored(placed.unionByName(frontier))
+        reached = walk.filter(F.col("level") == level).select(F.col("atom_id").alias("i")).join(both, "i").groupBy(F.col("j").alias("atom_id")).agg(F.min("i").alias("parent"))
+        level += 1
+        walk = stored(reached.join(walk.select("atom_id"), "atom_id", "left_anti").withColumn("level", F.lit(level)), steps)
+        if walk.filter(F.col("level") == level).isEmpty():
+            break
+    # Jumps to the parent are whole boxes, so they add up along the way to the root; ways are joined to ways, twice as long each time.
+    boxes = [f"b{n}" for n in "xyz"]
+    parents = coords.select(*keys, F.col("atom_id").alias("parent"), *[F.col(n).alias(f"p{n}") for n in "xyz"])
+    rows = coords.join(walk.select("atom_id", "parent"), "atom_id").join(parents, [*keys, "parent"], "left")
+    ways = stored(rows.select(*keys, "atom_id", "parent", *[F.coalesce(F.rint((F.col(n) - F.col(f"p{n}")) / F.col(f"l{n}")), F.lit(0.0)).alias(f"b{n}") for n in "xyz"]))
+    while level > 1:
+        further = ways.select(*keys, F.col("atom_id").alias("parent"), F.col("parent").alias("next"), *[F.col(b).alias(f"{b}_p") for b in boxes])
+        ways = stored(ways.join(further, [*keys, "parent"], "left").select(*keys, "atom_id", F.col("next").alias("parent"), *[(F.col(b) + F.coalesce(F.col(f"{b}_p"), F.lit(0.0))).alias(b) for b in boxes]))
+        level = (level + 1) // 2
+    return coords.join(ways.drop("parent"), [*keys, "atom_id"]).select(*keys, "atom_id", *[(F.col(n) - F.col(f"l{n}") * F.col(f"b{n}")).alias(n) for n in "xyz"])

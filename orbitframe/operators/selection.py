@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitframe.functions import geometry as g
+from orbitframe.operators.order import numbered
 
 # Residue and atom names.
 AMINO_ACIDS = {
@@ -146,6 +147,7 @@ def catalog_search(rows: DataFrame, text: str, columns: list[str]) -> DataFrame:
 
 
 def catalog_rank(rows: DataFrame, source: Column, weights: dict[str, int], then: list[Column]) -> DataFrame:
-    """A rank by source weight, then further columns."""
+    """A rank from 1 by source weight, then further columns; ranges of the order are counted by themselves."""
     weight = F.coalesce(*[F.when(source == k, w) for k, w in weights.items()], F.lit(99))
-    return rows.withColumn("weight", weight).withColumn("rank", F.row_number().over(Window.orderBy("weight", *then)))
+    found = numbered(rows.withColumns({"weight": weight, "one_": F.lit(0)}), "one_", [F.col("weight"), *then], "rank")
+    return found.withColumn("rank", F.col("rank") + 1).drop("one_")

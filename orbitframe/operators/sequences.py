@@ -9,23 +9,47 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitframe.functions.text import sequence_identity
-
 GAP_OPEN, GAP_EXTEND = 10, 1
 
 
+#: Training sequences that a query meets at a time.
+BLOCK = 64
+
+
 def leakage_join(queries: DataFrame, training: DataFrame, threshold: float = 0.30) -> DataFrame:
     """Pairs (seq_id, seq) x (train_id, train) of positional identity at or over the threshold.
 
-    Identity is at most the ratio of lengths, so a pair's lengths lie in the same or in neighbouring bands of a geometric scale:
-    the join is on bands, and identity is computed for what the ratio allows.
+    Identity is at most the ratio of lengths, so a pair's lengths lie in the same or in neighbouring bands of a geometric scale. The
+    training sequences of a band are dealt to blocks; each query meets the blocks of its three bands, and letters are compared in
+    numpy, a block at a time. Only pairs that reach the threshold become rows.
     """
     step = -np.log(threshold)
     band = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1)).cast("double")) / step)
-    a = queries.withColumn("band", F.explode(F.array(*[band("seq") + k for k in (-1, 0, 1)])))
-    joined = a.join(training.withColumn("band", band("train")), "band")
-    ratio = F.least(F.length("seq"), F.length("train")) / F.greatest(F.length("seq"), F.length("train"), F.lit(1))
-    return joined.filter(ratio >= threshold).select("seq_id", "train_id", sequence_identity(F.col("seq"), F.col("train")).alias("identity")).filter(F.col("identity") >= threshold)
+    sized = training.withColumn("band", band("train"))
+    counts = sized.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = sized.join(counts, "band").withColumn("block", F.pmod(F.xxhash64("train_id"), "blocks"))
+    blocks = dealt.groupBy("band", "block").agg(F.collect_list(F.struct("train_id", "train")).alias("b")).select("band", F.transform("b", lambda x: x["train_id"]).alias("train_ids"), F.transform("b", lambda x: x["train"]).alias("trains"))
+    rows = queries.withColumn("band", F.explode(F.array(*[band("seq") + k for k in (-1, 0, 1)]))).join(blocks, "band").select("seq_id", "seq", "train_ids", "trains")
+    kinds = [rows.schema["seq_id"].dataType.simpleString(), training.schema["train_id"].dataType.simpleString()]
+
+    def letters(s: str) -> np.ndarray:
+        return np.frombuffer((s or "").encode("utf-32-le"), np.uint32)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: list[tuple] = []
+            for seq_id, seq, ids, trains in b.itertuples(index=False):
+                a = letters(seq)
+                for train_id, train in zip(ids, trains, strict=True):
+                    n, m = len(a), len(train or "")
+                    if min(n, m) >= threshold * max(n, m, 1):
+                        c = letters(train)
+                        share = (a[: min(n, m)] == c[: min(n, m)]).sum() / max(n, m)
+                        if share >= threshold:
+                            out.append((seq_id, train_id, float(share)))
+            yield pd.DataFrame(out, columns=["seq_id", "train_id", "identity"])
+
+    return rows.mapInPandas(compare, f"seq_id {kinds[0]}, train_id {kinds[1]}, identity double")
 
 
 #: Substitution scores, the lower triangle in the order of the letters.

@@ -118,7 +118,7 @@ def _stream_verdicts(p: SparkSession, d: str) -> DataFrame:
 def _stream_episodes(p: SparkSession, d: str) -> DataFrame:
     """Episodes of events; two last frames of each trajectory, far ahead, move the watermark on."""
     rows = v.ev(p, d).select("traj_id", "frame", F.col("flag_a").alias("flag"), F.timestamp_seconds("t_ps").alias("ts"))
-    ends = [rows.groupBy("traj_id").agg((F.max("frame") + k).alias("frame"), F.lit(False).alias("flag"), F.lit(f"2{k}00-01-01").cast("timestamp").alias("ts")) for k in (2, 3)]
+    ends = [rows.groupBy("traj_id").agg((F.max("frame") + k).alias("frame"), F.lit(False).alias("flag"), F.lit(f"2{k}00-01-01").cast("timestamp").alias("ts")) for k in (1, 2)]
     return blocks.run_available(blocks.stream_episodes(_stream(p, rows.unionByName(ends[0]).unionByName(ends[1]), ["ts"])), "append").select("traj_id", "k_s", "k_e")
 
 
