@@ -102,21 +102,23 @@ def _provenance(p: SparkSession, d: str) -> DataFrame:
     return ingest.verify_provenance(p, path, manifest, F.element_at(F.split("path", "/"), -2))
 
 
-def _stream(p: SparkSession, rows: DataFrame, order: list[str]) -> DataFrame:
-    """A table as a stream of several files, in an order."""
+def _stream(p: SparkSession, rows: DataFrame, order: list[str], files: int | None = None) -> DataFrame:
+    """A table as a stream, of so many files at a time; files come in no certain order."""
     path = shared_path(p)
     rows.repartitionByRange(4, *order).sortWithinPartitions(*order).write.parquet(path)
-    return p.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    reader = p.readStream.schema(rows.schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
 def _stream_verdicts(p: SparkSession, d: str) -> DataFrame:
-    found = blocks.run_available(blocks.stream_block_verdicts(_stream(p, v.tl(p, d), ["frame"]), TAU), "update")
+    found = blocks.run_available(blocks.stream_block_verdicts(_stream(p, v.tl(p, d), ["frame"], 1), TAU), "update")
     names = ["frame_start", "frame_end", "lower", "upper", "verdict"]
     return found.groupBy("traj_id", "block_id").agg(F.max_by(F.struct(*names), "batch").alias("r")).select("traj_id", "block_id", "r.*")
 
 
 def _stream_episodes(p: SparkSession, d: str) -> DataFrame:
-    """Episodes of events; two last frames of each trajectory, far ahead, move the watermark on."""
+    """Episodes of events, in one batch, as older files than the watermark would be late; two last frames of each trajectory, far ahead,
+    move the watermark on."""
     rows = v.ev(p, d).select("traj_id", "frame", F.col("flag_a").alias("flag"), F.timestamp_seconds("t_ps").alias("ts"))
     ends = [rows.groupBy("traj_id").agg((F.max("frame") + k).alias("frame"), F.lit(False).alias("flag"), F.lit(f"2{k}00-01-01").cast("timestamp").alias("ts")) for k in (1, 2)]
     return blocks.run_available(blocks.stream_episodes(_stream(p, rows.unionByName(ends[0]).unionByName(ends[1]), ["ts"])), "append").select("traj_id", "k_s", "k_e")
