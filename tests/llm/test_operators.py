@@ -493,6 +493,35 @@ def test_media_round_trip(docs, empty):
     assert media.media_digest(media.text_to_media(empty)).count() == 0
 
 
+def test_stored_media_and_features_are_those_of_a_plain_version(spark):
+    """Files and features by their definitions: pixel by pixel, and means over areas without an integral image."""
+    rng = np.random.default_rng(6)
+    rows = [(0, None), (1, "x" * 191), (2, "é" * 97), (3, "".join(map(chr, rng.integers(32, 900, 700)))), (4, "y" * 192), (5, "z" * 193)]
+
+    def overlap(n, m):
+        """Share of each source cell in each target cell, along one axis."""
+        at = np.arange(m + 1) * (n / m)
+        return np.array([[max(0, min(at[j + 1], i + 1) - max(at[j], i)) for i in range(n)] for j in range(m)]) / (n / m)
+
+    for r in media.media_digest(media.text_to_media(spark.createDataFrame(rows, "doc_id long, text string"))).collect():
+        raw = (rows[r.doc_id][1] or "").encode()
+        n = max(1, -(-len(raw) // 192))
+        payload = raw.ljust(192 * n, b" ")
+        pixels = [[payload[192 * y + 3 * x : 192 * y + 3 * x + 3] for x in range(64)] for y in range(n)]
+        if n % 2:
+            stored = b"P6\n64 " + str(n).encode() + b"\n255\n" + payload
+        else:
+            body = b"".join(p[::-1] for line in reversed(pixels) for p in line)
+            parts = [(54 + len(body), 4), (0, 4), (54, 4), (40, 4), (64, 4), (n, 4), (1, 2), (24, 2), (0, 4), (len(body), 4), (2835, 4), (2835, 4), (0, 4), (0, 4)]
+            stored = b"BM" + b"".join(v.to_bytes(k, "little") for v, k in parts) + body
+        gray = np.array([[0.299 * p[0] + 0.587 * p[1] + 0.114 * p[2] for p in line] for line in pixels])
+        tile = np.clip(np.rint(overlap(n, 32) @ gray @ overlap(64, 32).T), 0, 255).astype(np.uint8)
+        cells = np.round(overlap(n, 8) @ gray @ overlap(64, 9).T, 6)
+        bits = "".join(str(int(cells[y, x] < cells[y, x + 1])) for y in range(8) for x in range(8))
+        feature = f"{int(bits, 2):016x}:{hashlib.sha256(media.npy(np.asfortranarray(tile))).hexdigest()[:16]}"
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), feature)
+
+
 def test_media_formats_resizing_and_hashes(spark):
     rng = np.random.default_rng(4)
     rgb = rng.integers(0, 256, (7, 5, 3)).astype(np.uint8)
