@@ -84,13 +84,6 @@ def to_cartesian(s: Vec, h: tuple[Vec, Vec, Vec]) -> Vec:
     return tuple(s[0] * h[0][k] + s[1] * h[1][k] + s[2] * h[2][k] for k in range(3))
 
 
-def mic_triclinic(d: Vec, h: tuple[Vec, Vec, Vec]) -> Column:
-    """Length of the shortest of the 27 images around the rounded fractional displacement."""
-    s = to_fractional(d, h)
-    near = tuple(p - F.rint(p) for p in s)
-    return F.least(*[norm(to_cartesian(add(near, const(*v)), h)) for v in SHIFTS])
-
-
 def clamp(c: Column, low: float = -1.0, high: float = 1.0) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), c))
 
@@ -135,12 +128,6 @@ def box_bounds(centre_a: Vec, half_a: Vec, centre_b: Vec, half_b: Vec, box: Vec
     return norm(tuple(low)), norm(tuple(high))
 
 
-def box_bounds_triclinic(centre_a: Vec, half_a: Vec, centre_b: Vec, half_b: Vec, h: tuple[Vec, Vec, Vec]) -> tuple[Column, Column]:
-    """Least of the bounds over the 27 images of the second box."""
-    pairs = [box_bounds(centre_a, half_a, add(centre_b, to_cartesian(const(*v), h)), half_b) for v in SHIFTS]
-    return F.least(*[low for low, _ in pairs]), F.least(*[high for _, high in pairs])
-
-
 #: The seven directions of a 14-sided bounding volume.
 DIRECTIONS = [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0), (1.0, 1.0, 1.0), (1.0, 1.0, -1.0), (1.0, -1.0, 1.0), (-1.0, 1.0, 1.0)]
 
@@ -179,6 +166,42 @@ def _rows(c: Column) -> tuple[Vec, Vec, Vec]:
     return tuple(e[:3]), tuple(e[3:6]), tuple(e[6:])
 
 
+def _images() -> Column:
+    return F.array(*[F.array(*map(F.lit, map(float, v))) for v in SHIFTS])
+
+
+def mic_triclinic(d: Vec, h: tuple[Vec, Vec, Vec]) -> Column:
+    """Length of the shortest of the 27 images around the rounded fractional displacement."""
+
+    def shortest(near: Column, cell: Column) -> Column:
+        def length(v: Column) -> Column:
+            place = add(tuple(_entries(near, 3)), tuple(_entries(v, 3)))
+            return let(_numbers(*to_cartesian(place, _rows(cell))), lambda r: norm(tuple(_entries(r, 3))))
+
+        return F.array_min(F.transform(_images(), length))
+
+    def body(x: Column) -> Column:
+        s = to_fractional(tuple(_entries(x["d"], 3)), _rows(x["h"]))
+        return let(_numbers(*s), lambda f: let(F.transform(f, lambda p: p - F.rint(p)), lambda near: shortest(near, x["h"])))
+
+    return let(F.struct(_numbers(*d).alias("d"), _numbers(*h[0], *h[1], *h[2]).alias("h")), body)
+
+
+def box_bounds_triclinic(centre_a: Vec, half_a: Vec, centre_b: Vec, half_b: Vec, h: tuple[Vec, Vec, Vec]) -> tuple[Column, Column]:
+    """Least of the bounds over the 27 images of the second box."""
+
+    def body(x: Column) -> Column:
+        def bounds(v: Column) -> Column:
+            return let(_numbers(*to_cartesian(tuple(_entries(v, 3)), _rows(x["h"]))), lambda r: F.array(*box_bounds(*(tuple(_entries(x[n], 3)) for n in ("ca", "ha")), add(tuple(_entries(x["cb"], 3)), tuple(_entries(r, 3))), tuple(_entries(x["hb"], 3)))))
+
+        found = F.transform(_images(), bounds)
+        return let(found, lambda f: F.array(F.array_min(F.transform(f, lambda p: F.get(p, F.lit(0)))), F.array_min(F.transform(f, lambda p: F.get(p, F.lit(1))))))
+
+    given = {"ca": centre_a, "ha": half_a, "cb": centre_b, "hb": half_b, "h": (*h[0], *h[1], *h[2])}
+    low, high = _entries(let(F.struct(*[_numbers(*c).alias(n) for n, c in given.items()]), body), 2)
+    return low, high
+
+
 def kdop_bounds_periodic(min_a: Column, max_a: Column, min_b: Column, max_b: Column, h: tuple[Vec, Vec, Vec]) -> tuple[Column, Column]:
     """Least of both bounds over the images of the second volume: the one next to the first volume's centre, and its 26 neighbours."""
 
@@ -186,8 +209,6 @@ def kdop_bounds_periodic(min_a: Column, max_a: Column, min_b: Column, max_b: Col
         return tuple((F.get(low, F.lit(i)) + F.get(high, F.lit(i))) / 2 for i in range(3))
 
     def over_images(x: Column, near: Column) -> Column:
-        images = F.array(*[F.array(*map(F.lit, map(float, v))) for v in SHIFTS])
-
         def shift(v: Column) -> Column:
             place = tuple(F.get(near, F.lit(i)) + F.get(v, F.lit(i)) for i in range(3))
             return let(_numbers(*to_cartesian(place, _rows(x["h"]))), lambda r: F.array(*projections(tuple(_entries(r, 3)))))
@@ -196,7 +217,7 @@ def kdop_bounds_periodic(min_a: Column, max_a: Column, min_b: Column, max_b: Col
             low, high = (F.zip_with(x[n], by, lambda p, s: p - s) for n in ("lb", "hb"))
             return let(F.struct(low.alias("l"), high.alias("h")), lambda m: F.array(*kdop_bounds(x["la"], x["ha"], m["l"], m["h"])))
 
-        found = F.transform(F.transform(images, shift), bounds)
+        found = F.transform(F.transform(_images(), shift), bounds)
         # Functions of one parameter: a second one would be taken for the index.
         return let(found, lambda f: F.array(F.array_min(F.transform(f, lambda p: F.get(p, F.lit(0)))), F.array_min(F.transform(f, lambda p: F.get(p, F.lit(1))))))
 
