@@ -111,18 +111,19 @@ QUERIES = {
     "rings": lambda p, d: gr.ring_types(gr.rings(st.atom_pairs(v.te(p, d)).filter("d <= 4").select(*FR, "i", "j"), FR), v.te_atoms(p), FR),
     "lineage_children": lambda p, d: v.lg(p, d).groupBy("parent").agg(F.count(F.lit(1)).alias("n_children")),
     "lineage_sources": lambda p, d: gr.roots(v.lg(p, d)),
-    "lineage_ancestors": lambda p, d: gr.ancestors(v.lg(p, d).filter("parent NOT LIKE 'P%'")),
-    "lineage_cycle_check": lambda p, d: gr.cycle_edges(v.lg(p, d).filter("parent LIKE 'C%'").unionByName(v.lg(p, d).filter("parent LIKE 'C%'").select(F.col("child").alias("parent"), F.col("parent").alias("child")))),
-    "lineage_join_report": lambda p, d: gr.ancestors(v.lg(p, d).filter("parent LIKE 'C%'")).join(v.table(p, d, "orders").select(F.concat(F.lit("O"), "o_orderkey").alias("node"), "o_orderstatus"), "node").select("node", "ancestor", "o_orderstatus", F.sha2(F.concat_ws("|", "node", "ancestor"), 256).alias("digest")),
-    # The three above are held to SQL over a part of the view; these run over all of it.
-    "lineage_ancestors_whole": lambda p, d: gr.ancestors(v.lg(p, d)),
-    "lineage_cycle_check_whole": lambda p, d: gr.cycle_edges(_with_reversed(v.lg(p, d))),
-    "lineage_join_report_whole": lambda p, d: gr.ancestors(v.lg(p, d)).join(v.table(p, d, "orders").select(F.concat(F.lit("O"), "o_orderkey").alias("node"), "o_orderstatus"), "node", "left").select("node", "ancestor", "o_orderstatus", F.sha2(F.concat_ws("|", "node", "ancestor"), 256).alias("digest")),
+    "lineage_ancestors": lambda p, d: gr.ancestors(v.lg(p, d)),
+    "lineage_cycle_check": lambda p, d: gr.cycle_edges(_with_reversed(v.lg(p, d))),
+    "lineage_join_report": lambda p, d: gr.ancestors(v.lg(p, d)).join(v.table(p, d, "orders").select(F.concat(F.lit("O"), "o_orderkey").alias("node"), "o_orderstatus"), "node", "left").select("node", "ancestor", "o_orderstatus", F.sha2(F.concat_ws("|", "node", "ancestor"), 256).alias("digest")),
 }
+ANCESTORS = ", A AS (SELECT child AS node, parent AS ancestor, 1 AS distance FROM LG UNION SELECT a.node, l.parent, a.distance + 1 FROM A a JOIN LG l ON l.child = a.ancestor)"
 D = "sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2)"
 TS = "TS AS (SELECT * REPLACE (CASE residue WHEN 2 THEN 'LYS' WHEN 4 THEN 'GLU' ELSE resname END AS resname) FROM TF)"
 
 
+def _recursive(body):
+    return sql("LG", body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _near(source, radius, where="a.atom_id < b.atom_id AND a.residue <> b.residue", extra=""):
     cols = ", ".join(f"a.{c}, b.{c} AS {c}_b" for c in ("atom_id", "residue", "resname", "name", "element", "chain"))
     return f"NP AS (SELECT * FROM (SELECT a.traj_id, a.frame, {cols}, {D} AS d FROM {source} a JOIN {source} b ON a.traj_id = b.traj_id AND a.frame = b.frame AND {where}) WHERE d <= {radius}{extra})"
@@ -211,7 +212,7 @@ ORACLE_SQL = {
     "contact_graph": sql("TE", f", {EDGES}, {CC}, T AS (SELECT a.traj_id, a.frame, count(*) AS t FROM E a JOIN E b ON a.traj_id = b.traj_id AND a.frame = b.frame AND a.j = b.i JOIN E c ON c.traj_id = a.traj_id AND c.frame = a.frame AND c.i = a.i AND c.j = b.j GROUP BY 1, 2), M AS (SELECT traj_id, frame, count(*) AS e FROM E GROUP BY 1, 2), K AS (SELECT traj_id, frame, count(*) AS v, count(DISTINCT component) AS b0 FROM CCO GROUP BY 1, 2) SELECT traj_id, frame, v, b0, coalesce(e, 0) AS e, coalesce(t, 0) AS triangles, round(2.0 * coalesce(e, 0) / (v * (v - 1)), 6) AS density, coalesce(e, 0) - v + b0 AS b1 FROM K LEFT JOIN M USING (traj_id, frame) LEFT JOIN T USING (traj_id, frame)").replace("WITH ", "WITH RECURSIVE ", 1),
     "lineage_children": sql("LG", "SELECT parent, count(*) AS n_children FROM LG GROUP BY 1"),
     "lineage_sources": sql("LG", "SELECT DISTINCT parent AS node FROM LG WHERE parent NOT IN (SELECT child FROM LG)"),
-    "lineage_ancestors": sql("LG", ", L AS (SELECT * FROM LG WHERE parent NOT LIKE 'P%'), A AS (SELECT child AS node, parent AS ancestor, 1 AS distance FROM L UNION SELECT a.node, l.parent, a.distance + 1 FROM A a JOIN L l ON l.child = a.ancestor) SELECT node, ancestor, min(distance)::INTEGER AS distance FROM A GROUP BY 1, 2").replace("WITH ", "WITH RECURSIVE ", 1),
-    "lineage_cycle_check": sql("LG", "SELECT parent, child FROM LG WHERE parent LIKE 'C%' UNION SELECT child, parent FROM LG WHERE parent LIKE 'C%'"),
-    "lineage_join_report": sql("LG", "SELECT child AS node, parent AS ancestor, o_orderstatus, sha256(child || '|' || parent) AS digest FROM LG JOIN orders ON child = 'O' || o_orderkey WHERE parent LIKE 'C%'"),
+    "lineage_ancestors": _recursive(f"{ANCESTORS} SELECT node, ancestor, min(distance)::INTEGER AS distance FROM A GROUP BY 1, 2"),
+    "lineage_cycle_check": _recursive(", E AS (SELECT * FROM LG UNION SELECT * FROM (SELECT child AS parent, parent AS child FROM LG ORDER BY LG.parent, LG.child LIMIT 1)), U AS (SELECT child AS node, parent AS ancestor FROM E UNION SELECT u.node, e.parent FROM U u JOIN E e ON e.child = u.ancestor) SELECT DISTINCT parent, child FROM E WHERE parent = child OR (parent, child) IN (SELECT (node, ancestor) FROM U)"),
+    "lineage_join_report": _recursive(f"{ANCESTORS} SELECT DISTINCT node, ancestor, o_orderstatus, sha256(node || '|' || ancestor) AS digest FROM A LEFT JOIN orders ON node = 'O' || o_orderkey"),
 }

@@ -38,19 +38,19 @@ def test_ancestors_and_cycles_of_any_length(spark):
     assert {tuple(r) for r in graphs.cycle_edges(df).select("parent", "child").collect()} == {e for e in edges if e not in (("n21", "x"), ("y", "n00"))}
 
 
-def test_lineage_ancestors_whole_has_all_generations(spark, lineage):
-    found = {(r.node, r.ancestor): r.distance for r in QUERIES["lineage_ancestors_whole"](spark, SF).collect()}
+def test_lineage_ancestors_has_all_generations(spark, lineage):
+    found = {(r.node, r.ancestor): r.distance for r in QUERIES["lineage_ancestors"](spark, SF).collect()}
     assert found == reach(lineage) and {n[0] for n, _ in found} == set("OPS")
 
 
-def test_lineage_join_report_whole_has_all_artifacts(spark, lineage):
-    found = QUERIES["lineage_join_report_whole"](spark, SF).select("node", "ancestor", "o_orderstatus").collect()
+def test_lineage_join_report_has_all_artifacts(spark, lineage):
+    found = QUERIES["lineage_join_report"](spark, SF).select("node", "ancestor", "o_orderstatus").collect()
     assert sorted((r[0], r[1]) for r in found) == sorted(reach(lineage)) and all((r[0][0] == "O") == (r[2] is not None) for r in found)
 
 
-def test_lineage_cycle_check_whole_finds_the_reversed_edge(spark, lineage):
+def test_lineage_cycle_check_finds_the_reversed_edge(spark, lineage):
     parent, child = min(lineage)
-    assert {tuple(r) for r in QUERIES["lineage_cycle_check_whole"](spark, SF).select("parent", "child").collect()} == {(parent, child), (child, parent)}
+    assert {tuple(r) for r in QUERIES["lineage_cycle_check"](spark, SF).select("parent", "child").collect()} == {(parent, child), (child, parent)}
 
 
 def test_registered_rings_go_to_seven_atoms_and_have_types(spark, monkeypatch):

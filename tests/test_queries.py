@@ -43,7 +43,6 @@ def test_query_equals_sql(spark, duck, name):
 #: Queries without SQL, and where they are held to brute force.
 ELSEWHERE = {
     "test_brute_force": {"bounds_kdop_periodic", "cell_checks", "cavities", "rmsd_fit_weighted", "fit_reference", "rmsd_matrix_fit", "rmsf_fit", "daura_clusters", "trajectory_pca", "trajectory_projections", "sequence_alignment_pairs", "oriented_box", "model_consensus", "structure_compare"},
-    "test_graphs": {"lineage_ancestors_whole", "lineage_cycle_check_whole", "lineage_join_report_whole"},
 }
 
 
