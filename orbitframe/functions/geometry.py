@@ -99,9 +99,8 @@ def dihedral(a: Vec, b: Vec, c: Vec, d: Vec) -> Column:
     """Degrees from -180 to 180 about b-c; 0 where it is undefined."""
     u, v, w = sub(b, a), sub(c, b), sub(d, c)
     n1, n2 = cross(u, v), cross(v, w)
-    size = norm(v)
-    axis = scale(v, 1 / F.when(size > 1e-12, size).otherwise(F.lit(1.0)))
-    y, x = dot(cross(n1, n2), axis), dot(n1, n2)
+    # (u x v) x (v x w) is v times u (v x w), so its share along v needs no third cross product.
+    y, x = norm(v) * dot(u, n2), dot(n1, n2)
     return F.when((F.abs(x) < 1e-14) & (F.abs(y) < 1e-14), F.lit(0.0)).otherwise(F.degrees(F.atan2(y, x)))
 
 

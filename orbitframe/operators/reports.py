@@ -87,9 +87,11 @@ def quality_report(atoms: DataFrame) -> DataFrame:
     """One row per frame: temperature factors, breaks, implausible backbone steps, outliers and clashes."""
     stats = atoms.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n_atoms"), F.avg("b_factor").alias("mean_b"), F.avg("occupancy").alias("mean_occupancy"))
     breaks = se.neighbours(atoms, "C", "N").groupBy(*FRAME).agg(F.count_if(F.col("d") > 2.5).alias("n_breaks"))
-    phi = se.backbone_dihedrals(atoms).filter("phi is not null and psi is not null")
+    phi = se.backbone_dihedrals(atoms)
     region = se.ramachandran(F.col("phi"), F.col("psi"), F.col("resname"), F.col("n_name"))[1]
-    outliers = phi.groupBy(*FRAME).agg((100.0 * F.avg((region == "OUTLIER").cast("double"))).alias("outlier_percent"))
+    # Residues without both angles count as null: a filter would write the angles out once more.
+    known = F.when(F.col("phi").isNotNull() & F.col("psi").isNotNull(), (region == "OUTLIER").cast("double"))
+    outliers = phi.groupBy(*FRAME).agg((100.0 * F.avg(known)).alias("outlier_percent"))
     clashes = i.steric_clashes(atoms).groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n_clashes"))
     return stats.join(breaks, FRAME, "left").join(outliers, FRAME, "left").join(clashes, FRAME, "left").fillna(0, ["n_clashes", "n_breaks"])
 
