@@ -37,8 +37,8 @@ PACK_BITS = 22
 
 
 def words_of(text: Column) -> Column:
-    trimmed = F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+"))
+    """The words; only an empty text has an empty part, which goes."""
+    return F.array_remove(F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), f"[{SPACE}]+"), "")
 
 
 def repeated_words(words: Column, n: Column) -> Column:
@@ -52,8 +52,8 @@ def repeated_words(words: Column, n: Column) -> Column:
     def word(i: Column) -> Column:
         return F.get(words, i)
 
-    def hashed(i: Column) -> Column:
-        return F.xxhash64(word(i), word(i + 1), word(i + 2))
+    def hashed(first: Column, i: Column) -> Column:
+        return F.xxhash64(first, word(i + 1), word(i + 2))
 
     def equal(p: Column, q: Column) -> Column:
         return (word(p) == word(q)) & (word(p + 1) == word(q + 1)) & (word(p + 2) == word(q + 2))
@@ -68,8 +68,8 @@ def repeated_words(words: Column, n: Column) -> Column:
 
         return let(F.sort_array(keys), flagged)
 
-    at = F.sequence(F.lit(0), n - 3)
-    packed = F.transform(at, lambda i: hashed(i).bitwiseAND(F.lit(-mask - 1)).bitwiseOR(i.cast("long")))
+    firsts = F.slice(words, F.lit(1), F.greatest(n - 2, F.lit(0)))
+    packed = F.transform(firsts, lambda x, i: hashed(x, i).bitwiseAND(F.lit(-mask - 1)).bitwiseOR(i.cast("long")))
 
     def place(x: Column) -> Column:
         return x.bitwiseAND(F.lit(mask).cast("long")).cast("int")
@@ -80,7 +80,7 @@ def repeated_words(words: Column, n: Column) -> Column:
     def near_pair(a: Column, b: Column) -> Column:
         return F.coalesce((a["h"] == b["h"]) & equal(a["i"], b["i"]), F.lit(False))
 
-    pairs = F.transform(at, lambda i: F.struct(hashed(i).alias("h"), i.alias("i")))
+    pairs = F.transform(firsts, lambda x, i: F.struct(hashed(x, i).alias("h"), i.alias("i")))
     short = covered(F.transform(repeats(packed, near_packed), place))
     long_ = covered(F.transform(repeats(pairs, near_pair), lambda x: x["i"]))
     return F.when(n < 3, 0).when(n <= mask, short).otherwise(long_).cast("long")
@@ -104,7 +104,8 @@ def common_counts(words: Column, n: Column, lang: Column) -> Column:
     lists, every = F.lit(None).cast("array<string>"), sorted({w for listed in COMMON_WORDS.values() for w in listed})
     for name, listed in COMMON_WORDS.items():
         lists = F.when(lang == name, F.array(*[F.lit(f" {w} ") for w in listed])).otherwise(lists)
-    found = F.filter(F.transform(words, F.lower), lambda x: x.isin(every))
+    longest = max(map(len, every))
+    found = F.transform(F.filter(words, lambda x: (F.length(x) <= longest) & F.lower(x).isin(every)), F.lower)
     line = F.concat(F.lit(" "), F.array_join(found, "  "), F.lit(" "))
     counts = let(line, lambda t: F.transform(lists, lambda w: ((F.length(t) - F.length(F.replace(t, w, F.lit("")))) / F.length(w)).cast("int")))
     return let(counts, lambda c: F.concat(c, F.array(n - F.aggregate(c, F.lit(0), lambda a, x: a + x))))
