@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitframe.llm import html_text, line_dedup, media, mixing, ngram_join, packing, pii, quality_rules, substring_dedup, toxicity
+from orbitframe.llm import align, bpe, html_text, line_dedup, media, mixing, ngram_join, packing, pii, quality_rules, substring_dedup, toxicity, whitening
 from orbitframe.llm.common import table
 
 
@@ -58,7 +59,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_packing, op4_substring_dedup, op5_html_text, op6_toxicity, op7_line_dedup, op8_media, op9_quality_rules, op10_mixing)}
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.digests(bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), path), path))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return align.digests(found)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_packing, op4_substring_dedup, op5_html_text, op6_toxicity, op7_line_dedup, op8_media, op9_quality_rules, op10_mixing, op11_bpe, op12_whitening, op13_token_alignment)}
 def _quality_sql() -> str:
     """The base counts, the histograms, the references and the distances of op9 in SQL."""
     classes = ["a-z", r"\x20\x09-\x0D", "A-Z", "0-9", ".,;:!?'\"()-", r"#*$%&|<>@^~_=+/\\{}\[\]`"]
