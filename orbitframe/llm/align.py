@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitframe.llm.bpe import Remembered, codec, encoded_rows, forced_pairs, ragged
+from orbitframe.llm.bpe import BLOCK_BYTES, Remembered, codec, encoded_rows, forced_pairs, ragged
 from orbitframe.llm.common import chunks, stored
 
 #: Distinct pairs of ids that are sent to every task, 17 bytes each; beyond, they are joined.
@@ -207,7 +207,7 @@ def linked(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = names_of(path_a, path_b)
         for b in batches:
-            for lo, hi, raw, offsets in chunks(b.column(1)):
+            for lo, hi, raw, offsets in chunks(b.column(1), BLOCK_BYTES):
                 found = Aligned(raw, offsets, path_a, path_b)
                 row, pair, times = found.pairs()
                 at = pa.array(np.searchsorted(row, np.arange(hi - lo + 1)), pa.int32())

@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from orbitframe.llm.common import chunks
 
 #: Distinct fragments, and their bytes, that a task remembers at a time.
-REMEMBERED = 1 << 19
-REMEMBERED_BYTES = 1 << 25
+REMEMBERED = 1 << 18
+REMEMBERED_BYTES = 1 << 24
+#: Bytes of text that a task encodes at a time.
+BLOCK_BYTES = 1 << 19
 #: Parts of more bytes are merged with a heap.
 SHORT = 40
 #: The rank of a pair that no merge joins.
@@ -314,19 +316,28 @@ def codec(path: str, specials: bool = True) -> Codec:
     return Codec(path, specials)
 
 
-def encoded(docs: DataFrame, path: str, specials: bool = True) -> DataFrame:
-    """doc_id and `ids`: the token ids of the text as little-endian unsigned 32-bit integers, as training readers map them."""
+def _texts(coder: Codec, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    data, at = coder.decode(ids, at)
+    at = at.tolist()
+    return pa.array([data[x:y].decode("utf-8", "replace") for x, y in zip(at, at[1:])], pa.string())
+
+
+def encoded(docs: DataFrame, path: str, specials: bool = True, decode: bool = False) -> DataFrame:
+    """doc_id and `ids`: the token ids of the text as little-endian unsigned 32-bit integers, as training readers map them. With
+    decode, also `decoded`, the text that the ids stand for, in the same pass."""
+    names = ["doc_id", "ids", "decoded"][: 3 if decode else 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path, specials)
         for b in batches:
-            for lo, hi, raw, offsets in chunks(b.column(1)):
+            for lo, hi, raw, offsets in chunks(b.column(1), BLOCK_BYTES):
                 ids, at = coder.encode(raw, offsets)
-                flat, at = ids.astype("<u4").tobytes(), (at * 4).tolist()
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([flat[x:y] for x, y in zip(at, at[1:])], pa.binary())], ["doc_id", "ids"])
+                flat, to = ids.astype("<u4").tobytes(), (at * 4).tolist()
+                columns = [b.column(0).slice(lo, hi - lo), pa.array([flat[x:y] for x, y in zip(to, to[1:])], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns + [_texts(coder, ids, at)] * decode, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(run, f"doc_id {kind}, ids binary")
+    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(run, f"doc_id {kind}, ids binary" + ", decoded string" * decode)
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
@@ -338,9 +349,8 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
         for b in batches:
             lists = [x or b"" for x in b.column(1).to_pylist()]
             offsets = np.cumsum([0, *(len(x) // 4 for x in lists)])
-            data, at = coder.decode(np.frombuffer(b"".join(x[: len(x) // 4 * 4] for x in lists), "<u4").astype(np.int64), offsets)
-            at = at.tolist()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([data[x:y].decode("utf-8", "replace") for x, y in zip(at, at[1:])], pa.string())], ["doc_id", "ids", "decoded"])
+            ids = np.frombuffer(b"".join(x[: len(x) // 4 * 4] for x in lists), "<u4").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, _texts(coder, ids, offsets)], ["doc_id", "ids", "decoded"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")

@@ -61,7 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.digests(bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), path), path))
+    return bpe.digests(bpe.encoded(table(spark, sf_dir, "documents"), path, decode=True))
 
 
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
