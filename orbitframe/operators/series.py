@@ -2,60 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitframe.functions import geometry as g
+from orbitframe.operators import segments
 from orbitframe.plans.certified import episodes
 
 
-def by() -> WindowSpec:
-    return Window.partitionBy("traj_id")
-
-
-def in_order() -> WindowSpec:
-    return by().orderBy("frame")
-
-
 def merge_intervals(spans: DataFrame) -> DataFrame:
     """Unions of overlapping and adjoining (traj_id, k_s, k_e)."""
-    w = Window.partitionBy("traj_id").orderBy("k_s", "k_e")
-    reach = F.max("k_e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = spans.withColumn("fresh", F.coalesce((F.col("k_s") > reach).cast("int"), F.lit(1)))
-    rows = rows.withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("traj_id", "run").agg(F.min("k_s").alias("k_s"), F.max("k_e").alias("k_e")).drop("run")
+    return segments.unions(spans)
 
 
 def lifetimes(series: DataFrame, flag: str) -> DataFrame:
     """Lengths of the runs, numbered in order."""
-    w = Window.partitionBy("traj_id").orderBy("k_s")
-    return episodes(series, flag).select("traj_id", F.row_number().over(w).alias("n"), (F.col("k_e") - F.col("k_s")).alias("length"))
+    rows = segments.running(episodes(series, flag), {"n": ("sum", F.lit(1))}, at="k_s")
+    return rows.select("traj_id", F.col("n").cast("int").alias("n"), (F.col("k_e") - F.col("k_s")).alias("length"))
+
+
+def time_steps(series: DataFrame, *names: str) -> DataFrame:
+    """traj_id, the named columns and dt, the time to the next frame; null at the last one."""
+    rows = segments.neighbours(series.select("traj_id", "frame", "t_ps", *names), ["t_ps"], 1)
+    return rows.select("traj_id", *names, (F.col("near_t_ps") - F.col("t_ps")).alias("dt"))
 
 
 def frame_intervals(series: DataFrame, tolerance: float = 1e-4) -> DataFrame:
-    """Profile of the time steps."""
-    rows = series.withColumn("dt", F.lead("t_ps").over(in_order()) - F.col("t_ps")).filter("dt is not null")
-    rows = rows.withColumn("mean_", F.avg("dt").over(by()))
-    return rows.groupBy("traj_id").agg(F.avg("dt").alias("mean_dt"), F.min("dt").alias("min_dt"), F.max("dt").alias("max_dt"), F.bool_and(F.abs(F.col("dt") - F.col("mean_")) <= tolerance).alias("uniform"))
+    """Profile of the time steps. All lie near their mean if the extremes do."""
+    out = time_steps(series).filter("dt is not null").groupBy("traj_id").agg(F.avg("dt").alias("mean_dt"), F.min("dt").alias("min_dt"), F.max("dt").alias("max_dt"))
+    return out.withColumn("uniform", (F.col("max_dt") - F.col("mean_dt") <= tolerance) & (F.col("mean_dt") - F.col("min_dt") <= tolerance))
 
 
 def time_weighted_occupancy(series: DataFrame, flag: str) -> DataFrame:
     """Share of time in contact; of frames where no step is positive."""
-    dt = F.lead("t_ps").over(in_order()) - F.col("t_ps")
-    rows = series.withColumn("dt", F.when(dt > 0, dt))
+    rows = time_steps(series, flag).withColumn("dt", F.when(F.col("dt") > 0, F.col("dt")))
     total = F.sum("dt")
     return rows.groupBy("traj_id").agg(F.when(total > 0, F.coalesce(F.sum(F.when(F.col(flag), F.col("dt"))), F.lit(0.0)) / total).otherwise(F.avg(F.col(flag).cast("double"))).alias("occupancy"))
 
 
 def unwrap_time(coords: DataFrame) -> DataFrame:
     """Removes box jumps between frames: a running sum of whole boxes, so the recurrence needs no loop."""
-    w = Window.partitionBy("traj_id", "atom_id").orderBy("frame")
-
-    def jumps(n: str) -> Column:
-        return F.coalesce(F.rint((F.col(n) - F.lag(n).over(w)) / F.col(f"l{n}")), F.lit(0.0))
-
-    rows = coords.withColumns({f"s{n}": jumps(n) for n in "xyz"})
-    return rows.select("traj_id", "frame", "atom_id", *[(F.col(n) - F.col(f"l{n}") * F.sum(f"s{n}").over(w)).alias(n) for n in "xyz"])
+    keys = ["traj_id", "atom_id"]
+    rows = segments.neighbours(coords, list("xyz"), -1, keys)
+    jumps = {f"s{n}": ("sum", F.coalesce(F.rint((F.col(n) - F.col(f"near_{n}")) / F.col(f"l{n}")), F.lit(0.0))) for n in "xyz"}
+    return segments.running(rows, jumps, keys).select("traj_id", "frame", "atom_id", *[(F.col(n) - F.col(f"l{n}") * F.col(f"s{n}")).alias(n) for n in "xyz"])
 
 
 def unwrap_frame(coords: DataFrame) -> DataFrame:
@@ -71,18 +63,36 @@ def unwrap_frame(coords: DataFrame) -> DataFrame:
 
 
 def unwrap_phase(series: DataFrame, value: str, period: float = 360.0) -> DataFrame:
-    step = F.col(value) - F.lag(value).over(in_order())
-    rows = series.withColumn("jump", F.coalesce(F.rint(step / period), F.lit(0.0)))
-    return rows.withColumn("phase", F.col(value) - period * F.sum("jump").over(in_order())).drop("jump")
+    rows = segments.neighbours(series, [value], -1)
+    jump = F.coalesce(F.rint((F.col(value) - F.col(f"near_{value}")) / period), F.lit(0.0))
+    return segments.running(rows, {"jump": ("sum", jump)}).withColumn("phase", F.col(value) - period * F.col("jump")).drop("jump", f"near_{value}")
 
 
 def autocorrelation(series: DataFrame, value: str, most: int = 200) -> DataFrame:
-    """C(lag) for lags up to half the series, `most` at most, from exploded lags and one join on the later frame."""
-    rows = series.select("traj_id", "frame", F.col(value).alias("y")).withColumns({"m": F.avg("y").over(by()), "v": F.var_pop("y").over(by()), "n": F.count(F.lit(1)).over(by())})
-    early = rows.withColumn("lag", F.explode(F.sequence(F.lit(0), F.least(F.floor(F.col("n") / 2), F.lit(most)).cast("int")))).withColumn("later", F.col("frame") + F.col("lag"))
-    late = rows.select("traj_id", F.col("frame").alias("later"), F.col("y").alias("y_later"))
-    out = early.join(late, ["traj_id", "later"]).groupBy("traj_id", "lag").agg(F.avg((F.col("y") - F.col("m")) * (F.col("y_later") - F.col("m"))).alias("c"), F.first("v").alias("v"))
-    return out.select("traj_id", "lag", F.when(F.col("v") > 0, F.col("c") / F.col("v")).otherwise(1.0).alias("c"))
+    """C(lag) for lags up to half the series, `most` at most. A range of frames also takes the first `most` frames of the next one,
+    so that each pair of frames meets in the earlier one's range; there a lag is a product of shifted arrays. A range must be longer
+    than `most`."""
+    series = series.select("traj_id", "frame", F.col(value).cast("double").alias("y"))
+    shape = series.groupBy("traj_id").agg(F.avg("y").alias("m"), F.var_pop("y").alias("v"), F.count(F.lit(1)).alias("n"))
+    kind = series.schema["traj_id"].dataType.simpleString()
+    size = segments.RANGE
+    own = F.floor(F.col("frame") / size)
+    halo = F.when(F.col("frame") % size < most, own - 1)
+    rows = series.join(shape, "traj_id").select("traj_id", "frame", (F.col("y") - F.col("m")).alias("y"), F.least(F.floor(F.col("n") / 2), F.lit(most)).alias("last"), F.explode(F.array_compact(F.array(own, halo))).alias("range_"))
+
+    def products(key: tuple, rows: pa.Table) -> pa.Table:
+        start, last = key[1].as_py() * size, rows["last"][0].as_py()
+        y, there = np.zeros(size + most), np.zeros(size + most)
+        at = rows["frame"].to_numpy() - start
+        y[at], there[at] = rows["y"].to_numpy(), 1
+        lags = range(last + 1)
+        total = [y[:size] @ y[k : k + size] for k in lags]
+        n = [int(there[:size] @ there[k : k + size]) for k in lags]
+        return pa.table({"traj_id": pa.repeat(key[0], len(lags)), "lag": pa.array(lags, pa.int32()), "total": pa.array(total, pa.float64()), "pairs": pa.array(n, pa.int64())})
+
+    found = rows.groupBy("traj_id", "range_").applyInArrow(products, f"traj_id {kind}, lag int, total double, pairs long")
+    found = found.groupBy("traj_id", "lag").agg((F.sum("total") / F.sum("pairs")).alias("c"), F.sum("pairs").alias("pairs")).filter("pairs > 0")
+    return found.join(shape, "traj_id").select("traj_id", "lag", F.when(F.col("v") > 0, F.col("c") / F.col("v")).otherwise(1.0).alias("c"))
 
 
 def effective_sample_size(correlation: DataFrame, counts: DataFrame, floor: float = 0.05) -> DataFrame:
@@ -106,7 +116,7 @@ def block_sizes(n: int) -> list[int]:
 
 def block_averaging(series: DataFrame, value: str, longest: int) -> DataFrame:
     """Standard error of block means per block size; sizes beyond a quarter of a trajectory don't apply to it."""
-    rows = series.withColumn("n", F.count(F.lit(1)).over(by())).withColumn("size", F.explode(F.array(*map(F.lit, block_sizes(longest)))))
+    rows = segments.counted(series.select("traj_id", "frame", value)).withColumn("size", F.explode(F.array(*map(F.lit, block_sizes(longest)))))
     rows = rows.filter(F.col("size") <= F.floor(F.col("n") / 4)).withColumn("b", F.floor(F.col("frame") / F.col("size")))
     rows = rows.filter((F.col("b") + 1) * F.col("size") <= F.col("n"))
     means = rows.groupBy("traj_id", "size", "b").agg(F.avg(value).alias("m"))
@@ -115,18 +125,26 @@ def block_averaging(series: DataFrame, value: str, longest: int) -> DataFrame:
 
 def drift_convergence(series: DataFrame, value: str) -> DataFrame:
     """Slope over the last half of the frames, and whether the drift is small against the spread."""
-    rows = series.withColumn("n", F.count(F.lit(1)).over(by())).filter(F.col("frame") >= F.floor(F.col("n") / 2))
+    rows = segments.counted(series.select("traj_id", "frame", value)).filter(F.col("frame") >= F.floor(F.col("n") / 2))
     out = rows.groupBy("traj_id").agg(F.regr_slope(value, "frame").alias("slope"), F.stddev_pop(value).alias("sd"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
     drift = F.abs(F.col("slope")) * F.col("m")
     return out.select("traj_id", "slope", "sd", F.when(F.col("n") < 10, "INSUFFICIENT").when((drift < F.col("sd")) | (F.abs("slope") < 1e-3), "STATIONARY").otherwise("DRIFTING").alias("status"))
 
 
+def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
+    """traj_id of the trajectories where an episode of a and one of b share a frame. In the order of starts, an episode meets an
+    earlier one of the other side if that side's reach so far lies beyond its start."""
+    sides = [x.select("traj_id", "k_s", F.when(F.lit(mine), F.col("k_e")).alias("a_e"), F.when(F.lit(not mine), F.col("k_e")).alias("b_e")) for x, mine in ((a, True), (b, False))]
+    rows = segments.running(sides[0].unionByName(sides[1]), {"reach_a": ("max", F.col("a_e")), "reach_b": ("max", F.col("b_e"))}, at="k_s")
+    other = F.when(F.col("a_e").isNotNull(), F.col("reach_b")).otherwise(F.col("reach_a"))
+    return rows.filter(other > F.col("k_s")).select("traj_id").distinct()
+
+
 def event_before(a: DataFrame, b: DataFrame) -> DataFrame:
     """Whether some episode of a ends before one of b starts; unknown if only overlapping pairs are there; false for an empty side."""
     first = a.groupBy("traj_id").agg(F.min("k_e").alias("a_e"))
     last = b.groupBy("traj_id").agg(F.max("k_s").alias("b_s"))
-    over = a.alias("a").join(b.alias("b"), (F.col("a.traj_id") == F.col("b.traj_id")) & (F.col("a.k_s") < F.col("b.k_e")) & (F.col("b.k_s") < F.col("a.k_e"))).select("a.traj_id").distinct().withColumn("overlap", F.lit(True))
-    rows = first.join(last, "traj_id", "full_outer").join(over, "traj_id", "left")
+    rows = first.join(last, "traj_id", "full_outer").join(overlapping(a, b).withColumn("overlap", F.lit(True)), "traj_id", "left")
     return rows.select("traj_id", F.when(F.col("a_e") <= F.col("b_s"), True).when(F.col("overlap"), None).otherwise(False).alias("verdict"))
 
 
@@ -135,11 +153,11 @@ def event_gap(a: DataFrame, b: DataFrame, ordered: bool) -> DataFrame:
     the ends of a are put in one order, and a running maximum gives each start of b the last end of a before it."""
     ends = a.select("traj_id", F.col("k_e").alias("at"), F.col("k_e").alias("end_a"), F.lit(None).cast("long").alias("start_b"))
     starts = b.select("traj_id", F.col("k_s").alias("at"), F.lit(None).cast("long").alias("end_a"), F.col("k_s").alias("start_b"))
-    w = Window.partitionBy("traj_id").orderBy("at", F.col("end_a").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    gap = ends.unionByName(starts).withColumn("gap", F.col("start_b") - F.max("end_a").over(w)).groupBy("traj_id").agg(F.min("gap").alias("gap"))
+    rows = segments.running(ends.unionByName(starts), {"before": ("max", F.col("end_a"))}, at="at")
+    gap = rows.groupBy("traj_id").agg(F.min(F.col("start_b") - F.col("before")).alias("gap"))
     if ordered:
         return gap
-    over = a.alias("a").join(b.alias("b"), (F.col("a.traj_id") == F.col("b.traj_id")) & (F.col("a.k_s") < F.col("b.k_e")) & (F.col("b.k_s") < F.col("a.k_e"))).select("a.traj_id").distinct().withColumn("gap", F.lit(0).cast("long"))
+    over = overlapping(a, b).withColumn("gap", F.lit(0).cast("long"))
     return gap.unionByName(event_gap(b, a, True)).unionByName(over).groupBy("traj_id").agg(F.min("gap").alias("gap"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitframe.functions import geometry as g
+from orbitframe.operators import segments
 from orbitframe.operators.graphs import stored
 
 BLOCK = 10
@@ -144,9 +145,7 @@ def frame_truth(coords: DataFrame, tau: float, op: str = "<", size: int = BLOCK,
 
 def episodes(series: DataFrame, flag: str = "truth") -> DataFrame:
     """Maximal half-open runs of TRUE frames."""
-    w = Window.partitionBy("traj_id").orderBy("frame")
-    runs = series.filter(F.col(flag)).withColumn("run", F.col("frame") - F.row_number().over(w))
-    return runs.groupBy("traj_id", "run").agg(F.min("frame").alias("k_s"), (F.max("frame") + 1).alias("k_e")).drop("run")
+    return segments.runs(series, F.col(flag))
 
 
 def exists_(truth: Column) -> Column:
@@ -167,14 +166,11 @@ def duration_verdicts(series: DataFrame, duration: float, dt: float, flag: str =
     if not 0 < dt < float("inf"):
         return trajectories.withColumns({"longest": F.lit(0).cast("long"), "possible": F.lit(0).cast("long"), "verdict": F.lit(None).cast("boolean"), "resolution": F.lit("UNRESOLVABLE_SAMPLING")})
     need = needed_frames(duration, dt)
-    # Both kinds of runs in one sort: a run is as long as the way back to the last frame that breaks it, or to a gap.
-    w = Window.partitionBy("traj_id").orderBy("frame")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = series.select("traj_id", "frame", F.col(flag).alias("f"), F.row_number().over(w).cast("long").alias("pos"), (F.col("frame") - F.lag("frame").over(w) != 1).alias("gap"))
-    kinds = {"longest": F.coalesce("f", F.lit(False)), "possible": F.coalesce("f", F.lit(True))}
-    breaks = {name: F.max(F.when(~good, F.col("pos")).when(F.col("gap"), F.col("pos") - 1)).over(so_far) for name, good in kinds.items()}
-    rows = rows.withColumns({name: F.col("pos") - F.coalesce(at, F.lit(0)) for name, at in breaks.items()})
-    out = rows.groupBy("traj_id").agg(*[F.max(name).alias(name) for name in kinds])
+    # Both kinds of runs in one pass: a frame counts for "possible" unless it is FALSE, for "longest" only if it is TRUE.
+    kinds = ["longest", "possible"]
+    marked = series.withColumn("kind", F.explode(F.array_compact(F.array(F.when(F.col(flag), kinds[0]), F.when(F.coalesce(F.col(flag), F.lit(True)), kinds[1])))))
+    lengths = segments.runs(marked, F.lit(True), ["traj_id", "kind"]).groupBy("traj_id").agg(*[F.max(F.when(F.col("kind") == k, F.col("k_e") - F.col("k_s"))).alias(k) for k in kinds])
+    out = trajectories.join(lengths, "traj_id", "left").select("traj_id", *[F.coalesce(k, F.lit(0).cast("long")).alias(k) for k in kinds])
     if continuous and duration < dt:
         return out.withColumns({"verdict": F.lit(None).cast("boolean"), "resolution": F.lit("UNSUPPORTED_SEMANTICS")})
     verdict = F.when(F.col("longest") >= need, True).when(F.col("possible") < need, False)
@@ -214,9 +210,8 @@ def evidence_counts(evidence: DataFrame) -> DataFrame:
 
 def verify_evidence(evidence: DataFrame, tau: float, op: str = "<") -> DataFrame:
     """Violations, none if the evidence holds: a verdict that its bounds don't imply, bounds out of order, gaps and overlaps."""
-    w = Window.partitionBy("traj_id").orderBy("frame_start")
     implied = decide(F.col("lower"), F.col("upper"), op, tau)
-    rows = evidence.withColumns({"implied": implied, "before": F.lag("frame_end").over(w)})
+    rows = segments.neighbours(evidence.withColumn("implied", implied), ["frame_end"], -1, at="frame_start").withColumnRenamed("near_frame_end", "before")
     broken = {
         "verdict not implied": ~F.col("verdict").eqNullSafe(F.col("implied")),
         "bounds out of order": F.col("lower") > F.col("upper"),

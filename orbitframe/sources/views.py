@@ -75,11 +75,12 @@ def tl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("traj_id", "frame", F.inline(atoms)).withColumns({f"l{n}": F.lit(80.0) for n in "xyz"})
 
 
+@materialised
 def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scalar series per user, irregularly spaced."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = numbered(table(spark, sf_dir, "events").select(F.col("user_id").alias("traj_id"), "ts", "event_id", "value"), "traj_id", ["ts", "event_id"])
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("traj_id"), (F.row_number().over(w) - 1).cast("long").alias("frame"), seconds.alias("t_ps"), "value", (F.col("value") < 35).alias("flag_a"), (F.col("value") > 70).alias("flag_b"))
+    return rows.select("traj_id", "frame", seconds.alias("t_ps"), "value", (F.col("value") < 35).alias("flag_a"), (F.col("value") > 70).alias("flag_b"))
 
 
 def sq(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
