@@ -213,12 +213,12 @@ def linked(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 at = pa.array(np.searchsorted(row, np.arange(hi - lo + 1)), pa.int32())
                 columns = {"doc_id": b.column(0).slice(lo, hi - lo)} | {k: pa.array(found.counts[k], pa.int64()) for k in COUNTS}
                 columns |= {"groups": pa.array(found.texts(*names), pa.string())}
-                columns |= {k: pa.ListArray.from_arrays(at, pa.array(v, pa.int64())) for k, v in (("pairs", pair), ("times", times))}
+                columns |= {k: pa.ListArray.from_arrays(at, pa.array(v)) for k, v in (("pairs", pair), ("times", times.astype(np.int32)))}
                 yield pa.RecordBatch.from_pydict(columns)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     spaced = docs.select("doc_id", F.concat(F.lit(" "), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return spaced.mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} long' for c in COUNTS)}, groups string, pairs array<long>, times array<long>")
+    return spaced.mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} long' for c in COUNTS)}, groups string, pairs array<long>, times array<int>")
 
 
 def pair_counts(rows: DataFrame, width: int) -> DataFrame:
@@ -248,7 +248,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, broadcast_pairs: int = BR
         codes, n, best = table.value
         at = pairs.offsets.to_numpy()
         i = np.searchsorted(codes, pairs.flatten().to_numpy())
-        each = times.flatten().to_numpy()
+        each = times.flatten().to_numpy().astype(np.int64)
         totals = [np.diff(np.append(0, np.cumsum(each * y[i]))[at - at[0]]) for y in (best, n)] if len(codes) else [np.zeros(len(pairs), np.int64)] * 2
         return pa.StructArray.from_arrays([pa.array(t, pa.int64()) for t in totals], names=["n_best", "count_sum"])
 
