@@ -9,7 +9,8 @@ hashes: as they are, and rearranged under random page templates, so that no sing
 meaning. Extraction maps over all pages, whole, in batches of pages of like length; nothing is shuffled.
 
 A null or empty page has the empty text. Rows with equal ids are read one by one; extra columns are ignored. Markup errors are
-read as browsers do: unknown or unclosed elements end with their parent, stray end tags are dropped. Text in a closed svg, select,
+read as browsers do: unknown or unclosed elements end with their parent, rows, cells, items and terms with the next one of their kind,
+stray end tags are dropped. Of a path of more than 64 parts the middle is left out; time and memory are linear in the page. Text in a closed svg, select,
 iframe, object, template or noscript is skipped; if the element is not closed, its text is read and labelled like any other.
 """
 
@@ -35,6 +36,10 @@ PATH_SIZE, WORD_SIZE, MEASURES = 96, 32, 6
 FEATURES = PATH_SIZE + WORD_SIZE + MEASURES
 HIDDEN, EPOCHS, BATCH, RATE = 16, 8, 32, 0.01
 SEED = 5
+#: Parts of a path that count: so many from the page's root, and as many from the block up.
+PATH_ENDS = 32
+#: Blocks that are labelled at a time, padding included; a longer page goes by itself.
+LABELLED = 20_000
 
 #: A quote opens a value behind "=" only; elsewhere it is part of a name. A tag or comment without end reaches to the page's end.
 _TOKEN = re.compile(
@@ -50,6 +55,17 @@ SILENT = frozenset("script style noscript template title textarea iframe object
 #: Silent elements whose content is no markup: without an end tag they reach to the end of the page, as in browsers.
 RAW = frozenset("script style title textarea".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
+#: Start tags that end open elements: of which names, and the elements inside which they must lie.
+_CELLS, _ROWS = ("td", "th"), ("tbody", "thead", "tfoot")
+IMPLIED_ENDS = {
+    "li": (("li",), ("ul", "ol", "menu", "table")),
+    **dict.fromkeys(("dt", "dd"), (("dt", "dd"), ("dl", "table"))),
+    **dict.fromkeys(_CELLS, (_CELLS, ("tr", "table"))),
+    "tr": (("tr", *_CELLS, "caption", "colgroup"), ("table",)),
+    **dict.fromkeys(_ROWS, ((*_ROWS, "tr", *_CELLS, "caption", "colgroup"), ("table",))),
+    "option": (("option",), ("select", "datalist")),
+    "optgroup": (("option", "optgroup"), ("select",)),
+}
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Elements and words of class names that say what a part of a page is, for training labels.
 MAIN_PARTS = frozenset("article main".split())
@@ -90,10 +106,51 @@ def silent_ends(page: str) -> dict[int, int]:
     return out
 
 
+class Opened:
+    """The open elements. Where the elements of a name lie is kept as well, so that ending one takes no search."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.places: dict[str, list[int]] = {}
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        return self.stack[-1][1] if self.stack else ()
+
+    def last(self, names: tuple[str, ...]) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def cut(self, place: int) -> None:
+        for name, _ in reversed(self.stack[place:]):
+            self.places[name].pop()
+        del self.stack[place:]
+
+    def close(self, name: str) -> None:
+        place = self.last((name,))
+        if place >= 0:
+            self.cut(place)
+
+    def open(self, name: str, marks: list[str]) -> None:
+        """A start tag first ends what it cannot lie in: a paragraph before a block, a row before a row, up to the table or list."""
+        if self.stack and self.stack[-1][0] == "p" and name in CLOSES_P:
+            self.cut(len(self.stack) - 1)
+        if name in IMPLIED_ENDS:
+            ended, within = IMPLIED_ENDS[name]
+            edge = self.last(within)
+            first = min((p for n in ended for p in reversed(self.places.get(n, ())[-len(ended) :]) if p > edge), default=-1)
+            if first >= 0:
+                self.cut(first)
+        path = (*self.path, name, *(f".{w}" for w in marks))
+        if len(path) > 2 * PATH_ENDS:
+            path = path[:PATH_ENDS] + path[-PATH_ENDS:]
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, path))
+
+
 def page_blocks(page: str) -> list[Block]:
     """The page's blocks of text in order, with white space collapsed and character references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    opened = Opened()
     pieces: list[str] = []
     linked = links = 0
     path: tuple[str, ...] = ()
@@ -123,7 +180,7 @@ def page_blocks(page: str) -> list[Block]:
             continue
         name = name.lower()
         if name in SILENT and not closing:
-            if (name not in RAW or any(e == "svg" for e, _ in stack)) and _EMPTY.search(attributes):
+            if (name not in RAW or opened.places.get("svg")) and _EMPTY.search(attributes):
                 continue
             if name in RAW:
                 at = raw_end(page, name, at)
@@ -142,18 +199,10 @@ def page_blocks(page: str) -> list[Block]:
             continue
         flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-            path = stack[-1][1] if stack else ()
+            opened.close(name)
         elif name not in VOID:
-            if stack and (stack[-1][0] == "p" and name in CLOSES_P or stack[-1][0] == name and name in ("li", "option", "tr", "td", "dt", "dd")):
-                stack.pop()
-            above = stack[-1][1] if stack else ()
-            marks = [w for a in _NAMED.finditer(attributes) for w in (a[1] or a[2] or a[3] or "").lower().split()] if attributes else []
-            path = (*above, name, *(f".{w}" for w in marks))
-            stack.append((name, path))
+            opened.open(name, [w for a in _NAMED.finditer(attributes) for w in (a[1] or a[2] or a[3] or "").lower().split()] if attributes else [])
+        path = opened.path
         links = 0
     flush()
     return out
@@ -286,7 +335,9 @@ class Labeller:
         order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
         at = 0
         while at < len(order):
-            take = max(1, min(64, 20_000 // len(pages[order[at]])))
+            take = 1
+            while at + take < len(order) and take < 64 and (take + 1) * len(pages[order[at + take]]) <= LABELLED:
+                take += 1  # by the longest page, to which all are padded
             group = order[at : at + take]
             x, mask = padded([pages[i] for i in group])
             odds = self.odds(x, mask)
@@ -346,7 +397,11 @@ def rearranged(main: list[Block], other: list[Block], strange: list[str], rng: n
     side = pick(("aside",), ("aside", "p"), ("div", ".sidebar", "p"), ("div", ".related", "li"), ("aside", "ul", "li"))
     if rng.random() < 0.25:
         add(top + side, some(4), float(rng.random() < 0.5))
+    if rng.random() < 0.5:
+        out.append((Block(short(some(1))[0] or "Title", body + pick(("h1",), ("h2",), ("h1", ".title")), 0), True))
     for k, b in enumerate(main):
+        if k and rng.random() < 0.15:
+            out.append((Block(short(some(1))[0] or "Notes", body + pick(("h2",), ("h3",), ("h4",)), 0), True))
         leaf = tuple(t for t in b.path[-1:] if t in ("p", "h1", "h2", "h3", "li", "blockquote", "pre", "td", "div"))
         if rng.random() < 0.2:
             leaf = pick(("ul", "li"), ("ol", "li"), ("h2",), ("h3",), ("div",), ("blockquote", "p"), ("section", "p"))
@@ -390,12 +445,17 @@ def extracted(pages: DataFrame, labeller: Labeller, keys: tuple[str, ...] = ("pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                pages = [page_blocks(p or "") for p in part.column(len(names)).to_pylist()]
+            html, lo = b.column(len(names)), 0
+            while lo < b.num_rows:
+                pages, n = [], 0
+                while lo + len(pages) < b.num_rows and len(pages) < 512 and n < 4 * LABELLED:
+                    pages.append(page_blocks(html[lo + len(pages)].as_py() or ""))
+                    n += len(pages[-1])
                 labels = labeller.label([block_features(p) for p in pages])
                 text = ["\n".join(x.text for x, y in zip(p, keep, strict=True) if y) for p, keep in zip(pages, labels, strict=True)]
                 counts = pa.array([len(p) for p in pages], pa.int64()), pa.array([int(y.sum()) for y in labels], pa.int64())
+                part = b.slice(lo, len(pages))
+                lo += len(pages)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(text, pa.string()), *counts], [*names, "text", "n_blocks", "n_kept"])
 
     rows = pages.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col(column).cast("string").alias("html"))

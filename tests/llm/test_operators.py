@@ -648,3 +648,53 @@ def test_mixed_documents_hold_the_words_taken(docs):
         every[r.doc_id] += words(r.text)
     assert all(not Counter(words(r.text)) - Counter(every[r.doc_id] * 1) for r in rows)
     assert all(r.n_chars == len(r.text) for r in rows)
+
+
+def test_html_text_ends_rows_cells_items_and_terms():
+    """Start tags end what they cannot lie in, up to the nearest table or list; later rows don't inherit earlier ones' classes."""
+    page = "<article><table><tr class=a><td>1<td>2<tr class=b><td>3<table><tr class=c><td>inner</table>more<tr><th>4</table><ul><li>x<ul><li>y</ul>z<li>w</ul><dl><dt>t<dd>d<dt>u</dl><p>end"
+    found = [(b.text, b.path) for b in html_text.page_blocks(page)]
+    assert [t for t, _ in found] == ["1", "2", "3", "inner", "more", "4", "x", "y", "z", "w", "t", "d", "u", "end"]
+    paths = dict(found)
+    assert paths["2"] == ("article", "table", "tr", ".a", "td") and paths["3"] == ("article", "table", "tr", ".b", "td")
+    assert paths["inner"] == ("article", "table", "tr", ".b", "td", "table", "tr", ".c", "td") and paths["more"] == paths["3"]
+    assert paths["4"] == ("article", "table", "tr", "th") and paths["y"] == ("article", "ul", "li", "ul", "li") and paths["z"] == paths["x"] == paths["w"] == ("article", "ul", "li")
+    assert paths["u"] == ("article", "dl", "dt") and paths["end"] == ("article", "p")
+
+
+@pytest.mark.parametrize("page, n", [("<article><table>" + "<tr class=r><td>x" * 50_000, 50_000), ("<div>x" * 50_000, 50_000), ("<dl>" + "<dt>a<dd>b" * 25_000, 50_000), ("<li>" + "<div>" * 20_000 + "<li>y" * 20_000, 20_000)])
+def test_html_text_reads_unclosed_elements_in_linear_time_and_memory(page, n):
+    import tracemalloc
+
+    began = time.perf_counter()
+    assert len(html_text.page_blocks(page)) == n
+    assert time.perf_counter() - began < 5
+    tracemalloc.start()
+    html_text.page_blocks(page[: len(page) // 5])
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
+
+
+def test_html_text_pads_short_pages_to_no_long_one():
+    import tracemalloc
+
+    small, large = html_text.block_features(html_text.page_blocks("<p>a</p>" * 5)), html_text.block_features(html_text.page_blocks("<p>a few words</p>" * 10_000))
+    model = html_text.Labeller()
+    tracemalloc.start()
+    labels = model.label([small] * 40 + [large] + [small] * 40)
+    assert tracemalloc.get_traced_memory()[1] < 8 * large.nbytes
+    tracemalloc.stop()
+    assert [len(x) for x in labels] == [5] * 40 + [10_000] + [5] * 40
+    assert (labels[0] == model.label([small])[0]).all() and (labels[40] == model.label([large])[0]).all()
+
+
+def test_html_text_keeps_short_headings(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    labeller = html_text.fit(pages)
+    long = ["The first paragraph of this article says quite a lot about its subject matter.", "Another long paragraph follows the first one here, with some more words in it."]
+    menu, foot = "<nav><ul><li><a href=#>Home</a></li><li><a href=#>News</a></li></ul></nav>", "<footer><p>All rights reserved</p></footer>"
+    bodies = [f"<article><h1>T</h1><p>{long[0]}</p><p>{long[1]}</p></article>", f"<main><p>{long[0]}</p><h3>Notes</h3><p>{long[1]}</p></main>", f"<main><article><h1>Title</h1><p>{long[0]}</p><h2>Why</h2><p>{long[1]}</p></article></main>"]
+    for body, want in zip(bodies, (["T", *long], [long[0], "Notes", long[1]], ["Title", long[0], "Why", long[1]])):
+        for page in (f"<html><body>{menu}{body}{foot}</body></html>", f"<html><body><div class='wrap'>{menu}{body}<aside><h3>Related</h3><p>Other things</p></aside>{foot}</div></body></html>"):
+            blocks_ = html_text.page_blocks(page)
+            assert [b.text for b, y in zip(blocks_, labeller.label([html_text.block_features(blocks_)])[0]) if y] == want
