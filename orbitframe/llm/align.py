@@ -207,7 +207,7 @@ def linked(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = names_of(path_a, path_b)
         for b in batches:
-            for lo, hi, raw, offsets in chunks(b.column(1), BLOCK_BYTES):
+            for lo, hi, raw, offsets in chunks(b.column(1), BLOCK_BYTES // 2):
                 found = Aligned(raw, offsets, path_a, path_b)
                 row, pair, times = found.pairs()
                 at = pa.array(np.searchsorted(row, np.arange(hi - lo + 1)), pa.int32())
