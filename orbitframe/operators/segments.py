@@ -38,6 +38,21 @@ def runs(series: DataFrame, good: Column, keys: list[str] = KEYS) -> DataFrame:
     return parts.groupBy(*keys, "cell", "run").agg(F.min("k_s").alias("k_s"), F.max("k_e").alias("k_e")).drop("cell", "run")
 
 
+def joined(spans: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """(keys, k_s, k_e) of spans that share no position, adjoining ones made one: within ranges first, then along the key those that touch
+    a range's edge."""
+
+    def step(rows: DataFrame, cell: str) -> DataFrame:
+        along = Window.partitionBy(*keys, cell).orderBy("k_s")
+        fresh = F.coalesce(F.lag("k_e").over(along) != F.col("k_s"), F.lit(True)).cast("int")
+        rows = rows.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(along))
+        return rows.groupBy(*keys, cell, "run").agg(F.min("k_s").alias("k_s"), F.max("k_e").alias("k_e")).drop("run")
+
+    local = step(ranged(spans.select(*keys, "k_s", "k_e"), "k_s"), "range_")
+    open_ = (F.col("k_s") == F.col("range_") * RANGE) | (F.col("k_e") >= (F.col("range_") + 1) * RANGE)
+    return step(local.select(*keys, "k_s", "k_e", F.when(open_, -1).otherwise(F.col("range_")).alias("cell")), "cell").drop("cell")
+
+
 def _united(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Unions of overlapping and adjoining spans among those of equal keys."""
     w = Window.partitionBy(*keys).orderBy("k_s", "k_e")

@@ -70,11 +70,15 @@ def block_pairs(bounds: DataFrame, first: int = 0, second: int = 1) -> DataFrame
     return sides[0].join(sides[1], keys)
 
 
-def block_bounds(coords: DataFrame, size: int = BLOCK, model: str = "aabb", periodic: bool = True, first: int = 0, second: int = 1, frames: bool = False) -> DataFrame:
-    """traj_id, block_id, frame_start, frame_end of the first group, lower, upper: one aggregation holds the bounds of both groups.
-    A block without one of the groups has null bounds. With frames, also the block's frames, of any group."""
-    names = [f"p{i}" for i in range(7)] if model == "kdop" else list("xyz")
-    rows = in_blocks(coords, size)
+def axes(model: str) -> list[str]:
+    return [f"p{i}" for i in range(7)] if model == "kdop" else list("xyz")
+
+
+def pair_boxes(coords: DataFrame, size: int = BLOCK, model: str = "aabb", periodic: bool = True, first: int = 0, second: int = 1, frames: bool = False) -> DataFrame:
+    """Per trajectory and block the extents of both groups and of the cell, in one aggregation. With frames, also begin, end
+    and the frames themselves, of any group: as the bits of `mask`, with those that hold both groups in `both`, or as the array `frames`
+    for blocks of 64 frames and more."""
+    names, rows = axes(model), in_blocks(coords, size)
     if model == "kdop":
         rows = rows.withColumns(dict(zip(names, g.projections(g.vec()), strict=True)))
     mine = {"a": F.col("group_id") == first, "b": F.col("group_id") == second}
@@ -83,9 +87,16 @@ def block_bounds(coords: DataFrame, size: int = BLOCK, model: str = "aabb", peri
     start = F.when(mine["a"], F.col("frame"))
     # The frames of a block are bits of one number while they fit, which is one more sum of the same pass.
     bits = F.bit_or(F.expr(f"shiftleft(1L, CAST(frame % {size} AS INT))"))
-    at = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.getbit("mask", k) == 1)
-    every = [bits.alias("mask") if size < 64 else F.collect_set("frame").alias("frames")] if frames else []
-    out = rows.groupBy("traj_id", "block_id").agg(F.min(start).alias("frame_start"), (F.max(start) + 1).alias("frame_end"), *ends, *cell, *every)
+    both = [F.coalesce(F.bit_or(F.when(m, F.expr(f"shiftleft(1L, CAST(frame % {size} AS INT))"))), F.lit(0).cast("long")) for m in mine.values()]
+    held = [bits.alias("mask"), both[0].bitwiseAND(both[1]).alias("both")] if size < 64 else [F.collect_set("frame").alias("frames")]
+    every = [F.min("frame").alias("begin"), (F.max("frame") + 1).alias("end"), *held] if frames else []
+    return rows.groupBy("traj_id", "block_id").agg(F.min(start).alias("frame_start"), (F.max(start) + 1).alias("frame_end"), *ends, *cell, *every)
+
+
+def box_limits(boxes: DataFrame, model: str = "aabb", periodic: bool = True) -> tuple[Column, Column]:
+    """(lower, upper) of the distance between the groups, from the columns of pair_boxes. Null where a group is missing; a cell that
+    varies leaves the distance open."""
+    names = axes(model)
 
     def side(n: str, e: str) -> list[Column]:
         return [F.col(f"{e}_{n}{m}") for m in names]
@@ -94,13 +105,26 @@ def block_bounds(coords: DataFrame, size: int = BLOCK, model: str = "aabb", peri
         low, high = g.kdop_bounds(*[F.array(*side(n, e)) for n in "ab" for e in ("min", "max")])
         varies = F.lit(False)
     else:
-        boxes = [(g.scale(g.add(side(n, "min"), side(n, "max")), 0.5), g.scale(g.sub(side(n, "max"), side(n, "min")), 0.5)) for n in "ab"]
-        low, high = g.box_bounds(*boxes[0], *boxes[1], tuple(F.col(f"l{n}") for n in "xyz") if periodic else None)
+        both = [(g.scale(g.add(side(n, "min"), side(n, "max")), 0.5), g.scale(g.sub(side(n, "max"), side(n, "min")), 0.5)) for n in "ab"]
+        low, high = g.box_bounds(*both[0], *both[1], tuple(F.col(f"l{n}") for n in "xyz") if periodic else None)
         varies = g.any_of([F.col(f"l{n}_max") - F.col(f"l{n}") > 1e-4 for n in "xyz"]) if periodic else F.lit(False)
-    both = F.col(f"min_a{names[0]}").isNotNull() & F.col(f"min_b{names[0]}").isNotNull()
-    held = [] if not frames else [F.col("frames")] if size >= 64 else [F.transform(at, lambda k: F.col("block_id") * size + k).alias("frames")]
-    lower, upper = F.when(both & varies, 0.0).when(both, low), F.when(both & ~varies, high)
-    return out.select("traj_id", "block_id", "frame_start", "frame_end", lower.alias("lower"), upper.alias("upper"), *held)
+    there = F.col(f"min_a{names[0]}").isNotNull() & F.col(f"min_b{names[0]}").isNotNull()
+    return F.when(there & varies, 0.0).when(there, low), F.when(there & ~varies, high)
+
+
+def frames_of(size: int) -> Column:
+    """The frames of a block of `size` frames, from its mask."""
+    at = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.getbit("mask", k) == 1)
+    return F.transform(at, lambda k: F.col("block_id") * size + k)
+
+
+def block_bounds(coords: DataFrame, size: int = BLOCK, model: str = "aabb", periodic: bool = True, first: int = 0, second: int = 1, frames: bool = False) -> DataFrame:
+    """traj_id, block_id, frame_start, frame_end of the first group, lower, upper: one aggregation holds the bounds of both groups.
+    A block without one of the groups has null bounds. With frames, also the block's frames, of any group."""
+    boxes = pair_boxes(coords, size, model, periodic, first, second, frames)
+    lower, upper = box_limits(boxes, model, periodic)
+    held = [] if not frames else [F.col("frames")] if size >= 64 else [frames_of(size).alias("frames")]
+    return boxes.select("traj_id", "block_id", "frame_start", "frame_end", lower.alias("lower"), upper.alias("upper"), *held)
 
 
 def with_verdict(bounds: DataFrame, tau: float, op: str = "<") -> DataFrame:
@@ -122,6 +146,16 @@ def pair_min_distance(coords: DataFrame, first: int = 0, second: int = 1, period
     return a.join(b, keys).groupBy(*keys).agg(F.min(g.norm(g.mic_ortho(d, g.vec("l")) if periodic else d)).alias("d_min"))
 
 
+def pair_min_by_frame(coords: DataFrame, first: int = 0, second: int = 1, periodic: bool = True) -> DataFrame:
+    """The same for rows of few frames, whose coordinates are read and shuffled once: a frame's atoms become two arrays. Frames that lack
+    a group stay, with null."""
+    at = F.struct(*"xyz", "lx", "ly", "lz")
+    sides = [F.collect_list(F.when(F.col("group_id") == k, at)).alias(n) for k, n in ((first, "a"), (second, "b"))]
+    rows = coords.groupBy("traj_id", "frame").agg(*sides).select("traj_id", "frame", F.explode_outer("a").alias("a"), "b").select("traj_id", "frame", "a", F.explode_outer("b").alias("b"))
+    d = g.sub(g.vec("a."), g.vec("b."))
+    return rows.groupBy("traj_id", "frame").agg(F.min(g.norm(g.mic_ortho(d, g.vec("a.l")) if periodic else d)).alias("d_min"))
+
+
 def prune_semi_join(coords: DataFrame, verdicts: DataFrame, size: int = BLOCK) -> DataFrame:
     """Rows of frames whose block is undecided."""
     return in_blocks(coords, size).join(verdicts.filter("verdict is null").select("traj_id", "block_id"), ["traj_id", "block_id"], "left_semi")
@@ -190,7 +224,11 @@ def query_verdict(series: DataFrame, quantifier: str = "EXISTS", duration: float
 def evidence_table(coords: DataFrame, tau: float, op: str = "<", size: int = BLOCK, dt: float = 10.0) -> DataFrame:
     """One row per block: bounds, times in ns, status CERTIFIED_TRUE, CERTIFIED_FALSE, EXACT_TRUE, EXACT_FALSE or REFINED."""
     verdicts = stored(block_verdicts(coords, tau, op, size))
-    exact = exact_frames(coords, verdicts, tau, op, size).withColumn("block_id", F.floor(F.col("frame") / size))
+    return evidence_rows(verdicts, exact_frames(coords, verdicts, tau, op, size).withColumn("block_id", F.floor(F.col("frame") / size)), dt)
+
+
+def evidence_rows(verdicts: DataFrame, exact: DataFrame, dt: float) -> DataFrame:
+    """Evidence from blocks and from the truths of the frames of open ones (traj_id, block_id, truth)."""
     exact = exact.groupBy("traj_id", "block_id").agg(F.bool_and("truth").alias("every"), F.bool_or("truth").alias("some"))
     status = F.when(F.col("verdict"), "CERTIFIED_TRUE").when(~F.col("verdict"), "CERTIFIED_FALSE").when(F.col("every"), "EXACT_TRUE").when(~F.col("some"), "EXACT_FALSE").otherwise("REFINED")
     return verdicts.join(exact, ["traj_id", "block_id"], "left").select("traj_id", "block_id", "frame_start", "frame_end", "lower", "upper", (F.col("frame_start") * dt / 1000).alias("t_start_ns"), (F.col("frame_end") * dt / 1000).alias("t_end_ns"), "verdict", status.alias("status"))
@@ -224,19 +262,6 @@ def verify_evidence(evidence: DataFrame, tau: float, op: str = "<") -> DataFrame
     return rows.select("traj_id", "block_id", F.explode(F.array_compact(kinds)).alias("violation"))
 
 
-def refine_dyadic(coords: DataFrame, tau: float, op: str = "<", size: int = 16) -> DataFrame:
-    """Bounds undecided blocks again at half the size, down to one frame: traj_id, size, block_id, lower, upper, verdict of all
-    blocks that were looked at. Each level is a semi-join on the undecided blocks of the level above."""
-    found, rows = None, coords
-    while True:
-        level = block_verdicts(rows, tau, op, size).select("traj_id", F.lit(size).alias("size"), "block_id", "lower", "upper", "verdict")
-        found = level if found is None else found.unionByName(level)
-        if size == 1:
-            return found
-        rows = prune_semi_join(rows, level, size).drop("block_id")
-        size //= 2
-
-
 def batch_screen(coords: DataFrame, queries: DataFrame, size: int = BLOCK) -> DataFrame:
     """Counts of blocks by verdict for a table of (query_id, tau), over one pass of bounds.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orbitframe.functions.geometry import r6
 from orbitframe.operators.graphs import stored
 from orbitframe.plans import certified as c
+from orbitframe.plans import pyramid
 from orbitframe.sources import views as v
 from orbitframe.sources.views import sql
 
@@ -18,8 +19,22 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: r6(F.col(n)) for n in names})
 
 
+@v.once("lineitem")
+def index(spark: SparkSession, sf: str) -> pyramid.Pyramid:
+    """Bounds and clustered coordinates of the long trajectories."""
+    return pyramid.build(v.tl(spark, sf))
+
+
 def _truth(spark: SparkSession, sf: str) -> DataFrame:
-    return c.frame_truth(v.tl(spark, sf), TAU)
+    return pyramid.frame_truth(index(spark, sf), TAU)
+
+
+def _spans(spark: SparkSession, sf: str) -> DataFrame:
+    return pyramid.truth_spans(index(spark, sf), TAU)
+
+
+def _evidence(spark: SparkSession, sf: str) -> DataFrame:
+    return pyramid.evidence_table(index(spark, sf), TAU)
 
 
 def _flipped(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,14 +43,14 @@ def _flipped(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _quantified(spark: SparkSession, sf: str) -> DataFrame:
-    series = stored(_truth(spark, sf))
-    parts = [c.query_verdict(series, kind, 50.0).withColumn("quantifier", F.lit(kind)) for kind in ("EXISTS", "FORALL", "DURATION")]
+    spans = stored(_spans(spark, sf))
+    parts = [pyramid.query_verdict(spans, kind, 50.0).withColumn("quantifier", F.lit(kind)) for kind in ("EXISTS", "FORALL", "DURATION")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def _broken(spark: SparkSession, sf: str) -> DataFrame:
     """Evidence with a fault of each kind."""
-    rows, k = c.evidence_table(v.tl(spark, sf), TAU), F.col("block_id") % 50
+    rows, k = _evidence(spark, sf), F.col("block_id") % 50
     return rows.withColumns({
         "verdict": F.when(k == 7, ~F.coalesce("verdict", F.lit(False))).otherwise(F.col("verdict")),
         "frame_start": F.col("frame_start") + (k == 13).cast("int"),
@@ -58,19 +73,19 @@ QUERIES = {
     "exact_frames": lambda s, d: _rounded(c.exact_frames(v.tl(s, d), c.block_verdicts(v.tl(s, d), TAU), TAU), "d_min"),
     "frame_truth": _truth,
     "oracle_diff": lambda s, d: _flipped(s, d).join(c.pair_min_distance(v.tl(s, d)), ["traj_id", "frame"]).filter(F.col("truth") != (F.col("d_min") < TAU)).select("traj_id", "frame", "truth"),
-    "witness_intervals": lambda s, d: c.episodes(_truth(s, d)),
+    "witness_intervals": lambda s, d: pyramid.witness_intervals(_spans(s, d)),
     "query_verdict": _quantified,
     "quantifier_exists": lambda s, d: c.block_verdicts(v.tl(s, d), TAU).groupBy("traj_id").agg(c.exists_(F.col("verdict")).alias("verdict")),
     "quantifier_forall": lambda s, d: c.block_verdicts(v.tl(s, d), TAU).groupBy("traj_id").agg(c.forall_(F.col("verdict")).alias("verdict")),
-    "evidence_table": lambda s, d: _rounded(c.evidence_table(v.tl(s, d), TAU), "lower", "upper", "t_start_ns", "t_end_ns"),
-    "evidence_counts": lambda s, d: _rounded(c.evidence_counts(c.evidence_table(v.tl(s, d), TAU)), "pruned_percent", "io_pruned"),
+    "evidence_table": lambda s, d: _rounded(_evidence(s, d), "lower", "upper", "t_start_ns", "t_end_ns"),
+    "evidence_counts": lambda s, d: _rounded(c.evidence_counts(_evidence(s, d)), "pruned_percent", "io_pruned"),
     "verify_evidence": lambda s, d: c.verify_evidence(_broken(s, d), TAU),
-    "refine_dyadic": lambda s, d: c.refine_dyadic(v.tl(s, d), TAU).groupBy("traj_id", "size").agg(F.count(F.lit(1)).alias("n"), F.count_if("verdict").alias("n_true"), F.count_if(~F.col("verdict")).alias("n_false")),
+    "refine_dyadic": lambda s, d: pyramid.refine_dyadic(index(s, d), TAU).groupBy("traj_id", "size").agg(F.count(F.lit(1)).alias("n"), F.count_if("verdict").alias("n_true"), F.count_if(~F.col("verdict")).alias("n_false")),
     "batch_screen": lambda s, d: c.batch_screen(v.tl(s, d), s.range(150).select(F.col("id").alias("query_id"), (1.0 + F.col("id") * 0.2).alias("tau"))),
-    "plan_compare": lambda s, d: _rounded(c.plan_compare(c.evidence_counts(c.evidence_table(v.tl(s, d), TAU))), "direct", "indexed"),
+    "plan_compare": lambda s, d: _rounded(c.plan_compare(c.evidence_counts(_evidence(s, d))), "direct", "indexed"),
     "ledger_verify": lambda s, d: c.ledger_verify(_ledger(s, d)),
     "distance_series_stats": lambda s, d: _rounded(c.pair_min_distance(v.tl(s, d)).groupBy("traj_id").agg(F.avg("d_min").alias("mean"), F.min("d_min").alias("min"), F.max("d_min").alias("max"), F.count("d_min").alias("n")), "mean", "min", "max"),
-    "certified_query": lambda s, d: c.query_verdict(_truth(s, d), "DURATION", 50.0),
+    "certified_query": lambda s, d: pyramid.query_verdict(_spans(s, d), "DURATION", 50.0),
 }
 
 

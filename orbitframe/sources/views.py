@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,27 +13,42 @@ from orbitframe.operators.graphs import stored
 from orbitframe.operators.order import numbered as numbered
 
 N_ATOMS, SCALE, BOX = 21, 40.0, 20.0
-_made: dict[tuple[str, str, str], DataFrame] = {}
+_made: dict[tuple[str, str, str], tuple[int, object]] = {}
+Made = TypeVar("Made")
 
 
-def materialised(view: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The view, stored once per session and folder of tables: numbering frames is a global sort, and no part of an operator."""
+def state_of(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """A number that changes when a table's files do: of their paths, sizes and times."""
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/{name}.parquet")
+    return files.agg(F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()[0] or 0
 
-    @wraps(view)
-    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, view.__name__, sf_dir)
-        if key not in _made:
-            _made[key] = stored(view(spark, sf_dir))
-        return _made[key]
 
-    return read
+def once(source: str) -> Callable[[Callable[[SparkSession, str], Made]], Callable[[SparkSession, str], Made]]:
+    """Made once per session and folder of tables, and again when the files of the source table have changed."""
+
+    def wrap(make: Callable[[SparkSession, str], Made]) -> Callable[[SparkSession, str], Made]:
+        @wraps(make)
+        def read(spark: SparkSession, sf_dir: str) -> Made:
+            key, state = (spark.sparkContext.applicationId, make.__name__, sf_dir), state_of(spark, sf_dir, source)
+            if _made.get(key, (None,))[0] != state:
+                _made[key] = state, make(spark, sf_dir)
+            return _made[key][1]
+
+        return read
+
+    return wrap
+
+
+def materialised(source: str) -> Callable[[Callable[[SparkSession, str], DataFrame]], Callable[[SparkSession, str], DataFrame]]:
+    """A view that is stored once: numbering frames is a global sort, and no part of an operator."""
+    return lambda view: once(source)(wraps(view)(lambda spark, sf_dir: stored(view(spark, sf_dir))))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@materialised
+@materialised("embeddings")
 def te(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multi-atom trajectories: one row per label, frame and atom, exploded from an array column."""
     vectors = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.transform("embedding", lambda v: v.cast("double") * SCALE).alias("e"))
@@ -65,7 +81,7 @@ def te_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return te(spark, sf_dir).join(F.broadcast(te_atoms(spark)), "atom_id")
 
 
-@materialised
+@materialised("lineitem")
 def tl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long two-group trajectories: atoms 0 and 1 in group 0, atom 2 in group 1."""
     order = ["l_extendedprice", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_shipdate"]
@@ -75,7 +91,7 @@ def tl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("traj_id", "frame", F.inline(atoms)).withColumns({f"l{n}": F.lit(80.0) for n in "xyz"})
 
 
-@materialised
+@materialised("events")
 def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scalar series per user, irregularly spaced."""
     rows = numbered(table(spark, sf_dir, "events").select(F.col("user_id").alias("traj_id"), "ts", "event_id", "value"), "traj_id", ["ts", "event_id"])
