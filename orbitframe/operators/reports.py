@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitframe.functions import geometry as g
+from orbitframe.operators import contacts
 from orbitframe.operators import interactions as i
 from orbitframe.operators import series as se
 from orbitframe.operators import structure as st
@@ -100,7 +101,7 @@ def structure_compare(coords: DataFrame, first: int = 0) -> DataFrame:
     """Every frame against one: fitted deviation, template modelling score, distance-test scores, contact overlap."""
     rows = st.against(coords, coords.filter(F.col("frame") == first), ["traj_id", "atom_id"]).withColumn("d", g.dist(g.vec(), g.vec(suffix="_r")))
     out = su.rmsd_fit(rows, FRAME)
-    for part in (st.tm_score(rows, FRAME), st.gdt_scores(rows, FRAME), st.contact_similarity(st.atom_pairs(coords), 8.0, first)):
+    for part in (st.tm_score(rows, FRAME), st.gdt_scores(rows, FRAME), contacts.similarity(contacts.near_pairs(coords, 8.0), coords, first)):
         out = out.join(part, FRAME)
     return out
 

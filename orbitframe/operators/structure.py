@@ -92,7 +92,7 @@ def centroids(coords: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def atom_pairs(coords: DataFrame, box: bool = False) -> DataFrame:
-    """All pairs i < j of a frame with their distance d; pairs of one molecule's atoms, so bounded by its square."""
+    """All pairs i < j of a frame with their distance d, for statistics over all pairs; contacts come from pair lists."""
     a = coords.select(*FRAME, F.col("atom_id").alias("i"), *"xyz", *(["lx", "ly", "lz"] if box else []))
     b = coords.select(*FRAME, F.col("atom_id").alias("j"), *[F.col(n).alias(f"{n}_b") for n in "xyz"])
     d = g.mic_dist(g.vec(), g.vec(suffix="_b"), g.vec("l")) if box else g.dist(g.vec(), g.vec(suffix="_b"))
@@ -142,15 +142,6 @@ def distance_rmsd(pairs: DataFrame, first: int = 0) -> DataFrame:
     return pairs.join(ref, ["traj_id", "i", "j"]).groupBy(*FRAME).agg(F.sqrt(F.avg((F.col("d") - F.col("d_r")) ** 2)).alias("drmsd"))
 
 
-def contact_similarity(pairs: DataFrame, cutoff: float, first: int = 0) -> DataFrame:
-    """Jaccard and Dice of each frame's contacts and one frame's; 1 where both are empty."""
-    near = pairs.withColumn("c", (F.col("d") <= cutoff).cast("int"))
-    ref = near.filter(F.col("frame") == first).select("traj_id", "i", "j", F.col("c").alias("r"))
-    both, either, total = F.sum(F.col("c") * F.col("r")), F.sum(F.greatest("c", "r")), F.sum(F.col("c") + F.col("r"))
-    rows = near.join(ref, ["traj_id", "i", "j"]).groupBy(*FRAME)
-    return rows.agg(F.when(either == 0, 1.0).otherwise(both / either).alias("jaccard"), F.when(total == 0, 1.0).otherwise(2 * both / total).alias("dice"))
-
-
 def contact_sets(pairs: DataFrame, cutoff: float, first: int, second: int) -> DataFrame:
     """Contacts of both frames, of the first only and of the second only."""
     sets = [pairs.filter((F.col("frame") == f) & (F.col("d") <= cutoff)).select("traj_id", "i", "j") for f in (first, second)]
@@ -217,12 +208,6 @@ def discrepancy_report(aligned: DataFrame, tolerance: float, relative: bool = Fa
     return out.withColumn("kind", kind).drop("limit")
 
 
-def contact_agreement(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Share of cells (i, j, c) on which two contact maps agree; 99 % passes."""
-    joined = a.withColumnRenamed("c", "c_a").join(b.withColumnRenamed("c", "c_b"), [*keys, "i", "j"], "full_outer")
-    return joined.groupBy(*keys).agg(F.avg(F.col("c_a").eqNullSafe(F.col("c_b")).cast("double")).alias("agreement")).withColumn("passes", F.col("agreement") >= 0.99)
-
-
 def series_contract(rows: DataFrame, n_frames: int) -> DataFrame:
     """Violations of a series per trajectory, none for a good one."""
     bad = rows.groupBy("traj_id").agg(F.count_if(F.col("value").isNull() | F.isnan("value")).alias("n_bad"), F.count(F.lit(1)).alias("n"))

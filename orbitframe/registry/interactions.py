@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orbitframe.operators import contacts as con
 from orbitframe.operators import graphs as gr
 from orbitframe.operators import interactions as i
 from orbitframe.operators import series as se
@@ -44,7 +45,7 @@ def _bonds(p, d):
 
 
 def _edges(p, d):
-    return st.atom_pairs(v.te(p, d)).filter(F.col("d") <= CUT).select(*FR, "i", "j")
+    return con.near_pairs(v.te(p, d), CUT).select(*FR, "i", "j")
 
 
 def _template(p):

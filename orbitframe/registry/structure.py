@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orbitframe.functions.geometry import r6
+from orbitframe.operators import contacts as con
 from orbitframe.operators import selection as sel
 from orbitframe.operators import structure as s
 from orbitframe.sources import views as v
@@ -61,15 +62,15 @@ QUERIES = {
     "average_structure": lambda p, d: rounded(s.average_structure(v.te(p, d))),
     "contact_count_series": lambda p, d: sel.radius_join(*[v.te(p, d).select("traj_id", "frame", "atom_id", *"xyz")] * 2, 4.5, ["traj_id", "frame"]).filter("atom_id < atom_id_b AND d < 4.5").groupBy("traj_id", "frame").agg(F.count(F.lit(1)).alias("n")),
     "contact_map": lambda p, d: rounded(s.contact_map(_pairs(p, d, True), CUT)),
-    "static_contact_map": lambda p, d: rounded(_pairs(p, d).filter("frame = 0 AND d <= 8 AND j - i >= 3")),
+    "static_contact_map": lambda p, d: rounded(con.near_pairs(v.te(p, d).filter("frame = 0"), CUT, 1).filter("j - i >= 3")),
     "contact_occupancy": lambda p, d: rounded(s.contact_occupancy(_pairs(p, d), CUT)),
     "coordinate_evolution": lambda p, d: rounded(s.coordinate_evolution(v.te(p, d), 0, 1)),
     "tm_score": lambda p, d: rounded(s.tm_score(_matched(p, d), ["traj_id", "frame"])),
     "gdt_scores": lambda p, d: rounded(s.gdt_scores(_matched(p, d), ["traj_id", "frame"])),
     "trimmed_rmsd": lambda p, d: rounded(s.trimmed_rmsd(_matched(p, d), ["traj_id", "frame"])),
     "distance_rmsd": lambda p, d: rounded(s.distance_rmsd(_pairs(p, d))),
-    "contact_similarity": lambda p, d: rounded(s.contact_similarity(_pairs(p, d), CUT)),
-    "contact_intersect_except": lambda p, d: s.contact_sets(_pairs(p, d), CUT, 0, 1),
+    "contact_similarity": lambda p, d: rounded(con.similarity(con.near_pairs(v.te(p, d), CUT), v.te(p, d))),
+    "contact_intersect_except": lambda p, d: s.contact_sets(con.near_pairs(v.te(p, d).filter("frame < 2"), CUT, 1), CUT, 0, 1),
     "end_to_end": lambda p, d: rounded(s.end_to_end(v.te_full(p, d))),
     "bfactor_stats": lambda p, d: rounded(s.bfactor_stats(v.te_full(p, d), ["traj_id", "chain"])),
     "occupancy_stats": lambda p, d: rounded(s.occupancy_stats(v.te_full(p, d), ["traj_id", "chain"])),
@@ -82,11 +83,11 @@ QUERIES = {
     "discrepancy_sasa_rmsd": lambda p, d: rounded(s.discrepancy_report(_series(p, d), 0.02, relative=True)),
     "mismatch_head": lambda p, d: rounded(_series(p, d).filter(F.abs(F.col("value_a") - F.col("value_b")) > 0.1).orderBy("traj_id", "frame").limit(50)),
     "three_way_comparison": lambda p, d: rounded(s.discrepancy_report(_series(p, d), 0.1).withColumn("pair", F.lit("a-b")).unionByName(s.discrepancy_report(_series(p, d).withColumn("value_a", F.col("value_a") + 0.2), 0.1).withColumn("pair", F.lit("c-b"))).unionByName(s.discrepancy_report(_series(p, d).withColumn("value_b", F.col("value_a") + 0.2), 0.1).withColumn("pair", F.lit("a-c")))),
-    "contact_agreement": lambda p, d: rounded(s.contact_agreement(*[_pairs(p, d).filter(F.col("frame") == f).select("traj_id", "i", "j", (F.col("d") <= CUT).alias("c")) for f in (0, 1)], ["traj_id"])),
+    "contact_agreement": lambda p, d: rounded(con.agreement(con.near_pairs(v.te(p, d).filter("frame < 2"), CUT, 1), v.te(p, d), 0, 1)),
     "series_contract_check": lambda p, d: s.series_contract(v.ev(p, d).select("traj_id", "value"), 60),
     "coulomb_potential": lambda p, d: rounded(s.coulomb_potential(v.te_full(p, d), _charge(), [(0, 0, 0), (5, 0, 0), (0, 5, 0), (0, 0, 5)])),
     "dipole_moment": lambda p, d: rounded(s.dipole_moment(v.te_full(p, d), _charge())),
-    "geometry_summary": lambda p, d: rounded(s.geometry_summary(v.te_full(p, d), _pairs(p, d), CUT)),
+    "geometry_summary": lambda p, d: rounded(s.geometry_summary(v.te_full(p, d), con.near_pairs(v.te(p, d), CUT), CUT)),
     "dataset_capabilities": lambda p, d: s.dataset_capabilities(v.te_full(p, d), sel.classify_residue(F.col("resname"))),
     "component_bounds": lambda p, d: rounded(s.component_bounds(v.te_full(p, d), ["traj_id", "frame", "residue"])),
     "frame_aabb": lambda p, d: rounded(s.component_bounds(v.te(p, d), ["traj_id", "frame"])),
