@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from orbitframe.registry import certified, files, functions, interactions, reports, selection, series, structure, surfaces
+from orbitframe.registry import certified, files, functions, interactions, proofs, reports, selection, series, structure, surfaces
 
-MODULES = (certified, selection, structure, series, functions, interactions, surfaces, reports, files)
+MODULES = (certified, proofs, selection, structure, series, functions, interactions, surfaces, reports, files)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}
