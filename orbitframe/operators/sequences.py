@@ -97,44 +97,89 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(plain, SCORES[np.where(plain, a, 0), np.where(plain, b, 0)], np.where(a == b, 1, -1))
 
 
-def align(a: str, b: str) -> tuple[int, float, float]:
+#: Bytes of trace that an alignment holds at a time, about; longer ones keep every so many antidiagonals and fill the rest again.
+TRACE_BYTES = 1 << 25
+
+
+class Diagonals:
+    """Antidiagonals of the table of a global alignment, by row: the scores of the last two, and how the last one's cells were reached
+    (0 by the diagonal, 1 by a gap in b, 2 by a gap in a)."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.x, self.y, n = x, y, len(x)
+        self.k, self.before, self.last, self.reached = 0, np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32), np.zeros(n + 1, np.uint8)
+
+    def saved(self) -> tuple:
+        return self.k, self.before, self.last, self.reached
+
+    def load(self, state: tuple) -> None:
+        self.k, self.before, self.last, self.reached = state
+
+    def advance(self) -> None:
+        x, y, k = self.x, self.y, self.k + 1
+        n, m = len(x), len(y)
+        now, reached = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.uint8)
+        lo, hi = max(1, k - m), min(n, k - 1) + 1
+        if lo < hi:
+            i = slice(lo, hi)
+            above = slice(lo - 1, hi - 1)
+            diagonal = self.before[above] + scores(x[above], y[k - hi : k - lo][::-1])
+            up = self.last[above] - np.where(self.reached[above] == 1, GAP_EXTEND, GAP_OPEN)
+            left = self.last[i] - np.where(self.reached[i] == 2, GAP_EXTEND, GAP_OPEN)
+            best = np.maximum(diagonal, up)
+            reached[i] = np.where(left > best, 2, np.where(up > diagonal, 1, 0))
+            now[i] = np.maximum(best, left)
+        edge = -GAP_OPEN - (k - 1) * GAP_EXTEND
+        if k <= n:
+            now[k], reached[k] = edge, 1
+        if k <= m:
+            now[0], reached[0] = edge, 2
+        self.k, self.before, self.last, self.reached = k, self.last, now, reached
+
+
+def align(a: str, b: str, trace_bytes: int = TRACE_BYTES) -> tuple[int, float, float]:
     """(score, identity and similarity in percent of the alignment) of the global alignment in which a gap costs GAP_OPEN for its first
     letter and GAP_EXTEND for each further one.
 
     A cell takes the best of three, the diagonal first on ties, then the gap in b, and a gap is extended where the cell before was
-    itself reached by one. Cells of an antidiagonal are filled together; what stays is two of them, and one byte per cell."""
+    itself reached by one. Cells of an antidiagonal are filled together. If the trace fits, it is kept whole; else only every so many
+    antidiagonals are, and the way back fills the stretch before each of them once more: n + m antidiagonals take the square root of
+    that many at a time, in twice the time."""
     x, y = (np.array([ord(c) for c in s.upper()], np.int64) for s in (a, b))
     n, m = len(x), len(y)
-    trace = np.zeros((n + 1, m + 1), np.uint8)
-    trace[1:, 0], trace[0, 1:] = 1, 2
-    edge = lambda k: -GAP_OPEN - (k - 1) * GAP_EXTEND if k else 0
-    before, last = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)  # by row, of antidiagonals k - 2 and k - 1
-    for k in range(1, n + m + 1):
-        now = np.zeros(n + 1, np.int64)
-        i = np.arange(max(1, k - m), min(n, k - 1) + 1)
-        j = k - i
-        if len(i):
-            diagonal = before[i - 1] + scores(x[i - 1], y[j - 1])
-            up = last[i - 1] - np.where(trace[i - 1, j] == 1, GAP_EXTEND, GAP_OPEN)
-            left = last[i] - np.where(trace[i, j - 1] == 2, GAP_EXTEND, GAP_OPEN)
-            best = np.maximum(diagonal, up)
-            trace[i, j] = np.where(left > best, 2, np.where(up > diagonal, 1, 0))
-            now[i] = np.maximum(best, left)
-        if k <= n:
-            now[k] = edge(k)
-        if k <= m:
-            now[0] = edge(k)
-        before, last = last, now
-    i, j, length, pairs = n, m, 0, []
-    while i or j:
-        length += 1
-        step = trace[i, j]
-        if step == 0:
-            pairs.append((i - 1, j - 1))
-        i, j = i - (step != 2), j - (step != 1)
-    p, q = (np.array(c, np.int64) for c in (zip(*pairs, strict=True) if pairs else ((), ())))
-    same, alike = int((x[p] == y[q]).sum()), int((scores(x[p], y[q]) > 0).sum())
-    return int(last[n]), 100.0 * same / max(length, 1), 100.0 * alike / max(length, 1)
+    total = n + m
+    stride = total + 1 if (n + 1) * total <= trace_bytes else int(np.sqrt(9 * total)) + 1
+    rows, kept = Diagonals(x, y), []
+    held: list[np.ndarray] = []
+    for k in range(total):
+        if k % stride == 0:
+            kept.append(rows.saved())
+            held = []
+        rows.advance()
+        held.append(rows.reached)
+    score = int(rows.last[n])
+    i, j, length, same, alike = n, m, 0, 0, 0
+    for block in reversed(range(len(kept))):
+        start, state = block * stride, kept.pop()
+        if i + j <= start:
+            continue
+        if start + len(held) < i + j or rows.k != start + len(held):  # all but the last stretch
+            rows.load(state)
+            held = []
+            for _ in range(stride):
+                rows.advance()
+                held.append(rows.reached)
+        p, q = [], []
+        while i + j > start:
+            length += 1
+            step = held[i + j - start - 1][i]
+            if step == 0:
+                p.append(i - 1)
+                q.append(j - 1)
+            i, j = i - (step != 2), j - (step != 1)
+        p, q = np.array(p, np.int64), np.array(q, np.int64)
+        same, alike = same + int((x[p] == y[q]).sum()), alike + int((scores(x[p], y[q]) > 0).sum())
+    return score, 100.0 * same / max(length, 1), 100.0 * alike / max(length, 1)
 
 
 def sequence_alignment_pairs(pairs: DataFrame) -> DataFrame:
