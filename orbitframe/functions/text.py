@@ -23,6 +23,42 @@ def validate_sequence(seq: Column, least: int = 5, most: int = 2000) -> tuple[Co
     return F.when(F.length(seq) < least, "TOO_SHORT").when(F.length(seq) > most, "TOO_LONG").when(bad > 0, "BAD_LETTERS").otherwise("VALID"), bad
 
 
+#: White space, letters of amino acids in either case with the two that have one as their capital, nucleic alphabets.
+WHITE = r"\x09-\x0D\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+AMINO_ANY = f"{AMINO_LETTERS}{AMINO_LETTERS.lower()}\u0131\u017f"
+NUCLEIC = {"DNA": "ACGTN", "RNA": "ACGUN", "ANY": "ACGTUIN"}
+
+
+def validate_fasta(raw: Column, least: int = 5, most: int = 2000, headers: bool = True) -> Column:
+    """struct(status, header, sequence, n_residues, n_bad, bad) of a raw protein sequence, with or without a header line.
+
+    status is the first that applies of EMPTY, HEADER_NOT_ALLOWED, HEADER_ONLY, NO_RESIDUES, BAD_LETTERS, TOO_SHORT, TOO_LONG, VALID. White
+    space counts nowhere. bad names the first five letters that are no amino acid, by place from 1, and how many more there are;
+    sequence is there for VALID ones only."""
+    text = F.regexp_replace(F.coalesce(raw, F.lit("")), f"^[{WHITE}]+|[{WHITE}]+$", "")
+    titled, end = F.startswith(text, F.lit(">")), F.instr(text, "\n")
+    header = F.when(titled & (end > 0), F.regexp_replace(F.substr(text, F.lit(2), end - 2), f"^[{WHITE}]+|[{WHITE}]+$", ""))
+    body = F.regexp_replace(F.when(titled & (end > 0), F.substr(text, end + 1)).when(titled, "").otherwise(text), f"[{WHITE}]", "")
+
+    def judged(x: Column) -> Column:
+        letters = F.filter(F.split(x["body"], ""), lambda c: c != "")
+        named = F.transform(letters, lambda c, i: F.when(~c.rlike(f"^[{AMINO_ANY}]$"), F.concat(F.lit("'"), c, F.lit("' at position "), (i + 1).cast("string"))))
+        n, n_bad = F.length(x["body"]), F.length(F.regexp_replace(x["body"], f"[{AMINO_ANY}]", ""))
+        bad = F.concat(F.array_join(F.slice(F.array_compact(named), 1, 5), ", "), F.when(n_bad > 5, F.concat(F.lit(" (+"), (n_bad - 5).cast("string"), F.lit(" more)"))).otherwise(""))
+        status = F.when(x["empty"], "EMPTY").when(x["titled"] & F.lit(not headers), "HEADER_NOT_ALLOWED").when(x["titled"] & x["header"].isNull(), "HEADER_ONLY").when(n == 0, "NO_RESIDUES")
+        status = status.when(n_bad > 0, "BAD_LETTERS").when(n < least, "TOO_SHORT").when(n > most, "TOO_LONG").otherwise("VALID")
+        return F.struct(status.alias("status"), x["header"].alias("header"), F.when(status == "VALID", F.upper(x["body"])).alias("sequence"), n.alias("n_residues"), n_bad.alias("n_bad"), F.when(n_bad > 0, bad).alias("bad"))
+
+    given = F.struct((F.length(text) == 0).alias("empty"), titled.alias("titled"), header.alias("header"), body.alias("body"))
+    return F.get(F.transform(F.array(given), judged), F.lit(0))
+
+
+def validate_nucleic(seq: Column, mode: str = "ANY") -> tuple[Column, Column]:
+    """(whether all letters are of the mode's alphabet, the sequence in capitals without white space); an empty one is not valid."""
+    clean = F.upper(F.regexp_replace(F.coalesce(seq, F.lit("")), f"[{WHITE}]+", ""))
+    return clean.rlike(f"^[{NUCLEIC[mode]}]+$"), clean
+
+
 def sequence_identity(a: Column, b: Column) -> Column:
     """Equal letters at equal positions of the common prefix, over the longer length."""
     n = F.least(F.length(a), F.length(b))

@@ -10,9 +10,16 @@ from orbitframe.operators.selection import AMINO_ACIDS, radius_join
 from orbitframe.operators.structure import COVALENT, FRAME, VDW, lookup, widest
 
 COLUMNS = ["atom_id", "residue", "resname", "name", "element", "chain", *"xyz"]
-#: Charged residues and ring residues.
+#: Charged residues.
 CATIONS, ANIONS = ["ARG", "LYS", "HIS"], ["ASP", "GLU"]
-RING_RESIDUES = ["PHE", "TYR", "TRP", "HIS"]
+#: Residue, kind of ring, names of its atoms, and how many of them must be there.
+AROMATIC_RINGS = [
+    ("PHE", "6_MEMBERED", "CG CD1 CD2 CE1 CE2 CZ".split(), 5),
+    ("TYR", "6_MEMBERED", "CG CD1 CD2 CE1 CE2 CZ".split(), 5),
+    ("TRP", "6_MEMBERED", "CD2 CE2 CZ2 CH2 CZ3 CE3".split(), 5),
+    ("TRP", "5_MEMBERED", "CG CD1 NE1 CE2 CD2".split(), 4),
+    ("HIS", "5_MEMBERED", "CG ND1 CE1 NE2 CD2".split(), 4),
+]
 METALS = "FE FE2 FE3 ZN MG CA MN CU CU1 CU2 NI CO CD PB HG PT SR BA MO V W".split()
 COORDINATING = ["N", "O", "S", "CL", "F"]
 CATION_ATOMS = "NZ NH1 NH2 NE ND1 NE2".split()
@@ -99,18 +106,29 @@ def metal_coordination(atoms: DataFrame, metal: Column, low: float = 0.5, high:
 
 
 def rings(atoms: DataFrame) -> DataFrame:
-    """Centre and normal of each residue's ring atoms, the normal from the first three by id."""
-    at = F.array_sort(F.collect_list(F.struct("atom_id", *"xyz")))
-    rows = atoms.groupBy(*FRAME, "residue").agg(at.alias("a"), *[F.avg(n).alias(f"c{n}") for n in "xyz"]).filter(F.size("a") >= 3)
+    """traj_id, frame, chain, residue, resname, kind, n_atoms, x, y, z, nx, ny, nz: centre, to three decimals, and unit normal of each aromatic
+    ring, by the names of its atoms; tryptophan has two. The normal is that of the first three ring atoms by id; a ring whose first
+    three lie on a line has none and is left out, as is one of which too many atoms are missing."""
+    resname = F.upper(F.trim("resname"))
+    of = F.array_compact(F.array(*[F.when((resname == r) & F.col("name").isin(names), F.struct(F.lit(kind).alias("kind"), F.lit(least).alias("least"))) for r, kind, names, least in AROMATIC_RINGS]))
+    rows = atoms.select(*FRAME, "chain", "residue", resname.alias("resname"), "atom_id", *"xyz", F.explode(of).alias("of"))
+    at = F.slice(F.array_sort(F.collect_list(F.struct("atom_id", *"xyz"))), 1, 3)
+    rows = rows.groupBy(*FRAME, "chain", "residue", "resname", "of").agg(at.alias("a"), F.count(F.lit(1)).alias("n_atoms"), *[F.round(F.avg(n), 3).alias(n) for n in "xyz"]).filter(F.col("n_atoms") >= F.col("of.least"))
     p = [tuple(F.get("a", F.lit(i))[n] for n in "xyz") for i in range(3)]
-    return rows.select(*FRAME, "residue", *[F.col(f"c{n}").alias(n) for n in "xyz"], *[c.alias(f"n{n}") for c, n in zip(g.plane_normal(*p), "xyz", strict=True)])
+    normal = [c.alias(f"n{n}") for c, n in zip(g.plane_normal(*p), "xyz", strict=True)]
+    return rows.select(*FRAME, "chain", "residue", "resname", F.col("of.kind").alias("kind"), "n_atoms", *"xyz", *normal).filter("nx * nx + ny * ny + nz * nz > 0.5")
 
 
 def pi_stacking(found: DataFrame, reach: float = 5.5, parallel: float = 4.5) -> DataFrame:
-    near = radius_join(found, found, reach, FRAME).filter(F.col("residue") < F.col("residue_b"))
+    """Pairs of rings of different residues: parallel within the shorter distance and 30 degrees, T-shaped within the longer one and 60 to
+    90 degrees; residues of another chain are marked."""
+    one = F.struct("chain", "residue", "kind")
+    found = found.withColumn("ring", one)
+    near = radius_join(found, found, reach, FRAME).filter((F.col("ring") < F.col("ring_b")) & ((F.col("chain") != F.col("chain_b")) | (F.col("residue") != F.col("residue_b"))))
     near = near.withColumn("angle", g.normal_angle(g.vec("n"), g.vec("n", "_b")))
-    kind = F.when((F.col("d") <= parallel) & (F.col("angle") <= 30), "parallel").when(F.col("angle").between(60, 90), "t_shape")
-    return near.withColumn("kind", kind).filter("kind is not null").select(*FRAME, "residue", "residue_b", "d", "angle", "kind")
+    stacking = F.when((F.col("d") <= parallel) & (F.col("angle") <= 30), "parallel").when(F.col("angle").between(60, 90), "t_shape")
+    ends = ["chain", "residue", "kind"]
+    return near.withColumn("stacking", stacking).filter("stacking IS NOT NULL").select(*FRAME, *ends, *[f"{n}_b" for n in ends], (F.col("chain") != F.col("chain_b")).alias("between_chains"), "d", "angle", "stacking")
 
 
 def steric_clashes(atoms: DataFrame, overlap: float = 0.4) -> DataFrame:

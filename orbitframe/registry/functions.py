@@ -116,6 +116,22 @@ def _identity(p, d):
     return rounded(rows.join(items, "k").select("seq_id", t.sequence_identity(F.col("seq"), F.col("seq_b")).alias("identity")))
 
 
+def _raw_sequence():
+    """Texts as raw protein sequences: with a header line, as they are, their amino letters only, a header alone, the first words' letters."""
+    amino, k = F.regexp_replace("text", f"[^{t.AMINO_LETTERS}{t.AMINO_LETTERS.lower()}]", ""), F.col("doc_id") % 6
+    named = F.concat(F.lit(" > document "), F.col("doc_id").cast("string"))
+    return F.when(k == 0, F.concat(named, F.lit(" \n"), amino)).when(k == 1, F.col("text")).when(k == 2, amino).when(k == 3, named).when(k == 4, F.concat(named, F.lit("\n"), F.col("text"))).otherwise(F.substring(amino, 1, (F.col("doc_id") % 37).cast("int")))
+
+
+def _nucleic(docs):
+    """Texts cut down to the letters of one alphabet, or left as they are, under every mode."""
+    k = F.col("doc_id") % 4
+    kept = F.regexp_replace("text", "[^ACGTNacgtn \n]", "")
+    raw = F.when(k == 0, kept).when(k == 1, F.translate(kept, "tT", "uU")).when(k == 2, F.regexp_replace("text", "[^ACGTUINacgtuin \n]", "")).otherwise(F.col("text"))
+    rows = docs.select("doc_id", raw.alias("raw"))
+    return rows.select("doc_id", *[t.validate_nucleic(F.col("raw"), m)[0].alias(m.lower()) for m in t.NUCLEIC], F.sha2(t.validate_nucleic(F.col("raw"))[1], 256).alias("clean_sha256"))
+
+
 QUERIES = {
     "dist": _frames(lambda: g.dist(_p(0), _p(1)).alias("d")),
     "mic_ortho": _frames(lambda: g.mic_dist(_p(0), _p(3), _box()).alias("d")),
@@ -134,6 +150,8 @@ QUERIES = {
     "canonical_keys": lambda p, d: v.te_full(p, d).select("traj_id", "frame", "atom_id", t.atom_key("chain", "residue", "name").alias("atom"), t.bond_key(t.atom_key("chain", "residue", "name"), F.lit("B:1:CA")).alias("bond")),
     "reverse_complement": lambda p, d: v.table(p, d, "documents").select("doc_id", F.sha2(t.reverse_complement(F.regexp_replace("text", "[^A-Za-z ]", "")), 256).alias("digest")),
     "validate_sequence": lambda p, d: v.sq(p, d).select("seq_id", *[c.alias(n) for c, n in zip(t.validate_sequence(F.col("seq")), ("status", "n_bad"), strict=True)]),
+    "validate_fasta": lambda p, d: v.table(p, d, "documents").select("doc_id", t.validate_fasta(_raw_sequence()).alias("found")).select("doc_id", "found.*"),
+    "validate_nucleic": lambda p, d: _nucleic(v.table(p, d, "documents")),
     "modular_periodicity": lambda p, d: rounded(v.sq(p, d).select("seq_id", t.periodicity(F.col("seq")).alias("share")).withColumn("periodic", F.col("share") > 0.35)),
     "polynomial_residue_hash": lambda p, d: v.sq(p, d).select("seq_id", t.polynomial_hash(F.col("seq")).alias("hash")),
     "design_space_size": lambda p, d: rounded(v.sq(p, d).select("seq_id", (F.length("seq") * F.log10(F.lit(20.0))).alias("log10_size"))),
@@ -270,6 +288,21 @@ ORACLE_SQL = {
     "canonical_keys": sql("TF", "SELECT traj_id, frame, atom_id, k AS atom, least(k, 'B:1:CA') || '|' || greatest(k, 'B:1:CA') AS bond FROM (SELECT *, chain || ':' || residue || ':' || name AS k FROM TF)"),
     "reverse_complement": "SELECT doc_id, sha256(reverse(translate(regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA'))) AS digest FROM documents",
     "validate_sequence": sql("SQ", f"SELECT seq_id, CASE WHEN length(seq) < 5 THEN 'TOO_SHORT' WHEN length(seq) > 2000 THEN 'TOO_LONG' WHEN length({LETTERS}) > 0 THEN 'BAD_LETTERS' ELSE 'VALID' END AS status, length({LETTERS})::INTEGER AS n_bad FROM SQ"),
+    "validate_fasta": rf"""
+        WITH r AS (SELECT doc_id, doc_id % 6 AS k, text, regexp_replace(text, '[^{t.AMINO_LETTERS}{t.AMINO_LETTERS.lower()}]', '', 'g') AS amino, ' > document ' || doc_id AS named FROM documents),
+        x AS (SELECT doc_id, regexp_replace(coalesce(CASE k WHEN 0 THEN named || E' \n' || amino WHEN 1 THEN text WHEN 2 THEN amino WHEN 3 THEN named WHEN 4 THEN named || E'\n' || text ELSE substr(amino, 1, doc_id % 37) END, ''), '^[{t.WHITE}]+|[{t.WHITE}]+$', '', 'g') AS t FROM r),
+        y AS (SELECT doc_id, t, t[1] = '>' AS titled, instr(t, E'\n') AS e FROM x),
+        z AS (SELECT doc_id, t = '' AS empty, titled, CASE WHEN titled AND e > 0 THEN regexp_replace(substr(t, 2, e - 2), '^[{t.WHITE}]+|[{t.WHITE}]+$', '', 'g') END AS header,
+            regexp_replace(CASE WHEN titled AND e > 0 THEN substr(t, e + 1) WHEN titled THEN '' ELSE t END, '[{t.WHITE}]', '', 'g') AS body FROM y),
+        b AS (SELECT *, length(body) AS n_residues, length(regexp_replace(body, '[{t.AMINO_ANY}]', '', 'g')) AS n_bad, list_filter(list_transform(list_filter(string_split(body, ''), lambda c: c <> ''),
+            lambda c, i: CASE WHEN NOT regexp_matches(c, '^[{t.AMINO_ANY}]$') THEN chr(39) || c || chr(39) || ' at position ' || i END), lambda m: m IS NOT NULL) AS named FROM z),
+        s AS (SELECT *, CASE WHEN empty THEN 'EMPTY' WHEN titled AND header IS NULL THEN 'HEADER_ONLY' WHEN n_residues = 0 THEN 'NO_RESIDUES' WHEN n_bad > 0 THEN 'BAD_LETTERS' WHEN n_residues < 5 THEN 'TOO_SHORT' WHEN n_residues > 2000 THEN 'TOO_LONG' ELSE 'VALID' END AS status FROM b)
+        SELECT doc_id, status, header, CASE WHEN status = 'VALID' THEN upper(body) END AS sequence, n_residues::INTEGER AS n_residues, n_bad::INTEGER AS n_bad,
+            CASE WHEN n_bad > 0 THEN array_to_string(named[1:5], ', ') || CASE WHEN n_bad > 5 THEN ' (+' || (n_bad - 5) || ' more)' ELSE '' END END AS bad FROM s""",
+    "validate_nucleic": rf"""
+        WITH r AS (SELECT doc_id, doc_id % 4 AS k, text, regexp_replace(text, E'[^ACGTNacgtn \n]', '', 'g') AS kept FROM documents),
+        c AS (SELECT doc_id, upper(regexp_replace(replace(coalesce(CASE k WHEN 0 THEN kept WHEN 1 THEN translate(kept, 'tT', 'uU') WHEN 2 THEN regexp_replace(text, E'[^ACGTUINacgtuin \n]', '', 'g') ELSE text END, ''), 'ß', 'SS'), '[{t.WHITE}]+', '', 'g')) AS clean FROM r)
+        SELECT doc_id, {", ".join(f"regexp_matches(clean, '^[{letters}]+$') AS {m.lower()}" for m, letters in t.NUCLEIC.items())}, sha256(clean) AS clean_sha256 FROM c""",
     "modular_periodicity": sql("SQ", "SELECT seq_id, round(share, 6) AS share, share > 0.35 AS periodic FROM (SELECT seq_id, CASE WHEN length(seq) > 7 THEN len(list_filter(list_zip(string_split(seq, '')[1:length(seq)-7], string_split(seq, '')[8:]), lambda x: x[1] = x[2])) / (length(seq) - 7) ELSE 0.0 END AS share FROM SQ)"),
     "sequence_identity": sql("SQ SB", ", B AS (SELECT row_number() OVER (ORDER BY seq_id) - 1 AS k, seq AS b FROM SB) SELECT seq_id, round(CASE WHEN least(length(seq), length(b)) > 0 THEN len(list_filter(list_zip(string_split(seq, '')[1:least(length(seq), length(b))], string_split(b, '')[1:least(length(seq), length(b))]), lambda x: x[1] = x[2])) / greatest(length(seq), length(b)) ELSE 0 END, 6) AS identity FROM SQ JOIN B ON k = seq_id % (SELECT count(*) FROM SB)"),
     "polynomial_residue_hash": sql("SQ", "SELECT seq_id, list_reduce(list_prepend(0::BIGINT, list_transform(list_filter(string_split(seq, ''), lambda x: x <> ''), lambda x: ascii(x)::BIGINT)), lambda h, x: (h * 31 + x) % 2147483647) AS hash FROM SQ"),

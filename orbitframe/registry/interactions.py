@@ -40,6 +40,17 @@ def _sulfur(p, d):
     return v.te_full(p, d).withColumns({"resname": F.lit("CYS"), "name": F.when(F.col("name") == "O", "SG").otherwise(F.col("name"))})
 
 
+#: The 21 atoms as a phenylalanine, a tryptophan and a histidine, with a backbone atom in the first and in the second.
+RING_ATOMS = [("PHE", 1, "A", "N CG CD1 CD2 CE1 CE2 CZ"), ("TRP", 2, "A", "CA CG CD1 NE1 CE2 CD2 CZ2 CH2 CZ3"), ("HIS", 2, "B", "CG ND1 CE1 NE2 CD2")]
+RING_ROWS = [(k, *row) for k, row in enumerate((name, r, n, chain) for r, n, chain, names in RING_ATOMS for name in names.split())]
+
+
+def _side_chains(p, d):
+    """The trajectories at a fifth of their size, under the names of aromatic side chains."""
+    names = p.createDataFrame(RING_ROWS, "atom_id int, name string, resname string, residue int, chain string")
+    return v.te(p, d).select(*FR, "atom_id", *[(F.col(n) * 0.2).alias(n) for n in "xyz"]).join(F.broadcast(names), "atom_id")
+
+
 def _bonds(p, d):
     return v.te_full(p, d)
 
@@ -85,8 +96,8 @@ QUERIES = {
     "metal_coordination": lambda p, d: rounded(i.metal_coordination(v.te_full(p, d), F.expr("atom_id = 20"), 0.5, 6.0)),
     "ligand_instances": lambda p, d: rounded(v.te_full(p, d).filter(LIG).groupBy(*FR, "residue").agg(F.count(F.lit(1)).alias("n_atoms"), *[F.avg(n).alias(n) for n in "xyz"])),
     "ligand_pocket_lining": lambda p, d: rounded(i.binding_site(v.te_full(p, d), F.expr(LIG), 4.5).groupBy(*FR).agg(F.count(F.lit(1)).alias("n_residues"), (1.35 * F.count(F.lit(1)) * 4 / 3 * 3.141592653589793 * 1.7**3).alias("volume"))),
-    "aromatic_rings": lambda p, d: rounded(i.rings(v.te_full(p, d)).select(*FR, "residue", *"xyz")),
-    "pi_stacking": lambda p, d: rounded(i.pi_stacking(i.rings(v.te_full(p, d)))),
+    "aromatic_rings": lambda p, d: rounded(i.rings(_side_chains(p, d)).drop("nx", "ny", "nz")),
+    "pi_stacking": lambda p, d: rounded(i.pi_stacking(i.rings(_side_chains(p, d)))),
     "steric_clashes": lambda p, d: rounded(i.steric_clashes(v.te_full(p, d)).select(*FR, "atom_id", "atom_id_b", "overlap")),
     "docking_clashes": lambda p, d: i.steric_clashes(v.te_full(p, d)).filter("chain <> chain_b").groupBy(*FR).agg(F.count(F.lit(1)).alias("n")),
     "plausibility": lambda p, d: i.plausibility(v.te_full(p, d), _backbone(p, d)),
@@ -156,11 +167,16 @@ _arms = f"degrees(acos(greatest(-1, least(1, {_dot(_u, _w)} / (sqrt({_dot(_u, _u
 
 
 def _ring_sql():
-    """Centres and normals of residues, from their first three atoms by id."""
+    """Centres and normals of aromatic rings by the names of their atoms, the normal from the first three by id."""
     at = ", ".join(f"max({n}) FILTER (k = {i}) AS q{i}{n}" for i in (1, 2, 3) for n in "xyz")
     u, w = _minus("q1", "q2"), _minus("q1", "q3")
     n = [f"({u[1]}*{w[2]} - {u[2]}*{w[1]})", f"({u[2]}*{w[0]} - {u[0]}*{w[2]})", f"({u[0]}*{w[1]} - {u[1]}*{w[0]})"]
-    return f"RQ AS (SELECT traj_id, frame, residue, avg(x) AS x, avg(y) AS y, avg(z) AS z, {at} FROM (SELECT *, row_number() OVER (PARTITION BY traj_id, frame, residue ORDER BY atom_id) AS k FROM TF) GROUP BY 1, 2, 3 HAVING count(*) >= 3), RN AS (SELECT *, {', '.join(f'{c} AS m{a}' for c, a in zip(n, 'xyz', strict=True))} FROM RQ)"
+    names = ", ".join(f"({a}, '{name}', '{r}', {k}, '{c}')" for a, name, r, k, c in RING_ROWS)
+    kinds = ", ".join(f"('{r}', '{kind}', '{name}', {least})" for r, kind, listed, least in i.AROMATIC_RINGS for name in listed)
+    return f"""RA AS (SELECT traj_id, frame, a.*, x * 0.2 AS x, y * 0.2 AS y, z * 0.2 AS z FROM TE JOIN (VALUES {names}) a(atom_id, name, resname, residue, chain) USING (atom_id)),
+        RK AS (SELECT RA.*, kind, least, row_number() OVER (PARTITION BY traj_id, frame, chain, residue, kind ORDER BY atom_id) AS k FROM RA JOIN (VALUES {kinds}) t(resname, kind, name, least) USING (resname, name)),
+        RQ AS (SELECT traj_id, frame, chain, residue, resname, kind, count(*) AS n_atoms, round(avg(x), 3) AS x, round(avg(y), 3) AS y, round(avg(z), 3) AS z, {at} FROM RK GROUP BY ALL HAVING count(*) >= any_value(least)),
+        RN AS (SELECT *, {', '.join(f'{c} AS m{a}' for c, a in zip(n, 'xyz', strict=True))} FROM RQ)"""
 
 
 _CROSS = [(a, b) for a in "xyz" for b in "xyz"]
@@ -181,7 +197,11 @@ ORACLE_SQL = {
         WHEN d <= 4 AND ((name = 'NZ' AND name_b = 'OE1') OR (name = 'OE1' AND name_b = 'NZ')) THEN 'salt_bridge' WHEN d <= 3.5 AND element IN ('N', 'O') AND element_b IN ('N', 'O') AND NOT known THEN 'hbond_putative' WHEN d <= 3.5 AND element IN ('N', 'O') AND element_b IN ('N', 'O') AND angle >= 120 THEN 'hbond_explicit'
         WHEN name = 'CA' AND name_b = 'CA' THEN 'hydrophobic' ELSE 'proximity' END AS kind FROM NH"""),
     "interaction_fingerprint": sql("TF", f", {TS}, {_near('TS', 4.5, LR)} SELECT traj_id, frame, residue, bool_or(d <= 3.5 AND element {POLAR} AND element_b {POLAR}) AS hbond, bool_or(element = 'C' AND element_b = 'C') AS hydrophobic, bool_or(d <= 4 AND (resname {CAT} OR resname {ANI})) AS salt_bridge, count(*) AS n_pairs FROM NP GROUP BY 1, 2, 3"),
-    "pi_stacking": sql("TF", f", {_ring_sql()}, PS AS (SELECT a.traj_id, a.frame, a.residue, b.residue AS residue_b, sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2) AS d, degrees(acos(least(1, abs(a.mx*b.mx + a.my*b.my + a.mz*b.mz) / (sqrt(a.mx**2 + a.my**2 + a.mz**2) * sqrt(b.mx**2 + b.my**2 + b.mz**2))))) AS angle FROM RN a JOIN RN b ON a.traj_id = b.traj_id AND a.frame = b.frame AND a.residue < b.residue), PK2 AS (SELECT *, CASE WHEN d <= 4.5 AND angle <= 30 THEN 'parallel' WHEN angle BETWEEN 60 AND 90 THEN 't_shape' END AS kind FROM PS WHERE d <= 5.5) SELECT traj_id, frame, residue, residue_b, round(d, 6) AS d, round(angle, 6) AS angle, kind FROM PK2 WHERE kind IS NOT NULL"),
+    "pi_stacking": sql("TE", f""", {_ring_sql()}, PS AS (SELECT a.traj_id, a.frame, a.chain, a.residue, a.kind, b.chain AS chain_b, b.residue AS residue_b, b.kind AS kind_b, a.chain <> b.chain AS between_chains, sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2) AS d,
+            degrees(acos(least(1, abs(a.mx*b.mx + a.my*b.my + a.mz*b.mz) / (sqrt(a.mx**2 + a.my**2 + a.mz**2) * sqrt(b.mx**2 + b.my**2 + b.mz**2))))) AS angle
+            FROM RN a JOIN RN b ON a.traj_id = b.traj_id AND a.frame = b.frame AND (a.chain, a.residue, a.kind) < (b.chain, b.residue, b.kind) AND (a.chain, a.residue) <> (b.chain, b.residue)),
+        Q AS (SELECT *, CASE WHEN d <= 4.5 AND angle <= 30 THEN 'parallel' WHEN angle BETWEEN 60 AND 90 THEN 't_shape' END AS stacking FROM PS WHERE d <= 5.5)
+        SELECT * REPLACE (round(d, 6) AS d, round(angle, 6) AS angle) FROM Q WHERE stacking IS NOT NULL"""),
     "rmsd_fit": sql("TE", f"{FIT} SELECT traj_id, frame, round(sqrt(greatest(0, (energy - 2 * (s1 + s2 + det / (s1 * s2))) / n)), 4) + 0.0 AS rmsd FROM F6"),
     "rings": sql("TE", f""", {P}, E AS (SELECT traj_id, frame, i, j FROM P WHERE d <= 4), U AS (SELECT traj_id, frame, i, j FROM E UNION ALL SELECT traj_id, frame, j, i FROM E),
         W AS (SELECT traj_id, frame, [i, j] AS p FROM U WHERE i < j UNION ALL SELECT w.traj_id, w.frame, list_append(w.p, u.j) FROM W w JOIN U u ON u.traj_id = w.traj_id AND u.frame = w.frame AND u.i = w.p[-1] WHERE len(w.p) < 7 AND u.j > w.p[1] AND NOT list_contains(w.p, u.j)),
@@ -196,7 +216,7 @@ ORACLE_SQL = {
     "metal_coordination": sql("TF", f", {_near('TF', 6, 'a.atom_id = 20 AND b.atom_id <> 20', ' AND d > 0.5')} SELECT traj_id, frame, atom_id, count(*) AS n, round(avg(d), 6) AS mean_d, CASE WHEN count(*) = 4 THEN 'tetrahedral' WHEN count(*) IN (5, 6) THEN 'octahedral' ELSE 'other' END AS geometry FROM NP WHERE element_b IN ('N','O','S','CL','F') GROUP BY 1, 2, 3"),
     "ligand_instances": sql("TF", "SELECT traj_id, frame, residue, count(*) AS n_atoms, round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y, round(avg(z), 6) + 0.0 AS z FROM TF WHERE chain = 'B' GROUP BY 1, 2, 3"),
     "ligand_pocket_lining": sql("TF", f", {_near('TF', 4.5, LR)} SELECT traj_id, frame, count(DISTINCT residue) AS n_residues, round(1.35 * count(DISTINCT residue) * 4.0::DOUBLE / 3 * 3.141592653589793 * 4.913, 6) AS volume FROM NP GROUP BY 1, 2"),
-    "aromatic_rings": sql("TF", "SELECT traj_id, frame, residue, round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y, round(avg(z), 6) + 0.0 AS z FROM TF GROUP BY 1, 2, 3 HAVING count(*) >= 3"),
+    "aromatic_rings": sql("TE", f", {_ring_sql()} SELECT traj_id, frame, chain, residue, resname, kind, n_atoms, x + 0.0 AS x, y + 0.0 AS y, z + 0.0 AS z FROM RN"),
     "steric_clashes": sql("TF", f", {_near('TF', 3.2)} SELECT traj_id, frame, atom_id, atom_id_b, round(o, 6) AS overlap FROM (SELECT *, ({VD('element')} + {VD('element_b')})::DOUBLE - d AS o FROM NP) WHERE o > 0.4 AND NOT (residue_b - residue = 1 AND name = 'C' AND name_b = 'N')"),
     "docking_clashes": sql("TF", f", {_near('TF', 3.2)} SELECT traj_id, frame, count(*) AS n FROM (SELECT *, ({VD('element')} + {VD('element_b')})::DOUBLE - d AS o FROM NP) WHERE o > 0.4 AND chain <> chain_b AND NOT (residue_b - residue = 1 AND name = 'C' AND name_b = 'N') GROUP BY 1, 2"),
     "plausibility": sql("TF", f"{_next('CA', 'CA')}, {_near('TF', 2.2)}, N AS (SELECT traj_id, frame, count(*) AS c FROM NP GROUP BY 1, 2), K AS (SELECT traj_id, frame, count(*) FILTER (NOT d BETWEEN 3.2 AND 4.3) AS n_implausible FROM B WHERE next IS NOT NULL GROUP BY 1, 2) SELECT traj_id, frame, coalesce(c, 0) AS n_close, n_implausible, CASE WHEN coalesce(c, 0) + n_implausible = 0 THEN 'PLAUSIBLE' WHEN coalesce(c, 0) + n_implausible <= 3 THEN 'SUSPECT' ELSE 'UNPHYSICAL' END AS status FROM K LEFT JOIN N USING (traj_id, frame)"),
