@@ -192,3 +192,12 @@ def trajectory_authenticity(synthetic: Column, engine: Column, temperature: Colu
     known = [c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in (temperature, pressure)]
     real = (F.coalesce(engine, F.lit("")) != "") & (known[0] | known[1])
     return F.when(F.coalesce(synthetic, F.lit(False)), "SYNTHETIC_COORDINATE_TRAJECTORY").when(real, "REAL_MD_SIMULATION").otherwise("UNKNOWN")
+
+
+def unverifiable_claims(synthetic: Column, force_field: Column, ensemble: Column, temperature: Column, coordinates_only: Column) -> Column:
+    """What a trajectory's record asserts but cannot show, as an array: a force field or an ensemble beside bare coordinates, and a
+    temperature that was not recorded. Synthetic trajectories claim nothing."""
+    real, bare = ~F.coalesce(synthetic, F.lit(False)), F.coalesce(coordinates_only, F.lit(False))
+    known = F.coalesce(temperature.isNotNull() & ~F.isnan(temperature) & (F.abs(temperature) < float("inf")), F.lit(False))
+    said = {"FORCE_FIELD": bare & (F.coalesce(force_field, F.lit("")) != ""), "ENSEMBLE": bare & (F.coalesce(ensemble, F.lit("")) != ""), "TEMPERATURE": ~known}
+    return F.array_compact(F.array(*[F.when(real & c, k) for k, c in said.items()]))

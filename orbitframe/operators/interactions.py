@@ -105,6 +105,16 @@ def metal_coordination(atoms: DataFrame, metal: Column, low: float = 0.5, high:
     return out.withColumn("geometry", F.when(F.col("n") == 4, "tetrahedral").when(F.col("n").isin(5, 6), "octahedral").otherwise("other"))
 
 
+def metal_donors(atoms: DataFrame, metal: Column, low: float = 0.5, high: float = 2.8) -> DataFrame:
+    """traj_id, frame, metal (its atom_id), atom_id, d, donor, place (1 for the nearest): the atoms that coordinate a metal and what they belong
+    to: water, the backbone, a hetero group, or else a side chain. atoms need is_hetero."""
+    rows = atoms.select(*FRAME, *COLUMNS, "is_hetero")
+    near = radius_join(rows.filter(metal).select(*FRAME, F.col("atom_id").alias("metal"), *"xyz"), rows.filter(~metal & F.upper(F.trim("element")).isin(*COORDINATING)), high, FRAME).filter(F.col("d") > low)
+    donor = F.when(F.col("resname_b").isin("HOH", "WAT"), "SOLVENT_WATER").when(F.col("name_b").isin("O", "N"), "PROTEIN_BACKBONE").when(F.col("is_hetero_b"), "LIGAND_HETEROATOM").otherwise("PROTEIN_SIDECHAIN")
+    place = F.row_number().over(Window.partitionBy(*FRAME, "metal").orderBy("d", "atom_id_b"))
+    return near.select(*FRAME, "metal", F.col("atom_id_b").alias("atom_id"), "d", donor.alias("donor"), place.alias("place"))
+
+
 def rings(atoms: DataFrame) -> DataFrame:
     """traj_id, frame, chain, residue, resname, kind, n_atoms, x, y, z, nx, ny, nz: centre, to three decimals, and unit normal of each aromatic
     ring, by the names of its atoms; tryptophan has two. The normal is that of the first three ring atoms by id; a ring whose first

@@ -296,6 +296,30 @@ def plan_compare(counts: DataFrame, scan_cost: float = 1.0, index_cost: float =
     return counts.select("traj_id", direct.alias("direct"), one.alias("indexed"), F.when(one < direct, F.ceil(F.lit(index_cost) / (direct - one))).alias("break_even"))
 
 
+#: Weights of reading, computing, seeking and compiling, and what each way of answering needs of them: at least, and in
+#: proportion to the share of blocks that stays open. A full scan reads 100; building an index costs more than one scan.
+WEIGHTS = {"io": 1.0, "cpu": 0.05, "refine": 2.0, "compile": 0.1}
+WAYS = {
+    "direct": ({"io": 100.0, "cpu": 50.0}, {}),
+    "flat": ({"compile": 2.0, "io": 5.0, "cpu": 5.0}, {"io": 95.0, "cpu": 45.0}),
+    "hierarchical": ({"compile": 5.0, "io": 2.0}, {"io": 30.0, "refine": 10.0}),
+}
+BUILD = {"io": 110.0, "cpu": 80.0}
+
+
+def plan_costs(counts: DataFrame, queries: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """traj_id, workload, direct, flat, hierarchical, cheapest: what an answer costs by scanning, by one level of bounds and by several, for
+    trajectories (traj_id, pruned_percent) and workloads (workload, remaining queries, indexed, cached). An index that is not there yet is
+    shared out among the remaining queries; what is cached is taken from there. The first of equals is the cheapest."""
+    weigh = lambda needs: sum(weights[k] * v for k, v in needs.items())
+    rows = counts.select("traj_id", (1 - F.col("pruned_percent") / 100).alias("open")).join(F.broadcast(queries))
+    share = F.when(F.col("indexed"), 0.0).otherwise(weigh(BUILD) / F.greatest(F.col("remaining"), F.lit(1)))
+    costs = {n: F.lit(weigh(least)) + F.lit(weigh(more)) * F.col("open") + (share if n != "direct" else 0.0) for n, (least, more) in WAYS.items()}
+    rows = rows.select("traj_id", "workload", "cached", *[c.alias(n) for n, c in costs.items()])
+    least = F.least(*WAYS)
+    return rows.select("traj_id", "workload", *WAYS, F.when(F.col("cached"), "cache").otherwise(F.coalesce(*[F.when(F.col(n) == least, n) for n in WAYS])).alias("cheapest"))
+
+
 def ledger_verify(ledger: DataFrame) -> DataFrame:
     """Per ledger whether digests recompute and each names the one before: (ledger_id, seq, body, prev, digest)."""
     w = Window.partitionBy("ledger_id").orderBy("seq")

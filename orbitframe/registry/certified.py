@@ -60,6 +60,8 @@ def _broken(spark: SparkSession, sf: str) -> DataFrame:
     })
 
 
+#: Workloads to compare ways of answering for: one query, some, many; an index that is there; a cached answer.
+WORKLOADS = [("one", 1, False, False), ("some", 3, False, False), ("many", 100, False, False), ("none", 0, False, False), ("indexed", 1, True, False), ("cached", 1, True, True)]
 BOUNDS = [f"{e}_{n}" for n in "xyz" for e in ("min", "max")]
 QUERIES = {
     "block_aabb": lambda s, d: _rounded(c.block_aabb(v.tl(s, d)).select("traj_id", "group_id", "block_id", "frame_start", "frame_end", *BOUNDS), *BOUNDS),
@@ -83,6 +85,7 @@ QUERIES = {
     "refine_dyadic": lambda s, d: pyramid.refine_dyadic(index(s, d), TAU).groupBy("traj_id", "size").agg(F.count(F.lit(1)).alias("n"), F.count_if("verdict").alias("n_true"), F.count_if(~F.col("verdict")).alias("n_false")),
     "batch_screen": lambda s, d: c.batch_screen(v.tl(s, d), s.range(150).select(F.col("id").alias("query_id"), (1.0 + F.col("id") * 0.2).alias("tau"))),
     "plan_compare": lambda s, d: _rounded(c.plan_compare(c.evidence_counts(_evidence(s, d))), "direct", "indexed"),
+    "plan_costs": lambda s, d: _rounded(c.plan_costs(c.evidence_counts(_evidence(s, d)), s.createDataFrame(WORKLOADS, "workload string, remaining int, indexed boolean, cached boolean")), *c.WAYS),
     "ledger_verify": lambda s, d: c.ledger_verify(_ledger(s, d)),
     "distance_series_stats": lambda s, d: _rounded(c.pair_min_distance(v.tl(s, d)).groupBy("traj_id").agg(F.avg("d_min").alias("mean"), F.min("d_min").alias("min"), F.max("d_min").alias("max"), F.count("d_min").alias("n")), "mean", "min", "max"),
     "certified_query": lambda s, d: pyramid.query_verdict(_spans(s, d), "DURATION", 50.0),
@@ -178,6 +181,10 @@ ORACLE_SQL = {
         + " " + " UNION ALL ".join(f"SELECT traj_id, {n} AS size, count(*) AS n, count(*) FILTER (verdict) AS n_true, count(*) FILTER (NOT verdict) AS n_false FROM V{n} GROUP BY 1" for n in (16, 8, 4, 2, 1))),
     "batch_screen": sql("TL", f"{_BV} SELECT query_id, count(*) FILTER (upper < tau) AS n_true, count(*) FILTER (upper >= tau AND lower >= tau) AS n_false, count(*) FILTER (upper >= tau AND lower < tau) AS n_unknown FROM V, (SELECT q AS query_id, 1.0::DOUBLE + q * 0.2::DOUBLE AS tau FROM (SELECT unnest(range(150)) AS q)) GROUP BY 1"),
     "plan_compare": sql("TL", f"{_BV}, {_MIN}, {_ET}, {_EC} SELECT traj_id, 1.0::DOUBLE AS direct, round(one, 6) AS indexed, CASE WHEN one < 1 THEN ceil(1.2 / (1.0::DOUBLE - one))::BIGINT END AS break_even FROM (SELECT traj_id, 0.02::DOUBLE + (1 - pruned_percent / 100) AS one FROM EC)"),
+    "plan_costs": sql("TL", f"""{_BV}, {_MIN}, {_ET}, {_EC}, W AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {r}, {i}, {k})" for n, r, i, k in WORKLOADS)}) v(workload, remaining, indexed, cached)),
+        X AS (SELECT traj_id, workload, cached, 1 - pruned_percent / 100 AS u, CASE WHEN indexed THEN 0.0 ELSE (110.0 + 0.05 * 80.0) / greatest(remaining, 1) END::DOUBLE AS b FROM EC, W),
+        Y AS (SELECT traj_id, workload, cached, 102.5::DOUBLE AS direct, 0.2 + b + (5 + u * 95) + 0.05::DOUBLE * (5 + u * 45) AS flat, 0.5 + b + (2 + u * 30) + 2 * (u * 10) AS hierarchical FROM X)
+        SELECT traj_id, workload, {_r("direct", "flat", "hierarchical")}, CASE WHEN cached THEN 'cache' WHEN direct <= flat AND direct <= hierarchical THEN 'direct' WHEN flat <= hierarchical THEN 'flat' ELSE 'hierarchical' END AS cheapest FROM Y"""),
     "ledger_verify": "SELECT l_orderkey AS ledger_id, n - (l_orderkey % 10 = 7 AND n >= 2)::INTEGER AS n, l_orderkey % 10 <> 3 OR first = '0' AS digests_ok, NOT (l_orderkey % 10 = 7 AND n >= 3) AS chain_ok FROM (SELECT l_orderkey, count(*) AS n, arg_min(l_partkey::VARCHAR, (l_linenumber, l_partkey)) AS first FROM lineitem GROUP BY 1)",
     "distance_series_stats": sql("TL", f", {_MIN} SELECT traj_id, round(avg(d_min), 6) AS mean, round(min(d_min), 6) AS min, round(max(d_min), 6) AS max, count(*) AS n FROM D GROUP BY 1"),
     "certified_query": sql("TL", f"{_BV}, {_MIN}, {_FT}, {_EP} SELECT traj_id, coalesce(max(k_e - k_s) >= 5, false) AS verdict, 'COMPLETE' AS resolution FROM (SELECT DISTINCT traj_id FROM FT) LEFT JOIN EP USING (traj_id) GROUP BY 1"),

@@ -165,6 +165,7 @@ QUERIES = {
     "normalize_identifiers": lambda p, d: v.table(p, d, "supplier").select("s_suppkey", *[t.normalize_accession(F.concat(F.lit(" "), c, F.lit(" ")), F.lit(k)).alias(k) for k, c in _codes().items()]),
     "classify_mutation": lambda p, d: v.te_full(p, d).groupBy("traj_id", t.classify_mutation(F.col("element"), F.lit("C"), F.col("is_hetero")).alias("kind")).agg(F.count(F.lit(1)).alias("n")),
     "assembly_label": lambda p, d: v.table(p, d, "orders").join(v.table(p, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n")).select("o_orderkey", t.oligomer_label(F.col("n")).alias("label"), t.assembly_origin(F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("by pisa "), "o_orderpriority")).when(F.col("o_orderkey") % 3 == 1, F.lit("author"))).alias("origin"), t.stoichiometry(F.col("n")).alias("stoichiometry")),
+    "trajectory_claims": lambda p, d: v.table(p, d, "customer").select("c_custkey", F.array_join(t.unverifiable_claims(F.col("c_nationkey") % 5 == 0, F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).when(F.col("c_custkey") % 3 == 1, ""), F.when(F.col("c_custkey") % 7 < 4, "NPT"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_acctbal")).when(F.col("c_custkey") % 4 == 1, F.lit(float("nan"))), F.when(F.col("c_custkey") % 11 > 2, F.col("c_custkey") % 2 == 0)), ",").alias("claims")),
     "trajectory_authenticity": lambda p, d: v.table(p, d, "customer").select("c_custkey", t.trajectory_authenticity(F.col("c_nationkey") % 5 == 0, F.when(F.col("c_nationkey") % 3 == 0, "").when(F.col("c_nationkey") % 3 == 1, F.col("c_mktsegment")), F.when(F.col("c_custkey") % 4 == 0, F.col("c_acctbal")).when(F.col("c_custkey") % 4 == 1, F.lit(float("nan"))), F.when(F.col("c_custkey") % 4 == 2, 1.0)).alias("kind")),
     "cell_checks": lambda p, d: rounded(_dims(p, d).select("p_partkey", *[c.alias(n) for n, c in g.cell_checks(g.cell_matrix(*_abc())).items()])),
     "to_fractional": _fractional,
@@ -318,6 +319,7 @@ ORACLE_SQL = {
         CASE s_suppkey % 3 WHEN 0 THEN 'P' || lpad(s_suppkey::VARCHAR, 6, '0') || '-2' WHEN 1 THEN 'Q' || lpad(s_suppkey::VARCHAR, 5, '0') END AS protein, CASE WHEN s_suppkey % 2 = 0 THEN 'ma-x-' || s_suppkey END AS archive FROM supplier""",
     "classify_mutation": sql("TF", "SELECT traj_id, CASE WHEN is_hetero THEN 'EXPRESSION_TAG' WHEN element = 'C' THEN 'WILD_TYPE' ELSE 'NATURAL_VARIANT' END AS kind, count(*) AS n FROM TF GROUP BY 1, 2"),
     "assembly_label": "SELECT l_orderkey AS o_orderkey, CASE count(*) WHEN 2 THEN 'dimer' WHEN 4 THEN 'tetramer' WHEN 6 THEN 'hexamer' ELSE 'monomer' END AS label, CASE WHEN l_orderkey % 3 = 0 THEN 'software' ELSE 'author' END AS origin, CASE WHEN count(*) > 1 THEN 'A' || count(*) ELSE 'A' END AS stoichiometry FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1",
+    "trajectory_claims": "SELECT c_custkey, array_to_string(list_filter([CASE WHEN r AND b AND c_custkey % 3 = 0 THEN 'FORCE_FIELD' END, CASE WHEN r AND b AND c_custkey % 7 < 4 THEN 'ENSEMBLE' END, CASE WHEN r AND c_custkey % 4 <> 0 THEN 'TEMPERATURE' END], lambda x: x IS NOT NULL), ',') AS claims FROM (SELECT c_custkey, c_nationkey % 5 <> 0 AS r, c_custkey % 11 > 2 AND c_custkey % 2 = 0 AS b FROM customer)",
     "trajectory_authenticity": "SELECT c_custkey, CASE WHEN c_nationkey % 5 = 0 THEN 'SYNTHETIC_COORDINATE_TRAJECTORY' WHEN c_nationkey % 3 = 1 AND c_custkey % 4 IN (0, 2) THEN 'REAL_MD_SIMULATION' ELSE 'UNKNOWN' END AS kind FROM customer",
     "export_result_json": "SELECT c_custkey, c_name, c_acctbal FROM customer",
 }

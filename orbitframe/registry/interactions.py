@@ -51,6 +51,12 @@ def _side_chains(p, d):
     return v.te(p, d).select(*FR, "atom_id", *[(F.col(n) * 0.2).alias(n) for n in "xyz"]).join(F.broadcast(names), "atom_id")
 
 
+def _donors(p, d):
+    """A metal as the last atom, water in residue 4, a hetero group in residue 3, and names of side chains in residue 2."""
+    r = F.col("residue")
+    return v.te_full(p, d).withColumns({"resname": F.when(r == 4, "HOH").otherwise(F.col("resname")), "is_hetero": r == 3, "name": F.when(r.isin(2, 3), F.concat(F.col("name"), F.lit("D1"))).otherwise(F.col("name"))})
+
+
 def _bonds(p, d):
     return v.te_full(p, d)
 
@@ -93,6 +99,7 @@ QUERIES = {
     "disulfide_pairs": lambda p, d: rounded(i.disulfide_pairs(_sulfur(p, d), 1.0, 4.0).select(*FR, "atom_id", "atom_id_b", "d")),
     "binding_site": lambda p, d: rounded(i.binding_site(v.te_full(p, d), F.expr(LIG), 6.0)),
     "proximity_rank": lambda p, d: i.binding_site(v.te_full(p, d), F.expr(LIG), 5.0).select(*FR, "residue", "rank"),
+    "metal_donors": lambda p, d: rounded(i.metal_donors(_donors(p, d), F.expr("atom_id = 20"), 0.5, 6.0)),
     "metal_coordination": lambda p, d: rounded(i.metal_coordination(v.te_full(p, d), F.expr("atom_id = 20"), 0.5, 6.0)),
     "ligand_instances": lambda p, d: rounded(v.te_full(p, d).filter(LIG).groupBy(*FR, "residue").agg(F.count(F.lit(1)).alias("n_atoms"), *[F.avg(n).alias(n) for n in "xyz"])),
     "ligand_pocket_lining": lambda p, d: rounded(i.binding_site(v.te_full(p, d), F.expr(LIG), 4.5).groupBy(*FR).agg(F.count(F.lit(1)).alias("n_residues"), (1.35 * F.count(F.lit(1)) * 4 / 3 * 3.141592653589793 * 1.7**3).alias("volume"))),
@@ -213,6 +220,7 @@ ORACLE_SQL = {
     "disulfide_pairs": sql("TF", f", {_near('TF', 4)} SELECT traj_id, frame, atom_id, atom_id_b, round(d, 6) AS d FROM NP WHERE name = 'O' AND name_b = 'O' AND d >= 1"),
     "binding_site": sql("TF", f", {_near('TF', 6, LR)}, {BS} SELECT traj_id, frame, residue, round(min_d, 6) AS min_d, n_atoms, inter_chain, row_number() OVER (PARTITION BY traj_id, frame ORDER BY min_d, residue) AS rank FROM BS"),
     "proximity_rank": sql("TF", f", {_near('TF', 5, LR)}, {BS} SELECT traj_id, frame, residue, row_number() OVER (PARTITION BY traj_id, frame ORDER BY min_d, residue) AS rank FROM BS"),
+    "metal_donors": sql("TF", f", {_near('TF', 6, 'a.atom_id = 20 AND b.atom_id <> 20', ' AND d > 0.5')} SELECT traj_id, frame, atom_id AS metal, atom_id_b AS atom_id, round(d, 6) AS d, CASE WHEN residue_b = 4 THEN 'SOLVENT_WATER' WHEN residue_b <> 2 AND residue_b <> 3 AND name_b IN ('O', 'N') THEN 'PROTEIN_BACKBONE' WHEN residue_b = 3 THEN 'LIGAND_HETEROATOM' ELSE 'PROTEIN_SIDECHAIN' END AS donor, row_number() OVER (PARTITION BY traj_id, frame, atom_id ORDER BY d, atom_id_b)::INTEGER AS place FROM NP WHERE element_b IN ('N','O','S','CL','F')"),
     "metal_coordination": sql("TF", f", {_near('TF', 6, 'a.atom_id = 20 AND b.atom_id <> 20', ' AND d > 0.5')} SELECT traj_id, frame, atom_id, count(*) AS n, round(avg(d), 6) AS mean_d, CASE WHEN count(*) = 4 THEN 'tetrahedral' WHEN count(*) IN (5, 6) THEN 'octahedral' ELSE 'other' END AS geometry FROM NP WHERE element_b IN ('N','O','S','CL','F') GROUP BY 1, 2, 3"),
     "ligand_instances": sql("TF", "SELECT traj_id, frame, residue, count(*) AS n_atoms, round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y, round(avg(z), 6) + 0.0 AS z FROM TF WHERE chain = 'B' GROUP BY 1, 2, 3"),
     "ligand_pocket_lining": sql("TF", f", {_near('TF', 4.5, LR)} SELECT traj_id, frame, count(DISTINCT residue) AS n_residues, round(1.35 * count(DISTINCT residue) * 4.0::DOUBLE / 3 * 3.141592653589793 * 4.913, 6) AS volume FROM NP GROUP BY 1, 2"),
