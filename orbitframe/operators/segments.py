@@ -39,8 +39,8 @@ def runs(series: DataFrame, good: Column, keys: list[str] = KEYS) -> DataFrame:
 
 
 def joined(spans: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """(keys, k_s, k_e) of spans that share no position, adjoining ones made one: within ranges first, then along the key those that touch
-    a range's edge."""
+    """(keys, k_s, k_e) of spans that share no position, adjoining ones made one: within ranges first, then along the key those that can meet
+    one of another range: the first of a range, where a span of an earlier one may end, and the one that reaches its end."""
 
     def step(rows: DataFrame, cell: str) -> DataFrame:
         along = Window.partitionBy(*keys, cell).orderBy("k_s")
@@ -49,7 +49,7 @@ def joined(spans: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         return rows.groupBy(*keys, cell, "run").agg(F.min("k_s").alias("k_s"), F.max("k_e").alias("k_e")).drop("run")
 
     local = step(ranged(spans.select(*keys, "k_s", "k_e"), "k_s"), "range_")
-    open_ = (F.col("k_s") == F.col("range_") * RANGE) | (F.col("k_e") >= (F.col("range_") + 1) * RANGE)
+    open_ = (F.col("k_s") == F.min("k_s").over(Window.partitionBy(*keys, "range_"))) | (F.col("k_e") >= (F.col("range_") + 1) * RANGE)
     return step(local.select(*keys, "k_s", "k_e", F.when(open_, -1).otherwise(F.col("range_")).alias("cell")), "cell").drop("cell")
 
 

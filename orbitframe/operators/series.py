@@ -82,12 +82,14 @@ def autocorrelation(series: DataFrame, value: str, most: int = 200) -> DataFrame
 
     def products(key: tuple, rows: pa.Table) -> pa.Table:
         start, last = key[1].as_py() * size, rows["last"][0].as_py()
-        y, there = np.zeros(size + most), np.zeros(size + most)
         at = rows["frame"].to_numpy() - start
+        width = int(at.max()) + 1
+        y, there = np.zeros(width), np.zeros(width)
         y[at], there[at] = rows["y"].to_numpy(), 1
         lags = range(last + 1)
-        total = [y[:size] @ y[k : k + size] for k in lags]
-        n = [int(there[:size] @ there[k : k + size]) for k in lags]
+        ends = [max(0, min(size, width - k)) for k in lags]
+        total = [float(y[:e] @ y[k : k + e]) for k, e in zip(lags, ends)]
+        n = [int(there[:e] @ there[k : k + e]) for k, e in zip(lags, ends)]
         return pa.table({"traj_id": pa.repeat(key[0], len(lags)), "lag": pa.array(lags, pa.int32()), "total": pa.array(total, pa.float64()), "pairs": pa.array(n, pa.int64())})
 
     found = rows.groupBy("traj_id", "range_").applyInArrow(products, f"traj_id {kind}, lag int, total double, pairs long")

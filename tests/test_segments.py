@@ -83,6 +83,27 @@ def test_unions(spark, n, width):
     assert sorted(tuple(r) for r in found.select("traj_id", "k_s", "k_e").collect()) == want
 
 
+@pytest.mark.parametrize("seed, width", [(1, 3), (2, 9), (3, 40), (4, 8)])
+def test_joined_spans(spark, seed, width):
+    """Spans that share nothing, of any length against the ranges, adjoining or apart."""
+    rng = np.random.default_rng(seed)
+    spans, want = [], []
+    for k in range(3):
+        at, own = int(rng.integers(0, 5)), []
+        for _ in range(40):
+            at += int(rng.choice([0, 0, 1, 7]))
+            end = at + int(rng.integers(1, width))
+            spans.append((k, at, end))
+            if own and own[-1][1] == at:
+                own[-1][1] = end
+            else:
+                own.append([at, end])
+            at = end
+        want += [(k, *x) for x in own]
+    found = segments.joined(spark.createDataFrame(spans, "traj_id long, k_s long, k_e long").repartition(5))
+    assert sorted(tuple(r) for r in found.collect()) == want
+
+
 @pytest.mark.parametrize("step", [-1, 1])
 def test_neighbours_and_running_values(table, flags, step):
     rows = segments.running(segments.neighbours(table, ["value", "truth"], step), {"total": ("sum", F.col("value")), "top": ("max", -F.col("value"))})
