@@ -110,6 +110,32 @@ def _stream(p: SparkSession, rows: DataFrame, order: list[str], files: int | Non
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
+def _batches(p: SparkSession, d: str, key: str, n: int = 4) -> DataFrame:
+    """Events (ts, key, flag) as a stream of n files and more, written one after another in the order of time, and two rows far ahead, which
+    close what is open."""
+    rows = v.table(p, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col(key).cast("string").alias("key"), (F.col("value") < 35).alias("flag"))
+    low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    path = shared_path(p)
+    part = F.least(F.lit(n - 1), F.floor((F.unix_micros("ts") - low) * n / max(1, high - low)))
+    for k in range(n):
+        rows.filter(part == k).write.mode("append").parquet(path)
+    for year in (2100, 2200):
+        p.range(1, numPartitions=1).select(F.lit(f"{year}-01-01").cast("timestamp").alias("ts"), F.lit("").alias("key"), F.lit(False).alias("flag")).write.mode("append").parquet(path)
+    return p.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path).filter("ts IS NOT NULL")
+
+
+def _stream_windows(p: SparkSession, d: str) -> DataFrame:
+    """A day's share every six hours; the last row of a window is its result."""
+    found = blocks.run_available(blocks.stream_occupancy(_batches(p, d, "event_type"), "1 day", slide="6 hours"), "update").filter("key <> ''")
+    last = found.groupBy("window", "key").agg(F.max_by(F.struct("share", "n"), "batch").alias("r"))
+    return last.select(F.unix_micros("window.start").alias("start_us"), F.col("key").alias("event_type"), "r.share", "r.n")
+
+
+def _stream_sessions(p: SparkSession, d: str) -> DataFrame:
+    found = blocks.run_available(blocks.stream_sessions(_batches(p, d, "user_id"), "12 hours"), "append").filter("key <> ''")
+    return found.select(F.col("key").cast("long").alias("user_id"), F.unix_micros("session.start").alias("start_us"), F.unix_micros("session.end").alias("end_us"), "share", "n")
+
+
 def _stream_verdicts(p: SparkSession, d: str) -> DataFrame:
     found = blocks.run_available(blocks.stream_block_verdicts(_stream(p, v.tl(p, d), ["frame"], 1), TAU), "update")
     names = ["frame_start", "frame_end", "lower", "upper", "verdict"]
@@ -140,6 +166,8 @@ QUERIES = {
     "verify_provenance": _provenance,
     "stream_block_verdicts": lambda p, d: rounded(_stream_verdicts(p, d)),
     "stream_episodes": _stream_episodes,
+    "stream_occupancy_sliding": lambda p, d: rounded(_stream_windows(p, d)),
+    "stream_sessions": lambda p, d: rounded(_stream_sessions(p, d)),
 }
 _SERIAL = "(frame * 21 + atom_id) % 99999 + 1"
 _MAPPED = "MP AS (SELECT DISTINCT 'P' || l_orderkey AS accession, l_linenumber * 10 + k AS position, l_linenumber * 100 + k AS residue FROM (SELECT *, unnest(range((l_quantity::INTEGER % 8) + 1)) AS k FROM lineitem))"
@@ -158,5 +186,10 @@ ORACLE_SQL = {
     "roundtrip_check": sql("TF", "SELECT count(*) AS n, 0::BIGINT AS n_unmatched, round(max(greatest(abs(x - round(x, 3)), abs(y - round(y, 3)), abs(z - round(z, 3)))), 6) AS max_diff, true AS ok FROM TF"),
     "verify_provenance": sql("TE", "SELECT 'traj_id=' || traj_id AS name, CASE WHEN traj_id = 2 THEN 'UNLISTED' WHEN traj_id % 3 = 1 THEN 'CHANGED' ELSE 'OK' END AS status FROM (SELECT DISTINCT traj_id FROM TE) UNION ALL SELECT 'traj_id=99', 'MISSING'"),
     "stream_block_verdicts": sql("TL", f"{_BV} SELECT traj_id, block_id, frame_start, frame_end, round(lower, 6) + 0.0 AS lower, round(upper, 6) + 0.0 AS upper, verdict FROM V"),
+    "stream_occupancy_sliding": """WITH w AS (SELECT event_type, value, epoch_us(ts) // 21600000000 * 21600000000 - k * 21600000000 AS start_us FROM events, (SELECT unnest(range(4)) AS k))
+        SELECT start_us, event_type, round(avg((value < 35)::INTEGER), 6) AS share, count(*) AS n FROM w GROUP BY 1, 2""",
+    "stream_sessions": """WITH e AS (SELECT user_id, value, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+        s AS (SELECT *, sum((before IS NULL OR t - before > 43200000000)::INTEGER) OVER (PARTITION BY user_id ORDER BY t) AS k FROM e)
+        SELECT user_id, min(t) AS start_us, max(t) + 43200000000 AS end_us, round(avg((value < 35)::INTEGER), 6) AS share, count(*) AS n FROM s GROUP BY user_id, k""",
     "stream_episodes": sql("EV", f", {_ep('flag_a', 'EA')} SELECT * FROM EA"),
 }

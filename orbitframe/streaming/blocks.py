@@ -25,9 +25,16 @@ def stream_block_verdicts(coords: DataFrame, tau: float, op: str = "<", size: in
     return with_verdict(block_bounds(coords, size), tau, op)
 
 
-def stream_occupancy(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Share of TRUE flags per window and key of a stream (ts, key, flag)."""
-    rows = events.withWatermark("ts", late).groupBy(F.window("ts", width), "key")
+def stream_occupancy(events: DataFrame, width: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """Share of TRUE flags per window and key of a stream (ts, key, flag); windows begin every `slide`, or follow each other."""
+    rows = events.withWatermark("ts", late).groupBy(F.window("ts", width, slide), "key")
+    return rows.agg(F.avg(F.col("flag").cast("double")).alias("share"), F.count(F.lit(1)).alias("n"))
+
+
+def stream_sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
+    """Share of TRUE flags per session and key of a stream (ts, key, flag). A session ends once nothing came for the gap, and is sent when
+    the watermark has passed its end; its state is gone then."""
+    rows = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("session"), "key")
     return rows.agg(F.avg(F.col("flag").cast("double")).alias("share"), F.count(F.lit(1)).alias("n"))
 
 

@@ -66,3 +66,28 @@ def test_occupancy(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "ev"))
     found = run(blocks.stream_occupancy(stream), "occupancy", "append", tmp_path).collect()
     assert [(r.n, round(r.share, 6)) for r in found] == [(12, round(4 / 12, 6))]
+
+
+@pytest.mark.parametrize("kind", ["windows", "sessions"])
+def test_windows_and_sessions_over_several_batches(spark, tmp_path, kind):
+    """Late rows within the delay count, those behind the watermark don't; both forms end with what the batch form gives."""
+    minutes = {"a": [0, 3, 4, 9, 21, 22, 40, 58], "b": [1, 2, 30, 31, 33]}
+    rows = sorted((m, k, m % 2 == 0) for k, own in minutes.items() for m in own)
+    late = (3, "a", False)
+    rows.remove(late)
+    closers = [(10_000, "", False), (20_000, "", False)]
+    parts = [rows[:4], [late], rows[4:], closers[:1], [(5, "a", True)], closers[1:]]
+    schema = "m int, key string, flag boolean"
+    stamped = lambda x: spark.createDataFrame(x, schema).select(F.timestamp_seconds(F.lit(1_700_000_040) + F.col("m") * 60).alias("ts"), "key", "flag")
+    for part in parts:
+        stamped(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    whole = stamped(rows + [late])
+    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    if kind == "sessions":
+        found, plain = blocks.run_available(blocks.stream_sessions(stream, "6 minutes"), "append"), blocks.stream_sessions(whole, "6 minutes")
+    else:
+        found, plain = blocks.run_available(blocks.stream_occupancy(stream, "10 minutes", slide="5 minutes"), "append"), blocks.stream_occupancy(whole, "10 minutes", slide="5 minutes")
+    got = found.filter("key <> ''")
+    assert sorted(map(tuple, got.drop("batch").collect())) == sorted(map(tuple, plain.collect()))
+    assert got.count() > 4 and spark.read.parquet(str(tmp_path / "in")).count() > whole.count()
