@@ -18,15 +18,20 @@ from orbitframe.streaming import blocks
 TAU = 4.0
 
 
+#: Frames whose atoms five digits can number: the part of a trajectory that one file holds.
+PART = 99_999 // v.N_ATOMS
+
+
 def _atoms(p: SparkSession, d: str) -> DataFrame:
-    """Atoms of all frames, numbered through a trajectory as far as five digits go."""
-    return v.te_full(p, d).withColumn("serial", (F.col("frame") * v.N_ATOMS + F.col("atom_id")) % 99_999 + 1)
+    """Atoms of all frames, with their part of the trajectory and their number in it."""
+    frame = F.col("frame")
+    return v.te_full(p, d).withColumns({"part": F.floor(frame / PART).cast("int"), "serial": frame % PART * v.N_ATOMS + F.col("atom_id") + 1})
 
 
 def _pdb(p: SparkSession, d: str) -> DataFrame:
     path = shared_path(p)
-    export.export_pdb(_atoms(p, d), path, by="traj_id")
-    return ingest.ingest_pdb(p, path).withColumn("traj_id", ingest.folder_value("traj_id").cast("int"))
+    export.export_pdb(_atoms(p, d), path, by=["traj_id", "part"])
+    return ingest.ingest_pdb(p, path).withColumns({n: ingest.folder_value(n).cast("int") for n in ("traj_id", "part")})
 
 
 def _gro(p: SparkSession, d: str) -> DataFrame:
@@ -162,14 +167,14 @@ QUERIES = {
     "mapping_coverage": lambda p, d: rounded(ingest.mapping_coverage(_mapped(p, d))),
     "uniprot_features_join": lambda p, d: ingest.uniprot_features_join(_features(p, d), _mapped(p, d)).select("accession", "position", "residue", "kind"),
     "ingest_interaction_xml": _xml,
-    "roundtrip_check": lambda p, d: rounded(export.roundtrip_check(_atoms(p, d), _pdb(p, d), keys=("traj_id", "serial"))),
+    "roundtrip_check": lambda p, d: rounded(export.roundtrip_check(_atoms(p, d), _pdb(p, d), keys=("traj_id", "part", "serial"))),
     "verify_provenance": _provenance,
     "stream_block_verdicts": lambda p, d: rounded(_stream_verdicts(p, d)),
     "stream_episodes": _stream_episodes,
     "stream_occupancy_sliding": lambda p, d: rounded(_stream_windows(p, d)),
     "stream_sessions": lambda p, d: rounded(_stream_sessions(p, d)),
 }
-_SERIAL = "(frame * 21 + atom_id) % 99999 + 1"
+_SERIAL = "frame % 4761 * 21 + atom_id + 1"
 _MAPPED = "MP AS (SELECT DISTINCT 'P' || l_orderkey AS accession, l_linenumber * 10 + k AS position, l_linenumber * 100 + k AS residue FROM (SELECT *, unnest(range((l_quantity::INTEGER % 8) + 1)) AS k FROM lineitem))"
 ORACLE_SQL = {
     "ingest_pdb": sql("TF", f"SELECT traj_id, ({_SERIAL})::INTEGER AS serial, name, resname, chain, residue, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y, round(z, 3) + 0.0 AS z, occupancy, b_factor, element, is_hetero FROM TF"),

@@ -21,14 +21,14 @@ def pdb_lines(atoms: DataFrame, serial: str = "serial", keep: list[str] | None =
     return atoms.select(F.concat(*line).alias("value"), F.col(serial).alias("serial"), *(keep or []))
 
 
-def export_pdb(atoms: DataFrame, path: str, serial: str = "serial", by: str | None = None) -> None:
-    """Records in order of their serial numbers, in one folder or in one per value of a column."""
+def export_pdb(atoms: DataFrame, path: str, serial: str = "serial", by: list[str] | None = None) -> None:
+    """Records in order of their serial numbers, in one folder or in one per values of columns. A folder is written by one task, so it
+    should hold no more than the serial numbers can tell apart."""
     if by is None:
         pdb_lines(atoms, serial).orderBy("serial").select("value").write.text(path)
         return
-    folder = atoms.withColumn("folder_", F.col(by))
-    lines = pdb_lines(folder, serial, ["folder_"]).repartition("folder_").sortWithinPartitions("folder_", "serial")
-    lines.select("value", F.col("folder_").alias(by)).write.partitionBy(by).text(path)
+    lines = pdb_lines(atoms, serial, by).repartition(*by).sortWithinPartitions(*by, "serial")
+    lines.select("value", *by).write.partitionBy(*by).text(path)
 
 
 def export_fasta(atoms: DataFrame, keys: list[str], width: int = 60) -> DataFrame:

@@ -97,3 +97,18 @@ def test_leakage(spark):
     for t in (0.15, 0.3, 0.9):
         expected = {(q.seq_id, s.train_id) for q in queries.collect() for s in training.collect() if identity(q.seq, s.train) >= t}
         assert {(r.seq_id, r.train_id) for r in sequences.leakage_join(queries, training, t).collect()} == expected
+
+
+def test_round_trip_of_frames_beyond_the_serial_numbers(spark, monkeypatch, tmp_path):
+    """6,000 frames of 21 atoms, more than five digits can number: parts of a trajectory keep their atoms apart."""
+    from orbitframe.registry import files
+    from orbitframe.sources import views
+
+    frames = spark.range(6000).select(F.lit(0).alias("traj_id"), F.col("id").alias("frame"), F.explode(F.sequence(F.lit(0), F.lit(views.N_ATOMS - 1))).alias("atom_id"))
+    frames = frames.select("*", *[((F.col("frame") * 7 + F.col("atom_id") * k) % 4000 / 100.0).alias(n) for k, n in enumerate("xyz", 1)])
+    monkeypatch.setattr(views, "te_full", lambda s, d: frames.join(F.broadcast(views.te_atoms(s)), "atom_id"))
+    monkeypatch.setattr(files, "shared_path", lambda s: str(tmp_path / "pdb"))
+    atoms = files._atoms(spark, "")
+    assert atoms.agg(F.max("serial")).first()[0] <= 99_999 and atoms.select("traj_id", "part", "serial").distinct().count() == 126_000
+    row = files.QUERIES["roundtrip_check"](spark, "").first()
+    assert (row.n, row.n_unmatched, row.ok) == (126_000, 0, True)
