@@ -83,7 +83,7 @@ def ring_types(found: DataFrame, atoms: DataFrame, keys: list[str]) -> DataFrame
     members = found.select(*keys, "size", "atoms", F.explode(F.split("atoms", ",").cast("array<bigint>")).alias("atom_id"))
     element = F.upper(F.trim(F.coalesce("element", F.lit("C"))))
     counts = {f"n_{e}": F.count_if(element == e.upper()) for e in "cnos"}
-    rows = members.join(F.broadcast(atoms.select("atom_id", "element")), "atom_id", "left").groupBy(*keys, "size", "atoms").agg(*[c.alias(n) for n, c in counts.items()])
+    rows = members.join(atoms.select("atom_id", "element"), "atom_id", "left").groupBy(*keys, "size", "atoms").agg(*[c.alias(n) for n, c in counts.items()])
     kind = F.lit("GENERAL_CYCLE")
     for values, name in AROMATIC.items():
         kind = F.when(F.array(F.col("size").cast("long"), *counts) == F.array(*[F.lit(v).cast("long") for v in values]), name).otherwise(kind)

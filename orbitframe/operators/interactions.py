@@ -171,7 +171,7 @@ def template_bonds(atoms: DataFrame, template: DataFrame) -> DataFrame:
     keys = [*FRAME, "residue"]
     a = atoms.select(*keys, "resname", F.col("name").alias("name_a"), F.col("atom_id").alias("i"))
     b = atoms.select(*keys, F.col("name").alias("name_b"), F.col("atom_id").alias("j"))
-    return a.join(F.broadcast(template), ["resname", "name_a"]).join(b, [*keys, "name_b"]).select(*FRAME, "i", "j")
+    return a.join(template, ["resname", "name_a"]).join(b, [*keys, "name_b"]).select(*FRAME, "i", "j")
 
 
 def bond_union(sources: list[DataFrame]) -> DataFrame:

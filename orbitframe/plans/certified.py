@@ -309,7 +309,7 @@ BUILD = {"io": 110.0, "cpu": 80.0}
 
 def plan_costs(counts: DataFrame, queries: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """traj_id, workload, direct, flat, hierarchical, cheapest: what an answer costs by scanning, by one level of bounds and by several, for
-    trajectories (traj_id, pruned_percent) and workloads (workload, remaining queries, indexed, cached). An index that is not there yet is
+    trajectories (traj_id, pruned_percent) and a handful of workloads (workload, remaining, indexed, cached). An index that is not there yet is
     shared out among the remaining queries; what is cached is taken from there. The first of equals is the cheapest."""
     weigh = lambda needs: sum(weights[k] * v for k, v in needs.items())
     rows = counts.select("traj_id", (1 - F.col("pruned_percent") / 100).alias("open")).join(F.broadcast(queries))
