@@ -96,6 +96,24 @@ def csv_safe(c: Column) -> Column:
     return F.when(c.rlike("^[=+\\-@\\t\\r]"), F.concat(F.lit("'"), c)).otherwise(c)
 
 
+def fixed(value: Column, places: int) -> Column:
+    """A double in so many decimals, as C's printf rounds it: by its exact binary value, a tie to the even digit. format_string rounds the
+    shortest decimal instead, so that 1.0005, which is a little less in binary, becomes 1.001."""
+    # The halves of a double have few enough bits for their products with the scale to be exact, so that signs of the sums below are.
+    x, scale = value.cast("double"), 10.0**places
+    high = x.cast("float").cast("double")
+    a, b = high * scale, (x - high) * scale
+    n = F.rint(a + b)
+    odd = F.abs(n) % 2 == 1
+    over, under = (a - (n + 0.5)) + b, (a - (n - 0.5)) + b
+    digits = F.abs(F.when((over > 0) | ((over == 0) & odd), n + 1).when((under < 0) | ((under == 0) & odd), n - 1).otherwise(n)).cast("long")
+    unit = F.lit(10**places).cast("long")
+    # The sign of zero counts as well.
+    sign = F.when((x < 0) | (x.cast("string") == "-0.0"), "-").otherwise("")
+    text = F.concat(sign, F.format_string(f"%d.%0{places}d", F.floor(digits / unit).cast("long"), digits % unit))
+    return F.when(F.abs(x) < 2.0**31, text).otherwise(F.format_string(f"%.{places}f", x))
+
+
 #: Methods in the order in which their words are looked for.
 METHODS = {
     "NEUTRON_DIFFRACTION": ["NEUTRON"],

@@ -30,7 +30,9 @@ def _atoms(p: SparkSession, d: str) -> DataFrame:
 
 def _pdb(p: SparkSession, d: str) -> DataFrame:
     path = shared_path(p)
-    export.export_pdb(_atoms(p, d), path, by=["traj_id", "part"])
+    # Halves are rounded up, as by SQL's round, and not by their binary value as by printf.
+    rows = _atoms(p, d).withColumns({n: F.round(n, 3) for n in "xyz"})
+    export.export_pdb(rows, path, by=["traj_id", "part"])
     return ingest.ingest_pdb(p, path).withColumns({n: ingest.folder_value(n).cast("int") for n in ("traj_id", "part")})
 
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitframe.functions.text import csv_safe
+from orbitframe.functions.text import csv_safe, fixed
 from orbitframe.operators.selection import one_letter
 
 
 def pdb_lines(atoms: DataFrame, serial: str = "serial", keep: list[str] | None = None) -> DataFrame:
     """value: an 80-column ATOM or HETATM record per atom."""
-    number = lambda c, width, places: F.lpad(F.format_string(f"%.{places}f", F.col(c)), width, " ")
+    number = lambda c, width, places: F.lpad(fixed(F.col(c), places), width, " ")
     name = F.rpad(F.when(F.length("name") < 4, F.concat(F.lit(" "), "name")).otherwise(F.col("name")), 4, " ")
     line: list[Column] = [
         F.when(F.col("is_hetero"), "HETATM").otherwise("ATOM  "), F.lpad(F.col(serial).cast("string"), 5, " "), F.lit(" "), name, F.lit(" "),

@@ -112,3 +112,14 @@ def test_round_trip_of_frames_beyond_the_serial_numbers(spark, monkeypatch, tmp_
     assert atoms.agg(F.max("serial")).first()[0] <= 99_999 and atoms.select("traj_id", "part", "serial").distinct().count() == 126_000
     row = files.QUERIES["roundtrip_check"](spark, "").first()
     assert (row.n, row.n_unmatched, row.ok) == (126_000, 0, True)
+
+
+def test_decimals_as_printf(spark):
+    """Coordinates are written by their exact binary value, as SQL's printf does; ties go to the even digit."""
+    from orbitframe.functions.text import fixed
+
+    values = [k / 10_000 for k in range(-20_005, 20_006, 10)] + [k / 16 for k in range(-99, 99)] + [0.0, -0.0, 1e-300, -1e-9, 123456.7895, 99999.99949999999, 2.0**30 + 0.0625, -7.0005]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [(r.v, r.s) for r in rows.select("v", fixed(F.col("v"), 3).alias("s")).collect()] == [(v, "%.3f" % v) for v in values]
+    atoms = spark.createDataFrame([(1, "CA", "ALA", "A", 1, 1.0005, 0.0625, -2.0015, 1.0, 20.0, "C", False)], "serial int, name string, resname string, chain string, residue int, x double, y double, z double, occupancy double, b_factor double, element string, is_hetero boolean")
+    assert export.pdb_lines(atoms).first().value[30:54] == "%8.3f%8.3f%8.3f" % (1.0005, 0.0625, -2.0015)
