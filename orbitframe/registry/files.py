@@ -71,13 +71,17 @@ def _pocket_info(p: SparkSession, d: str) -> DataFrame:
     return ingest.ingest_pocket_info(p, path)
 
 
+#: Orders whose keys follow each other and share a file, which a task writes and reads whole.
+ORDERS = 16_384
+
+
 def _mapped(p: SparkSession, d: str) -> DataFrame:
-    """Orders as sequences whose lines are segments, a file per priority."""
+    """Orders as sequences whose lines are segments, a file per range of keys: more orders make more files, and none larger."""
     path = shared_path(p)
     n = F.col("l_linenumber").cast("int")
     seg = F.struct(F.lit("A").alias("chain"), (n * 10).alias("unp_start"), (n * 10 + F.col("l_quantity").cast("int") % 8).alias("unp_end"), (n * 100).alias("pdb_start"))
     rows = v.table(p, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(seg).alias("segments"))
-    docs = rows.select((F.col("l_orderkey") % 16).alias("part"), F.to_json(F.struct(F.concat(F.lit("P"), F.col("l_orderkey").cast("string")).alias("accession"), F.lit(100).alias("length"), "segments")).alias("doc"))
+    docs = rows.select(F.floor(F.col("l_orderkey") / ORDERS).alias("part"), F.to_json(F.struct(F.concat(F.lit("P"), F.col("l_orderkey").cast("string")).alias("accession"), F.lit(100).alias("length"), "segments")).alias("doc"))
     docs.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("doc"), ","), F.lit("]")).alias("value")).write.partitionBy("part").text(path)
     return ingest.ingest_mapping_json(p, path).distinct()
 

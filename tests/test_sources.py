@@ -123,3 +123,18 @@ def test_decimals_as_printf(spark):
     assert [(r.v, r.s) for r in rows.select("v", fixed(F.col("v"), 3).alias("s")).collect()] == [(v, "%.3f" % v) for v in values]
     atoms = spark.createDataFrame([(1, "CA", "ALA", "A", 1, 1.0005, 0.0625, -2.0015, 1.0, 20.0, "C", False)], "serial int, name string, resname string, chain string, residue int, x double, y double, z double, occupancy double, b_factor double, element string, is_hetero boolean")
     assert export.pdb_lines(atoms).first().value[30:54] == "%8.3f%8.3f%8.3f" % (1.0005, 0.0625, -2.0015)
+
+
+def test_mapping_files_are_bounded(spark, monkeypatch, tmp_path):
+    """Ten times the orders make more files, and no file holds more orders."""
+    from orbitframe.registry import files
+
+    lines = lambda n: spark.range(n).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "3.0D AS l_quantity")
+    monkeypatch.setattr(files, "ORDERS", 50, raising=False)
+    most = []
+    for n in (400, 4000):
+        monkeypatch.setattr(files.v, "table", lambda s, d, name, n=n: lines(n))
+        monkeypatch.setattr(files, "shared_path", lambda s, n=n: str(tmp_path / f"m{n}"))
+        assert files.QUERIES["ingest_mapping_json"](spark, "").count() == 4 * n
+        most.append(max(f.stat().st_size for f in (tmp_path / f"m{n}").rglob("*.txt")))
+    assert most[1] < 1.5 * most[0]
