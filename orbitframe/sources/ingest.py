@@ -131,7 +131,13 @@ def verify_provenance(spark: SparkSession, path: str, manifest: DataFrame, name:
     return rows.select("name", F.when(F.col("sha256").isNull(), "UNLISTED").when(F.col("sha256_found").isNull(), "MISSING").when((F.col("size_bytes") == F.col("size_found")) & (F.col("sha256") == F.col("sha256_found")), "OK").otherwise("CHANGED").alias("status"))
 
 
+#: Positions of a stretch: what a feature is copied for.
+STRETCH = 64
+
+
 def uniprot_features_join(features: DataFrame, residues: DataFrame) -> DataFrame:
-    """Feature ranges (accession, kind, begin, end) on mapped residues: ranges are exploded, so the range join is an equi-join."""
-    spread = features.select("accession", "kind", F.explode(F.sequence("begin", "end")).alias("position"))
-    return residues.join(spread, ["accession", "position"])
+    """Feature ranges (accession, kind, begin, end) on mapped residues: a range stands in each stretch of positions that it touches, so that
+    the range join is an equi-join. Spark takes the copies for as large as the ranges, and would broadcast them."""
+    at = lambda n: F.floor(F.col(n) / STRETCH)
+    spread = features.filter("begin <= end").select("accession", "kind", "begin", "end", F.explode(F.sequence(at("begin"), at("end"))).alias("stretch"))
+    return residues.withColumn("stretch", at("position")).join(spread.hint("merge"), ["accession", "stretch"]).filter("position BETWEEN begin AND end").drop("stretch", "begin", "end")

@@ -138,3 +138,13 @@ def test_mapping_files_are_bounded(spark, monkeypatch, tmp_path):
         assert files.QUERIES["ingest_mapping_json"](spark, "").count() == 4 * n
         most.append(max(f.stat().st_size for f in (tmp_path / f"m{n}").rglob("*.txt")))
     assert most[1] < 1.5 * most[0]
+
+
+def test_features_are_joined_by_stretches(spark):
+    """Ranges across stretches, empty and turned ones; copies of ranges are never broadcast."""
+    residues = spark.createDataFrame([("P", k) for k in range(0, 300)] + [("Q", 5)], "accession string, position int")
+    features = spark.createDataFrame([("P", "a", 60, 200), ("P", "b", 63, 64), ("P", "c", 9, 8), ("Q", "d", 5, 5), ("P", "e", None, 9)], "accession string, kind string, begin int, end int")
+    found = ingest.uniprot_features_join(features, residues)
+    assert found.columns == ["accession", "position", "kind"]
+    assert sorted(map(tuple, found.collect())) == sorted([("P", k, "a") for k in range(60, 201)] + [("P", 63, "b"), ("P", 64, "b"), ("Q", 5, "d")])
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
