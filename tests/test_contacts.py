@@ -99,3 +99,14 @@ def test_no_rows(spark):
     none = spark.createDataFrame([], "traj_id int, frame long, atom_id int, x double, y double, z double")
     near = contacts.near_pairs(none, 5.0)
     assert near.count() == contacts.similarity(near, none).count() == contacts.agreement(near, none, 0, 1).count() == 0
+
+
+def test_copies_for_cells_are_not_broadcast(spark, tmp_path):
+    """Stored rows look small to the planner, and their 27 copies too."""
+    from orbitframe.operators.selection import radius_join
+
+    spark.range(50).selectExpr("0 AS traj_id", "id % 5 AS frame", "CAST(id AS INT) AS atom_id", "CAST(id AS DOUBLE) AS x", "0D AS y", "0D AS z").write.parquet(str(tmp_path / "c"))
+    rows = spark.read.parquet(str(tmp_path / "c"))
+    listed = contacts.pair_lists(contacts.boxes(rows, 1).filter("span <= 9"), CUTOFF)
+    for found in (radius_join(rows, rows, CUTOFF, ["traj_id", "frame"]), listed):
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
