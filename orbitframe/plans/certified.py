@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from orbitframe.functions import geometry as g
 from orbitframe.operators import segments
-from orbitframe.operators.graphs import stored
+from orbitframe.operators.graphs import few, stored
 
 BLOCK = 10
 OPS = ("<", "<=", ">", ">=")
@@ -158,7 +158,7 @@ def pair_min_by_frame(coords: DataFrame, first: int = 0, second: int = 1, period
 
 def prune_semi_join(coords: DataFrame, verdicts: DataFrame, size: int = BLOCK) -> DataFrame:
     """Rows of frames whose block is undecided."""
-    return in_blocks(coords, size).join(verdicts.filter("verdict is null").select("traj_id", "block_id"), ["traj_id", "block_id"], "left_semi")
+    return in_blocks(coords, size).join(few(verdicts.filter("verdict is null").select("traj_id", "block_id")), ["traj_id", "block_id"], "left_semi")
 
 
 def exact_frames(coords: DataFrame, verdicts: DataFrame, tau: float, op: str = "<", size: int = BLOCK) -> DataFrame:

@@ -1,9 +1,12 @@
-"""Frames against frames by blocks that grow."""
+"""Frames against frames by blocks that grow, and numbers and picked rows that are not shuffled."""
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orbitframe.operators import superposition as su
+from orbitframe.operators.graphs import few
+from orbitframe.operators.order import numbered
 
 
 @pytest.fixture(scope="module")
@@ -28,3 +31,18 @@ def test_blocks_grow_with_the_trajectory(spark, case, monkeypatch):
     assert row.traj_id == 1 and np.allclose([row.mean_rmsd, row.max_rmsd], [d[i, j].mean(), d[i, j].max()])
     seen = su.by_blocks(coords.filter("traj_id = 1"), lambda p, q, a, b, one: p[["traj_id"]].iloc[:1].assign(n=len(a)), "traj_id int, n long").collect()
     assert [r.n for r in seen] == [30] * 6
+
+
+def test_numbers_stay_in_their_ranges(spark):
+    """Keys over several ranges, many in one, and null ones; no row is shuffled for its number."""
+    keys = [0] * 50 + [1, 2, 3] * 5 + [None] * 20
+    rows = spark.createDataFrame([(k, (i * 37) % 101) for i, k in enumerate(keys)], "k int, at int").repartition(3)
+    found = numbered(rows, "k", ["at"])
+    for k in (0, 1, None):
+        assert [r.frame for r in found.filter(F.col("k").eqNullSafe(F.lit(k))).orderBy("at").collect()] == list(range(keys.count(k)))
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_rows_are_broadcast(spark):
+    plan = lambda most: spark.range(100).join(few(spark.range(9).distinct(), most), "id", "left_semi")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(9) and "broadcast" not in plan(8)
