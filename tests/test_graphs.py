@@ -38,6 +38,18 @@ def test_ancestors_and_cycles_of_any_length(spark):
     assert {tuple(r) for r in graphs.cycle_edges(df).select("parent", "child").collect()} == {e for e in edges if e not in (("n21", "x"), ("y", "n00"))}
 
 
+@pytest.mark.parametrize("cell", [1, 3, 1 << 20])
+def test_ancestors_move_as_arrays(spark, cell):
+    """Three full layers of ten nodes, a cycle and a null: a row for a node and generation, or for each cell of ancestors."""
+    edges = [(f"{k}{i}", f"{k + 1}{j}") for k in range(2) for i in range(10) for j in range(10)] + [("x", "y"), ("y", "x"), ("x", "y"), (None, "00"), ("29", None)]
+    rows = graphs.ancestor_sets(spark.createDataFrame(edges, "parent string, child string"), cell=cell).collect()
+    found = [(r.node, a, r.distance) for r in rows for a in r.ancestors]
+    want = {k: d for k, d in reach([e for e in edges if e[0]]).items()}
+    want |= {(n, None): d for n, d in [("00", 1), *[(f"1{j}", 2) for j in range(10)], *[(f"2{j}", 3) for j in range(10)], (None, 4)]}
+    assert len(found) == len(set(found)) and {(n, a): d for n, a, d in found} == want
+    assert cell < 1 << 20 or len(rows) == len({(n, d) for n, _, d in found})
+
+
 def test_lineage_ancestors_has_all_generations(spark, lineage):
     found = {(r.node, r.ancestor): r.distance for r in QUERIES["lineage_ancestors"](spark, SF).collect()}
     assert found == reach(lineage) and {n[0] for n, _ in found} == set("OPS")
