@@ -113,12 +113,16 @@ def _provenance(p: SparkSession, d: str) -> DataFrame:
     return ingest.verify_provenance(p, path, manifest, F.element_at(F.split("path", "/"), -2))
 
 
-def _stream(p: SparkSession, rows: DataFrame, order: list[str], files: int | None = None) -> DataFrame:
-    """A table as a stream, of so many files at a time; files come in no certain order."""
-    path = shared_path(p)
-    rows.repartitionByRange(4, *order).sortWithinPartitions(*order).write.parquet(path)
-    reader = p.readStream.schema(rows.schema)
-    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
+#: Rows of a stream's file, which one task sorts.
+ROWS = 1 << 20
+
+
+def _stream(p: SparkSession, rows: DataFrame, order: list[str], batches: int = 1) -> DataFrame:
+    """A table as a stream of so many batches, about, of at least four files that hold ROWS rows each, about: a larger table makes more
+    files, and none larger. Files come in no certain order."""
+    path, files = shared_path(p), max(4, -(-rows.count() // ROWS))
+    rows.repartitionByRange(files, *order).sortWithinPartitions(*order).write.parquet(path)
+    return p.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // batches)).parquet(path)
 
 
 def _batches(p: SparkSession, d: str, key: str, n: int = 4) -> DataFrame:
@@ -148,7 +152,7 @@ def _stream_sessions(p: SparkSession, d: str) -> DataFrame:
 
 
 def _stream_verdicts(p: SparkSession, d: str) -> DataFrame:
-    found = blocks.run_available(blocks.stream_block_verdicts(_stream(p, v.tl(p, d), ["frame"], 1), TAU), "update")
+    found = blocks.run_available(blocks.stream_block_verdicts(_stream(p, v.tl(p, d), ["frame"], 4), TAU), "update")
     names = ["frame_start", "frame_end", "lower", "upper", "verdict"]
     return found.groupBy("traj_id", "block_id").agg(F.max_by(F.struct(*names), "batch").alias("r")).select("traj_id", "block_id", "r.*")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orbitframe.operators.series import episodes
 from orbitframe.plans.certified import block_aabb, block_verdicts
+from orbitframe.registry import files
 from orbitframe.streaming import blocks
 
 
@@ -91,3 +92,15 @@ def test_windows_and_sessions_over_several_batches(spark, tmp_path, kind):
     got = found.filter("key <> ''")
     assert sorted(map(tuple, got.drop("batch").collect())) == sorted(map(tuple, plain.collect()))
     assert got.count() > 4 and spark.read.parquet(str(tmp_path / "in")).count() > whole.count()
+
+
+def test_files_of_a_stream_do_not_grow(spark, monkeypatch):
+    """More rows make more files, of which a batch takes more."""
+    monkeypatch.setattr(files, "ROWS", 100)
+    rows = spark.range(1000).withColumnRenamed("id", "frame")
+    stream = files._stream(spark, rows, ["frame"], 4)
+    written = spark.read.parquet(stream._jdf.queryExecution().analyzed().collectLeaves().head().dataSource().options().apply("path"))
+    sizes = [r["count"] for r in written.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 1000 and len(sizes) == 10 and max(sizes) < 200
+    found = blocks.run_available(stream, "append")
+    assert found.select("frame").distinct().count() == found.count() == 1000 and found.select("batch").distinct().count() == 4
