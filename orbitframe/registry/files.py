@@ -75,7 +75,7 @@ def _pocket_info(p: SparkSession, d: str) -> DataFrame:
 ORDERS = 16_384
 
 
-def _mapped(p: SparkSession, d: str) -> DataFrame:
+def _residues(p: SparkSession, d: str) -> DataFrame:
     """Orders as sequences whose lines are segments, a file per range of keys: more orders make more files, and none larger."""
     path = shared_path(p)
     n = F.col("l_linenumber").cast("int")
@@ -83,7 +83,11 @@ def _mapped(p: SparkSession, d: str) -> DataFrame:
     rows = v.table(p, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(seg).alias("segments"))
     docs = rows.select(F.floor(F.col("l_orderkey") / ORDERS).alias("part"), F.to_json(F.struct(F.concat(F.lit("P"), F.col("l_orderkey").cast("string")).alias("accession"), F.lit(100).alias("length"), "segments")).alias("doc"))
     docs.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("doc"), ","), F.lit("]")).alias("value")).write.partitionBy("part").text(path)
-    return ingest.ingest_mapping_json(p, path).distinct()
+    return ingest.ingest_mapping_json(p, path)
+
+
+def _mapped(p: SparkSession, d: str) -> DataFrame:
+    return _residues(p, d).distinct()
 
 
 def _features(p: SparkSession, d: str) -> DataFrame:
@@ -174,7 +178,7 @@ QUERIES = {
     "ingest_pocket_csv": lambda p, d: rounded(_pocket_csv(p, d).withColumn("residue_ids", F.array_join("residue_ids", ","))),
     "ingest_pocket_info": lambda p, d: rounded(_pocket_info(p, d).select("pocket", "key", "value")),
     "ingest_mapping_json": lambda p, d: _mapped(p, d).select("accession", "length", "chain", "position", "residue"),
-    "mapping_coverage": lambda p, d: rounded(ingest.mapping_coverage(_mapped(p, d))),
+    "mapping_coverage": lambda p, d: rounded(ingest.mapping_coverage(_residues(p, d))),
     "uniprot_features_join": lambda p, d: ingest.uniprot_features_join(_features(p, d), _mapped(p, d)).select("accession", "position", "residue", "kind"),
     "ingest_interaction_xml": _xml,
     "roundtrip_check": lambda p, d: rounded(export.roundtrip_check(_atoms(p, d), _pdb(p, d), keys=("traj_id", "part", "serial"))),

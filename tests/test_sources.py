@@ -66,6 +66,16 @@ def test_mapping_and_features(spark, tmp_path):
     assert {r.residue for r in ingest.uniprot_features_join(features, mapped).collect()} == {12, 13, 16}
 
 
+def test_mapping_coverage_counts_positions_once(spark):
+    """Positions named more than once, at either end of a word of 64 and below zero; sequences without positions or a length."""
+    rows = [("a", 200, p) for p in (0, 63, 64, 64, 127, 128, -1, -64, -65, 63)] + [("b", 10, None), ("c", None, 5), ("d", 1, 2**31 - 1), ("d", 1, -(2**31))]
+    mapped = spark.createDataFrame(rows, "accession string, length int, position int")
+    found = ingest.mapping_coverage(mapped)
+    assert {r.accession: r.coverage for r in found.collect()} == {"a": 4.0, "b": 0.0, "c": None, "d": 200.0}
+    # No shuffle deals rows by position: a task sends a row for each 64 of them.
+    assert "position" not in "".join(line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in line)
+
+
 def test_interaction_xml_and_provenance(spark, tmp_path):
     xml = "<report><hydrogen_bonds><hydrogen_bond id='1'><resnr>7</resnr><restype>ASP</restype><reschain>A</reschain><dist_d_a>2.9</dist_d_a></hydrogen_bond></hydrogen_bonds></report>"
     row = ingest.ingest_interaction_xml(spark, write(tmp_path / "i.xml", xml)).first()
