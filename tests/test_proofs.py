@@ -5,7 +5,9 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from orbitframe.operators import graphs
 from orbitframe.plans import proofs
+from orbitframe.queries import QUERIES
 
 CLAIM = {"claim_id": 1, "quantifier": "DURATION", "op": "<", "tau": 4.0, "truth": True, "resolution": "COMPLETE", "duration": 150.0, "dt": 10.0, "sampling": "sampled_frames", "boundary": "none", "model": "kdop14", "total_blocks": 4, "trajectory_sha256": "ab", "index_sha256": "cd", "manifest_sha256": "cd", "bytes_fetched": 1, "frames_decoded": 0, "atoms_analyzed": None}
 CLAIM_SCHEMA = "claim_id int, quantifier string, op string, tau double, truth boolean, resolution string, duration double, dt double, sampling string, boundary string, model string, total_blocks long, trajectory_sha256 string, index_sha256 string, manifest_sha256 string, bytes_fetched long, frames_decoded long, atoms_analyzed long"
@@ -119,3 +121,33 @@ def test_current_records(spark):
         assert got[s] == ((40, 40 - s) if s <= 40 else (None, None) if 50 <= s <= 53 else (s, 0))
     assert {r.record_id for r in proofs.active_records(rows).collect()} == set(range(60)) - set(links)
     assert proofs.current_records(rows.filter(F.lit(False))).count() == 0
+
+
+def test_ledgers_with_odd_digests(spark):
+    """Digests that are no hexadecimal digits, capitals, an empty one before the first, and one that fits what comes before though another is named."""
+    rows = ledger_rows(6, {})
+    for k, column, value, want in ((0, 5, "", {(0, "chain")}), (0, 5, "0" * 64, {(0, "chain")}), (2, 5, rows[2][5].upper(), {(2, "chain")}), (2, 8, rows[2][8].upper(), {(2, "digest"), (3, "chain"), (3, "digest")}), (2, 8, "é", {(2, "digest"), (3, "chain"), (3, "digest")}), (2, 8, None, {(2, "digest"), (3, "chain"), (3, "digest")}), (2, 7, None, {(2, "provenance")})):
+        changed = [list(r) for r in rows]
+        changed[k][column] = value
+        assert found(spark, changed) == want, (k, column, value)
+    digest = lambda *parts: hashlib.sha256("|".join(parts).encode()).hexdigest()
+    changed = [list(r) for r in rows]
+    changed[2][8] = "é"
+    changed[3][8] = digest("é", changed[3][6], changed[3][7])
+    assert found(spark, changed) == {(2, "digest"), (3, "chain"), (4, "chain"), (4, "digest")}
+
+
+def test_ledgers_store_no_digests_and_rounds_hold_links(spark, monkeypatch):
+    kept = []
+
+    def spy(df, path=None):
+        kept.append(graphs.stored(df, path))
+        return kept[-1]
+
+    monkeypatch.setattr("orbitframe.registry.proofs.stored", spy)
+    QUERIES["ledger_integrity"](spark, "/root/testdata/sf0.001")
+    assert kept and not any("digest" in df.schema.simpleString() for df in kept)
+    monkeypatch.setattr("orbitframe.plans.proofs.stored", spy)
+    kept.clear()
+    proofs.current_records(spark.createDataFrame([tuple(r) for r in ledger_rows(60, {1: 2, 2: 3, 9: 99})], LEDGER))
+    assert {df.count() for df in kept} == {2}
