@@ -25,6 +25,7 @@ def validate_sequence(seq: Column, least: int = 5, most: int = 2000) -> tuple[Co
 
 #: White space, letters of amino acids in either case with the two that have one as their capital, nucleic alphabets.
 WHITE = r"\x09-\x0D\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+WHITE_LETTERS = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 AMINO_ANY = f"{AMINO_LETTERS}{AMINO_LETTERS.lower()}\u0131\u017f"
 NUCLEIC = {"DNA": "ACGTN", "RNA": "ACGUN", "ANY": "ACGTUIN"}
 
@@ -35,22 +36,32 @@ def validate_fasta(raw: Column, least: int = 5, most: int = 2000, headers: bool
     status is the first that applies of EMPTY, HEADER_NOT_ALLOWED, HEADER_ONLY, NO_RESIDUES, BAD_LETTERS, TOO_SHORT, TOO_LONG, VALID. White
     space counts nowhere. bad names the first five letters that are no amino acid, by place from 1, and how many more there are;
     sequence is there for VALID ones only."""
-    text = F.regexp_replace(F.coalesce(raw, F.lit("")), f"^[{WHITE}]+|[{WHITE}]+$", "")
+    bare = lambda c: F.btrim(c, F.lit(WHITE_LETTERS))
+    known, other = f"[{AMINO_ANY}]", f"[^{AMINO_ANY}]"
+    text = bare(F.coalesce(raw, F.lit("")))
     titled, end = F.startswith(text, F.lit(">")), F.instr(text, "\n")
-    header = F.when(titled & (end > 0), F.regexp_replace(F.substr(text, F.lit(2), end - 2), f"^[{WHITE}]+|[{WHITE}]+$", ""))
-    body = F.regexp_replace(F.when(titled & (end > 0), F.substr(text, end + 1)).when(titled, "").otherwise(text), f"[{WHITE}]", "")
+    header = F.when(titled & (end > 0), bare(F.substr(text, F.lit(2), end - 2)))
+    body = F.regexp_replace(F.when(titled & (end > 0), F.substr(text, end + 1)).when(titled, "").otherwise(text), f"[{WHITE}]+", "")
+
+    def counted(x: Column) -> Column:
+        return F.struct(*[x[n].alias(n) for n in ("empty", "titled", "header", "body")], F.length(x["body"]).alias("n"), F.length(F.regexp_replace(x["body"], f"{known}+", "")).alias("n_bad"))
 
     def judged(x: Column) -> Column:
-        letters = F.filter(F.split(x["body"], ""), lambda c: c != "")
-        named = F.transform(letters, lambda c, i: F.when(~c.rlike(f"^[{AMINO_ANY}]$"), F.concat(F.lit("'"), c, F.lit("' at position "), (i + 1).cast("string"))))
-        n, n_bad = F.length(x["body"]), F.length(F.regexp_replace(x["body"], f"[{AMINO_ANY}]", ""))
-        bad = F.concat(F.array_join(F.slice(F.array_compact(named), 1, 5), ", "), F.when(n_bad > 5, F.concat(F.lit(" (+"), (n_bad - 5).cast("string"), F.lit(" more)"))).otherwise(""))
+        n, n_bad = x["n"], x["n_bad"]
+
+        def named(k: int) -> Column:
+            """The bad letter after k others; no more of the sequence is read than what is before it."""
+            found = lambda group: F.regexp_extract(x["body"], f"^((?:{known}*+{other}){{{k}}}{known}*+)({other})", group)
+            return F.when(n_bad > k, F.concat(F.lit("'"), found(2), F.lit("' at position "), (F.length(found(1)) + 1).cast("string")))
+
+        bad = F.concat(F.array_join(F.array(*map(named, range(5))), ", "), F.when(n_bad > 5, F.concat(F.lit(" (+"), (n_bad - 5).cast("string"), F.lit(" more)"))).otherwise(""))
         status = F.when(x["empty"], "EMPTY").when(x["titled"] & F.lit(not headers), "HEADER_NOT_ALLOWED").when(x["titled"] & x["header"].isNull(), "HEADER_ONLY").when(n == 0, "NO_RESIDUES")
         status = status.when(n_bad > 0, "BAD_LETTERS").when(n < least, "TOO_SHORT").when(n > most, "TOO_LONG").otherwise("VALID")
         return F.struct(status.alias("status"), x["header"].alias("header"), F.when(status == "VALID", F.upper(x["body"])).alias("sequence"), n.alias("n_residues"), n_bad.alias("n_bad"), F.when(n_bad > 0, bad).alias("bad"))
 
+    # A function of an array's one element reads what is made once; a column's expression would be made again wherever it stands.
     given = F.struct((F.length(text) == 0).alias("empty"), titled.alias("titled"), header.alias("header"), body.alias("body"))
-    return F.get(F.transform(F.array(given), judged), F.lit(0))
+    return F.get(F.transform(F.transform(F.array(given), counted), judged), F.lit(0))
 
 
 def validate_nucleic(seq: Column, mode: str = "ANY") -> tuple[Column, Column]:

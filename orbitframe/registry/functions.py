@@ -118,7 +118,7 @@ def _identity(p, d):
 
 def _raw_sequence():
     """Texts as raw protein sequences: with a header line, as they are, their amino letters only, a header alone, the first words' letters."""
-    amino, k = F.regexp_replace("text", f"[^{t.AMINO_LETTERS}{t.AMINO_LETTERS.lower()}]", ""), F.col("doc_id") % 6
+    amino, k = F.regexp_replace("text", f"[^{t.AMINO_LETTERS}{t.AMINO_LETTERS.lower()}]+", ""), F.col("doc_id") % 6
     named = F.concat(F.lit(" > document "), F.col("doc_id").cast("string"))
     return F.when(k == 0, F.concat(named, F.lit(" \n"), amino)).when(k == 1, F.col("text")).when(k == 2, amino).when(k == 3, named).when(k == 4, F.concat(named, F.lit("\n"), F.col("text"))).otherwise(F.substring(amino, 1, (F.col("doc_id") % 37).cast("int")))
 

@@ -29,6 +29,14 @@ def test_fasta(spark):
     assert df.filter("i = 5").select(t.validate_fasta(F.col("raw"), headers=False)["status"]).first()[0] == "HEADER_NOT_ALLOWED"
 
 
+def test_fasta_of_long_sequences(spark):
+    """Bad letters of any script late in a long sequence, whose letters are not taken apart one by one."""
+    cases = [("M" * 300_000 + "\u00e9" + "K" * 9 + "\U0001f600" + "\u3000\ufeff", "'\u00e9' at position 300001, '\U0001f600' at position 300011", 2), ("\x85A\n\u2005b" + "o" * 6, "'\x85' at position 1, 'b' at position 3, 'o' at position 4, 'o' at position 5, 'o' at position 6 (+3 more)", 8), ("A" * 20 + "*", "'*' at position 21", 1)]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, raw string").select("i", t.validate_fasta(F.col("raw")).alias("f"))
+    assert {r.i: (r.f.bad, r.f.n_bad) for r in df.collect()} == {i: c[1:] for i, c in enumerate(cases)}
+    assert "split(" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 @pytest.mark.parametrize("seq, want", [(None, (False, False, False)), ("", (False, False, False)), ("ac gt\nN", (True, False, True)), ("ACGU", (False, True, True)), ("ACGTU", (False, False, True)), ("ACGI", (False, False, True)), ("ACGX", (False, False, False))])
 def test_nucleic(spark, seq, want):
     df = spark.createDataFrame([(seq,)], "s string")
