@@ -89,6 +89,9 @@ def _table() -> np.ndarray:
 
 
 SCORES = _table()
+FLAT = SCORES.ravel()
+#: What a gap costs by how the cell before was reached.
+UP, LEFT = (np.array([GAP_EXTEND if k == gap else GAP_OPEN for k in range(3)], np.int32) for gap in (1, 2))
 
 
 def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -107,6 +110,9 @@ class Diagonals:
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
         self.x, self.y, n = x, y, len(x)
+        self.ascii = bool((x < 128).all() and (y < 128).all())
+        # Where a letter's row begins in the flat table, and the other sequence backwards, as an antidiagonal meets it.
+        self.row, self.back = x * 128, y[::-1].copy()
         self.k, self.before, self.last, self.reached = 0, np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32), np.zeros(n + 1, np.uint8)
 
     def saved(self) -> tuple:
@@ -116,19 +122,21 @@ class Diagonals:
         self.k, self.before, self.last, self.reached = state
 
     def advance(self) -> None:
-        x, y, k = self.x, self.y, self.k + 1
-        n, m = len(x), len(y)
+        x, k = self.x, self.k + 1
+        n, m = len(x), len(self.y)
         now, reached = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.uint8)
         lo, hi = max(1, k - m), min(n, k - 1) + 1
         if lo < hi:
             i = slice(lo, hi)
             above = slice(lo - 1, hi - 1)
-            diagonal = self.before[above] + scores(x[above], y[k - hi : k - lo][::-1])
-            up = self.last[above] - np.where(self.reached[above] == 1, GAP_EXTEND, GAP_OPEN)
-            left = self.last[i] - np.where(self.reached[i] == 2, GAP_EXTEND, GAP_OPEN)
+            back = self.back[m - k + lo : m - k + hi]
+            diagonal = self.before[above] + (FLAT.take(self.row[above] + back) if self.ascii else scores(x[above], back))
+            up = self.last[above] - UP.take(self.reached[above])
+            left = self.last[i] - LEFT.take(self.reached[i])
             best = np.maximum(diagonal, up)
-            reached[i] = np.where(left > best, 2, np.where(up > diagonal, 1, 0))
-            now[i] = np.maximum(best, left)
+            reached[i] = up > diagonal
+            np.putmask(reached[i], left > best, 2)
+            np.maximum(best, left, out=now[i])
         edge = -GAP_OPEN - (k - 1) * GAP_EXTEND
         if k <= n:
             now[k], reached[k] = edge, 1
