@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbitframe.operators.graphs import few
+
 GAP_OPEN, GAP_EXTEND = 10, 1
 
 
@@ -201,35 +204,79 @@ def sequence_alignment_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "left_id long, right_id long, score long, identity double, similarity double")
 
 
-def word_hashes(seq: str, k: int, share: int) -> np.ndarray:
-    """Distinct hashes of the words of k letters whose hash is a multiple of `share`: which words count depends on them alone."""
+#: Words that a task hands on at a time, about.
+WORDS = 1 << 20
+
+
+def hashes(seq: str, k: int) -> np.ndarray:
+    """Hashes of all words of k letters, in order: words of one letter are put together to words of two, and so on."""
     raw = np.frombuffer(seq.encode(), np.uint8).astype(np.uint64)
     if len(raw) < k:
-        return np.zeros(0, np.int64)
-    h = np.zeros(len(raw) - k + 1, np.uint64)
-    for i in range(k):
-        h = h * np.uint64(0x9E3779B97F4A7C15 | 1) + raw[i : len(raw) - k + 1 + i]
-    h ^= h >> np.uint64(29)
+        return np.zeros(0, np.uint64)
+    factor = 0x9E3779B97F4A7C15 | 1
+    h, size = raw, 1
+    for odd in bin(k)[3:]:
+        h, size = h[:-size] * np.uint64(pow(factor, size, 1 << 64)) + h[size:], 2 * size
+        if odd == "1":
+            h, size = h[:-1] * np.uint64(factor) + raw[size:], size + 1
+    h = h ^ (h >> np.uint64(29))
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    return np.unique(h[h % np.uint64(share) == 0]).view(np.int64)
+    return h
 
 
-def related_pairs(left: DataFrame, right: DataFrame, k: int = 16, share: int = 4, ratio: float = 0.5) -> DataFrame:
-    """Pairs (left_id, right_id, left, right) of sequences (seq_id, seq) that share a word of k letters and whose lengths differ by no
-    more than the ratio: candidates for an alignment, by an equi-join of word hashes."""
-    sides = []
-    for side, rows in (("left", left), ("right", right)):
+def word_hashes(seq: str, k: int, share: int = 1) -> np.ndarray:
+    """Distinct hashes of the words of k letters, of all or of those whose hash is a multiple of `share`."""
+    h = hashes(seq, k)
+    return np.unique(h if share == 1 else h[h % np.uint64(share) == 0]).view(np.int64)
 
-        def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                found = [word_hashes(s or "", k, share) for s in b.seq]
-                sizes = [len(f) for f in found]
-                yield pd.DataFrame({"id": np.repeat(b.id.to_numpy(), sizes), "n": np.repeat(b.seq.map(lambda s: len(s or "")).to_numpy(), sizes), "word": np.concatenate([np.zeros(0, np.int64), *found])})
 
-        table = rows.select(F.col("seq_id").cast("long").alias("id"), "seq").mapInPandas(words, "id long, n long, word long")
-        sides.append(table.toDF(f"{side}_id", f"n_{side}", "word"))
-    pairs = sides[0].join(sides[1], "word").filter(F.least("n_left", "n_right") >= ratio * F.greatest("n_left", "n_right")).select("left_id", "right_id").distinct()
+#: A table of 2 ** BITS bits says which hashes may occur, by their highest bits.
+BITS = 25
+
+
+def bit_table(words: DataFrame) -> np.ndarray:
+    """The table of the column word, as bytes. It is put together by the tasks; what reaches the driver is at most its size."""
+    place = F.shiftrightunsigned("word", 64 - BITS) + 1
+    rows = words.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    table = np.zeros(1 << BITS - 3, np.uint8)
+    for r in rows.collect():
+        at = np.frombuffer(r.bits, np.uint8)
+        table[(r.bucket - 1) * len(at) : r.bucket * len(at)] = at
+    return table
+
+
+def related_pairs(left: DataFrame, right: DataFrame, k: int = 16, ratio: float = 0.5) -> DataFrame:
+    """Pairs (left_id, right_id, left, right) of sequences (seq_id, seq) that share a word of k letters and whose lengths differ by no
+    more than the ratio: candidates for an alignment, by an equi-join of the hashes of all words. A table of bits, of fixed size, drops
+    most words of the left that the right has not before they become rows."""
+
+    def words(rows: DataFrame, side: str, table: Broadcast | None = None) -> DataFrame:
+        def found(seq: str) -> np.ndarray:
+            if table is None:
+                return word_hashes(seq, k)
+            h = hashes(seq, k)
+            place = h >> np.uint64(64 - BITS)
+            return np.unique(h[(table.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]).view(np.int64)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                held, n = [], 0
+                for place, s in enumerate(b.seq):
+                    held.append(found(s or ""))
+                    n += len(held[-1])
+                    if n >= WORDS or place + 1 == len(b):
+                        part = b.iloc[place + 1 - len(held) : place + 1]
+                        sizes = [len(h) for h in held]
+                        yield pd.DataFrame({"id": np.repeat(part.id.to_numpy(), sizes), "n": np.repeat(part.seq.map(lambda s: len(s or "")).to_numpy(), sizes), "word": np.concatenate(held)})
+                        held, n = [], 0
+
+        return rows.select(F.col("seq_id").cast("long").alias("id"), "seq").mapInPandas(run, "id long, n long, word long").toDF(f"{side}_id", f"n_{side}", "word")
+
+    of_right = few(words(right, "right"))
+    table = left.sparkSession.sparkContext.broadcast(bit_table(of_right))
+    pairs = words(left, "left", table).join(of_right, "word").filter(F.least("n_left", "n_right") >= ratio * F.greatest("n_left", "n_right")).select("left_id", "right_id").distinct()
+    pairs = few(pairs)
     for side, rows in (("left", left), ("right", right)):
         pairs = pairs.join(rows.select(F.col("seq_id").cast("long").alias(f"{side}_id"), F.col("seq").alias(side)), f"{side}_id")
     return pairs
