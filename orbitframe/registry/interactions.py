@@ -69,8 +69,13 @@ def _template(p):
     return p.createDataFrame([(r, a, b) for r in ("ALA", "GLY", "PRO", "CYS", "ASP") for a, b in (("N", "CA"), ("CA", "C"), ("C", "O"))], "resname string, name_a string, name_b string")
 
 
-def _components(p, d):
-    return gr.connected_components(_edges(p, d), v.te(p, d).select(*FR, F.col("atom_id").alias("node")), FR)
+def _components(p, d, edges=None):
+    return gr.connected_components(_edges(p, d) if edges is None else edges, v.te(p, d).select(*FR, F.col("atom_id").alias("node")), FR)
+
+
+def _contact_graph(p, d):
+    edges = gr.stored(_edges(p, d))
+    return gr.contact_graph(edges, _components(p, d, edges), FR)
 
 
 def _shifted(p, d):
@@ -135,7 +140,7 @@ QUERIES = {
     "trajectory_projections": lambda p, d: _r4(su.trajectory_pca(v.te(p, d))[1], "p1", "p2"),
     "rmsd_fit_weighted": lambda p, d: _r4(su.rmsd_fit(st.against(v.te_full(p, d), v.te(p, d).filter("frame = 0"), ["traj_id", "atom_id"]), FR, st.mass()).filter("frame > 0"), "rmsd"),
     "connected_components": lambda p, d: _components(p, d).withColumn("component", F.col("component").cast("int")),
-    "contact_graph": lambda p, d: rounded(gr.contact_graph(_edges(p, d), _components(p, d), FR)),
+    "contact_graph": lambda p, d: rounded(_contact_graph(p, d)),
     "rings": lambda p, d: gr.ring_types(gr.rings(st.atom_pairs(v.te(p, d)).filter("d <= 4").select(*FR, "i", "j"), FR), v.te_atoms(p), FR),
     "lineage_children": lambda p, d: v.lg(p, d).groupBy("parent").agg(F.count(F.lit(1)).alias("n_children")),
     "lineage_sources": lambda p, d: gr.roots(v.lg(p, d)),
